@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from geoweft.llm.common import map_columns
 
-#: Words whose codes a worker keeps: this many recent ones, and as many from before.
-KEPT_WORDS = 200_000
+#: Words, and runs without white space, whose codes a worker keeps: this many recent ones, and as many from before.
+KEPT_WORDS, KEPT_CHUNKS = 150_000, 300_000
+#: str.split() also splits at these four, which aren't white space in Unicode's sense.
+CONTROL = re.compile("[\x1c-\x1f]")
+WHITE_SPACE = regex.compile(r"\p{White_Space}+")
 ID_BITS, POS_BITS = 20, 40
 ID_MASK, POS_MASK = (1 << ID_BITS) - 1, (1 << POS_BITS) - 1
 
@@ -37,6 +40,25 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
+class Recent:
+    """A bounded map of recent entries: a full generation becomes the old one, and what is used again moves up."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> tuple[bytes, str] | None:
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: tuple[bytes, str]) -> None:
+        if len(key) <= 64:
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+
+
 class WordBpe:
     """Encodes and decodes as the tokenizer file says: NFC, lower case, words split by its pattern, byte letters, word ends."""
 
@@ -58,8 +80,7 @@ class WordBpe:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.inner = [self.vocab[x] for x in byte_letters()]
         self.final = [self.vocab[x + self.end] for x in byte_letters()]
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.words, self.chunks = Recent(KEPT_WORDS), Recent(KEPT_CHUNKS)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Applies merges by rank, leftmost first among equals, on a linked list."""
@@ -94,32 +115,35 @@ class WordBpe:
 
     def word_codes(self, word: str) -> tuple[bytes, str]:
         """A word's ids as bytes and its vocabulary strings, from the kept ones if possible."""
-        got = self.young.get(word)
+        got = self.words.get(word)
         if got is None:
-            got = self.old.get(word)
-            if got is None:
-                raw = word.encode("utf-8", "surrogatepass")
-                ids = [self.inner[b] for b in raw]
-                ids[-1] = self.final[raw[-1]]
-                ids = self.merge(ids)
-                got = (np.array(ids, "<u4").tobytes(), " ".join([self.strings[i] for i in ids]))
-            if len(word) <= 64:
-                if len(self.young) >= KEPT_WORDS:
-                    self.old, self.young = self.young, {}
-                self.young[word] = got
+            raw = word.encode("utf-8", "surrogatepass")
+            ids = [self.inner[b] for b in raw]
+            ids[-1] = self.final[raw[-1]]
+            ids = self.merge(ids)
+            got = (np.array(ids, "<u4").tobytes(), " ".join([self.strings[i] for i in ids]))
+            self.words.put(word, got)
+        return got
+
+    def chunk_codes(self, chunk: str) -> tuple[bytes, str]:
+        """The same of a run of characters without white space; words never reach across white space."""
+        got = self.chunks.get(chunk)
+        if got is None:
+            out = []
+            for part in self.split_special.split(chunk) if "<" in chunk and self.split_special else [chunk]:
+                if part in self.special:
+                    out.append((np.array([self.special[part]], "<u4").tobytes(), part))
+                elif part:
+                    # each character is lower-cased for itself, so a capital sigma never takes its final form
+                    low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                    out += map(self.word_codes, self.word.findall(low))
+            got = out[0] if len(out) == 1 else (b"".join([x[0] for x in out]), " ".join([x[1] for x in out]))
+            self.chunks.put(chunk, got)
         return got
 
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        out = []
-        for part in self.split_special.split(text) if self.split_special else [text]:
-            if part in self.special:
-                i = self.special[part]
-                out.append((np.array([i], "<u4").tobytes(), part))
-            elif part:
-                # each character is lower-cased for itself, so a capital sigma never takes its final form
-                low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += map(self.word_codes, self.word.findall(low))
-        return out
+        chunks = text.split() if not CONTROL.search(text) else WHITE_SPACE.split(text)
+        return [x for x in map(self.chunk_codes, chunks) if x[0]]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(b"".join(p[0] for p in self.pieces(text or "")), "<u4").tolist()
