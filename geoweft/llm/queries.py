@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.llm import bpe, langid, quality
+from geoweft.llm import bpe, extract, langid, quality, warc
 from geoweft.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -36,8 +40,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", langid.held_out(F.col("doc_id")))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.summary(warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_main_text": op3_main_text,
     "op5_bpe": op5_bpe,
     "op7_language_id": op7_language_id,
+    "op10_warc": op10_warc,
 }
