@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.llm import bpe, extract, langid, neardup, quality, warc
+from geoweft.llm import bpe, decontam, extract, langid, neardup, quality, warc
 from geoweft.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -45,6 +45,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", langid.held_out(F.col("doc_id")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))))
 
@@ -55,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_language_id": op7_language_id,
+    "op8_decontamination": op8_decontamination,
     "op10_warc": op10_warc,
 }
