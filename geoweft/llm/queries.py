@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.llm import bpe, decontam, extract, langid, neardup, quality, warc
+from geoweft.llm import bpe, decontam, extract, langid, neardup, pii, quality, warc
 from geoweft.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -56,6 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_main_text": op3_main_text,
+    "op4_personal_data": op4_personal_data,
     "op5_bpe": op5_bpe,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_language_id": op7_language_id,
