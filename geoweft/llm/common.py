@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -52,10 +52,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    """A reliable checkpoint of ``df`` in the shared folder.
 
-def sha256_of(column: Column) -> Column:
-    return F.sha2(column.cast("binary"), 256)
+    Spark removes shuffle files once the driver has collected the plans that made
+    them; many cuts in a row would pile them up, so each asks for a collection.
+    """
+    checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -21,6 +21,8 @@ further columns are ignored (``find``) or kept (``sanitise``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,26 +52,30 @@ BROADCAST_TERMS = 200_000
 BLOCK = 64
 
 
-def prefix_sums(lengths: Column) -> Column:
-    """The sum of what stands before each element of an array of integers, block by block so that long arrays stay cheap."""
-    step = lambda acc, v: F.struct((acc["total"] + v).alias("total"), F.concat(acc["before"], F.array(acc["total"])).alias("before"))
-    zero = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("before"))
-    n_blocks = F.ceil(F.size(lengths) / BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, BLOCK), zero, step))
-    offsets = F.aggregate(blocks, zero, lambda acc, x: step(acc, x["total"]))["before"]
-    sums = F.flatten(F.zip_with(blocks, offsets, lambda x, o: F.transform(x["before"], lambda v: v + o)))
-    return F.when(F.size(lengths) > 0, sums).otherwise(F.array().cast("array<int>"))
-
-
-def positions(found: Column, gaps: Column) -> Column:
-    """array of (start, value) from the matches of a pattern and what splitting by it leaves; in code points from 0."""
-    # lengths alternate: a gap, a match, a gap, ...
-    lengths = F.zip_with(gaps, found, lambda g, m: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
-    return F.zip_with(
-        F.zip_with(found, F.slice(prefix_sums(lengths), 1, F.size(found)), lambda m, s: F.struct(m.alias("value"), s.alias("at"))),
-        F.slice(gaps, 1, F.size(found)),
-        lambda x, g: F.struct((x["at"] + F.length(g)).alias("start"), x["value"].alias("value")),
-    )
+def prefixes(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """What ``op`` makes of 0 and all that stands before each element of an array of integers, block by block so that long arrays stay cheap."""
+    step = lambda acc, v: F.struct(op(acc["now"], v).alias("now"), F.concat(acc["before"], F.array(acc["now"])).alias("before"))
+    zero = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("before"))
+    n_blocks = F.ceil(F.size(values) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, BLOCK), zero, step))
+    offsets = F.aggregate(blocks, zero, lambda acc, x: step(acc, x["now"]))["before"]
+    found = F.flatten(F.zip_with(blocks, offsets, lambda x, o: F.transform(x["before"], lambda v: op(v, o))))
+    return F.when(F.size(values) > 0, found).otherwise(F.array().cast("array<int>"))
+
+
+def lengths(found: Column, gaps: Column) -> Column:
+    """The lengths of each gap and the match after it."""
+    return F.zip_with(gaps, found, lambda g, m: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
+
+
+def positions(found: Column, gaps: Column, before: Column) -> Column:
+    """array of (start, value) from the matches of a pattern, what splitting by it leaves, and the sums of lengths before each; in code points from 0."""
+    at = F.zip_with(found, F.slice(before, 1, F.size(found)), lambda m, s: F.struct(m.alias("value"), s.alias("at")))
+    return F.zip_with(at, F.slice(gaps, 1, F.size(found)), lambda x, g: F.struct((x["at"] + F.length(g)).alias("start"), x["value"].alias("value")))
+
+
+def add(x: Column, y: Column) -> Column:
+    return x + y
 
 
 def luhn(digits: Column) -> Column:
@@ -107,7 +113,7 @@ def key(kind: str, value: Column) -> Column:
 
 def kind_spans(rank: int, kind: str) -> Column:
     """The valid spans of a kind, from the columns of its matches and gaps."""
-    found = F.filter(positions(F.col(f"m_{kind}"), F.col(f"g_{kind}")), lambda p: valid(kind, p["value"]))
+    found = F.filter(positions(F.col(f"m_{kind}"), F.col(f"g_{kind}"), F.col(f"b_{kind}")), lambda p: valid(kind, p["value"]))
     spans = F.transform(
         found,
         lambda p: F.struct(
@@ -128,33 +134,43 @@ def base_spans(docs: DataFrame) -> DataFrame:
         x = x.withColumn(f"m_{kind}", F.when(F.col("text").contains(NEEDS[kind]), find).otherwise(none) if kind in NEEDS else find)
     for kind, pattern in PATTERNS.items():
         x = x.withColumn(f"g_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split("text", pattern, -1)).otherwise(none))
+    # each step is a projection of its own: what it makes is then used, not made again for each use
+    x = x.withColumns({f"l_{k}": lengths(F.col(f"m_{k}"), F.col(f"g_{k}")) for k in PATTERNS})
+    x = x.withColumns({f"b_{k}": prefixes(F.col(f"l_{k}"), add) for k in PATTERNS})
     spans = [kind_spans(rank, kind) for rank, kind in enumerate(PATTERNS)]
     return x.select("doc_id", "text", F.array_sort(F.concat(*spans)).alias("base"))
 
 
 def near_terms(spans: DataFrame) -> DataFrame:
     """doc_id, text_id, entity, term, start, stop: the terms near each base span that are no part of one."""
-    x = spans.where(F.size("base") > 0).select("doc_id", F.xxhash64("text").alias("text_id"), "text", "base", F.explode("base").alias("b"))
-    start, stop, size = F.col("b.start"), F.col("b.stop"), F.length("text")
-    x = x.select(
-        "doc_id", "text_id", "base", F.col("b.entity").alias("entity"),
-        F.explode(
-            F.array(
-                F.struct(F.greatest(start - NEAR, F.lit(0)).alias("at"), F.expr(f"substring(text, greatest(b.start - {NEAR}, 0) + 1, b.start - greatest(b.start - {NEAR}, 0))").alias("s"), (start > NEAR).alias("cut_left"), F.lit(False).alias("cut_right")),
-                F.struct(stop.alias("at"), F.expr(f"substring(text, b.stop + 1, {NEAR})").alias("s"), F.lit(False).alias("cut_left"), (size > stop + NEAR).alias("cut_right")),
-            )
-        ).alias("w"),
-    )
-    x = x.select("doc_id", "text_id", "base", "entity", "w.*")
+    x = spans.where(F.size("base") > 0).select("doc_id", "text", "base", F.transform("base", lambda b: b["stop"]).alias("stops"))
+    x = x.withColumn("held", prefixes(F.col("stops"), F.greatest))  # where all earlier spans end
+    text, size = F.col("text"), F.length("text")
+
+    def around(b: Column, i: Column) -> Column:
+        """The texts on both sides of a span, as far as the next spans."""
+        low = F.greatest(b["start"] - NEAR, F.element_at("held", i + 1), F.lit(0))
+        after = F.coalesce(F.get("base", i + 1)["start"], size)
+        high = F.least(b["stop"] + NEAR, after, size)
+        window = lambda at, to, left, right: F.struct(
+            b["entity"].alias("entity"), at.alias("at"), text.substr(at + 1, F.greatest(to - at, F.lit(0))).alias("s"), left.alias("cut_left"), right.alias("cut_right")
+        )
+        return F.array(
+            window(low, b["start"], (low > 0) & (low == b["start"] - NEAR), F.lit(False)),
+            window(F.greatest(b["stop"], F.element_at("held", i + 1)), high, F.lit(False), (high == b["stop"] + NEAR) & (high < size)),
+        )
+
+    x = x.select("doc_id", F.xxhash64("text").alias("text_id"), F.explode(F.flatten(F.transform("base", around))).alias("w")).select("doc_id", "text_id", "w.*")
     # a term that the window cuts is no term
     lead = F.when(F.col("cut_left"), F.length(F.regexp_extract("s", rf"^(?:{TERM})?", 0))).otherwise(0)
-    x = x.select("doc_id", "text_id", "base", "entity", (F.col("at") + lead).alias("at"), F.expr("s").substr(lead + 1, F.length("s")).alias("s"), "cut_right")
+    x = x.select("doc_id", "text_id", "entity", (F.col("at") + lead).alias("at"), F.col("s").substr(lead + 1, F.length("s")).alias("s"), "cut_right")
     x = x.withColumn("s", F.when(F.col("cut_right"), F.regexp_replace("s", f"{TERM}$", "")).otherwise(F.col("s")))
     x = x.withColumn("m", F.regexp_extract_all("s", F.lit(TERM), F.lit(0))).withColumn("g", F.split("s", TERM, -1))
-    x = x.withColumn("p", F.explode(positions(F.col("m"), F.col("g"))))
-    x = x.select("doc_id", "text_id", "base", "entity", F.lower("p.value").alias("term"), (F.col("at") + F.col("p.start")).alias("start"), (F.col("at") + F.col("p.start") + F.length("p.value")).alias("stop"))
-    apart = ~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (b["stop"] > F.col("start")))
-    return x.where((F.length("term") >= TERM_LENGTH) & apart).drop("base")
+    x = x.withColumn("l", lengths(F.col("m"), F.col("g"))).withColumn("b", prefixes(F.col("l"), add))
+    x = x.withColumn("p", F.explode(positions(F.col("m"), F.col("g"), F.col("b"))))
+    start = F.col("at") + F.col("p.start")
+    x = x.select("doc_id", "text_id", "entity", F.lower("p.value").alias("term"), start.alias("start"), (start + F.length("p.value")).alias("stop"))
+    return x.where(F.length("term") >= TERM_LENGTH)
 
 
 def revealing(docs: DataFrame, near: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame | None:
@@ -212,22 +228,20 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind's label; of overlapping spans the first stands for all."""
+def redacted(text: Column, spans: Column, held: Column) -> Column:
+    """The text with each span replaced by its kind's label; of overlapping spans the first stands for all. held: where all earlier spans end."""
     label = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.element_at(label, s["kind"]))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["parts"], F.array(gap)).alias("parts"))
-
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr(acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    part = lambda s, at: F.when(s["start"] >= at, F.concat(text.substr(at + 1, s["start"] - at), F.element_at(label, s["kind"]))).otherwise("")
+    end = F.greatest(F.element_at(held, -1), F.element_at(spans, -1)["stop"])
+    return F.concat(F.array_join(F.zip_with(spans, held, part), ""), text.substr(end + 1, F.length(text)))
 
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """``docs`` with spans replaced in ``text``; all else, nulls included, stays as it is."""
-    found = find(docs, alpha, support).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_id"]).withColumnsRenamed({"doc_id": "_d", "text_id": "_t", "spans": "_s"})
+    found = find(docs, alpha, support).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_id"])
+    found = found.withColumn("stops", F.transform("spans", lambda s: s["stop"])).select(
+        F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), F.col("spans").alias("_s"), prefixes(F.col("stops"), F.greatest).alias("_h")
+    )
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_t"))
-    done = docs.join(found, same, "left").withColumn("text", F.when(F.col("_s").isNotNull(), redacted(F.col("text"), F.col("_s"))).otherwise(F.col("text")))
+    done = docs.join(found, same, "left").withColumn("text", F.when(F.col("_s").isNotNull(), redacted(F.col("text"), F.col("_s"), F.col("_h"))).otherwise(F.col("text")))
     return done.select(*docs.columns)
