@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -62,3 +63,15 @@ def cut(df: DataFrame) -> DataFrame:
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
+
+
+def written(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, and as safe from lost executors."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    path = f"{checkpoint_dir(spark)}/geoweft-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.llm import bpe, decontam, extract, langid, neardup, pii, quality, warc
+from geoweft.llm import bpe, decontam, extract, langid, neardup, pii, quality, repeats, warc
 from geoweft.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -53,6 +53,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))))
 
@@ -65,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_warc": op10_warc,
 }
