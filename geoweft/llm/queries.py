@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.llm import bpe, decontam, extract, langid, neardup, pii, quality, repeats, warc
+from geoweft.llm import bpe, decontam, extract, langid, licenses, neardup, pii, quality, repeats, warc
 from geoweft.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,20 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def document_path() -> Column:
+    """A path for each document, which the table lacks: by source, then by number in two levels; the first of 64 is their licence file."""
+    i = F.col("doc_id")
+    name = F.when(i % 64 == 0, F.lit("LICENSE")).otherwise(F.concat(i.cast("string"), F.lit(".txt")))
+    return F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("doc_id div 1024").cast("string"), F.expr("doc_id div 64").cast("string"), name)
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", document_path().alias("path"), "text")
+    found = licenses.scan(docs)
+    ids = docs.select("doc_id", "path")
+    return ids.join(found, "path")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.verdicts(quality.ledger(table(spark, sf_dir, "documents")))
     return rows.select(
@@ -62,6 +76,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_quality_rules": op2_quality_rules,
     "op3_main_text": op3_main_text,
     "op4_personal_data": op4_personal_data,
