@@ -14,10 +14,11 @@ ledger; further columns of the input are ignored (``ledger``) or kept
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,15 +161,12 @@ def ablation(rows: DataFrame, policy: tuple[str, int] = CURRENT) -> DataFrame:
 
 def keep_documents(docs: DataFrame, policy: tuple[str, int] = CURRENT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, in one pass and with all their columns."""
-    mask, base = POLICIES[policy], POLICIES["base", 1]
-    bits = _bits_udf()(F.col("text"))
-    return docs.where(bits.bitwiseAND(F.lit(mask | base).cast("long")) == 0)
+    mask = POLICIES[policy] | POLICIES["base", 1]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bits = _measure_all({"text": batch["text"].to_pylist()})["fail_bits"]
+                yield batch.filter(pa.array((bits & mask) == 0))
 
-def _bits_udf():
-    import pandas as pd
-
-    def bits(texts: pd.Series) -> pd.Series:
-        return pd.Series(_measure_all({"text": [None if x is None or x != x else x for x in texts]})["fail_bits"], dtype="int64")
-
-    return F.pandas_udf(bits, "long")
+    return docs.mapInArrow(run, docs.schema)
