@@ -1 +1 @@
-"""functions."""
+"""Column functions: seeded uniforms, geometry, distance decay."""

@@ -1,4 +1,456 @@
-"""Queries by name and the SQL each must agree with."""
+"""Queries over the driver's tables by name, and the SQL each must agree with.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no geometry: positions are uniforms of the ids, which DuckDB can
+rebuild. Queries with SQL take portable uniforms; all run over whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoweft.functions import geometry as G
+from geoweft.functions.decay import decay, decay_sql, distance
+from geoweft.functions.hashing import uniform, uniform_sql
+from geoweft.operators import analytics, export, ordering
+from geoweft.operators import frame as fr
+from geoweft.operators.attachment import geo_barabasi_albert_network
+from geoweft.operators.frame import GeoFrame, GeoGraph
+from geoweft.operators.random_graph import geo_erdos_renyi_network
+from geoweft.operators.small_world import geo_watts_strogatz_network, half_degrees
+from geoweft.operators.spatial import all_pairs, knn_join
+from geoweft.sources.sampling import sample_points
+
+EXTENT = 10000.0
+CRS = "EPSG:3857"
+#: 1 over the least distance of the customer graphs and of the supplier graphs.
+S_CUSTOMER, S_SUPPLIER = 1 / 512.0, 1 / 1024.0
+SEED = 7
+
+
+def _point(id_col: str) -> dict:
+    return {"x": F.lit(EXTENT) * uniform("x", 0, id_col), "y": F.lit(EXTENT) * uniform("y", 0, id_col)}
+
+
+def customers(spark: SparkSession, sf_dir: str) -> GeoFrame:
+    t = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    df = t.select(F.col("c_custkey").cast("long").alias("id"), F.col("c_mktsegment").alias("group"), F.col("c_nationkey").cast("long").alias("household"), F.col("c_acctbal").cast("double").alias("weight"))
+    return GeoFrame(df.withColumns(_point("id")), order=("id",), crs=CRS)
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> GeoFrame:
+    t = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    df = t.select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_nationkey").cast("long").alias("group"), F.col("s_acctbal").cast("double").alias("weight"))
+    return GeoFrame(df.withColumns(_point("id")), order=("id",), crs=CRS)
+
+
+def squares(spark: SparkSession, sf_dir: str, hole: bool = False) -> GeoFrame:
+    """Suppliers as squares of side 64 to 128 from their points; with a hole of half the side in the lower left."""
+    f = suppliers(spark, sf_dir)
+    side = F.lit(64.0) + F.lit(64.0) * uniform("w", 0, "id")
+    df = f.df.withColumn("side", side)
+    ring = lambda s: F.array(*(F.struct((F.col("x") + dx * s).alias("x"), (F.col("y") + dy * s).alias("y")) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))))
+    rings = F.array(ring(F.col("side")), *([ring(F.col("side") / 2)] if hole else []))
+    return GeoFrame(df.withColumn("geometry", rings).drop("x", "y"), order=("id",), crs=CRS)
+
+
+# -- SQL parts ---------------------------------------------------------------
+
+
+def _nodes_sql(table: str, key: str, group: str, weight: str) -> str:
+    return (
+        f"nodes AS (SELECT {key}::BIGINT AS node_pos, {EXTENT}::DOUBLE * {uniform_sql('x', 0, key + '::BIGINT')} AS x, "
+        f"{EXTENT}::DOUBLE * {uniform_sql('y', 0, key + '::BIGINT')} AS y, {group} AS grp, {weight}::DOUBLE AS weight FROM {table})"
+    )
+
+
+CUSTOMER_SQL = _nodes_sql("customer", "c_custkey", "c_mktsegment", "c_acctbal")
+SUPPLIER_SQL = _nodes_sql("supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+D_SQL = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+
+
+def _er_sql(nodes: str, s: float, allowed: tuple[str, str] = ("true", "true")) -> str:
+    """CTEs up to ``hits`` (i, j, length, p, q)."""
+    q = decay_sql("length", 3, s)
+    return f"""{nodes},
+    pairs AS (SELECT a.node_pos AS i, b.node_pos AS j, {D_SQL} AS length, ({allowed[0]}) AS c1, ({allowed[1]}) AS c2 FROM nodes a JOIN nodes b ON a.node_pos < b.node_pos),
+    tried AS (SELECT *, c1 AND {uniform_sql('er', SEED, 'i', 'j')} < {q} AS h1, c2 AND {uniform_sql('er', SEED, 'j', 'i')} < {q} AS h2 FROM pairs),
+    hits AS (SELECT i, j, length, CASE WHEN h1 THEN i ELSE j END AS p, CASE WHEN h1 THEN j ELSE i END AS q FROM tried WHERE h1 OR h2)"""
+
+
+ER_CUSTOMER = _er_sql(CUSTOMER_SQL, S_CUSTOMER)
+ER_SUPPLIER = _er_sql(SUPPLIER_SQL, S_SUPPLIER)
+_ENDS = "ends AS (SELECT i AS n FROM hits UNION ALL SELECT j FROM hits)"
+
+
+def er_customers(spark: SparkSession, sf_dir: str, **more: object) -> GeoGraph:
+    args = {"scaling_factor": S_CUSTOMER, "max_degree": 1 << 30, "id_col": "id", "random_state": SEED, "fast": False, "method": "exact"} | more
+    return geo_erdos_renyi_network(customers(spark, sf_dir), **args)
+
+
+def er_suppliers(spark: SparkSession, sf_dir: str, **more: object) -> GeoGraph:
+    args = {"scaling_factor": S_SUPPLIER, "max_degree": 1 << 30, "id_col": "id", "random_state": SEED, "fast": False, "method": "exact"} | more
+    return geo_erdos_renyi_network(suppliers(spark, sf_dir), **args)
+
+
+def ws_suppliers(spark: SparkSession, sf_dir: str, **more: object) -> GeoGraph:
+    args = {"k": 4, "p": 0.0, "scaling_factor": S_SUPPLIER, "id_col": "id", "random_state": SEED, "fast": False} | more
+    return geo_watts_strogatz_network(suppliers(spark, sf_dir), **args)
+
+
+def _edges(graph: GeoGraph) -> DataFrame:
+    return graph.edges.select("source", "target", "length")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# -- random graphs -----------------------------------------------------------
+
+
+@query(f"WITH {ER_CUSTOMER} SELECT i AS source, j AS target, length FROM hits")
+def er_edges(spark, sf_dir):
+    return _edges(er_customers(spark, sf_dir))
+
+
+@query(f"WITH {_er_sql(CUSTOMER_SQL, S_CUSTOMER, ('a.grp <> b.grp', 'a.grp <> b.grp'))} SELECT i AS source, j AS target, length FROM hits")
+def er_edges_constraint(spark, sf_dir):
+    return _edges(er_customers(spark, sf_dir, constraint=lambda u, v: u.group != v["group"]))
+
+
+@query(f"WITH {_er_sql(SUPPLIER_SQL, S_SUPPLIER, ('a.weight < b.weight', 'b.weight < a.weight'))} SELECT i AS source, j AS target, length FROM hits")
+def er_edges_asym_constraint(spark, sf_dir):
+    return _edges(er_suppliers(spark, sf_dir, constraint=lambda u, v: u.weight < v.weight))
+
+
+CAP = 5
+
+
+@query(
+    f"""WITH RECURSIVE {ER_SUPPLIER},
+    ordered AS (SELECT row_number() OVER (ORDER BY p, q) AS t, i, j, length FROM hits),
+    size AS (SELECT max(node_pos) + 1 AS n FROM nodes),
+    admitted AS (
+      SELECT 0::BIGINT AS t, list_transform(range(0, n), lambda k: 0::BIGINT) AS deg, -1::BIGINT AS i, -1::BIGINT AS j, 0.0::DOUBLE AS length, false AS ok FROM size
+      UNION ALL
+      SELECT o.t, CASE WHEN a.deg[o.i + 1] < {CAP} AND a.deg[o.j + 1] < {CAP}
+          THEN list_transform(range(0, len(a.deg)), lambda k: a.deg[k + 1] + (CASE WHEN k = o.i OR k = o.j THEN 1 ELSE 0 END)) ELSE a.deg END,
+        o.i, o.j, o.length, a.deg[o.i + 1] < {CAP} AND a.deg[o.j + 1] < {CAP}
+      FROM admitted a JOIN ordered o ON o.t = a.t + 1)
+    SELECT i AS source, j AS target, length FROM admitted WHERE ok"""
+)
+def er_edges_capped(spark, sf_dir):
+    return _edges(er_suppliers(spark, sf_dir, max_degree=CAP))
+
+
+@query()
+def er_edges_thinned(spark, sf_dir):
+    return _edges(er_customers(spark, sf_dir, method="thinned", fast=True))
+
+
+@query(f"WITH {SUPPLIER_SQL} SELECT a.node_pos AS i, b.node_pos AS j, {D_SQL} AS d, {decay_sql(D_SQL, 3, S_SUPPLIER)} AS q FROM nodes a JOIN nodes b ON a.node_pos <> b.node_pos")
+def pair_distance_decay(spark, sf_dir):
+    n = fr.as_nodes(suppliers(spark, sf_dir), "id").select("node_pos", "x", "y")
+    right = n.select(F.col("node_pos").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    pairs = all_pairs(n, right, n.count(), F.col("node_pos") != F.col("j")).withColumn("d", distance("x", "y", "x2", "y2"))
+    return pairs.select(F.col("node_pos").alias("i"), "j", "d", decay(F.col("d"), 3, S_SUPPLIER).alias("q"))
+
+
+# -- nodes -------------------------------------------------------------------
+
+
+@query(f"WITH {CUSTOMER_SQL} SELECT node_pos, node_pos AS node_id, x, y FROM nodes")
+def nodes_points(spark, sf_dir):
+    return fr.as_nodes(customers(spark, sf_dir), "id").select("node_pos", "node_id", "x", "y")
+
+
+@query("SELECT row_number() OVER (ORDER BY n_name) - 1 AS node_pos, n_name AS node_id FROM nation")
+def nodes_positional_id(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("id")).withColumns(_point("id"))
+    return fr.as_nodes(GeoFrame(t, order=("id",), index=("id",)), "index").select("node_pos", "node_id")
+
+
+@query(f"WITH {SUPPLIER_SQL} SELECT node_pos, node_pos AS node_id, grp AS \"group\", weight FROM nodes")
+def nodes_attr_projection(spark, sf_dir):
+    g = er_suppliers(spark, sf_dir, node_attributes=["group", "weight", "id"])
+    return g.nodes.select("node_pos", "node_id", "group", "weight")
+
+
+@query("SELECT c_nationkey::BIGINT AS household, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
+def id_uniqueness_probe(spark, sf_dir):
+    return fr.duplicate_ids(customers(spark, sf_dir).df, "household")
+
+
+_SIDE = f"(64.0::DOUBLE + 64.0::DOUBLE * {uniform_sql('w', 0, 'node_pos')})"
+
+
+@query(f"WITH {SUPPLIER_SQL} SELECT node_pos AS id, round({_SIDE} * {_SIDE}, 5) AS area, round(x + {_SIDE} / 2, 6) AS cx, round(y + {_SIDE} / 2, 6) AS cy FROM nodes")
+def polygon_centroid_area(spark, sf_dir):
+    g = F.col("geometry")
+    c = G.centroid(g)
+    return squares(spark, sf_dir).df.select("id", F.round(G.area(g), 5).alias("area"), F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"))
+
+
+@query(f"WITH {SUPPLIER_SQL} SELECT node_pos AS id, round({_SIDE} * {_SIDE} * 0.75::DOUBLE, 5) AS area, round(x + {_SIDE} * 7 / 12, 6) AS cx, round(y + {_SIDE} * 7 / 12, 6) AS cy FROM nodes")
+def polygon_with_hole(spark, sf_dir):
+    g = F.col("geometry")
+    c = G.centroid(g)
+    return squares(spark, sf_dir, hole=True).df.select("id", F.round(G.area(g), 5).alias("area"), F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"))
+
+
+_DIAGONAL = "sqrt((max(x2) - min(x)) * (max(x2) - min(x)) + (max(y2) - min(y)) * (max(y2) - min(y)))"
+
+
+@query(f"WITH {CUSTOMER_SQL}, b AS (SELECT x, y, x AS x2, y AS y2 FROM nodes) SELECT round(20.0::DOUBLE / {_DIAGONAL}, 12) AS scaling_factor FROM b")
+def scaling_factor_points(spark, sf_dir):
+    return spark.createDataFrame([(round(fr.find_scaling_factor(customers(spark, sf_dir)), 12),)], "scaling_factor double")
+
+
+@query(f"WITH {SUPPLIER_SQL}, b AS (SELECT x, y, x + {_SIDE} AS x2, y + {_SIDE} AS y2 FROM nodes) SELECT round(20.0::DOUBLE / {_DIAGONAL}, 12) AS scaling_factor FROM b")
+def scaling_factor_polygons(spark, sf_dir):
+    return spark.createDataFrame([(round(fr.find_scaling_factor(squares(spark, sf_dir)), 12),)], "scaling_factor double")
+
+
+# -- nearest neighbours and their graphs -------------------------------------
+
+
+def _k_query(name: str, k: object, sql: str) -> None:
+    def run(spark, sf_dir):
+        if isinstance(k, str):
+            t = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("node_pos"), F.col("p_size").cast("long").alias(k))
+        else:
+            t = fr.as_nodes(customers(spark, sf_dir), "id")
+        return t.select("node_pos", half_degrees(k, SEED, t.columns, fast=False).alias("k"))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_U = uniform_sql("k", SEED, "node_pos")
+_k_query("k_col_even", 6, f"WITH {CUSTOMER_SQL} SELECT node_pos, 3::BIGINT AS k FROM nodes")
+_k_query("k_col_odd", 5, f"WITH {CUSTOMER_SQL} SELECT node_pos, (CASE WHEN {_U} < 0.5::DOUBLE THEN 3 ELSE 2 END)::BIGINT AS k FROM nodes")
+_k_query("k_col_float", 6.5, f"WITH {CUSTOMER_SQL} SELECT node_pos, (CASE WHEN {_U} < 0.25::DOUBLE THEN 4 ELSE 3 END)::BIGINT AS k FROM nodes")
+_k_query("k_col_column", "size", "SELECT p_partkey::BIGINT AS node_pos, (p_size // 2)::BIGINT AS k FROM part")
+
+_KNN = f"near AS (SELECT a.node_pos, b.node_pos AS nbr, {D_SQL} AS d, row_number() OVER (PARTITION BY a.node_pos ORDER BY {D_SQL}, b.node_pos) AS rank FROM nodes a JOIN nodes b ON a.node_pos <> b.node_pos)"
+
+
+@query(f"WITH {CUSTOMER_SQL}, {_KNN} SELECT * FROM near WHERE rank <= 5")
+def knn_topk(spark, sf_dir):
+    return knn_join(fr.as_nodes(customers(spark, sf_dir), "id"), 5)
+
+
+_WS_INITIAL = f"""WITH RECURSIVE {SUPPLIER_SQL}, {_KNN},
+    lists AS (SELECT node_pos, list(nbr ORDER BY rank) AS nbrs FROM near @WHERE GROUP BY node_pos),
+    picked AS (
+      SELECT -1::BIGINT AS i, []::BIGINT[][] AS done
+      UNION ALL
+      SELECT p.i + 1, list_append(p.done, coalesce(list_filter(l.nbrs, lambda j: NOT (j < p.i + 1 AND list_contains(p.done[j + 1], p.i + 1)))[1:2], []::BIGINT[]))
+      FROM picked p JOIN nodes n ON n.node_pos = p.i + 1 LEFT JOIN lists l ON l.node_pos = p.i + 1),
+    last AS (SELECT done FROM picked ORDER BY i DESC LIMIT 1),
+    flat AS (SELECT unnest(range(0, len(done))) AS i, unnest(done) AS js FROM last),
+    e AS (SELECT i, unnest(js) AS j FROM flat)
+    SELECT least(i, j) AS source, greatest(i, j) AS target, {D_SQL} AS length FROM e JOIN nodes a ON a.node_pos = i JOIN nodes b ON b.node_pos = j"""
+
+
+@query(_WS_INITIAL.replace("@WHERE", ""))
+def ws_initial(spark, sf_dir):
+    return _edges(ws_suppliers(spark, sf_dir))
+
+
+@query(_WS_INITIAL.replace("@WHERE", "JOIN (SELECT node_pos AS np, grp AS g1 FROM nodes) x ON x.np = node_pos JOIN (SELECT node_pos AS nq, grp AS g2 FROM nodes) y ON y.nq = nbr WHERE g1 <> g2"))
+def ws_initial_constraint(spark, sf_dir):
+    return _edges(ws_suppliers(spark, sf_dir, constraint=lambda u, v: u.group != v.group))
+
+
+@query()
+def ws_initial_capped(spark, sf_dir):
+    return _edges(ws_suppliers(spark, sf_dir, max_degree=5))
+
+
+@query()
+def ws_rewired(spark, sf_dir):
+    return _edges(ws_suppliers(spark, sf_dir, p=0.3))
+
+
+@query()
+def ws_customers(spark, sf_dir):
+    return _edges(geo_watts_strogatz_network(customers(spark, sf_dir), 10, 0.1, id_col="id", random_state=SEED))
+
+
+# -- growth ------------------------------------------------------------------
+
+BA_M = 2
+
+
+@query(f"WITH {SUPPLIER_SQL} SELECT a.node_pos AS source, b.node_pos AS target, {D_SQL} AS length FROM nodes a JOIN nodes b ON a.node_pos < b.node_pos AND b.node_pos < 10")
+def ba_seed(spark, sf_dir):
+    f = suppliers(spark, sf_dir)
+    first = GeoFrame(f.df.where("id < 10"), order=f.order, crs=f.crs)
+    return _edges(geo_barabasi_albert_network(first, 10, scaling_factor=S_SUPPLIER, id_col="id", random_state=SEED, fast=False))
+
+
+def _ba_sql(rank: str) -> str:
+    """Growth by (rank): ``rank`` is an ORDER BY clause over nodes."""
+    base = f"(-ln(1.0::DOUBLE - {uniform_sql('ba', SEED, 'a.t', 'b.t')}) / {decay_sql(D_SQL, 3, S_SUPPLIER)})"
+    return f"""WITH RECURSIVE {SUPPLIER_SQL},
+    ranked AS (SELECT *, row_number() OVER (ORDER BY {rank}) - 1 AS t FROM nodes),
+    bases AS (SELECT a.t, list({base} ORDER BY b.t) AS base FROM ranked a JOIN ranked b ON b.t < a.t WHERE a.t >= {BA_M} GROUP BY a.t),
+    size AS (SELECT count(*) AS n FROM nodes),
+    grown AS (
+      SELECT {BA_M - 1}::BIGINT AS t, list_transform(range(0, n), lambda k: (CASE WHEN k < {BA_M} THEN {BA_M - 1} ELSE 0 END)::BIGINT) AS deg, []::BIGINT[] AS sel FROM size
+      UNION ALL
+      SELECT b.t, list_transform(range(0, len(g.deg)), lambda k: (CASE WHEN k = b.t THEN {BA_M} ELSE g.deg[k + 1] + (CASE WHEN list_contains(c.sel, k) THEN 1 ELSE 0 END) END)::BIGINT), c.sel
+      FROM grown g JOIN bases b ON b.t = g.t + 1,
+        LATERAL (SELECT list_transform(list_sort(list_transform(range(0, g.t + 1), lambda r: {{'k': b.base[r + 1] / (g.deg[r + 1] + 1), 'r': r}}))[1:{BA_M}], lambda z: z.r) AS sel) c),
+    ties AS (SELECT t, unnest(sel) AS r FROM grown WHERE t >= {BA_M} UNION ALL SELECT x, y FROM range(0, {BA_M}) u(x), range(0, {BA_M}) v(y) WHERE x < y)
+    SELECT least(a.node_pos, b.node_pos) AS source, greatest(a.node_pos, b.node_pos) AS target, {D_SQL} AS length FROM ties JOIN ranked a ON a.t = ties.t JOIN ranked b ON b.t = ties.r"""
+
+
+def _ba(spark, sf_dir, **more: object) -> GeoGraph:
+    args = {"scaling_factor": S_SUPPLIER, "id_col": "id", "random_state": SEED, "fast": False} | more
+    return geo_barabasi_albert_network(suppliers(spark, sf_dir), BA_M, **args)
+
+
+@query(_ba_sql("node_pos"))
+def ba_edges(spark, sf_dir):
+    return _edges(_ba(spark, sf_dir))
+
+
+@query(_ba_sql("weight, node_pos"))
+def ba_edges_ordered(spark, sf_dir):
+    return _edges(_ba(spark, sf_dir, node_order="weight"))
+
+
+@query()
+def ba_grouped(spark, sf_dir):
+    f = customers(spark, sf_dir)
+    return _edges(geo_barabasi_albert_network(f, 3, id_col="id", random_state=SEED, group="group"))
+
+
+# -- orders ------------------------------------------------------------------
+
+
+@query(f"WITH {CUSTOMER_SQL} SELECT row_number() OVER (ORDER BY {uniform_sql('order', SEED, 'node_pos')}, node_pos) - 1 AS rank, node_pos FROM nodes")
+def order_random(spark, sf_dir):
+    return ordering.random_order(customers(spark, sf_dir), SEED, fast=False)
+
+
+def _attribute(name: str, sql: str, **args: object) -> None:
+    def run(spark, sf_dir):
+        f = customers(spark, sf_dir)
+        if args["by"] == "gap":
+            f = GeoFrame(f.df.withColumn("gap", F.when(F.col("household") % 3 != 0, F.col("weight"))), order=f.order, crs=f.crs)
+        return ordering.attribute_order(f, **args)
+
+    run.__name__ = name
+    query(f"WITH {CUSTOMER_SQL.replace(' FROM customer', ', c_nationkey AS household FROM customer')} SELECT row_number() OVER (ORDER BY {sql}, node_pos) - 1 AS rank, node_pos FROM nodes")(run)
+
+
+_attribute("order_attribute", "weight", by="weight")
+_attribute("order_attribute_desc", "weight DESC", by="weight", ascending=False)
+_attribute("order_attribute_multi", "grp, weight DESC", by=["group", "weight"], ascending=[True, False])
+_attribute("order_attribute_nulls", "CASE WHEN household % 3 <> 0 THEN weight END NULLS LAST", by="gap")
+
+
+@query(f"WITH {CUSTOMER_SQL}, {_KNN}, m AS (SELECT node_pos, round(avg(d), 9) AS mean FROM near WHERE rank <= 5 GROUP BY 1) SELECT row_number() OVER (ORDER BY mean, node_pos) - 1 AS rank, node_pos FROM m")
+def order_knn(spark, sf_dir):
+    return ordering.density_order(customers(spark, sf_dir), method="KNN", k=5)
+
+
+@query(f"""WITH {CUSTOMER_SQL}, p AS (SELECT a.node_pos, {D_SQL} / 512.0::DOUBLE AS t FROM nodes a, nodes b),
+    m AS (SELECT node_pos, round(sum(exp(-0.5::DOUBLE * t * t)), 9) AS density FROM p GROUP BY 1) SELECT row_number() OVER (ORDER BY density DESC, node_pos) - 1 AS rank, node_pos FROM m""")
+def order_kde(spark, sf_dir):
+    return ordering.density_order_kde(customers(spark, sf_dir), bandwidth=512.0)
+
+
+@query(f"""WITH {CUSTOMER_SQL}, p AS (SELECT a.node_pos, {D_SQL} / 512.0::DOUBLE AS t FROM nodes a, nodes b),
+    m AS (SELECT node_pos, round(sum(CASE WHEN t < 1 THEN 1 - t * t ELSE 0 END), 9) AS density FROM p GROUP BY 1) SELECT row_number() OVER (ORDER BY density DESC, node_pos) - 1 AS rank, node_pos FROM m""")
+def order_kde_compact(spark, sf_dir):
+    return ordering.density_order(customers(spark, sf_dir), bandwidth=512.0, kernel="epanechnikov")
+
+
+# -- samples -----------------------------------------------------------------
+
+HOLED = [[(0, 0), (8, 0), (8, 8), (0, 8)], [(2, 2), (4, 2), (4, 4), (2, 4)]]
+
+
+def _sample_sql(box: tuple, keep: str, n: int) -> str:
+    x1, y1, x2, y2 = map(float, box)
+    return f"""WITH c AS (SELECT i, {x1}::DOUBLE + {uniform_sql('sx', SEED, 'i')} * {x2 - x1}::DOUBLE AS x, {y1}::DOUBLE + {uniform_sql('sy', SEED, 'i')} * {y2 - y1}::DOUBLE AS y
+    FROM range(0, {8 * n}) t(i)) SELECT row_number() OVER (ORDER BY i) - 1 AS node_pos, x, y FROM c WHERE {keep} ORDER BY i LIMIT {n}"""
+
+
+def _sample(spark, n: int, **args: object) -> DataFrame:
+    return fr.as_nodes(sample_points(n, random_state=SEED, crs=CRS, spark=spark, **args)).select("node_pos", "x", "y")
+
+
+_HOLE = "NOT (x > 2 AND x < 4 AND y > 2 AND y < 4)"
+
+
+@query(_sample_sql((-5, -5, 5, 5), "true", 1000))
+def sample_bbox(spark, sf_dir):
+    return _sample(spark, 1000, bbox=(-5, -5, 5, 5))
+
+
+@query(_sample_sql((0, 0, 8, 8), _HOLE, 1000))
+def sample_polygon_hole(spark, sf_dir):
+    return _sample(spark, 1000, polygon=HOLED)
+
+
+@query(_sample_sql((3, 0, 8, 3), _HOLE, 500))
+def sample_intersection(spark, sf_dir):
+    return _sample(spark, 500, polygon=HOLED, bbox=(3, -1, 9, 3))
+
+
+@query()
+def sample_custom(spark, sf_dir):
+    return _sample(spark, 300, bbox=(0, 0, 1, 1), sampler=lambda rng, k: rng.normal(0.5, 0.3, (k, 2)))
+
+
+# -- tables and figures of graphs ---------------------------------------------
+
+
+@query(f"WITH {SUPPLIER_SQL} SELECT node_pos AS id, x, y, grp AS \"group\", weight FROM nodes")
+def graph_nodes(spark, sf_dir):
+    t, _ = export.graph_to_tables(er_suppliers(spark, sf_dir))
+    return t.select("id", F.col("geometry.x").alias("x"), F.col("geometry.y").alias("y"), "group", "weight")
+
+
+@query(f"WITH {ER_SUPPLIER} SELECT i AS source, j AS target, length, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM hits JOIN nodes a ON a.node_pos = i JOIN nodes b ON b.node_pos = j")
+def graph_edges_endpoints(spark, sf_dir):
+    _, t = export.graph_to_tables(er_suppliers(spark, sf_dir), nodes=False)
+    return t
+
+
+@query(f"WITH {ER_CUSTOMER}, {_ENDS} SELECT node_pos AS node_id, count(n) AS degree FROM nodes LEFT JOIN ends ON n = node_pos GROUP BY 1")
+def degree_table(spark, sf_dir):
+    return analytics.degrees(er_customers(spark, sf_dir))
+
+
+@query(f"WITH {ER_CUSTOMER} SELECT (SELECT count(*) FROM nodes) AS n_nodes, count(*) AS n_edges, 2.0::DOUBLE * count(*) / (SELECT count(*) FROM nodes) AS mean_degree FROM hits")
+def graph_summary(spark, sf_dir):
+    return analytics.summary(er_customers(spark, sf_dir))
+
+
+@query(f"WITH {ER_CUSTOMER} SELECT floor(length / 250.0::DOUBLE)::BIGINT AS bin, count(*) AS n FROM hits GROUP BY 1")
+def edge_length_hist(spark, sf_dir):
+    return analytics.length_histogram(er_customers(spark, sf_dir), 250.0)
+
+
+@query("SELECT 0::BIGINT AS self_loops, 0::BIGINT AS multi_edges, 0::BIGINT AS over_cap, 0::BIGINT AS unknown_ends")
+def invariants(spark, sf_dir):
+    return analytics.invariants(er_suppliers(spark, sf_dir, max_degree=CAP), CAP)

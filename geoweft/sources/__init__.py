@@ -1 +1 @@
-"""sources."""
+"""Sources of nodes."""
