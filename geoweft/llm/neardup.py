@@ -7,12 +7,15 @@ Four registers, packed in 64 bits, are a part's band key. At a similarity of 0.8
 a pair meets in no band with a probability of about 1e-10.
 
 1. Texts with equal sets become one class, represented by its smallest id.
-2. Classes that share a band key meet. In a bucket, the smallest members (hubs)
-   are tried against members of other components, and are then done; buckets
-   whose members are all connected are left. So a group of n near copies costs
-   about n trials, while every pair that no path connects yet is tried.
-3. A trial first compares registers (collisions by chance are taken off), then
-   the full sets: linked are 100 * intersection >= percent * union.
+2. Classes that share a band key are a bucket. Its hub is the member whose
+   buckets are fullest, the text that the others are copies of, and is tried
+   against all others: a group of n near copies costs about n trials.
+3. Where a hub's group still has several components, every pair of members of
+   different components is tried too: pair by pair in small groups; in large
+   ones, what isn't tied to the hub against all, in blocks of BLOCK x BLOCK
+   members that multiply as matrices and emit only links that join something.
+   A trial of a pair first compares registers (collisions by chance are taken
+   off), then the full sets: linked are 100 * intersection >= percent * union.
 4. Links and classes give components.
 
 A null or empty text has an empty set and stands alone. Ties don't matter: the
@@ -25,10 +28,9 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import cut, map_columns
+from geoweft.llm.common import cut, map_columns, written
 from geoweft.llm.components import components
 from geoweft.llm.shingles import shingle_set
 
@@ -38,8 +40,8 @@ EMPTY = 0xFFFF
 CHANCE = 0.169919487159739093975315012348
 #: Standard deviations by which an estimate may fall short of the threshold and still be verified.
 SIGMAS = 6
-#: Hubs that a bucket tries by round; the last number goes on.
-HUBS = (1, 16, 64, 256)
+#: Members up to which a group's pairs are made; members of a block beyond.
+SMALL, BLOCK = 32, 128
 
 _rng = np.random.default_rng(20240601)
 _XOR = _rng.integers(0, 2**64, BANDS, np.uint64)
@@ -129,6 +131,80 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return map_columns(docs, run, "rep long, codes binary")
 
 
+def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    return shingle_sets(docs.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+
+
+def tried(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links among the pairs (a, b)."""
+    pairs = cut(likely(pairs, reps, percent))
+    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
+    return cut(verified(pairs, sets_of(needed, docs, width), percent))
+
+
+def across(groups: DataFrame, label: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between components that a hub's trials have left apart, from groups (hub, rep)."""
+    named = label.withColumnsRenamed({"id": "rep"})
+    all_ = groups.union(groups.select("hub", F.col("hub").alias("rep")).distinct())
+    state = all_.join(named, "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("component"))
+    about = state.groupBy("hub").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("hub", "n")
+    state = cut(state.join(about, "hub"))
+
+    small = state.where(F.col("n") <= SMALL).select("hub", "rep", "component")
+    other = small.select("hub", F.col("rep").alias("b"), F.col("component").alias("of"))
+    pairs = small.join(other, "hub").where("rep < b and component <> of and rep <> hub and b <> hub").select(F.col("rep").alias("a"), "b").distinct()
+    links = tried(pairs, docs, reps, width, percent)
+
+    large = state.where(F.col("n") > SMALL)
+    if large.isEmpty():
+        return links
+    center = large.where("rep = hub").select("hub", F.col("component").alias("of"))
+    placed = large.join(center, "hub").join(sets_of(large, docs, width), "rep")
+    placed = written(placed.select("hub", "rep", "component", "codes", (F.col("component") != F.col("of")).alias("apart"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).alias("block")))
+    block = placed.groupBy("hub", "block").agg(F.collect_list(F.struct("rep", "component", "codes")).alias("v"))
+    apart = placed.where("apart").groupBy("hub", "block").agg(F.collect_list(F.struct("rep", "component", "codes")).alias("u")).drop("block")
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        found = [x for u, v in zip(batch["u"], batch["v"]) for x in joining(u, v, percent)]
+        return {"a": [x[0] for x in found], "b": [x[1] for x in found]}
+
+    return links.union(written(map_columns(apart.join(block, "hub").select("u", "v"), run, "a long, b long"), 2))
+
+
+def joining(u: list[dict], v: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links between members of two blocks, as many as join their components."""
+    x, y = ([np.frombuffer(m["codes"], np.uint64) for m in side] for side in (u, v))
+    n, m = (np.array([len(c) for c in side]) for side in (x, y))
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(c) for c in (*x, *y)])
+    _, at, count = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    both = np.zeros((len(x), len(y)), np.float32)
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    at, owner = at[count[at] > 1], owner[count[at] > 1]
+    at = np.unique(at, return_inverse=True)[1]
+    width = 1 << 14
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        i, j = np.searchsorted(at, [low, low + width])
+        part = np.zeros((len(x) + len(y), width), np.float32)
+        part[owner[i:j], at[i:j] - low] = 1
+        both += part[: len(x)] @ part[len(x) :].T
+    linked = 100 * both.astype(np.int64) >= percent * (n[:, None] + m[None, :] - both.astype(np.int64))
+    above: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in above:
+            c = above[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = top(u[i]["component"]), top(v[j]["component"])
+        if a != b:
+            above[a] = b
+            out.append((u[i]["rep"], v[j]["rep"]))
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id, kept, of (doc_id, text) with distinct ids."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -137,36 +213,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = cut(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
 
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1").drop("size")
-    members = cut(
-        banded.join(shared, ["band", "key"]).groupBy("rep").agg(F.collect_set(F.xxhash64("band", "key")).alias("buckets"))
-    )  # a class meets others in BANDS buckets at most
-    members = members.select("rep", F.explode("buckets").alias("bucket"))
-
-    links, label = None, None
-    turn = 0
-    while True:
-        state = members.withColumn("component", F.col("rep")) if label is None else members.join(label, members.rep == label.id, "left").select("rep", "bucket", F.coalesce("component", "rep").alias("component"))
-        mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        state = state.join(mixed, "bucket")
-        if label is not None:
-            state = cut(state)
-            if state.isEmpty():
-                break
-        hubs = HUBS[min(turn, len(HUBS) - 1)]
-        if hubs == 1:
-            hub = state.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), "rep").alias("h")).select("bucket", F.col("h.rep").alias("a"), F.col("h.component").alias("of"))
-        else:
-            hub = smallest(state, hubs)
-        pairs = state.join(hub, "bucket").where("rep > a and component <> of").select("a", F.col("rep").alias("b")).distinct()
-        pairs = cut(likely(pairs, reps, percent))
-        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = shingle_sets(docs.join(needed, "doc_id", "left_semi"), width)
-        found = cut(verified(pairs, sets, percent))
-        links = found if links is None else links.union(found)
-        label = components(links)
-        members = cut(state.join(hub.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").select("rep", "bucket"))
-        turn += 1
+    shared = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    met = banded.join(shared, ["band", "key"]).groupBy("rep").agg(F.collect_set(F.xxhash64("band", "key")).alias("buckets"), F.sum("size").alias("score"))
+    members = cut(met).select("rep", "score", F.explode("buckets").alias("bucket"))  # a class is in BANDS buckets at most
+    hubs = members.groupBy("bucket").agg(F.max_by("rep", F.struct(F.col("score"), -F.col("rep"))).alias("hub"))
+    groups = cut(members.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct())
+
+    links = tried(groups.select(F.col("hub").alias("a"), F.col("rep").alias("b")), docs, reps, width, percent)
+    more = across(groups, components(links), docs, reps, width, percent)
+    label = components(links.union(more))
 
     classes = reps.select("digest", "rep").join(label, F.col("rep") == F.col("id"), "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
@@ -174,9 +229,3 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def smallest(state: DataFrame, n: int) -> DataFrame:
-    """(bucket, a, of): the ``n`` smallest members of each bucket with their components, in two steps so that a large bucket isn't gathered."""
-    own = W.partitionBy("bucket", "part").orderBy("rep")
-    some = state.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(64))).withColumn("r", F.row_number().over(own)).where(F.col("r") <= n)
-    all_ = W.partitionBy("bucket").orderBy("rep")
-    return some.withColumn("r", F.row_number().over(all_)).where(F.col("r") <= n).select("bucket", F.col("rep").alias("a"), F.col("component").alias("of"))
