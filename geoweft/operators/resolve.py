@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROUNDS = 25
+#: Candidate rows up to which one ordered pass in one task is cheaper than rounds over all.
+ONE_PASS_ROWS = 2_000_000
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -36,6 +38,8 @@ def capped(edges: DataFrame, cap: int) -> DataFrame:
     if full.isEmpty():
         return edges
     state = saved(edges.withColumn("status", F.lit(0)))  # 1 accepted, -1 rejected
+    if state.count() <= ONE_PASS_ROWS:
+        return state.drop("status").join(_in_order(state.select("i", "j", "p", "q", "status"), cap), ["i", "j"], "left_semi")
     for _ in range(ROUNDS):
         ends = state.where("status >= 0").select(F.explode(F.array("i", "j")).alias("n"), "i", "j", "p", "q", "status")
         before = W.partitionBy("n").orderBy("p", "q").rowsBetween(W.unboundedPreceding, -1)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from geoweft.functions.decay import decay, distance
 from geoweft.functions.hashing import uniform
 from geoweft.operators import constraint as C
+from geoweft.operators import resolve
 from geoweft.operators.frame import GeoFrame, GeoGraph, as_nodes, find_scaling_factor, finished, warn_crs, warn_if_empty
 from geoweft.operators.resolve import picks_in_order, rewired, saved, unclaimed_picks
 from geoweft.operators.spatial import all_pairs, knn_join
@@ -56,7 +57,7 @@ def nearest_nodes(nodes: DataFrame, k: Column, max_degree: int, query_factor: in
             lists = lists.where(predicate)
         # with a node's own list, also what others list of it matters: whether they picked it
         lists = saved(lists.select("node_pos", "nbr", "d", "rank", "k", "nbr_k"))
-        picks = unclaimed_picks(lists.drop("nbr_k"))
+        picks = unclaimed_picks(lists.drop("nbr_k")) if lists.count() > resolve.ONE_PASS_ROWS else None
         if picks is not None:
             picks = saved(picks)
             load = picks.groupBy(F.col("nbr").alias("node_pos")).agg(F.count("*").alias("inward")).join(own.select("node_pos", "k"), "node_pos", "right")
