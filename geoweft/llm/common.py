@@ -52,16 +52,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return given or "/tmp/geoweft-checkpoints"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the shared folder.
+def collect_garbage(spark: SparkSession) -> None:
+    """Spark removes shuffle files once the driver has collected the frames that made them; this asks it to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    Spark removes shuffle files once the driver has collected the plans that made
-    them; many cuts in a row would pile them up, so each asks for a collection.
-    """
-    checkpoint_dir(df.sparkSession)
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df`` in the shared folder. Pass frames that nothing else holds: their shuffle files then go at once."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df
+    collect_garbage(spark)
     return out
 
 
@@ -71,7 +74,8 @@ def written(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     path = f"{checkpoint_dir(spark)}/geoweft-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    schema = df.schema
+    del df
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    collect_garbage(spark)
+    return spark.read.schema(schema).parquet(path)

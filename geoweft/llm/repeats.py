@@ -264,14 +264,12 @@ def large_anchors(segments: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, start, size): byte ranges that smaller documents hold; they may overlap."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    met = docs.mapInArrow(cut_spans, SPAN).repartition(F.col("key")).sortWithinPartitions("key", "span", "doc_id").mapInArrow(meet, MET)
-    met = written(met, ROWS)
+    met = written(docs.mapInArrow(cut_spans, SPAN).repartition(F.col("key")).sortWithinPartitions("key", "span", "doc_id").mapInArrow(meet, MET), ROWS)
     done = met.where(F.col("key").isNull()).select("doc_id", "start", "size")
     rims = met.where(F.col("key").isNotNull())
     sizes = rims.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_SPANS).select("key")
     # an anchor of this list has over BLOCK_SPANS spans of its own, so the list is shorter than the rims by that factor
     rims = rims.join(sizes.withColumn("large", F.lit(True)), "key", "left")
-    by_doc = rims.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "size", "starts", F.coalesce("large", F.lit(False)).alias("large"))).alias("spans"))
 
     def slices(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"key": [], "doc_id": [], "starts": [], "segment": [], "large": []}
@@ -284,9 +282,10 @@ def repeated(docs: DataFrame) -> DataFrame:
                     out[c].append(s[c])
         return out
 
-    segments = written(map_columns(docs.where(F.octet_length("text") >= LENGTH).join(by_doc, "doc_id"), slices, "key long, doc_id long, starts array<int>, segment binary, large boolean"))
-    blocks = segments.where("not large").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(sort_blocks, COVER)
-    return written(done.union(blocks).union(large_anchors(segments.where("large"))))
+    spans_of = F.collect_list(F.struct("key", "start", "size", "starts", F.coalesce("large", F.lit(False)).alias("large"))).alias("spans")
+    segments = written(map_columns(docs.where(F.octet_length("text") >= LENGTH).join(rims.groupBy("doc_id").agg(spans_of), "doc_id"), slices, "key long, doc_id long, starts array<int>, segment binary, large boolean"))
+    blocks = written(segments.where("not large").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(sort_blocks, COVER))
+    return done.union(blocks).union(written(large_anchors(segments.where("large"))))
 
 
 def kept_parts(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[list[bytes], int, int]:

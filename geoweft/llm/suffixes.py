@@ -44,6 +44,19 @@ def suffix_array(text: bytes) -> list[int]:
     top = n
     while top > 0:
         start = group[place[top - 1]]
+        if start + 1 == top:  # a suffix alone: by far the most common case
+            i = place[start]
+            p = i - 1
+            while p >= 0 and group[p] >= start:
+                p = before[p]
+            before[i] = p
+            if p >= 0 and (e := end[g := group[p]] - 1) > g:
+                end[g] = e
+                k, other = where[p], place[e]
+                place[k], where[other] = other, k
+                place[e], where[p], group[p], end[e] = p, e, e, e + 1
+            top = start
+            continue
         own = place[start:top]
         own.sort()
         pointed: dict[int, int] = {}
@@ -91,15 +104,14 @@ def suffix_array(text: bytes) -> list[int]:
         free.setdefault(group[i], group[i])
     placed = [False] * n
 
-    def put(j: int) -> None:
+    # what the end of the text stands before, then what each placed suffix stands before
+    for k in range(-1, n):
+        j = n - 1 if k < 0 else order[k] - 1
         while j >= 0 and not placed[j]:
             g = group[j]
-            order[free[g]] = j
-            free[g] += 1
+            f = free[g]
+            order[f] = j
+            free[g] = f + 1
             placed[j] = True
             j = before[j]
-
-    put(n - 1)  # what the end of the text stands before
-    for k in range(n):
-        put(order[k] - 1)
     return order
