@@ -1,3 +1,43 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from geoweft.llm import quality
+
+SPACE = r"[\x20\x09-\x0D]"
+MASK = quality.POLICIES[quality.CURRENT]
+RULES_SQL = {
+    "few_words": "n_words < 50",
+    "repeated_words": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "repeated_lines": "2 * n_dup_lines > n_lines",
+    "shouting": "n_upper > n_lower",
+    "exclaiming": "10 * n_bangs > 3 * n_words",
+    "few_letters": "2 * n_letters < word_chars",
+    "short_words": "word_chars < 2 * n_words",
+    "long_words": "word_chars > 20 * n_words",
+    "many_words": "n_words > 1000000",
+}
+
+
+def _only(characters: str) -> str:
+    """The number of a text's characters of a class."""
+    return f"length(regexp_replace(t, '[^{characters}]', '', 'g'))"
+
+
+OP2 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{SPACE}+'), lambda x: x <> '') AS words,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '{SPACE}', '', 'g') <> '') AS lines FROM d),
+    places AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2),
+    g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS k FROM places),
+    again AS (SELECT doc_id, k FROM g GROUP BY ALL HAVING count(*) > 1),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT g.doc_id, unnest([i, i + 1, i + 2]) AS p FROM g JOIN again USING (doc_id, k)) GROUP BY 1),
+    m AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) AS word_chars, {_only('#*$%&|<>')} AS n_symbols,
+      len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, {_only(r'\p{L}')} AS n_letters,
+      {_only('A-Z')} AS n_upper, {_only('a-z')} AS n_lower, {_only('!')} AS n_bangs FROM w LEFT JOIN covered USING (doc_id)),
+    f AS (SELECT *, {' + '.join(f'(CASE WHEN {RULES_SQL[r.name]} THEN {1 << r.bit} ELSE 0 END)' for r in quality.RULES)} AS bits FROM m)
+    SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+      n_repeat_words::BIGINT AS n_repeat_words, (bits & 3) <> 0 AS base_failed, (bits & {MASK | 3}) = 0 AS kept, bits::BIGINT AS fail_bits,
+      (CASE WHEN bit_count(bits & {MASK}) = 1 THEN bits & {MASK} ELSE 0 END)::BIGINT AS sole_bits FROM f"""
+
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2}
