@@ -4,6 +4,9 @@ A word's symbols form a doubly linked list; a heap holds the merge rank of each
 adjacent pair, and an entry whose symbols have changed since it was pushed is
 skipped when it is popped. Words repeat, so their codes are kept, within a bound.
 
+Characters are letters, numbers or white space as Python's Unicode data has them;
+those that a later Unicode assigns count as symbols.
+
 Nulls and empty texts have no tokens and decode to an empty text. Special
 tokens written out in a text are recognised, as the tokenizer file asks for.
 """
@@ -18,7 +21,6 @@ import re
 import unicodedata
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,29 @@ from geoweft.llm.common import map_columns
 KEPT_WORDS, KEPT_CHUNKS = 150_000, 300_000
 #: str.split() also splits at these four, which aren't white space in Unicode's sense.
 CONTROL = re.compile("[\x1c-\x1f]")
-WHITE_SPACE = regex.compile(r"\p{White_Space}+")
+#: Unicode's white space.
+SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+WHITE_SPACE = re.compile(f"[{SPACES}]+")
 ID_BITS, POS_BITS = 20, 40
 ID_MASK, POS_MASK = (1 << ID_BITS) - 1, (1 << POS_BITS) - 1
 
 
+@functools.cache
+def classes() -> dict[str, str]:
+    """The marks of character classes in a tokenizer's pattern, and the ranges that they stand for inside brackets."""
+    out = {r"\s": SPACES}
+    for kind in "LN":
+        ranges: list[list[int]] = []
+        for i in range(0x110000):
+            if unicodedata.category(chr(i))[0] == kind:
+                if ranges and ranges[-1][1] == i - 1:
+                    ranges[-1][1] = i
+                else:
+                    ranges.append([i, i])
+        out[rf"\p{{{kind}}}"] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+    return out
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte: itself where Latin-1 prints it, else the next code point from 256 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -76,7 +96,9 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.word = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"), regex.V0)
+        for mark, chars in classes().items():
+            pattern = pattern.replace(mark, chars)
+        self.word = re.compile(pattern)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.inner = [self.vocab[x] for x in byte_letters()]
         self.final = [self.vocab[x + self.end] for x in byte_letters()]

@@ -63,8 +63,8 @@ def test_quality_bits_policies_and_ablation(docs, spark):
 TOKENIZER = bpe.tokenizer(vocabulary_path())
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60) | st.text("abc'sdtreΣİ́ \x1c\x85<|endoftext>", max_size=40))
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cn", "Cs"]), max_size=40) | st.text("abc'sdtreΣİ́ \x1c\x85<|endoftext>", max_size=40))
 def test_bpe_is_the_library(text):
     from tokenizers import Tokenizer
 
