@@ -1,12 +1,14 @@
 """Personal data: patterns, and terms that give the same people away.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone
-numbers, found by patterns. Each distinct value is a protected entity. A term
-near an entity reveals it if the corpus says so: with document frequencies over
-distinct texts, IC(e) = log(N / df(e)) is what naming e discloses, and
+numbers, found by patterns. Each distinct value is a protected entity. A term,
+which is a run of letters and digits outside base spans, reveals an entity if
+the corpus says so: with document frequencies over whole distinct texts,
+IC(e) = log(N / df(e)) is what naming e discloses, and
 PMI(t, e) = log(N * df(t, e) / (df(t) * df(e))) what t discloses of it. Terms
 with PMI >= alpha * IC, met together in ``support`` distinct texts at least, are
-``term`` spans. Sanitising generalises base spans to their kind and removes
+revealing, and each of their occurrences is a ``term`` span, in texts without a
+base span too. Sanitising generalises base spans to their kind and removes
 terms.
 
 Everything is DataFrame functions. Patterns are written so that Java's matcher
@@ -26,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import cut
+from geoweft.llm.common import cut, written
 
 # The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -44,10 +46,10 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 
 ALPHA = 0.9
 SUPPORT = 3
-#: Characters on either side of a span in which terms are near it, and a term's least length.
-NEAR, TERM_LENGTH = 60, 3
+#: A term's least length.
+TERM_LENGTH = 3
 TERM = r"[\p{L}\p{N}]+"
-#: Candidate terms that may be broadcast: about 10 MB.
+#: Revealing terms that may be broadcast: about 10 MB.
 BROADCAST_TERMS = 200_000
 BLOCK = 64
 
@@ -141,74 +143,87 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return x.select("doc_id", "text", F.array_sort(F.concat(*spans)).alias("base"))
 
 
-def near_terms(spans: DataFrame) -> DataFrame:
-    """doc_id, text_id, entity, term, start, stop: the terms near each base span that are no part of one."""
-    x = spans.where(F.size("base") > 0).select("doc_id", "text", "base", F.transform("base", lambda b: b["stop"]).alias("stops"))
+def masked(text: Column, spans: Column, held: Column) -> Column:
+    """The text with blanks in place of its spans: what is left stands where it stood."""
+    blank = lambda n: F.repeat(F.lit(" "), n)
+    part = lambda s, at: F.when(
+        s["start"] >= at, F.concat(text.substr(at + 1, s["start"] - at), blank(s["stop"] - s["start"]))
+    ).otherwise(blank(F.greatest(s["stop"] - at, F.lit(0))))
+    end = F.greatest(F.element_at(held, -1), F.element_at(spans, -1)["stop"])
+    return F.concat(F.array_join(F.zip_with(spans, held, part), ""), text.substr(end + 1, F.length(text)))
+
+
+def outside(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id, base, rest: the spans of each row and its text with blanks in their place."""
+    x = base_spans(docs).withColumn("stops", F.transform("base", lambda b: b["stop"]))
     x = x.withColumn("held", prefixes(F.col("stops"), F.greatest))  # where all earlier spans end
-    text, size = F.col("text"), F.length("text")
-
-    def around(b: Column, i: Column) -> Column:
-        """The texts on both sides of a span, as far as the next spans."""
-        low = F.greatest(b["start"] - NEAR, F.element_at("held", i + 1), F.lit(0))
-        after = F.coalesce(F.get("base", i + 1)["start"], size)
-        high = F.least(b["stop"] + NEAR, after, size)
-        window = lambda at, to, left, right: F.struct(
-            b["entity"].alias("entity"), at.alias("at"), text.substr(at + 1, F.greatest(to - at, F.lit(0))).alias("s"), left.alias("cut_left"), right.alias("cut_right")
-        )
-        return F.array(
-            window(low, b["start"], (low > 0) & (low == b["start"] - NEAR), F.lit(False)),
-            window(F.greatest(b["stop"], F.element_at("held", i + 1)), high, F.lit(False), (high == b["stop"] + NEAR) & (high < size)),
-        )
-
-    x = x.select("doc_id", F.xxhash64("text").alias("text_id"), F.explode(F.flatten(F.transform("base", around))).alias("w")).select("doc_id", "text_id", "w.*")
-    # a term that the window cuts is no term
-    lead = F.when(F.col("cut_left"), F.length(F.regexp_extract("s", rf"^(?:{TERM})?", 0))).otherwise(0)
-    x = x.select("doc_id", "text_id", "entity", (F.col("at") + lead).alias("at"), F.col("s").substr(lead + 1, F.length("s")).alias("s"), "cut_right")
-    x = x.withColumn("s", F.when(F.col("cut_right"), F.regexp_replace("s", f"{TERM}$", "")).otherwise(F.col("s")))
-    x = x.withColumn("m", F.regexp_extract_all("s", F.lit(TERM), F.lit(0))).withColumn("g", F.split("s", TERM, -1))
-    x = x.withColumn("l", lengths(F.col("m"), F.col("g"))).withColumn("b", prefixes(F.col("l"), add))
-    x = x.withColumn("p", F.explode(positions(F.col("m"), F.col("g"), F.col("b"))))
-    start = F.col("at") + F.col("p.start")
-    x = x.select("doc_id", "text_id", "entity", F.lower("p.value").alias("term"), start.alias("start"), (start + F.length("p.value")).alias("stop"))
-    return x.where(F.length("term") >= TERM_LENGTH)
-
-
-def revealing(docs: DataFrame, near: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame | None:
-    """(entity, term): pairs over the disclosure threshold; None if no pair has the support."""
-    pairs = near.select("entity", "term", "text_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_te")).where(F.col("df_te") >= support)
-    pairs = cut(pairs)
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
+    rest = F.when(F.size("base") > 0, masked(F.col("text"), F.col("base"), F.col("held"))).otherwise(F.col("text"))
+    return x.select("doc_id", F.xxhash64("text").alias("text_id"), "base", rest.alias("rest"))
+
+
+def words(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and term: each term of each row once."""
+    terms = F.array_distinct(F.transform(F.split("rest", r"[^\p{L}\p{N}]+"), F.lower))
+    return rows.select(*columns, F.explode(terms).alias("term")).where(F.length("term") >= TERM_LENGTH)
+
+
+def frequencies(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """term, df_t: the number of distinct texts with a term. A text in n rows counts n times among texts of n rows, so no pair of text and term is shuffled."""
+    many = copies.where(F.col("n_rows") > 1)
+    x = rows.join(many, "text_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(1).cast("long")))
+    x = words(x, "n_rows").groupBy("term", "n_rows").agg(F.count("*").alias("n"))
+    return x.groupBy("term").agg(F.sum(F.expr("n div n_rows")).alias("df_t"))
+
+
+def revealing(rows: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame | None:
+    """term: those over the disclosure threshold for some entity; None if no text holds an entity."""
+    names = rows.where(F.size("base") > 0).select("text_id", F.explode(F.transform("base", lambda b: b["entity"])).alias("entity")).distinct()
+    # entities of the same texts disclose alike: one stands for all, so that a log of many addresses isn't paired with its words for each
+    alike = [F.count("*").alias("df_e"), F.bit_xor("text_id").alias("x"), F.bit_xor(F.xxhash64("text_id", F.lit(1))).alias("y")]
+    one = names.groupBy("entity").agg(*alike).groupBy("df_e", "x", "y").agg(F.min("entity").alias("entity")).select("entity", "df_e")
+    names = cut(names.join(one, "entity"))
+    if names.isEmpty():
         return None
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = texts.select(F.xxhash64("text").alias("text_id"), F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term"))
-    if n_terms <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(terms), "term").distinct()
-    else:
-        words = words.join(terms, "term", "left_semi").distinct()
-    df_t = words.groupBy("term").agg(F.count("*").alias("df_t"))
-    df_e = near.select("entity", "text_id").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    n = texts.select(F.xxhash64("text")).distinct().count()
-    ic = F.log(F.lit(float(n)) / F.col("df_e"))
-    pmi = F.log(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
-    return pairs.join(df_t, "term").join(df_e, "entity").where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
+    copies = cut(rows.groupBy("text_id").agg(F.count("*").alias("n_rows")))
+    n = float(copies.count())
+    ic = F.log(F.lit(n) / F.col("df_e"))
+    # df_te is at most df_e: terms of more texts than this can't reach the threshold
+    names = names.where(ic > 0).withColumn("most", F.col("df_e") * F.exp((1 - alpha) * ic) * (1 + 1e-9))
+    held = names.groupBy("text_id").agg(F.max("most").alias("most"))
+    df_t = frequencies(rows.select("text_id", "rest"), copies)
+    met = words(rows.where(F.size("base") > 0).join(held, "text_id").dropDuplicates(["text_id"]), "text_id", "most")
+    met = met.join(df_t, "term").where(F.col("df_t") <= F.col("most")).drop("most")
+    pairs = met.join(names, "text_id").where(F.col("df_t") <= F.col("most"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("df_te"), F.first("df_t").alias("df_t"), F.first("df_e").alias("df_e")).where(F.col("df_te") >= support)
+    pmi = F.log(F.lit(n) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
+    return cut(pairs.where(pmi >= alpha * ic).select("term").distinct())
+
+
+def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, text_id, terms: every occurrence of ``terms`` in every row."""
+    found = words(rows.select("text_id", "rest"), "text_id")
+    found = found.join(F.broadcast(terms), "term", "left_semi") if terms.count() <= BROADCAST_TERMS else found.join(terms, "term", "left_semi")
+    found = cut(found.distinct())
+    x = rows.select("doc_id", "text_id", "rest").join(found.select("text_id").distinct(), "text_id", "left_semi").dropDuplicates(["doc_id", "text_id"])
+    x = x.withColumn("m", F.regexp_extract_all("rest", F.lit(TERM), F.lit(0))).withColumn("g", F.split("rest", TERM, -1))
+    x = x.withColumn("l", lengths(F.col("m"), F.col("g")))
+    x = x.withColumn("b", prefixes(F.col("l"), add))
+    x = x.select("doc_id", "text_id", F.explode(positions(F.col("m"), F.col("g"), F.col("b"))).alias("p"))
+    stop = F.col("p.start") + F.length("p.value")
+    x = x.select("doc_id", "text_id", F.lower("p.value").alias("term"), F.col("p.start").alias("start"), stop.alias("stop")).join(found, ["text_id", "term"])
+    span = F.struct("start", F.lit(len(KINDS) - 1).alias("rank"), F.lit("term").alias("kind"), "stop")
+    return x.groupBy("doc_id", "text_id").agg(F.collect_list(span).alias("terms"))
 
 
 def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """doc_id, text_id, spans: every span as (start, rank, kind, stop), sorted; base ones first among equals."""
-    spans = base_spans(docs)
-    table = cut(spans.select("doc_id", F.xxhash64("text").alias("text_id"), "base"))
-    near = cut(near_terms(spans))
-    pairs = revealing(docs, near, alpha, support)
+    rows = written(outside(docs))
     plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["kind"].alias("kind"), b["stop"].alias("stop")))
-    out = table.select("doc_id", "text_id", plain.alias("base"))
-    if pairs is None:
+    out = rows.select("doc_id", "text_id", plain.alias("base"))
+    found = revealing(rows, alpha, support)
+    if found is None:
         return out.select("doc_id", "text_id", F.col("base").alias("spans"))
-    terms = near.join(pairs, ["entity", "term"]).groupBy("doc_id", "text_id").agg(
-        F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("rank"), F.lit("term").alias("kind"), "stop")).alias("terms")
-    )
-    terms = terms.withColumnsRenamed({"doc_id": "d", "text_id": "t"})
+    terms = term_spans(rows, found).withColumnsRenamed({"doc_id": "d", "text_id": "t"})
     out = out.join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_id") == F.col("t")), "left")
     return out.select("doc_id", "text_id", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms"))).alias("spans"))
 

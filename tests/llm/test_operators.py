@@ -184,6 +184,21 @@ def test_personal_data(spark):
     assert clean[0] is None and "quixby" not in clean[first] and "[EMAIL]" in clean[first] and clean[len(rows) - 1] == rows[-1][1]
 
 
+def test_revealing_terms_are_found_wherever_they_stand(spark):
+    far = "plain words go on here " * 12
+    name = [f"zelda {far} mail zq@corp.example.com, {far} quixby {k}" for k in range(3)]  # far from the address on both sides
+    row = [f"odette ann@corp.example.com +1 (017) 555-77{k}3 {far}" for k in range(3)]  # a phone number cuts her off
+    texts = [*name, *row, f"{far} it was zelda who said so, Zelda", "here odette", *(f"plain words go on here, mail {k}" for k in range(1500))]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[6])], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in pii.find(df).collect():
+        got[r["doc_id"]] += [texts[6 if r["doc_id"] is None else r["doc_id"]][s["start"] : s["stop"]] for s in r["spans"] if s["kind"] == "term"]
+    assert all({"zelda", "quixby"} <= set(got[i]) for i in range(3)) and all("odette" in got[i] for i in range(3, 6))
+    assert got[6] == got[None] == ["zelda", "Zelda"] and got[7] == ["odette"] and not any(got[i] for i in range(8, len(texts)))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert "elda" not in clean[6] + clean[None] and clean[7] == "here " and clean[8] == texts[8]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=40) | st.lists(st.sampled_from(b"ab"), max_size=60).map(bytes))
 def test_suffix_array(text):
