@@ -6,9 +6,13 @@ which is a run of letters and digits outside base spans, reveals an entity if
 the corpus says so: with document frequencies over whole distinct texts,
 IC(e) = log(N / df(e)) is what naming e discloses, and
 PMI(t, e) = log(N * df(t, e) / (df(t) * df(e))) what t discloses of it. Terms
-with PMI >= alpha * IC, met together in ``support`` distinct texts at least, are
-revealing, and each of their occurrences is a ``term`` span, in texts without a
-base span too. Sanitising generalises base spans to their kind and removes
+with PMI >= alpha * IC are revealing, and each of their occurrences is a
+``term`` span, in texts without a base span too. For df(t, e) / df(t), which is
+how likely a text with t holds e, PMI takes the lower end of its Wilson interval
+(``z`` standard errors): no count is too small to reveal, but the fewer texts
+speak for a pair, the fewer may speak against it. A term that one text alone
+holds reveals a name in that text only (from about 200 texts on); one more text
+with it elsewhere holds it back (up to about a million). Sanitising generalises base spans to their kind and removes
 terms.
 
 Everything is DataFrame functions. Patterns are written so that Java's matcher
@@ -45,11 +49,12 @@ _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": ""}
 
 ALPHA = 0.9
-SUPPORT = 3
+#: Standard errors below what was counted: the bound of 80 % on one side.
+Z = 0.8416
 #: A term's least length.
 TERM_LENGTH = 3
 TERM = r"[\p{L}\p{N}]+"
-#: Revealing terms that may be broadcast: about 10 MB.
+#: Revealing terms, and ids of texts, that may be broadcast: about 10 MB.
 BROADCAST_TERMS = 200_000
 BLOCK = 64
 
@@ -161,6 +166,11 @@ def outside(docs: DataFrame) -> DataFrame:
     return x.select("doc_id", F.xxhash64("text").alias("text_id"), "base", rest.alias("rest"))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if it has few rows, so that no text on the other side is shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
 def words(rows: DataFrame, *columns: str) -> DataFrame:
     """``columns`` and term: each term of each row once."""
     terms = F.array_distinct(F.transform(F.split("rest", r"[^\p{L}\p{N}]+"), F.lower))
@@ -169,13 +179,19 @@ def words(rows: DataFrame, *columns: str) -> DataFrame:
 
 def frequencies(rows: DataFrame, copies: DataFrame) -> DataFrame:
     """term, df_t: the number of distinct texts with a term. A text in n rows counts n times among texts of n rows, so no pair of text and term is shuffled."""
-    many = copies.where(F.col("n_rows") > 1)
+    many = small(copies.where(F.col("n_rows") > 1))
     x = rows.join(many, "text_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(1).cast("long")))
     x = words(x, "n_rows").groupBy("term", "n_rows").agg(F.count("*").alias("n"))
     return x.groupBy("term").agg(F.sum(F.expr("n div n_rows")).alias("df_t"))
 
 
-def revealing(rows: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame | None:
+def least(part: Column, whole: Column, z: float) -> Column:
+    """The lower end of the Wilson interval of a share."""
+    p, w = part / whole, F.lit(z * z) / whole
+    return (p + w / 2 - z * F.sqrt(p * (1 - p) / whole + w / whole / 4)) / (1 + w)
+
+
+def revealing(rows: DataFrame, alpha: float = ALPHA, z: float = Z) -> DataFrame | None:
     """term: those over the disclosure threshold for some entity; None if no text holds an entity."""
     names = rows.where(F.size("base") > 0).select("text_id", F.explode(F.transform("base", lambda b: b["entity"])).alias("entity")).distinct()
     # entities of the same texts disclose alike: one stands for all, so that a log of many addresses isn't paired with its words for each
@@ -194,17 +210,16 @@ def revealing(rows: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) ->
     met = words(rows.where(F.size("base") > 0).join(held, "text_id").dropDuplicates(["text_id"]), "text_id", "most")
     met = met.join(df_t, "term").where(F.col("df_t") <= F.col("most")).drop("most")
     pairs = met.join(names, "text_id").where(F.col("df_t") <= F.col("most"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("df_te"), F.first("df_t").alias("df_t"), F.first("df_e").alias("df_e")).where(F.col("df_te") >= support)
-    pmi = F.log(F.lit(n) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("df_te"), F.first("df_t").alias("df_t"), F.first("df_e").alias("df_e"))
+    pmi = F.log(least(F.col("df_te"), F.col("df_t"), z) * n / F.col("df_e"))
     return cut(pairs.where(pmi >= alpha * ic).select("term").distinct())
 
 
 def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, text_id, terms: every occurrence of ``terms`` in every row."""
     found = words(rows.select("text_id", "rest"), "text_id")
-    found = found.join(F.broadcast(terms), "term", "left_semi") if terms.count() <= BROADCAST_TERMS else found.join(terms, "term", "left_semi")
-    found = cut(found.distinct())
-    x = rows.select("doc_id", "text_id", "rest").join(found.select("text_id").distinct(), "text_id", "left_semi").dropDuplicates(["doc_id", "text_id"])
+    found = cut(found.join(small(terms), "term", "left_semi").distinct())
+    x = rows.select("doc_id", "text_id", "rest").join(small(found.select("text_id").distinct()), "text_id", "left_semi").dropDuplicates(["doc_id", "text_id"])
     x = x.withColumn("m", F.regexp_extract_all("rest", F.lit(TERM), F.lit(0))).withColumn("g", F.split("rest", TERM, -1))
     x = x.withColumn("l", lengths(F.col("m"), F.col("g")))
     x = x.withColumn("b", prefixes(F.col("l"), add))
@@ -215,12 +230,12 @@ def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return x.groupBy("doc_id", "text_id").agg(F.collect_list(span).alias("terms"))
 
 
-def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, alpha: float = ALPHA, z: float = Z) -> DataFrame:
     """doc_id, text_id, spans: every span as (start, rank, kind, stop), sorted; base ones first among equals."""
     rows = written(outside(docs))
     plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["kind"].alias("kind"), b["stop"].alias("stop")))
     out = rows.select("doc_id", "text_id", plain.alias("base"))
-    found = revealing(rows, alpha, support)
+    found = revealing(rows, alpha, z)
     if found is None:
         return out.select("doc_id", "text_id", F.col("base").alias("spans"))
     terms = term_spans(rows, found).withColumnsRenamed({"doc_id": "d", "text_id": "t"})
@@ -251,9 +266,9 @@ def redacted(text: Column, spans: Column, held: Column) -> Column:
     return F.concat(F.array_join(F.zip_with(spans, held, part), ""), text.substr(end + 1, F.length(text)))
 
 
-def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = ALPHA, z: float = Z) -> DataFrame:
     """``docs`` with spans replaced in ``text``; all else, nulls included, stays as it is."""
-    found = find(docs, alpha, support).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_id"])
+    found = find(docs, alpha, z).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_id"])
     found = found.withColumn("stops", F.transform("spans", lambda s: s["stop"])).select(
         F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), F.col("spans").alias("_s"), prefixes(F.col("stops"), F.greatest).alias("_h")
     )

@@ -199,6 +199,15 @@ def test_revealing_terms_are_found_wherever_they_stand(spark):
     assert "elda" not in clean[6] + clean[None] and clean[7] == "here " and clean[8] == texts[8]
 
 
+def test_entities_of_one_or_two_texts_have_terms(spark):
+    texts = ["zelda writes from zq@corp.example.com", "odette calls +1 (017) 555-7713", "odette again, +1 (017) 555-7713 writes", "marten calls 10.0.0.1", "it was marten who calls"]
+    texts += [f"text {k} writes and calls from corp, who was it again" for k in range(600)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["stop"]] for s in r["spans"] if s["kind"] == "term"] for r in pii.find(df).collect()}
+    assert [got[i] for i in range(3)] == [["zelda"], ["odette"], ["odette"]]
+    assert not any(got[i] for i in range(3, len(texts)))  # half of the texts with marten hold no address: too little evidence
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=40) | st.lists(st.sampled_from(b"ab"), max_size=60).map(bytes))
 def test_suffix_array(text):
