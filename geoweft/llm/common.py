@@ -68,14 +68,50 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+class Scratch:
+    """Intermediate Parquet tables of one call in the shared folder: as safe from lost executors as checkpoints, and smaller.
+
+    ``drop`` removes those that are no longer read, ``last`` writes a result and removes all others.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+        before = self.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+        path = f"{checkpoint_dir(self.spark)}/geoweft-{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        self.paths.append(path)
+        schema = df.schema
+        del df
+        collect_garbage(self.spark)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, n: int | None = None) -> None:
+        """Removes the first ``n`` tables, or all."""
+        n = len(self.paths) if n is None else n
+        for path in self.paths[:n]:
+            remove(self.spark, path)
+        del self.paths[:n]
+
+    def last(self, df: DataFrame) -> DataFrame:
+        n = len(self.paths)
+        out = self.write(df)
+        self.drop(n)
+        return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, and as safe from lost executors."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    path = f"{checkpoint_dir(spark)}/geoweft-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    collect_garbage(spark)
-    return spark.read.schema(schema).parquet(path)
+    """``df`` as a Parquet table in the shared folder, for callers that return it unread."""
+    return Scratch(df.sparkSession).write(df, batch_rows)

@@ -5,40 +5,57 @@ with a smaller doc_id. Two equal strings hold the same anchor: the K bytes whose
 hash is smallest among the string's, the leftmost of equals. So
 
 1. every document is cut into spans, each the union of the consecutive windows
-   of LENGTH bytes that share an anchor; within a task, occurrences of equal
-   spans beyond the smallest doc_id are settled at once, so that a passage of
-   any frequency sends on one row a task;
-2. spans meet by their anchor. Of equal spans the smallest doc_id's stays.
-   Anchors with different spans are left, mostly the rims of repeated passages;
-3. their bytes are sorted into suffix arrays, block by block of anchors; runs of
-   suffixes that agree on LENGTH bytes give each window's smallest doc_id. An
+   of LENGTH bytes that share an anchor. Spans meet by their anchors: as packed
+   hashes, a row for each task and bucket of anchors, so that neither texts nor
+   rows for each span travel. Equal spans (by 120 bits of hashes) collapse to
+   the one of the smallest doc_id, within a task before they travel, so that a
+   passage of any frequency is one entry a task; so is an anchor with more than
+   WIDE different spans in a task. Anchors with different spans are left, mostly
+   the rims of repeated passages;
+2. those spans' bytes are gathered by anchor, cut to what each has in common
+   with any other, and sorted into suffix arrays, block by block of anchors; runs
+   of suffixes that agree on LENGTH bytes give each window's smallest doc_id. An
    anchor with more than BLOCK_SPANS spans would make a block of unbounded size:
-   its windows are grouped by their digests instead, which is as exact;
-4. each document's intervals are united and its other bytes kept.
-
-Null and empty texts, and those shorter than LENGTH, lose nothing. Rows without
-a doc_id aren't compared. Rows of equal doc_id don't remove each other's bytes;
-doc_id is taken to name one text. Further columns are ignored.
+   its spans are dealt out again, by a third of the windows and by the bytes that
+   these have in common, until no block is large;
+3. each document's intervals are united and its other bytes kept.
+
+A span is named by doc_id and its hash, so what is found holds for any row with
+that doc_id and text. Null and empty texts, and those shorter than LENGTH, lose
+nothing. Rows without a doc_id aren't compared. Rows of equal doc_id don't
+remove each other's bytes, and each loses what its own text repeats. Further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import map_columns, written
+from geoweft.llm.common import Scratch
 from geoweft.llm.suffixes import suffix_array
 
 LENGTH, K = 50, 24
-#: Spans that a task settles at once; bytes in a suffix array; spans of one anchor that a block may hold.
-CHUNK_SPANS, BLOCK_BYTES, BLOCK_SPANS = 400_000, 150_000, 1_000
-ROWS = 50_000
+#: Windows that hold an anchor at a place.
+REACH = LENGTH - K + 1
+#: Spans that a task settles at once; different spans of an anchor that a task sends on.
+CHUNK_SPANS, WIDE = 2_000_000, 32
+#: Bytes in a suffix array; spans of one anchor that a block may hold.
+BLOCK_BYTES, BLOCK_SPANS = 150_000, 1_000
+#: Bytes of text for each bucket, and the bounds of the number of buckets.
+BUCKET_BYTES, BUCKETS = 2_000_000, (64, 1 << 20)
+#: Entries that a task gathers before it sends them on.
+ENTRIES = 500_000
+#: Large anchors that may be broadcast.
+BROADCAST_KEYS = 200_000
+
+AGAIN, RIM, PART = 0, 1, 2
 
 _MUL = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _LOW = np.uint64((1 << 24) - 1)
@@ -59,264 +76,510 @@ def anchor_hashes(raw: bytes) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The anchor's hash, start and end of each span of a text."""
+def spans(raw: bytes) -> tuple[np.ndarray, ...]:
+    """Of each span of a text: its anchor's hash, its own hash, start, end and its anchor's place."""
     out = []
     for base in range(0, max(0, len(raw) - LENGTH + 1), PIECE):
         part = raw[base : base + PIECE + LENGTH - 1] if len(raw) > PIECE else raw
         h = anchor_hashes(part)
         c = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
-        width, want = 1, LENGTH - K + 1
-        while 2 * width <= want:
+        width = 1
+        while 2 * width <= REACH:
             c = np.minimum(c[:-width], c[width:])
             width *= 2
-        if want > width:
-            c = np.minimum(c[: -(want - width)], c[want - width :])
+        if REACH > width:
+            c = np.minimum(c[: -(REACH - width)], c[REACH - width :])
         at = (c & _LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        last = np.concatenate((first[1:], [len(at)])) - 1
-        out.append((h[at[first]].view(np.int64), first + base, last + LENGTH + base))
+        end = np.concatenate((first[1:], [len(at)])) - 1 + LENGTH
+        with np.errstate(over="ignore"):  # a span is at most twice LENGTH long, and these four cover it
+            own = (end - first).astype(np.uint64)
+            for place in (first, first + K, np.minimum(first + 2 * K, end - K), end - K):
+                own = (own ^ (own >> np.uint64(31))) * _MUL[1] + h[place]
+            own ^= own >> np.uint64(29)
+        out.append((h[at[first]], own, first + base, end + base, at[first] + base))
     if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        return none.view(np.uint64), none.view(np.uint64), none, none, none
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-SPAN = "key long, span long, doc_id long, start int, size int, done boolean"
-_SPAN = pa.schema([("key", pa.int64()), ("span", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("done", pa.bool_())])
+# -- packed entries ------------------------------------------------------------
 
 
-def settled(key: np.ndarray, span: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    """Rows of a task: all but the smallest doc_id's of equal spans are done, and are dealt out evenly."""
-    order = np.lexsort((doc, span, key))
-    key, span, doc, start, size = key[order], span[order], doc[order], start[order], size[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (span[1:] != span[:-1])))
-    done = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+def packed(docs: np.ndarray) -> bytes:
+    """Integers as their first, and differences of the smallest width that holds them."""
     with np.errstate(over="ignore"):
-        key = np.where(done, ((doc + start).astype(np.uint64) * _MUL[0]).view(np.int64), key)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, span, doc, start.astype(np.int32), size.astype(np.int32), done)], schema=_SPAN)
+        step = np.diff(docs, prepend=docs[:1])
+        zigzag = ((step << 1) ^ (step >> 63)).view(np.uint64)
+    kind = np.min_scalar_type(int(zigzag.max())) if len(docs) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + docs[:1].astype("<i8").tobytes() + zigzag.astype(kind).tobytes()
 
 
-def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    n = 0
+def unpacked(data: bytes) -> np.ndarray:
+    zigzag = np.frombuffer(data[9:], f"<u{data[0]}").astype(np.uint64)
+    step = (zigzag >> np.uint64(1)).view(np.int64) ^ -(zigzag & np.uint64(1)).view(np.int64)
+    if len(step):
+        step[0] = np.frombuffer(data[1:9], "<i8")[0]
+    with np.errstate(over="ignore"):
+        return np.cumsum(step)
+
+
+def bucket_of_docs(docs: np.ndarray, buckets: int) -> np.ndarray:
+    some, back = np.unique(docs, return_inverse=True)
+    return np.fromiter((zlib.crc32(str(d).encode()) % buckets for d in some.tolist()), np.int64, len(some))[back]
+
+
+ENTRY = "bucket long, kind int, docs binary, ids binary, more binary"
+_ENTRY = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("ids", pa.binary()), ("more", pa.binary())])
+
+
+def dealt(bucket: np.ndarray, kind: int, docs: np.ndarray, ids: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket: its entries in order of docs, packed. ``more`` has a row of bytes for each entry."""
+    order = np.lexsort((docs, bucket))
+    bucket, docs, ids, more = bucket[order], docs[order], ids[order], more[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.array([0])
+    for i in range(0, len(cuts) - 1, 64):
+        ab = list(zip(cuts[i : i + 64].tolist(), cuts[i + 1 : i + 65].tolist()))
+        yield pa.RecordBatch.from_pydict(
+            {
+                "bucket": [int(bucket[a]) for a, _ in ab],
+                "kind": [kind] * len(ab),
+                "docs": [packed(docs[a:b]) for a, b in ab],
+                "ids": [ids[a:b].tobytes() for a, b in ab],
+                "more": [more[a:b].tobytes() for a, b in ab],
+            },
+            schema=_ENTRY,
+        )
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if n:
-            whole = settled(*(np.concatenate(x) for x in zip(*held)))
-            for i in range(0, whole.num_rows, ROWS):
-                yield whole.slice(i, ROWS)
 
-    digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            if doc is None or len(raw) < LENGTH:
-                continue
-            key, start, end = spans(raw)
-            span = np.fromiter(map(digest, [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]), np.uint64, len(key)).view(np.int64)
-            held.append((key, span, np.full(len(key), doc, np.int64), start, end - start))
-            n += len(key)
-            if n >= CHUNK_SPANS:
-                yield from flush()
-                held, n = [], 0
-    yield from flush()
-
-
-MET = "doc_id long, start int, size int, key long, span long, starts array<int>"
-_MET = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("span", pa.int64()), ("starts", pa.list_(pa.int32()))])
-
-
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, span and doc_id: the repeated spans, and with their starts the spans whose anchors have others.
-
-    Only the rows of the last anchor are held back, and of a large anchor only those of its last span.
-    """
-    held: list[np.ndarray] | None = None
-    large: int | None = None  # an anchor known to have several spans and documents
-
-    def settle(cols: list[np.ndarray], last: bool) -> tuple[list[np.ndarray] | None, pa.RecordBatch | None]:
-        nonlocal large
-        key, span, doc, start, size = cols
-        n = len(key)
-        new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        new = new_key | np.concatenate(([True], span[1:] != span[:-1]))
-        keep = n
-        if not last:
-            keep = int(np.flatnonzero(new_key)[-1])
-            if n - keep > 20 * ROWS or (keep == 0 and large == key[0]):  # an anchor too large to hold
-                k = int(np.flatnonzero(new)[-1])
-                if k > keep and doc[keep:].min() < doc[keep:].max():
-                    keep, large = k, int(key[-1])
-        if not keep:
-            return cols, None
-        rest = [c[keep:] for c in cols] if keep < n else None
-        key, span, doc, start, size, new_key, new = (c[:keep] for c in (key, span, doc, start, size, new_key, new))
-        of_class, of_key = np.cumsum(new) - 1, np.cumsum(new_key) - 1
-        heads, key_heads = np.flatnonzero(new), np.flatnonzero(new_key)
-        least = doc[heads][of_class]
-        again = doc > least
-        several = np.bincount(of_key[heads]) > 1
-        apart = np.minimum.reduceat(doc, key_heads) < np.maximum.reduceat(doc, key_heads)
-        mixed = (several & apart) | (key[key_heads] == large if large is not None else False)
-        own = np.flatnonzero(~again & mixed[of_key])
-        rep = own[new[own]]
-        at = np.searchsorted(own, rep)
-        offsets = np.concatenate((at, [len(own)])).astype(np.int32)
-        a = np.flatnonzero(again)
-        none = pa.nulls(len(a), pa.int64())
-        starts = pa.concat_arrays([pa.nulls(len(a), pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(start[own]))])
-        both = np.concatenate((a, rep))
-        return rest, pa.RecordBatch.from_arrays(
-            [pa.array(doc[both]), pa.array(start[both]), pa.array(size[both]), pa.concat_arrays([none, pa.array(key[rep])]), pa.concat_arrays([none, pa.array(span[rep])]), starts],
-            schema=_MET,
-        )
+def low_bytes(x: np.ndarray, n: int) -> np.ndarray:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n])
+
+
+def from_low_bytes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8).reshape(-1, n)
+    return out.view("<u8").ravel()
+
+
+
+class Found:
+    """Entries (doc_id, a span's hash) to be sent to their documents' buckets."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.n = buckets, {AGAIN: [], RIM: [], PART: []}, 0
+
+    def add(self, kind: int, docs: np.ndarray, ids: np.ndarray, more: np.ndarray | None = None) -> None:
+        if len(docs):
+            self.held[kind].append((docs, ids, np.empty((len(docs), 0), np.uint8) if more is None else more))
+            self.n += len(docs)
+
+    def flush(self, least: int = 0) -> Iterator[pa.RecordBatch]:
+        if self.n > least:
+            for kind, some in self.held.items():
+                if some:
+                    docs, ids, more = (np.concatenate(x) for x in zip(*some))
+                    yield from dealt(bucket_of_docs(docs, self.buckets), kind, docs, ids, more)
+            self.__init__(self.buckets)
+
+
+def classes(key: np.ndarray, own: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows whose key isn't alone, by key, own and doc: their order, whether a key begins, whether a span begins, whether the row repeats a smaller document's span."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.empty(0, bool)
+    alone = new & np.concatenate((new[1:], [True])) if len(k) else new
+    order = order[~alone]
+    order = order[np.lexsort((doc[order], own[order], key[order]))]
+    k, s, d = key[order], own[order], doc[order]
+    new_key = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.empty(0, bool)
+    new = new_key | np.concatenate(([True], s[1:] != s[:-1])) if len(k) else new_key
+    least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else d
+    return order, new_key, new, d > least
+
+
+# -- 1: spans meet -------------------------------------------------------------
+
+
+def cut_spans(buckets: int, most: int) -> Callable:
+    """A task's spans: entries (6 bytes of the anchor's hash, doc_id, 8 bytes of the span's) by bucket of anchors, and what the task has settled."""
+
+    def settled(key: np.ndarray, own: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = Found(buckets)
+        order, new_key, new, again = classes(key, own, doc)
+        found.add(AGAIN, doc[order[again]], own[order[again]])
+        send = np.ones(len(key), bool)
+        send[order[~new]] = False
+        reps, of_key = order[new], (np.cumsum(new_key) - 1)[new]
+        wide = np.bincount(of_key, minlength=int(new_key.sum()))[of_key] > most if len(reps) else np.empty(0, bool)
+        some = reps[wide]
+        found.add(RIM, doc[some], own[some])
+        first = some[np.concatenate(([True], of_key[wide][1:] != of_key[wide][:-1]))] if len(some) else some
+        send[some] = False
+        send[first] = True
+        own = own.copy()
+        own[first] = 0  # stands for an anchor with many spans
+        key, own, doc = key[send], own[send], doc[send]
+        yield from dealt(((key >> np.uint64(44)).astype(np.int64) * buckets) >> 20, -1, doc, own, low_bytes(key, 6))
+        yield from found.flush()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+        for batch in batches:
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                if doc is None or len(raw) < LENGTH:
+                    continue
+                key, own, *_ = spans(raw)
+                held.append((key, own, np.full(len(key), doc, np.int64)))
+                n += len(key)
+                if n >= CHUNK_SPANS:
+                    yield from settled(*(np.concatenate(x) for x in zip(*held)))
+                    held, n = [], 0
+        if held:
+            yield from settled(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def meet(buckets: int) -> Callable:
+    """Of rows sorted by kind and bucket: what tasks have settled as it is, and the entries of each bucket of anchors settled."""
+
+    def settled(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        doc, own, key = (np.concatenate(x) for x in zip(*((unpacked(d), np.frombuffer(i, "<u8"), from_low_bytes(m, 6)) for d, i, m in rows)))
+        lone_wide = own == 0
+        order, new_key, new, again = classes(key, own, doc)
+        again &= own[order] != 0
+        heads = np.flatnonzero(new_key)
+        if not len(heads):
+            return (np.empty(0, np.int64), np.empty(0, np.uint64)) * 2
+        of_key = np.cumsum(new_key) - 1
+        d = doc[order]
+        several = np.bincount(of_key[new]) > 1
+        several |= np.logical_or.reduceat(lone_wide[order], heads)
+        apart = np.minimum.reduceat(d, heads) < np.maximum.reduceat(d, heads)
+        rim = order[new & (several & apart)[of_key] & ~lone_wide[order]]
+        a = order[again]
+        return doc[a], own[a], doc[rim], own[rim]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows, last = Found(buckets), [], None
+        for batch in batches:
+            for bucket, kind, *row in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "docs", "ids", "more"))):
+                if kind >= 0:
+                    found.add(kind, unpacked(row[0]), np.frombuffer(row[1], "<u8"))
+                else:
+                    if bucket != last and rows:
+                        a, b, c, d = settled(rows)
+                        found.add(AGAIN, a, b)
+                        found.add(RIM, c, d)
+                        rows = []
+                    rows.append(row)
+                    last = bucket
+                yield from found.flush(ENTRIES)
+        if rows:
+            a, b, c, d = settled(rows)
+            found.add(AGAIN, a, b)
+            found.add(RIM, c, d)
+        yield from found.flush()
+
+    return run
+
+
+# -- documents with their entries ----------------------------------------------
+
+
+def at_documents(docs: DataFrame, entries: DataFrame, buckets: int, fn: Callable, schema: str) -> DataFrame:
+    """Runs fn(rows) where rows yields (doc_id, text, {kind: (ids, more)}) of each document, bucket by bucket."""
+    bucket = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(buckets))
+    texts = docs.select(
+        F.coalesce(bucket, F.pmod(F.xxhash64("text"), F.lit(buckets))).alias("bucket"), F.lit(99).alias("kind"), "doc_id", "text",
+        *(F.lit(None).cast("binary").alias(c) for c in ("docs", "ids", "more")),
+    )
+    rows = entries.select("bucket", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "docs", "ids", "more")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def documents() -> Iterator[tuple]:
+            now, raw, held, index = None, [], None, {}
+            for batch in batches:
+                for b, kind, doc, text, *row in zip(*(batch[c].to_pylist() for c in ("bucket", "kind", "doc_id", "text", "docs", "ids", "more"))):
+                    if b != now:
+                        now, raw, held = b, [], None
+                    if kind != 99:
+                        raw.append((kind, *row))
+                        continue
+                    if held is None:
+                        held, index = gathered(raw), {}
+                        raw = []
+                    yield doc, text, {k: (ids[i:j], more[i:j]) for k, (d, ids, more) in held.items() if doc is not None for i, j in [np.searchsorted(d, [doc, doc + 1])] if i < j}
+
+        yield from fn(documents())
+
+    return rows.unionByName(texts).repartition(F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
+
+
+def gathered(raw: list[tuple]) -> dict[int, tuple[np.ndarray, ...]]:
+    """By kind: docs in order, ids and more."""
+    out = {}
+    for kind in {r[0] for r in raw}:
+        some = [(unpacked(d), np.frombuffer(i, "<u8"), np.frombuffer(m, "<u2").reshape(-1, 2) if m else np.empty((0, 2), np.uint16)) for k, d, i, m in raw if k == kind]
+        docs, ids = np.concatenate([s[0] for s in some]), np.concatenate([s[1] for s in some])
+        more = np.concatenate([s[2] for s in some]) if kind == PART else np.zeros((len(docs), 2), np.uint16)
+        order = np.argsort(docs, kind="stable")
+        out[kind] = docs[order], ids[order], more[order]
+    return out
 
-    def names(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [batch[c].to_numpy(zero_copy_only=False) for c in ("key", "span", "doc_id", "start", "size")]
-
-    for batch in batches:
-        done = batch["done"].to_numpy(zero_copy_only=False)
-        if done.any():
-            some = batch.filter(pa.array(done))
-            n = some.num_rows
-            yield pa.RecordBatch.from_arrays([some["doc_id"], some["start"], some["size"], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], schema=_MET)
-            batch = batch.filter(pa.array(~done))
-        if batch.num_rows:
-            cols = names(batch)
-            held, out = settle(cols if held is None else [np.concatenate(x) for x in zip(held, cols)], False)
-            if out is not None and out.num_rows:
-                yield out
-    if held is not None:
-        _, out = settle(held, True)
-        if out is not None and out.num_rows:
-            yield out
-
-
-def window_owners(segments: list[bytes], docs: list[int]) -> list[list[int]]:
+
+# -- 2: what is left is sorted ---------------------------------------------------
+
+SEGMENT = "key long, doc_id long, span long, at int, skipped int, segment binary, done boolean"
+_SEGMENT = pa.schema(
+    [("key", pa.int64()), ("doc_id", pa.int64()), ("span", pa.int64()), ("at", pa.int32()), ("skipped", pa.int32()), ("segment", pa.binary()), ("done", pa.bool_())]
+)
+
+
+def segments_of(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the spans that are to be sorted; at: the first window's distance from the first that could hold the anchor."""
+    out: list[tuple] = []
+    for doc, text, entries in rows:
+        if RIM not in entries:
+            continue
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        key, own, start, end, place = spans(raw)
+        some = np.flatnonzero(np.isin(own, entries[RIM][0]))
+        some = some[np.unique(own[some], return_index=True)[1]]
+        for k, s, a, b, p in zip(*(x[some].tolist() for x in (key.view(np.int64), own.view(np.int64), start, end, place))):
+            out.append((k, doc, s, REACH - 1 - (p - a), 0, raw[a:b], False))
+        if len(out) >= 5_000:
+            yield pa.RecordBatch.from_pydict(dict(zip(_SEGMENT.names, map(list, zip(*out)))), schema=_SEGMENT)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_pydict(dict(zip(_SEGMENT.names, map(list, zip(*out)))), schema=_SEGMENT)
+
+
+def split(width: int) -> Callable:
+    """Deals segments out by ``width`` consecutive windows and by the bytes that these have in common; of a task's equal ones the smallest document's stays open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, doc, span, at, skipped, segment in zip(*(batch[c].to_pylist() for c in _SEGMENT.names[:-1])):
+                n = len(segment) - LENGTH + 1
+                for part in range(at // width, (at + n - 1) // width + 1):
+                    i, j = max(0, part * width - at), min(n, (part + 1) * width - at)
+                    common = segment[max(0, (part + 1) * width - 1 - at) : part * width + LENGTH - at] if width > 1 else segment[i : i + LENGTH]
+                    new = hashlib.blake2b(common, digest_size=8, key=f"{key} {width} {part}".encode()).digest()
+                    rows.append((int.from_bytes(new, "little", signed=True), doc, span, at + i, skipped + i, segment[i : j + LENGTH - 1]))
+            rows.sort(key=lambda r: (r[0], r[5], r[1]))
+            out, before = [], None
+            for r in rows:
+                same = before is not None and (before[0], before[5]) == (r[0], r[5])
+                out.append((*r, same and r[1] > before[1]))
+                before = before if same else r
+            yield pa.RecordBatch.from_pydict(dict(zip(_SEGMENT.names, map(list, zip(*out)))), schema=_SEGMENT)
+
+    return run
+
+
+def alike(x: bytes, y: bytes) -> int:
+    """The length of the common beginning."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    low, high = 0, n
+    while high - low > 1:
+        mid = (low + high) // 2
+        if x[:mid] == y[:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def shared(parts: list[bytes]) -> list[int]:
+    """The longest beginning that each has in common with any other."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:]):
+        n = alike(parts[i], parts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def window_owners(segments: list[bytes], docs: list[int]) -> list[np.ndarray]:
     """By segment and window of LENGTH bytes, the smallest document that holds it, from one suffix array of all."""
     text = b"".join(segments)
-    owner, begins = np.repeat(np.arange(len(segments)), [len(s) for s in segments]), np.cumsum([0, *map(len, segments)])
-    starts = np.concatenate([np.arange(b, b + len(s) - LENGTH + 1) for b, s in zip(begins, segments)])
-    is_start = np.zeros(len(text), bool)
-    is_start[starts] = True
+    sizes = np.array([len(s) for s in segments])
+    begins = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(segments)), sizes)
+    is_start = np.arange(len(text)) - begins[owner] <= sizes[owner] - LENGTH
     order = np.array(suffix_array(text), np.int64)
     order = order[is_start[order]]
-    windows = [text[i : i + LENGTH] for i in order.tolist()]
-    new = np.array([True, *(x != y for x, y in zip(windows[1:], windows))])
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), LENGTH)[order]
+    new = np.concatenate(([True], (windows[1:] != windows[:-1]).any(axis=1)))
     own = np.array(docs, np.int64)[owner[order]]
     least = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
     found = np.zeros(len(text), np.int64)
     found[order] = least
-    return [found[b : b + len(s) - LENGTH + 1].tolist() for b, s in zip(begins, segments)]
-
-
-def runs(owners: list[int], doc: int) -> list[tuple[int, int]]:
-    """The byte ranges covered by windows that a smaller document holds."""
-    out: list[tuple[int, int]] = []
-    for k, o in enumerate(owners):
-        if o < doc:
-            if out and out[-1][1] >= k:
-                out[-1] = (out[-1][0], k + LENGTH)
-            else:
-                out.append((k, k + LENGTH))
-    return out
-
-
-COVER = "doc_id long, start int, size int"
-
-
-def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered ranges from rows (key, doc_id, starts, segment) sorted by key; a block ends where an anchor ends."""
-    block: list[tuple] = []
-    size, last = 0, None
-
-    def flush() -> pa.RecordBatch:
-        out: dict[str, list] = {"doc_id": [], "start": [], "size": []}
-        if len({r[1] for r in block}) > 1:
-            for (_, doc, starts, _), owners in zip(block, window_owners([r[3] for r in block], [r[1] for r in block])):
-                for a, b in runs(owners, doc):
-                    for s in starts:
-                        out["doc_id"].append(doc)
-                        out["start"].append(s + a)
-                        out["size"].append(b - a)
-        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32())]))
-
-    for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "starts", "segment"))):
-            if row[0] != last and size >= BLOCK_BYTES:
-                yield flush()
-                block, size = [], 0
-            block.append(row)
-            size += len(row[3])
-            last = row[0]
-    if block:
-        yield flush()
-
-
-def large_anchors(segments: DataFrame) -> DataFrame:
-    """The same ranges by digests of windows, for anchors with too many spans for a block."""
-    each = segments.select("doc_id", "starts", "segment", F.explode(F.sequence(F.lit(0), F.octet_length("segment") - LENGTH)).alias("at"))
-    each = each.select("doc_id", "starts", "at", F.unhex(F.md5(F.expr(f"substring(segment, at + 1, {LENGTH})"))).alias("window"))
-    least = each.groupBy("window").agg(F.min("doc_id").alias("least"))
-    return each.join(least, "window").where("least < doc_id").select("doc_id", "at", F.explode("starts").alias("start")).select("doc_id", (F.col("start") + F.col("at")).alias("start"), F.lit(LENGTH).alias("size"))
-
-
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, size): byte ranges that smaller documents hold; they may overlap."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    met = written(docs.mapInArrow(cut_spans, SPAN).repartition(F.col("key")).sortWithinPartitions("key", "span", "doc_id").mapInArrow(meet, MET), ROWS)
-    done = met.where(F.col("key").isNull()).select("doc_id", "start", "size")
-    rims = met.where(F.col("key").isNotNull())
-    sizes = rims.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_SPANS).select("key")
-    # an anchor of this list has over BLOCK_SPANS spans of its own, so the list is shorter than the rims by that factor
-    rims = rims.join(sizes.withColumn("large", F.lit(True)), "key", "left")
-
-    def slices(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"key": [], "doc_id": [], "starts": [], "segment": [], "large": []}
-        for doc, text, some in zip(batch["doc_id"], batch["text"], batch["spans"]):
-            raw = text.encode("utf-8", "surrogatepass")
-            for s in some:
-                out["doc_id"].append(doc)
-                out["segment"].append(raw[s["start"] : s["start"] + s["size"]])
-                for c in ("key", "starts", "large"):
-                    out[c].append(s[c])
-        return out
-
-    spans_of = F.collect_list(F.struct("key", "start", "size", "starts", F.coalesce("large", F.lit(False)).alias("large"))).alias("spans")
-    segments = written(map_columns(docs.where(F.octet_length("text") >= LENGTH).join(rims.groupBy("doc_id").agg(spans_of), "doc_id"), slices, "key long, doc_id long, starts array<int>, segment binary, large boolean"))
-    blocks = written(segments.where("not large").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(sort_blocks, COVER))
-    return done.union(blocks).union(written(large_anchors(segments.where("large"))))
-
-
-def kept_parts(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[list[bytes], int, int]:
-    """What stays of a text, the bytes removed and the number of removed runs."""
-    parts, at, removed, n = [], 0, 0, 0
-    for a, b in sorted(ranges):
-        if a > at or (a == at and at == 0 and n == 0):
-            parts.append(raw[at:a])
-            n += 1
-            removed += b - a
-            at = b
-        elif b > at:
-            removed += b - at
-            at = b
-    parts.append(raw[at:])
-    return parts, removed, n
+    return [found[b : b + s - LENGTH + 1] for b, s in zip(begins.tolist(), sizes.tolist())]
+
+
+def runs(again: np.ndarray) -> list[tuple[int, int]]:
+    """The byte ranges that the windows marked cover."""
+    at = np.flatnonzero(again)
+    if not len(at):
+        return []
+    gap = np.flatnonzero(np.diff(at) > LENGTH)
+    return list(zip(at[np.concatenate(([0], gap + 1))].tolist(), (at[np.concatenate((gap, [len(at) - 1]))] + LENGTH).tolist()))
+
+
+def sort_blocks(buckets: int, block_bytes: int) -> Callable:
+    """Covered parts of spans from segments sorted by key and doc_id; a block ends where an anchor ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, parts = Found(buckets), []
+        block: list[tuple] = []
+        group: dict[bytes, tuple] = {}
+        size, last = 0, None
+
+        def close() -> None:
+            """The group's segments, cut to what they share, join the block."""
+            nonlocal size
+            if len(group) > 1:
+                rows = list(group.items())
+                at = [REACH - 1 - r[1][2] for r in rows]
+                left = shared([s[:p][::-1] for (s, _), p in zip(rows, at)])
+                right = shared([s[p + K :] for (s, _), p in zip(rows, at)])
+                for (s, (doc, span, _, skipped)), p, x, y in zip(rows, at, left, right):
+                    if x + K + y >= LENGTH:
+                        block.append((doc, span, skipped + p - x, s[p - x : p + K + y]))
+                        size += x + K + y
+            group.clear()
+
+        def flush() -> None:
+            nonlocal size
+            if len({r[0] for r in block}) > 1:
+                for (doc, span, skipped, _), owners in zip(block, window_owners([r[3] for r in block], [r[0] for r in block])):
+                    parts.extend((doc, span, skipped + a, skipped + b) for a, b in runs(owners < doc))
+            block.clear()
+            size = 0
+
+        def send(least: int) -> Iterator[pa.RecordBatch]:
+            if len(parts) > least:
+                a = np.array(parts, np.int64).reshape(-1, 4)
+                found.add(PART, a[:, 0], a[:, 1].copy().view(np.uint64), np.ascontiguousarray(a[:, 2:].astype("<u2")).view(np.uint8))
+                parts.clear()
+                yield from found.flush()
+
+        for batch in batches:
+            for key, doc, span, at, skipped, segment in zip(*(batch[c].to_pylist() for c in _SEGMENT.names[:-1])):
+                if key != last:
+                    close()
+                    if size >= block_bytes:
+                        flush()
+                    last = key
+                first = group.setdefault(segment, (doc, span, at, skipped))
+                if first[0] < doc:  # all of it stands in a smaller document
+                    parts.append((doc, span, skipped, skipped + len(segment)))
+            yield from send(50_000)
+        close()
+        flush()
+        yield from send(0)
+
+    return run
+
+
+def whole_parts(buckets: int) -> Callable:
+    """Segments that their tasks have settled, as covered parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = Found(buckets)
+                get = lambda c: batch[c].to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                a = get("skipped").astype(np.int64)
+                b = a + np.array([len(s) for s in batch["segment"].to_pylist()])
+                found.add(PART, get("doc_id"), get("span").view(np.uint64), np.stack((a, b), axis=1).astype("<u2").view(np.uint8))
+                yield from found.flush()
+
+    return run
+
+
+def sorted_parts(segments: DataFrame, buckets: int, scratch: Scratch) -> DataFrame:
+    """Entries of all covered parts of spans."""
+    out, width = None, REACH
+    while True:
+        more = segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_SPANS).select("key") if width > 1 else None
+        n = more.count() if more is not None else 0
+        if n:
+            more = F.broadcast(more) if n <= BROADCAST_KEYS else more
+            large = segments.join(more, "key", "left_semi").select(*_SEGMENT.names)
+            segments = segments.join(more, "key", "left_anti").select(*_SEGMENT.names)
+        blocks = scratch.write(segments.repartition(F.col("key")).sortWithinPartitions("key", "doc_id").mapInArrow(sort_blocks(buckets, BLOCK_BYTES), ENTRY))
+        out = blocks if out is None else out.union(blocks)
+        if not n:
+            return out
+        width = -(-width // 3)
+        segments = scratch.write(large.mapInArrow(split(width), SEGMENT), 5_000)
+        out = out.union(segments.where("done").mapInArrow(whole_parts(buckets), ENTRY))
+        segments = segments.where("not done")
+
+
+# -- 3: what stays ---------------------------------------------------------------
+
+
+def ranges_of(raw: bytes, entries: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the united ranges that a document's entries cover."""
+    _, own, start, end, _ = spans(raw)
+    a = b = np.empty(0, np.int64)
+    if AGAIN in entries:
+        some = np.isin(own, entries[AGAIN][0])
+        a, b = start[some], end[some]
+    if PART in entries:
+        ids, more = entries[PART]
+        order = np.argsort(own, kind="stable")
+        low, high = (np.searchsorted(own[order], ids, side) for side in ("left", "right"))
+        row = np.repeat(np.arange(len(ids)), high - low)
+        at = start[order[np.repeat(low - np.concatenate(([0], np.cumsum(high - low)[:-1])), high - low) + np.arange(len(row))]] if len(row) else np.empty(0, np.int64)
+        a, b = np.concatenate((a, at + more[row, 0])), np.concatenate((b, at + more[row, 1]))
+    if not len(a):
+        return a, b
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.concatenate(([True], a[1:] > b[:-1]))
+    return a[new], b[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(b) - 1]))]
 
 
 def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds what is left, as bytes."""
-    ranges = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
-
-    def run(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": batch["doc_id"], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-        for text, some in zip(batch["text"], batch["ranges"]):
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    scratch = Scratch(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(BUCKETS[0], 1 << (size // BUCKET_BYTES).bit_length()), BUCKETS[1])
+    met = scratch.write(docs.mapInArrow(cut_spans(buckets, WIDE), ENTRY).repartition(F.col("bucket"), F.col("kind")).sortWithinPartitions("kind", "bucket").mapInArrow(meet(buckets), ENTRY))
+    segments = scratch.write(at_documents(docs, met.where(F.col("kind") == RIM), buckets, segments_of, SEGMENT), 5_000)
+    parts = scratch.write(sorted_parts(segments, buckets, scratch))
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text
+    )
+
+    def cleaned(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = 0
+        for doc, text, entries in rows:
             raw = (text or "").encode("utf-8", "surrogatepass")
-            parts, removed, n = kept_parts(raw, [(r["start"], r["start"] + r["size"]) for r in some or []])
-            kept = b"".join(parts)
-            for k, v in (("n_bytes", len(raw)), ("n_removed", removed), ("n_spans", n), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept)):
-                out[k].append(v)
-        return out
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return map_columns(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ranges, "doc_id", "left"), run, schema)
+            a, b = ranges_of(raw, entries) if entries else (np.empty(0, np.int64),) * 2
+            kept = b"".join([raw[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(raw)])])
+            out.append((doc, len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept)[: len(schema)])
+            held += len(kept)
+            if len(out) >= 2_000 or (with_text and held >= 1 << 24):
+                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out)))), schema=schema)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*out)))), schema=schema)
+
+    entries = met.where(F.col("kind") == AGAIN).unionByName(parts)
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    return scratch.last(at_documents(docs, entries, buckets, cleaned, result))

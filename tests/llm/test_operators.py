@@ -232,11 +232,28 @@ def brute_repeats(texts, n=50):
     return out
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
-def test_repeats(docs, monkeypatch, limit):
-    monkeypatch.setattr(repeats, "BLOCK_SPANS", limit)  # 1: every anchor takes the way of large ones
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.deduplicate(docs).collect()}
-    assert got == brute_repeats(texts_of(docs))
+@pytest.mark.parametrize(("spans", "wide"), [(1000, 32), (2, 1), (0, 0)])
+def test_repeats(docs, spark, monkeypatch, spans, wide):
+    """Also with every anchor dealt out again by fewer windows, and with none sent on span by span."""
+    monkeypatch.setattr(repeats, "BLOCK_SPANS", spans)
+    monkeypatch.setattr(repeats, "WIDE", wide)
+    passage = prose(77, 12)
+    hot = [(100 + k, f"{prose(200 + k, 12)}{passage}{prose(300 + k, 12)}", "en", "s", 0, "") for k in range(30)]
+    more = docs.union(spark.createDataFrame(hot, docs.schema))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.deduplicate(more).collect()}
+    assert got == brute_repeats(texts_of(more))
+
+
+def test_repeats_of_odd_rows(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (1, b), (2, a), (2, "zz " + b), (2, a), (None, a), (None, b), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in repeats.deduplicate(df).collect())
+    n, m = len(a), len(b)
+    assert got == sorted([(1, n, 0), (1, m, 0), (2, n, n), (2, n, n), (2, m + 3, m), (0, n, 0), (0, m, 0), (3, 0, 0), (4, 0, 0)])
+    assert repeats.deduplicate(df.limit(0)).isEmpty()
+    kept = {bytes(r["kept"]) for r in repeats.deduplicate(df.where("doc_id = 2 or doc_id = 1"), with_text=True).collect()}
+    assert kept == {a.encode(), b.encode(), b"", b"zz "}
 
 
 def test_pages(spark):
