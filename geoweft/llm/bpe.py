@@ -4,11 +4,14 @@ A word's symbols form a doubly linked list; a heap holds the merge rank of each
 adjacent pair, and an entry whose symbols have changed since it was pushed is
 skipped when it is popped. Words repeat, so their codes are kept, within a bound.
 
-Characters are letters, numbers or white space as Python's Unicode data has them;
-those that a later Unicode assigns count as symbols.
+Letters and numbers are those of the tokenizers library's Unicode data, which is
+asked once a worker; characters that Python's older data doesn't know are
+normalised by the library too.
 
 Nulls and empty texts have no tokens and decode to an empty text. Special
 tokens written out in a text are recognised, as the tokenizer file asks for.
+Repeated rows each get their ids, also under one doc_id or none; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,22 +40,52 @@ ID_BITS, POS_BITS = 20, 40
 ID_MASK, POS_MASK = (1 << ID_BITS) - 1, (1 << POS_BITS) - 1
 
 
+def ranges(points: list[tuple[int, int]]) -> str:
+    """Ranges of code points, ends included, as they stand inside brackets."""
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in points)
+
+
 @functools.cache
 def classes() -> dict[str, str]:
     """The marks of character classes in a tokenizer's pattern, and the ranges that they stand for inside brackets."""
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    point = lambda i: i if i < 0xD800 else i + 0x800
     out = {r"\s": SPACES}
-    for kind in "LN":
-        ranges: list[list[int]] = []
-        for i in range(0x110000):
-            if unicodedata.category(chr(i))[0] == kind:
-                if ranges and ranges[-1][1] == i - 1:
-                    ranges[-1][1] = i
-                else:
-                    ranges.append([i, i])
-        out[rf"\p{{{kind}}}"] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+    for mark in (r"\p{L}", r"\p{N}"):
+        found = pre_tokenizers.Split(Regex(mark + "+"), "removed", invert=True).pre_tokenize_str(every)
+        out[mark] = ranges([(point(a), point(b - 1)) for _, (a, b) in found])
     return out
 
 
+@functools.cache
+def unassigned() -> re.Pattern:
+    """Characters that Python's Unicode data doesn't know."""
+    found: list[list[int]] = []
+    for i in range(0x110000):
+        if unicodedata.category(chr(i)) == "Cn":
+            if found and found[-1][1] == i - 1:
+                found[-1][1] = i
+            else:
+                found.append([i, i])
+    return re.compile(f"[{ranges(found)}]")
+
+
+@functools.cache
+def normalizer():
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
+def folded(text: str) -> str:
+    """NFC and lower case. Each character is lower-cased for itself, so a capital sigma never takes its final form."""
+    if not text.isascii() and unassigned().search(text):
+        return normalizer().normalize_str(text)
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte: itself where Latin-1 prints it, else the next code point from 256 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -156,9 +189,7 @@ class WordBpe:
                 if part in self.special:
                     out.append((np.array([self.special[part]], "<u4").tobytes(), part))
                 elif part:
-                    # each character is lower-cased for itself, so a capital sigma never takes its final form
-                    low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                    out += map(self.word_codes, self.word.findall(low))
+                    out += map(self.word_codes, self.word.findall(folded(part)))
             got = out[0] if len(out) == 1 else (b"".join([x[0] for x in out]), " ".join([x[1] for x in out]))
             self.chunks.put(chunk, got)
         return got

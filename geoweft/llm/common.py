@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import gc
 import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -43,13 +45,48 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
+#: Rows of a few columns that may be broadcast: about 10 MB.
+BROADCAST_ROWS = 200_000
+#: Parts of each key where a table is too large for that.
+SALTS = 16
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``left`` with the one row of ``right`` for each value of ``key``.
+
+    A small right side is broadcast, by its count. A larger one is repeated for each of SALTS parts of a key, so that no value of any
+    frequency gathers in one task.
+    """
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    salt = unused("salt", left, right)
+    many = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn(salt, F.pmod(F.xxhash64(*left.columns[:8], F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).join(many, [key, salt], how).drop(salt)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that no frame has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; sets a local one only where none is configured."""
+    """The shared folder for checkpoints, as the session names it. In a local session that names none it is a temporary folder; elsewhere it must be set."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(given or "/tmp/geoweft-checkpoints")
-    return given or "/tmp/geoweft-checkpoints"
+    have = sc._jsc.sc().getCheckpointDir()
+    if have.isEmpty():
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
+    return given or sc._jsc.sc().getCheckpointDir().get()
 
 
 def collect_garbage(spark: SparkSession) -> None:

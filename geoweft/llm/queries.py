@@ -20,17 +20,16 @@ def vocabulary_path() -> str:
 
 
 def document_path() -> Column:
-    """A path for each document, which the table lacks: by source, then by number in two levels; the first of 64 is their licence file."""
+    """A path for each document, which the table lacks: by source, then by number in two levels; the first of 64 is their licence file. A row without an id has none."""
     i = F.col("doc_id")
     name = F.when(i % 64 == 0, F.lit("LICENSE")).otherwise(F.concat(i.cast("string"), F.lit(".txt")))
-    return F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("doc_id div 1024").cast("string"), F.expr("doc_id div 64").cast("string"), name)
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("doc_id div 1024").cast("string"), F.expr("doc_id div 64").cast("string"), name)
+    return F.when(i.isNotNull(), path)
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", document_path().alias("path"), "text")
-    found = licenses.scan(docs)
-    ids = docs.select("doc_id", "path")
-    return ids.join(found, "path")
+    return licenses.scan(docs)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

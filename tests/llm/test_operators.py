@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from geoweft.llm import bpe, components, decontam, extract, langid, licenses, neardup, pii, quality, repeats, warc
 from geoweft.llm.htmltree import visible_text
@@ -63,8 +64,8 @@ def test_quality_bits_policies_and_ablation(docs, spark):
 TOKENIZER = bpe.tokenizer(vocabulary_path())
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(st.characters(exclude_categories=["Cn", "Cs"]), max_size=40) | st.text("abc'sdtreΣİ́ \x1c\x85<|endoftext>", max_size=40))
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=40) | st.text("\u1c89\ua7cb\ua7da\U000105c0\U000105d2\u0307\U00010d50\U00011f5a\u0897Aa1 ", max_size=12) | st.text("abc'sdtreΣİ́ \x1c\x85<|endoftext>", max_size=40))
 def test_bpe_is_the_library(text):
     from tokenizers import Tokenizer
 
@@ -74,6 +75,18 @@ def test_bpe_is_the_library(text):
     assert TOKENIZER.decode(want) == lib.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_knows_every_character():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary_path())
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(chars), 50_000):
+        texts = [f"a{c}b1{c}" for c in chars[i : i + 50_000]]
+        want = lib.encode_batch(texts, add_special_tokens=False)
+        bad = [t for t, w in zip(texts, want) if TOKENIZER.encode(t) != w.ids]
+        assert not bad
+
+
 def test_bpe_query(docs):
     rows = {r["doc_id"]: r for r in bpe.encode(docs, vocabulary_path(), with_ids=True).collect()}
     for i, t in texts_of(docs).items():
@@ -315,3 +328,49 @@ def test_licenses(spark):
     assert got["a/b/y.txt"] == ("Apache-2.0", "Apache-2.0", "a/b/y.txt")
     assert got["a/b/c/d/z"] == (None, "GPL-3.0", "a/b/c/COPYING.txt")
     assert got["q/z"] == got["q/long"] == (None, None, None) and len(got) == len(rows)
+    assert got[None] == ("MIT", "MIT", None)
+
+
+def test_licenses_of_odd_rows(spark, monkeypatch):
+    from geoweft.llm import common
+
+    mit, gpl = "// SPDX-License-Identifier: MIT", "This program is free software; you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version."
+    rows = [("d/LICENSE", mit, 1), ("d/LICENSE", mit, 2), ("d/x", "", 3), ("d/x", "", 3), ("d/x", gpl, 4), (None, gpl, 5), (None, None, 6), ("e/COPYING", gpl, 7), ("e/f", "  # spdx-license-identifier: Apache-2.0", 8)]
+    df = spark.createDataFrame(rows, "path string, text string, text_id long").withColumn("dir", F.lit(1)).withColumn("licence", F.lit(2))
+    for most in (200_000, 0):  # broadcast, and salted
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        got = sorted((r["text_id"], r["own_licence"], r["licence"], r["licence_from"]) for r in licenses.scan(df).collect())
+        assert got == [
+            (1, "MIT", "MIT", "d/LICENSE"), (2, "MIT", "MIT", "d/LICENSE"), (3, None, "MIT", "d/LICENSE"), (3, None, "MIT", "d/LICENSE"), (4, "GPL-2.0", "GPL-2.0", "d/x"),
+            (5, "GPL-2.0", "GPL-2.0", None), (6, None, None, None), (7, "GPL-2.0", "GPL-2.0", "e/COPYING"), (8, "Apache-2.0", "Apache-2.0", "e/f"),
+        ]
+    assert licenses.scan(df.limit(0)).isEmpty()
+
+
+def test_licence_cosines_are_those_of_brute_force(spark):
+    """Every text's best cosine over its lines and paragraphs, computed apart."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(8)
+    sentences = [t for _, t in licenses.TEMPLATES]
+    texts = []
+    for k in range(60):
+        words = licenses.words_of(rng.choice(sentences))
+        texts.append(prose(k, 20) + "\n" + " ".join(w for w in words if rng.random() < 0.8) + " " + prose(k + 1, rng.randint(0, 8)) + "\n\n" + rng.choice(("", rng.choice(sentences))))
+    df = spark.createDataFrame([(f"p{k}", t) for k, t in enumerate(texts)], "path string, text string")
+    got = {r["path"]: (r["own_licence"], r["cosine"]) for r in licenses.scan(df).collect()}
+    n = len(texts)
+    holds = Counter(w for t in texts for w in set(licenses.words_of(t)) if w in licenses.VOCABULARY)
+    idf = lambda w: math.log((n + 1) / (holds[w] + 1)) + 1
+    vector = lambda text: {w: c * idf(w) for w, c in Counter(licenses.words_of(text)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for k, t in enumerate(texts):
+        best = (0.0, 0, None)
+        for unit in [*t.split("\n"), *re.split(r"\n[ \t\r]*\n", t)]:
+            if any(c in unit.lower() for c in licenses.CUES) and licenses.words_of(unit):
+                v = vector(unit)
+                for j, (name, sentence) in enumerate(licenses.TEMPLATES):
+                    w = vector(sentence)
+                    best = max(best, (round(sum(x * w.get(y, 0) for y, x in v.items()) / norm(v) / norm(w), 9), -j, name), key=lambda b: b[:2])
+        assert got[f"p{k}"] == ((best[2], pytest.approx(best[0], abs=2e-9)) if best[0] >= licenses.LEAST else (None, None)), k
