@@ -1,14 +1,19 @@
 """Language identification with bit-sliced Bloom filters over character n-grams.
 
 Slot ``i`` of the filter holds a bit mask of languages, so one look-up of an
-n-gram (the AND of its slots) returns every language whose model holds it. A
-text's score for a language is the share of its n-grams found there, corrected
-for the share that its filter finds by chance; the largest share decides.
-
-A language's model is its ``top`` most frequent n-grams in a bounded sample of
-labelled rows (``sample`` rows a language, picked by a hash of doc_id). Null or
-letterless texts get ``und`` and score 0, as do all texts when nothing is
-labelled. Ties go to the language with more labelled rows, then to its name.
+n-gram (the AND of its slots) returns every language whose model holds it. Masks
+are as many words of 64 bits as the languages need. A text's score for a language
+is the share of its n-grams found there, corrected for the share that its filter
+finds by chance; the largest share decides.
+
+A language's model is every n-gram of its rows in a bounded sample of labelled
+rows (``sample`` rows a language, and ``share`` of its n-grams' occurrences, the
+most frequent first: what hardly occurs tells languages apart least and would
+fill the filter). The filter grows with what it holds: BITS slots an n-gram, up
+to MOST_SLOTS. Null or letterless texts get ``und`` and score 0, as do all texts
+when nothing is labelled; empty tables give none. Ties go to the language with
+more labelled rows, then to its name. Repeated rows each get their answer, null
+doc_ids are kept, further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +28,11 @@ from pyspark.sql import functions as F
 from geoweft.llm.common import map_columns
 
 SAMPLE = 3000
-TOP = 6000
-SLOTS = 1 << 19
+#: Of the occurrences of a language's n-grams, those that its model covers.
+SHARE = 0.98
+#: Slots for each n-gram of the model; at most, 64 MB with one word a mask.
+BITS, MOST_SLOTS = 8, 1 << 23
 HASHES = 3
-LANGUAGES = 64
 LENGTHS = (2, 3, 4)
 
 
@@ -59,47 +65,55 @@ def ngrams(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def slots(codes: np.ndarray, n_slots: int = SLOTS, hashes: int = HASHES) -> list[np.ndarray]:
+def slots(codes: np.ndarray, n_slots: int, hashes: int = HASHES) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         a, b = codes * np.uint64(0xD6E8FEB86659FD93), (codes ^ (codes >> np.uint64(32))) * np.uint64(0xCA5A826395121157)
         return [((a + np.uint64(k) * (b | np.uint64(1))) >> np.uint64(40)) % np.uint64(n_slots) for k in range(hashes)]
 
 
 class BitSliced:
-    """masks[i] has the languages that set slot i; chance[l] is the rate at which language l's filter finds any n-gram."""
-
-    def __init__(self, languages: list[str], codes: list[np.ndarray], n_slots: int = SLOTS, hashes: int = HASHES):
-        self.languages, self.n_slots, self.hashes = languages, n_slots, hashes
-        self.masks = np.zeros(n_slots, np.uint64)
-        for bit, own in enumerate(codes):
-            for s in slots(own, n_slots, hashes):
-                self.masks[s] |= np.uint64(1 << bit)
-        self.chance = np.array([np.mean(self.masks >> np.uint64(b) & np.uint64(1)) ** hashes for b in range(len(languages))])
+    """masks[w][i] has, of languages 64 w to 64 w + 63, those that set slot i; chance[l] is the rate at which language l's filter finds any n-gram."""
+
+    def __init__(self, languages: list[str], codes: list[np.ndarray], n_slots: int | None = None, hashes: int = HASHES):
+        self.languages, self.hashes = languages, hashes
+        largest = max(map(len, codes), default=0)
+        self.n_slots = n_slots or min(MOST_SLOTS, 1 << max(16, (BITS * largest).bit_length()))
+        self.masks = np.zeros((-(-len(languages) // 64), self.n_slots), np.uint64)
+        self.chance = np.zeros(len(languages))
+        for k, own in enumerate(codes):
+            word, bit = self.masks[k // 64], np.uint64(1 << k % 64)
+            for s in slots(own, self.n_slots, hashes):
+                word[s] |= bit
+            self.chance[k] = np.mean(word & bit != 0) ** hashes
 
     def query(self, codes: np.ndarray) -> np.ndarray:
-        """The mask of languages of each n-gram."""
-        found = np.full(len(codes), np.iinfo(np.uint64).max, np.uint64)
+        """The mask words (rows) of languages of each n-gram."""
+        found = np.full((len(self.masks), len(codes)), np.iinfo(np.uint64).max, np.uint64)
         for s in slots(codes, self.n_slots, self.hashes):
-            found &= self.masks[s]
+            found &= self.masks[:, s]
         return found
 
+    def holding(self, codes: np.ndarray) -> list[list[str]]:
+        """All languages that hold each n-gram, chance hits among them."""
+        found = self.query(codes)
+        return [[x for k, x in enumerate(self.languages) if int(found[k // 64, i]) >> k % 64 & 1] for i in range(len(codes))]
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not has_letter(text):
             return "und", 0.0
         codes = ngrams(text)
         found = self.query(codes)
-        share = np.array([np.count_nonzero(found >> np.uint64(b) & np.uint64(1)) for b in range(len(self.languages))]) / max(1, len(codes))
+        hits = [np.count_nonzero(found[k // 64] & np.uint64(1 << k % 64)) for k in range(len(self.languages))]
+        share = np.array(hits) / max(1, len(codes))
         share = np.clip((share - self.chance) / np.maximum(1e-9, 1 - self.chance), 0, 1)
         best = int(np.argmax(share))
         return self.languages[best], float(share[best])
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> BitSliced:
-    """Fits the filter to (doc_id, text, lang). The driver gets the row count and ``top`` n-grams of LANGUAGES languages at most."""
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+def learn(labelled: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> BitSliced:
+    """Fits the filter to (doc_id, text, lang). The driver gets a row count and the n-grams of about ``sample`` rows for each language."""
+    labelled = labelled.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and text is not null")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return BitSliced([], [])
     rate = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(sample / r["n"]))))
@@ -118,13 +132,16 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, top: int = TOP) -> BitSlice
         return out
 
     grams = map_columns(labelled.where(pick).select("lang", "text"), count, "lang string, gram long, n long")
-    best = (
-        grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        .withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-        .where(F.col("r") <= top).select("lang", "gram").toPandas()
-    )
+    grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # n-grams of equal counts stay or go together
+    levels = grams.groupBy("lang", "n").agg((F.count("*") * F.col("n")).alias("covers"))
+    w = W.partitionBy("lang")
+    above = F.coalesce(F.sum("covers").over(w.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    levels = levels.withColumns({"above": above, "all": F.sum("covers").over(w)}).where(F.col("above") < share * F.col("all")).groupBy("lang").agg(F.min("n").alias("least"))
+    best = grams.join(F.broadcast(levels), "lang").where("n >= least").select("lang", "gram").toPandas()
+    by = {x: part.gram.to_numpy(np.int64).view(np.uint64) for x, part in best.groupby("lang")}
     languages = [r["lang"] for r in counts]
-    return BitSliced(languages, [best.gram[best.lang == x].to_numpy(np.int64).view(np.uint64) for x in languages])
+    return BitSliced(languages, [by.get(x, np.empty(0, np.uint64)) for x in languages])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -133,7 +150,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: BitSliced) -> DataFrame:
-    """doc_id, lang_pred, score. The model is of fixed size (8 bytes a slot)."""
+    """doc_id, lang_pred, score. The model is of bounded size: 8 bytes a slot and 64 languages, at most MOST_SLOTS slots."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: dict[str, list]) -> dict[str, list]:
