@@ -2,8 +2,9 @@
 
 Follows the usual browser rules where they change what text a page shows: end
 tags that may be missing, misnested formatting, raw text elements, unclosed
-comments and pages that break off. Every scan moves forward only, so the time is
-linear in the page.
+comments and pages that break off. Every scan moves forward only and open
+elements are found by name, so the time is linear in the page, however deep it
+nests.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+CELLS = frozenset(("td", "th", "body"))
 SCOPE = frozenset("html table td th caption button template article section main div body".split())
 
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
@@ -45,7 +47,7 @@ _REST = re.compile(r"[^>]*")
 
 @dataclass
 class Tree:
-    """parent[i] < i; words[i], linked[i]: words of the runs directly in element i, and those of them in links."""
+    """Elements by number, parent[i] < i, with the root at 0; their texts, and what raw elements hold."""
 
     tag: list[str] = field(default_factory=list)
     attrs: list[dict[str, str]] = field(default_factory=list)
@@ -64,7 +66,9 @@ class Tree:
 def parse(page: str | None) -> Tree:
     page = page or ""
     tree = Tree()
-    stack = [tree.add("#root", {}, -1)]
+    stack = [tree.add("#root", {}, -1)]  # open elements, and closed ones that others have been opened in since
+    named: dict[str, list[int]] = {}  # the open elements of each name, innermost last
+    closed: set[int] = set()
     block, i, n = 0, 0, len(page)
     low = None
 
@@ -72,18 +76,27 @@ def parse(page: str | None) -> Tree:
         if text:
             tree.runs.append((block, stack[-1], _html.unescape(text) if "&" in text else text))
 
-    def close_to(depth: int) -> None:
-        del stack[depth:]
+    def settle() -> None:
+        while stack[-1] in closed:
+            closed.discard(stack.pop())
+
+    def close_to(e: int) -> None:
+        """Closes element ``e`` and all that stands in it."""
+        while stack[-1] >= e:
+            x = stack.pop()
+            if x in closed:
+                closed.discard(x)
+            else:
+                named[tree.tag[x]].pop()
+        settle()
+
+    def innermost(names: set[str] | frozenset[str]) -> int:
+        return max((named[x][-1] for x in names if named.get(x)), default=0)
 
     def find(names: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> int:
-        """The depth of the innermost open element of these names, or 0."""
-        for d in range(len(stack) - 1, 0, -1):
-            t = tree.tag[stack[d]]
-            if t in names:
-                return d
-            if t in until:
-                return 0
-        return 0
+        """The innermost open element of these names, or 0 if one of ``until`` stands between."""
+        e = innermost(names)
+        return e if e >= innermost(until) else 0
 
     while i < n:
         j = page.find("<", i)
@@ -119,15 +132,12 @@ def parse(page: str | None) -> Tree:
             if name in BLOCK:
                 if d := find({name}, SCOPE - {name} if name == "p" else frozenset({"html"}) if name in ("body", "html") else frozenset({"body"})):
                     close_to(d)
-            else:
-                for d in range(len(stack) - 1, 0, -1):
-                    if tree.tag[stack[d]] == name:
-                        del stack[d]  # formatting that blocks have been opened in ends without ending them
-                        break
-                    if tree.tag[stack[d]] in ("td", "th", "body"):
-                        break
+            elif d := find({name}, CELLS):
+                closed.add(d)  # formatting that blocks have been opened in ends without ending them
+                named[name].pop()
+                settle()
             continue
-        if name in ("html", "body", "head") and any(tree.tag[s] == name for s in stack):
+        if name in ("html", "body", "head") and named.get(name):
             continue
         if name in CLOSES_P and (d := find({"p"}, SCOPE)):
             close_to(d)
@@ -148,6 +158,7 @@ def parse(page: str | None) -> Tree:
             i = n if end < 0 else end
             continue
         stack.append(e)
+        named.setdefault(name, []).append(e)
     return tree
 
 
