@@ -440,29 +440,42 @@ def sort_blocks(buckets: int, block_bytes: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, parts = Found(buckets), []
-        block: list[tuple] = []
-        group: dict[bytes, tuple] = {}
+        # what is sorted: the bytes, and the spans of their smallest document with the number of bytes before them
+        block: list[tuple[bytes, int, list[tuple[int, int]]]] = []
+        group: dict[tuple[bytes, int], tuple[int, list[tuple[int, int]]]] = {}
         size, last = 0, None
 
+        def join(to: dict, what: tuple, doc: int, spans: list[tuple[int, int]], whole: int) -> None:
+            """Equal bytes at equal places: those of larger documents are covered, the smallest's stay."""
+            least, own = to.setdefault(what, (doc, []))
+            if doc == least:
+                own.extend(spans)
+            else:
+                parts.extend((doc, span, skipped, skipped + whole) for span, skipped in spans)
+
         def close() -> None:
             """The group's segments, cut to what they share, join the block."""
             nonlocal size
             if len(group) > 1:
                 rows = list(group.items())
-                at = [REACH - 1 - r[1][2] for r in rows]
-                left = shared([s[:p][::-1] for (s, _), p in zip(rows, at)])
-                right = shared([s[p + K :] for (s, _), p in zip(rows, at)])
-                for (s, (doc, span, _, skipped)), p, x, y in zip(rows, at, left, right):
+                at = [REACH - 1 - r[0][1] for r in rows]
+                left = shared([s[:p][::-1] for ((s, _), _), p in zip(rows, at)])
+                right = shared([s[p + K :] for ((s, _), _), p in zip(rows, at)])
+                cut: dict[tuple[bytes, int], tuple[int, list[tuple[int, int]]]] = {}
+                for ((s, _), (doc, spans)), p, x, y in zip(rows, at, left, right):
                     if x + K + y >= LENGTH:
-                        block.append((doc, span, skipped + p - x, s[p - x : p + K + y]))
-                        size += x + K + y
+                        join(cut, (s[p - x : p + K + y], x), doc, [(span, skipped + p - x) for span, skipped in spans], x + K + y)
+                if len(cut) > 1:
+                    for (s, _), (doc, spans) in cut.items():
+                        block.append((s, doc, spans))
+                        size += len(s)
             group.clear()
 
         def flush() -> None:
             nonlocal size
-            if len({r[0] for r in block}) > 1:
-                for (doc, span, skipped, _), owners in zip(block, window_owners([r[3] for r in block], [r[0] for r in block])):
-                    parts.extend((doc, span, skipped + a, skipped + b) for a, b in runs(owners < doc))
+            if len({r[1] for r in block}) > 1:
+                for (_, doc, spans), owners in zip(block, window_owners([r[0] for r in block], [r[1] for r in block])):
+                    parts.extend((doc, span, skipped + a, skipped + b) for a, b in runs(owners < doc) for span, skipped in spans)
             block.clear()
             size = 0
 
@@ -480,9 +493,7 @@ def sort_blocks(buckets: int, block_bytes: int) -> Callable:
                     if size >= block_bytes:
                         flush()
                     last = key
-                first = group.setdefault(segment, (doc, span, at, skipped))
-                if first[0] < doc:  # all of it stands in a smaller document
-                    parts.append((doc, span, skipped, skipped + len(segment)))
+                join(group, (segment, at), doc, [(span, skipped)], len(segment))
             yield from send(50_000)
         close()
         flush()
@@ -522,7 +533,7 @@ def sorted_parts(segments: DataFrame, buckets: int, scratch: Scratch) -> DataFra
         if not n:
             return out
         width = -(-width // 3)
-        segments = scratch.write(large.mapInArrow(split(width), SEGMENT), 5_000)
+        segments = scratch.write(large.mapInArrow(split(width), SEGMENT))
         out = out.union(segments.where("done").mapInArrow(whole_parts(buckets), ENTRY))
         segments = segments.where("not done")
 
@@ -559,7 +570,7 @@ def deduplicate(docs: DataFrame, with_text: bool = False) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(max(BUCKETS[0], 1 << (size // BUCKET_BYTES).bit_length()), BUCKETS[1])
     met = scratch.write(docs.mapInArrow(cut_spans(buckets, WIDE), ENTRY).repartition(F.col("bucket"), F.col("kind")).sortWithinPartitions("kind", "bucket").mapInArrow(meet(buckets), ENTRY))
-    segments = scratch.write(at_documents(docs, met.where(F.col("kind") == RIM), buckets, segments_of, SEGMENT), 5_000)
+    segments = scratch.write(at_documents(docs, met.where(F.col("kind") == RIM), buckets, segments_of, SEGMENT))
     parts = scratch.write(sorted_parts(segments, buckets, scratch))
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text
