@@ -6,7 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,17 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows in an Arrow batch. Texts can be very long, so batches hold few of them.
+#: Rows of an Arrow batch that are taken at once. Spark bounds a batch's bytes, but what is made of its texts can be larger.
 BATCH_ROWS = 256
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package and keeps Arrow batches small."""
+    """Lets Python workers import this package."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
@@ -38,13 +37,25 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch.to_pydict())
+            for i in range(0, batch.num_rows, BATCH_ROWS):
+                out = fn(batch.slice(i, BATCH_ROWS).to_pydict())
                 yield pa.RecordBatch.from_pydict({f.name: out[f.name] for f in arrow}, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def streamed(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+    """Runs ``fn`` over the rows of each task, one Arrow batch at a time; it yields columns as lists."""
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))))
+        for out in fn(rows):
+            yield pa.RecordBatch.from_pydict({f.name: out[f.name] for f in arrow}, schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 #: Rows of a few columns that may be broadcast: about 10 MB.
 BROADCAST_ROWS = 200_000
 #: Parts of each key where a table is too large for that.
@@ -108,37 +119,32 @@ def cut(df: DataFrame) -> DataFrame:
 class Scratch:
     """Intermediate Parquet tables of one call in the shared folder: as safe from lost executors as checkpoints, and smaller.
 
-    ``drop`` removes those that are no longer read, ``last`` writes a result and removes all others.
+    ``forget`` removes one that is no longer read; ``last`` writes a result and removes all others.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths = spark, {}
 
-    def write(self, df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
-        before = self.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    def write(self, df: DataFrame) -> DataFrame:
         path = f"{checkpoint_dir(self.spark)}/geoweft-{uuid.uuid4().hex}"
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-        self.paths.append(path)
+        df.write.parquet(path)
         schema = df.schema
         del df
         collect_garbage(self.spark)
-        return self.spark.read.schema(schema).parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
 
-    def drop(self, n: int | None = None) -> None:
-        """Removes the first ``n`` tables, or all."""
-        n = len(self.paths) if n is None else n
-        for path in self.paths[:n]:
-            remove(self.spark, path)
-        del self.paths[:n]
+    def forget(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(self.spark, self.paths.pop(id(t))[0])
 
     def last(self, df: DataFrame) -> DataFrame:
-        n = len(self.paths)
+        before = list(self.paths.values())
         out = self.write(df)
-        self.drop(n)
+        for path, _ in before:
+            remove(self.spark, path)
+        self.paths = {}
         return out
 
 
@@ -149,6 +155,6 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def written(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, for callers that return it unread."""
-    return Scratch(df.sparkSession).write(df, batch_rows)
+    return Scratch(df.sparkSession).write(df)
