@@ -6,7 +6,7 @@ smallest value as a register: its number of leading zeros and ten mantissa bits.
 Four registers, packed in 64 bits, are a part's band key. At a similarity of 0.85
 a pair meets in no band with a probability of about 1e-10.
 
-1. Texts with equal sets become one class, represented by its smallest id.
+1. Texts with equal sets become one class.
 2. Classes that share a band key are a bucket. Its hub is the member whose
    buckets are fullest, the text that the others are copies of, and is tried
    against all others: a group of n near copies costs about n trials.
@@ -18,8 +18,15 @@ a pair meets in no band with a probability of about 1e-10.
    off), then the full sets: linked are 100 * intersection >= percent * union.
 4. Links and classes give components.
 
-A null or empty text has an empty set and stands alone. Ties don't matter: the
-smallest id always represents. Further columns are ignored.
+A hub's trials are dealt out in parts of PART pairs and its blocks block by block,
+so that no group is one task's.
+
+A null or empty text has an empty set and stands alone. The smallest doc_id names
+its component, and a row is kept if it has that doc_id; a component without any
+doc_id has no name, and the rows of one text in it, the text of the smallest hash,
+are kept, as are all without words. Rows repeated with one doc_id or with none are
+classified each for itself; ``keep_one`` keeps one of them. Further columns are
+ignored, or kept by ``keep_one``. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import cut, map_columns, written
+from geoweft.llm.common import Scratch, lookup, map_columns
 from geoweft.llm.components import components
 from geoweft.llm.shingles import shingle_set
 
@@ -42,6 +49,8 @@ CHANCE = 0.169919487159739093975315012348
 SIGMAS = 6
 #: Members up to which a group's pairs are made; members of a block beyond.
 SMALL, BLOCK = 32, 128
+#: Pairs of one text that a task takes; rows of a class beyond which its answer is broadcast to them.
+PART, MANY = 1_000, 1_000
 
 _rng = np.random.default_rng(20240601)
 _XOR = _rng.integers(0, 2**64, BANDS, np.uint64)
@@ -74,10 +83,10 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[float, int]:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit digest and its band keys (null for an empty set)."""
+    """doc_id, text_hash, n_shingles, the set's 128-bit digest and its band keys (null for an empty set)."""
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": batch["doc_id"], "n_shingles": [], "digest": [], "bands": []}
+        out: dict[str, list] = {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": [], "digest": [], "bands": []}
         for text in batch["text"]:
             codes = shingle_set(text, width)
             out["n_shingles"].append(len(codes))
@@ -85,16 +94,24 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             out["bands"].append(registers(codes).view(np.int64)[:, 0].tolist() if len(codes) else None)
         return out
 
-    return map_columns(docs, run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return map_columns(docs, run, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>")
+
+
+def paired(pairs: DataFrame, data: DataFrame) -> DataFrame:
+    """The pairs (a, b) with what ``data`` (rep, ...) has of both, as a_... and b_...; a text of many pairs is dealt out in parts."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    x = lookup(pairs, parts, "a").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    side = lambda c: data.select(*(F.col(k).alias(c if k == "rep" else f"{c}_{k}") for k in data.columns))
+    left = lookup(side("a"), parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return x.join(left, ["a", "part"]).join(side("b"), "b").drop("part")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose registers allow a similarity of the threshold."""
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bands").alias(f"bands_{c}"))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"a": [], "b": []}
-        for a, b, n, m, x, y in zip(*(batch[c] for c in ("a", "b", "n_a", "n_b", "bands_a", "bands_b"))):
+        for a, b, n, m, x, y in zip(*(batch[c] for c in ("a", "b", "a_n", "b_n", "a_bands", "b_bands"))):
             if 100 * min(n, m) < percent * max(n, m):
                 continue
             j, k = estimate(np.array(x, np.int64).view(np.uint16), np.array(y, np.int64).view(np.uint16), n, m)
@@ -104,16 +121,15 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 out["b"].append(b)
         return out
 
-    return map_columns(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long")
+    return map_columns(paired(pairs, reps.select("rep", "n", "bands")), run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those that are linked by their full sets (rep, codes)."""
-    side = lambda c: sets.select(F.col("rep").alias(c), F.col("codes").alias(f"codes_{c}"))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"a": [], "b": []}
-        for a, b, x, y in zip(*(batch[c] for c in ("a", "b", "codes_a", "codes_b"))):
+        for a, b, x, y in zip(*(batch[c] for c in ("a", "b", "a_codes", "b_codes"))):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= percent * (len(x) + len(y) - both):
@@ -121,54 +137,67 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out["b"].append(b)
         return out
 
-    return map_columns(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long")
+    return map_columns(paired(pairs, sets), run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    def run(batch: dict[str, list]) -> dict[str, list]:
-        return {"rep": batch["doc_id"], "codes": [shingle_set(t, width).tobytes() for t in batch["text"]]}
+class Texts:
+    """The texts behind classes. A class's text is found by a doc_id and a hash, which name one row unless rows repeat."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, width: int, repeated: bool):
+        self.docs, self.reps, self.width, self.repeated = docs, reps, width, repeated
 
-    return map_columns(docs, run, "rep long, codes binary")
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(rep, codes) of the classes in ``ids`` (rep)."""
+        width = self.width
 
+        def run(batch: dict[str, list]) -> dict[str, list]:
+            return {"rep": batch["rep"], "codes": [shingle_set(t, width).tobytes() for t in batch["text"]]}
 
-def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    return shingle_sets(docs.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+        at = self.reps.join(ids.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("at.doc_id").alias("d"), F.col("at.text_hash").alias("h"))
+        texts = self.docs.join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("rep", "text")
+        if self.repeated:
+            texts = texts.groupBy("rep").agg(F.min("text").alias("text"))
+        return map_columns(texts, run, "rep long, codes binary")
 
 
-def tried(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+def tried(pairs: DataFrame, texts: Texts, percent: int, scratch: Scratch) -> DataFrame:
     """The links among the pairs (a, b)."""
-    pairs = cut(likely(pairs, reps, percent))
-    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
-    return cut(verified(pairs, sets_of(needed, docs, width), percent))
+    some = scratch.write(likely(pairs, texts.reps, percent))
+    needed = some.select(F.col("a").alias("rep")).union(some.select(F.col("b").alias("rep")))
+    links = scratch.write(verified(some, texts.sets(needed), percent))
+    scratch.forget(some)
+    return links
 
 
-def across(groups: DataFrame, label: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+def across(groups: DataFrame, label: DataFrame, texts: Texts, percent: int, scratch: Scratch) -> DataFrame:
     """Links between components that a hub's trials have left apart, from groups (hub, rep)."""
     named = label.withColumnsRenamed({"id": "rep"})
     all_ = groups.union(groups.select("hub", F.col("hub").alias("rep")).distinct())
-    state = all_.join(named, "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("component"))
-    about = state.groupBy("hub").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("hub", "n")
-    state = cut(state.join(about, "hub"))
+    state = scratch.write(all_.join(named, "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("component")))
+    about = state.groupBy("hub").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("component"))).alias("of"))
+    state = scratch.write(lookup(state, about.where("x < y").select("hub", "n", "of"), "hub", "inner"))
 
     small = state.where(F.col("n") <= SMALL).select("hub", "rep", "component")
-    other = small.select("hub", F.col("rep").alias("b"), F.col("component").alias("of"))
-    pairs = small.join(other, "hub").where("rep < b and component <> of and rep <> hub and b <> hub").select(F.col("rep").alias("a"), "b").distinct()
-    links = tried(pairs, docs, reps, width, percent)
+    other = small.select("hub", F.col("rep").alias("b"), F.col("component").alias("c"))
+    pairs = small.join(other, "hub").where("rep < b and component <> c and rep <> hub and b <> hub").select(F.col("rep").alias("a"), "b").distinct()
+    links = tried(pairs, texts, percent, scratch)
 
     large = state.where(F.col("n") > SMALL)
     if large.isEmpty():
         return links
-    center = large.where("rep = hub").select("hub", F.col("component").alias("of"))
-    placed = large.join(center, "hub").join(sets_of(large, docs, width), "rep")
-    placed = written(placed.select("hub", "rep", "component", "codes", (F.col("component") != F.col("of")).alias("apart"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).alias("block")))
-    block = placed.groupBy("hub", "block").agg(F.collect_list(F.struct("rep", "component", "codes")).alias("v"))
-    apart = placed.where("apart").groupBy("hub", "block").agg(F.collect_list(F.struct("rep", "component", "codes")).alias("u")).drop("block")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = large.select("hub", "rep", "component", (F.col("component") != F.col("of")).alias("apart"), blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
+    placed = scratch.write(placed.join(texts.sets(large), "rep"))
+    members = F.collect_list(F.struct("rep", "component", "codes"))
+    v = placed.groupBy("hub", "block").agg(members.alias("v"))
+    u = placed.where("apart").groupBy("hub", F.col("block").alias("own"), "blocks").agg(members.alias("u"))
+    u = u.select("hub", "u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         found = [x for u, v in zip(batch["u"], batch["v"]) for x in joining(u, v, percent)]
         return {"a": [x[0] for x in found], "b": [x[1] for x in found]}
 
-    return links.union(written(map_columns(apart.join(block, "hub").select("u", "v"), run, "a long, b long"), 2))
+    return links.union(scratch.write(map_columns(u.join(v, ["hub", "block"]).select("u", "v"), run, "a long, b long")))
 
 
 def joining(u: list[dict], v: list[dict], percent: int) -> list[tuple[int, int]]:
@@ -205,27 +234,74 @@ def joining(u: list[dict], v: list[dict], percent: int) -> list[tuple[int, int]]
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set), component_id, kept, of (doc_id, text) with distinct ids."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketch = cut(sketches(docs, width))
+def classified(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class_id, component_id, component (its number) and keep, the text hash of the rows that stay where no doc_id tells: one row for each of docs (doc_id, text, text_hash)."""
+    sketch = scratch.write(sketches(docs, width))
     full = sketch.where(F.col("digest").isNotNull())
-    reps = cut(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
+    # a class has a number, which stays once it is written
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    reps = full.groupBy("digest").agg(F.min(at).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    reps = scratch.write(reps.withColumn("rep", F.monotonically_increasing_id()))
+    repeated = not full.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    texts = Texts(docs, reps, width, repeated)
 
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     met = banded.join(shared, ["band", "key"]).groupBy("rep").agg(F.collect_set(F.xxhash64("band", "key")).alias("buckets"), F.sum("size").alias("score"))
-    members = cut(met).select("rep", "score", F.explode("buckets").alias("bucket"))  # a class is in BANDS buckets at most
+    met = scratch.write(met)
+    members = met.select("rep", "score", F.explode("buckets").alias("bucket"))  # a class is in BANDS buckets at most
     hubs = members.groupBy("bucket").agg(F.max_by("rep", F.struct(F.col("score"), -F.col("rep"))).alias("hub"))
-    groups = cut(members.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct())
+    groups = scratch.write(members.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct())
 
-    links = tried(groups.select(F.col("hub").alias("a"), F.col("rep").alias("b")), docs, reps, width, percent)
-    more = across(groups, components(links), docs, reps, width, percent)
-    label = components(links.union(more))
+    links = tried(groups.select(F.col("hub").alias("a"), F.col("rep").alias("b")), texts, percent, scratch)
+    more = across(groups, components(links, scratch), texts, percent, scratch)
+    label = components(links.union(more), scratch).withColumnRenamed("id", "rep")
 
-    classes = reps.select("digest", "rep").join(label, F.col("rep") == F.col("id"), "left").select("digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    tied = reps.select("rep", "digest", "at", "copies").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    first = label.select("component").distinct().join(tied, "component").groupBy("component").agg(F.min("at").alias("first"))
+    tied = tied.join(first, "component", "left").withColumn("first", F.coalesce("first", "at"))
+    classes = tied.select(
+        "digest", F.col("at.doc_id").alias("class_id"), F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("keep"), "component", "copies"
+    )
+    # classes of many rows reach them by broadcast, so that none of them is one task's
+    out = lookup(sketch.drop("bands"), classes.where(F.col("copies") > MANY).drop("copies"), "digest")
+    done = F.col("component").isNotNull() | F.col("digest").isNull()
+    known, rest = out.where(done), out.where(~done).drop("class_id", "component_id", "keep", "component")
+    out = known.unionByName(rest.join(classes.drop("copies"), "digest"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "component", "keep")
 
 
+def prepared(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+
+
+KEPT = "coalesce(doc_id = component_id, component_id is null and (keep is null or keep = text_hash))"
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest id with the same set), component_id, kept: one row for each of (doc_id, text)."""
+    scratch = Scratch(docs.sparkSession)
+    found = classified(prepared(docs), width, percent, scratch)
+    return scratch.last(found.select("doc_id", "n_shingles", "class_id", "component_id", F.expr(KEPT).alias("kept")))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that are kept, one where rows repeat: the first text by hash of a doc_id, any of equal rows."""
+    scratch = Scratch(docs.sparkSession)
+    found = classified(prepared(docs), width, percent, scratch).where(KEPT)
+    # a doc_id with several texts in one component keeps one of them; texts without words are all kept
+    one = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("text_hash", "doc_id")).alias("x"), F.count("*").alias("rows"))
+    one = one.select(F.col("x.doc_id").alias("d"), F.col("x.text_hash").alias("h"), "rows")
+    none = found.where(F.col("component").isNull()).groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.lit(1).cast("long").alias("rows"))
+    kept = scratch.last(one.union(none))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    at = {c.lower(): n for c, n in zip(docs.columns, names)}
+    same = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce(F.col(at["text"]).cast("string"), F.lit(""))) == F.col("h"))
+    out = plain.join(kept.where("rows = 1"), same, "left_semi")
+    several = kept.where("rows > 1")
+    if not several.isEmpty():
+        twice = plain.join(several, same, "left_semi").withColumn("h", F.xxhash64(at["text"]))
+        out = out.union(twice.dropDuplicates([at["doc_id"], "h"]).drop("h"))
+    return out.toDF(*docs.columns)
