@@ -2,33 +2,45 @@
 
 A seed is a fixed mask over consecutive tokens; tokens at its gaps don't count,
 so a hit survives substitutions there. Hashes of the benchmark's tokens under
-each mask are looked up for every position of every text; a hit gives an item
-and a diagonal, along which item and text are then compared token by token. The
-best-scoring stretch around the hits (a match counts 1, a substitution -2) is a
-leak if it has ``least`` matching tokens, or all of a shorter item.
+each mask are joined with those of the texts; a hit gives an item and a diagonal,
+along which item and text are then compared token by token. The best-scoring
+stretch (a match counts 1, a substitution -2) is a leak if it has ``least``
+matching tokens; an item below LONG tokens leaks where four fifths of it match.
+
+Most hashes of a text are no item's. A bit table of the items' hashes, of a size
+that is bounded whatever the benchmark's, lets the others pass: only these, with
+the tokens of their texts, are written and joined. Stretches travel, not texts,
+and no hash, item or text of any frequency is one task's.
 
 Tokens are runs of letters, digits and other characters above ASCII, in lower
-case. Items shorter than the longest mask are looked up as a whole, without
-gaps. Null and empty texts and items hold no tokens and leak nothing; repeated
-rows are each reported; further columns are ignored.
+case. Items of fewer than SHORTEST tokens tell nothing and leak nothing; those
+below LONG have shorter masks, which any one substitution leaves a hit. Null and
+empty texts and items hold no tokens; repeated rows are each reported, as are
+rows without ids; further columns are ignored (``contaminated``) or kept
+(``without_contaminated``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import map_columns
+from geoweft.llm.common import BROADCAST_ROWS, Scratch, lookup, map_columns
 from geoweft.llm.shingles import mixed, word_codes
 
 #: Fixed masks; 1 marks tokens that count.
 MASKS = ("11011011", "1110010111", "110100110101", "1111101")
+SHORT_MASKS = ("1111", "11011", "10111", "11101")
+#: Tokens of the shortest item that is looked for, and of those that have the longer masks.
+SHORTEST, LONG = 8, 16
 LEAST = 13
 MISMATCH = 2
-#: Benchmark tokens that are broadcast at once; more are taken in blocks.
-BLOCK_TOKENS = 4_000_000
+#: Bits of the table for each hash, the places that a hash sets, and the most bits (32 MB).
+BITS, PROBES, MOST_BITS = 64, 4, 1 << 28
 
 _DROP = bytes(c for c in range(128) if not chr(c).isalnum())
 _TABLE = bytes.maketrans(_DROP, b" " * len(_DROP))
@@ -44,7 +56,7 @@ def seed_hashes(codes: np.ndarray, mask: str) -> np.ndarray:
     n = len(codes) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.full(n, len(mask), np.uint64)
+    h = np.full(n, int(mask, 2), np.uint64)
     with np.errstate(over="ignore"):
         for k, bit in enumerate(mask):
             if bit == "1":
@@ -54,52 +66,75 @@ def seed_hashes(codes: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_for(n: int) -> tuple[str, ...]:
-    return MASKS if n >= max(map(len, MASKS)) else ("1" * n,) if n else ()
-
-
-class Index:
-    """Seed hashes of a block of items, sorted, with a bit table before them."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.codes = [tokens(t) for _, t in items]
-        self.ids = [i for i, _ in items]
-        self.masks = sorted({m for c in self.codes for m in masks_for(len(c))})
-        found = [
-            (h, np.full(len(h), k), np.arange(len(h)), np.full(len(h), self.masks.index(m)))
-            for k, c in enumerate(self.codes) for m in masks_for(len(c)) for h in [seed_hashes(c, m)]
-        ]
-        self.hash, self.item, self.at, self.mask = (np.concatenate([f[j] for f in found]) if found else np.empty(0, np.uint64) for j in range(4))
-        order = np.argsort(self.hash, kind="stable")
-        self.hash, self.item, self.at, self.mask = self.hash[order], self.item[order], self.at[order], self.mask[order]
-        self.bits = max(16, int(len(self.hash)).bit_length() + 4)
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[self.hash >> np.uint64(64 - self.bits)] = True
-
-    def diagonals(self, codes: np.ndarray) -> set[tuple[int, int]]:
-        """(item, text position - item position) of every hit."""
-        out: set[tuple[int, int]] = set()
-        for k, mask in enumerate(self.masks):
-            h = seed_hashes(codes, mask)
-            at = np.flatnonzero(self.table[h >> np.uint64(64 - self.bits)])
-            lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-            for i, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
-                out.update((int(self.item[j]), i - int(self.at[j])) for j in range(a, b) if self.mask[j] == k)
+    return MASKS if n >= LONG else SHORT_MASKS if n >= SHORTEST else ()
+
+
+def needed(n: int, least: int = LEAST) -> int:
+    """Matching tokens that make a leak of an item of n tokens."""
+    return least if n >= LONG else min(least, -(-4 * n // 5))
+
+
+def seeds(items: DataFrame) -> DataFrame:
+    """item, n (its tokens), at, mask, hash: a row for each seed of each item."""
+
+    def run(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("item", "n", "at", "mask", "hash")}
+        for item, codes in zip(batch["item"], batch["codes"]):
+            codes = np.frombuffer(codes, np.uint64)
+            for mask in masks_for(len(codes)):
+                h = seed_hashes(codes, mask)
+                for c, v in (("item", [item] * len(h)), ("n", [len(codes)] * len(h)), ("at", range(len(h))), ("mask", [mask] * len(h)), ("hash", h.view(np.int64).tolist())):
+                    out[c] += v
         return out
 
-    def leaks(self, text: str | None, least: int = LEAST) -> list[tuple[int, int, int, int]]:
-        """(item id, first token, end token, matching tokens) of the best leak of each item, by item id."""
-        codes = tokens(text)
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for item, d in sorted(self.diagonals(codes)):
-            own = self.codes[item]
-            a, b = max(0, d), min(len(codes), d + len(own))
-            start, end, same = stretch(codes[a:b] == own[a - d : b - d])
-            if same >= min(least, len(own)):
-                i = self.ids[item]
-                found = (same, -(a + start), -(a + end), i)
-                if i not in best or found > best[i]:
-                    best[i] = found
-        return [(i, -s, -e, n) for i, (n, s, e, _) in sorted(best.items())]
+    return map_columns(items, run, "item long, n int, at int, mask string, hash long")
+
+
+class BitTable:
+    """Finds hashes that may be an item's: all of PROBES bits are set."""
+
+    def __init__(self, bits: int):
+        self.bits, self.words = bits, np.zeros(bits // 64, np.uint64)
+
+    def slots(self, h: np.ndarray, probe: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed(h + np.uint64(probe) * _MUL) & np.uint64(self.bits - 1)
+
+    def filtered(self, h: np.ndarray) -> np.ndarray:
+        """The positions of such hashes."""
+        at = np.arange(len(h))
+        for probe in range(PROBES):
+            s = self.slots(h[at], probe)
+            at = at[self.words[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1) != 0]
+        return at
+
+
+def bit_table(rows: DataFrame) -> BitTable:
+    """The table of the hashes in ``rows``; its words are united on the executors, and at most MOST_BITS reach the driver."""
+    n = rows.count()
+    table = BitTable(min(MOST_BITS, 1 << max(12, (BITS * n - 1).bit_length())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch["hash"].to_numpy().view(np.uint64)
+            s = np.unique(np.concatenate([table.slots(h, probe) for probe in range(PROBES)]))
+            word, bit = (s >> np.uint64(6)).astype(np.int64), np.uint64(1) << (s & np.uint64(63))
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.empty(0, np.int64)
+            bits = np.bitwise_or.reduceat(bit, first) if len(first) else bit
+            yield pa.RecordBatch.from_pydict({"word": word[first], "bits": bits.view(np.int64)}, schema=pa.schema([("word", pa.int64()), ("bits", pa.int64())]))
+
+    words = rows.select("hash").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    part = words.toPandas()
+    table.words[part["word"].to_numpy(np.int64)] = part["bits"].to_numpy(np.int64).view(np.uint64)
+    return table
+
+
+def overlap(same: np.ndarray, n: int) -> tuple[int, int, int]:
+    """The start, end and matches of what counts along a diagonal of an item of n tokens."""
+    if n >= LONG:
+        return stretch(same)
+    at = np.flatnonzero(same)
+    return (int(at[0]), int(at[-1]) + 1, len(at)) if len(at) else (0, 0, 0)
 
 
 def stretch(same: np.ndarray) -> tuple[int, int, int]:
@@ -111,29 +146,79 @@ def stretch(same: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """doc_id, text_hash, item_id, start_token, end_token, n_matching: each item's best leak into each row that it leaks into."""
+    codes = lambda b: {"item": b["item"], "item_id": b["item_id"], "codes": [tokens(t).tobytes() for t in b["text"]]}
+    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = scratch.write(map_columns(items, codes, "item long, item_id long, codes binary"))
+    of_items = scratch.write(seeds(items))
+    masks = [r["mask"] for r in of_items.select("mask").distinct().collect()]  # of the fixed ones
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(of_items))
+
+    def hits(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("doc_id", "text_hash", "codes", "seeds")}
+        for doc, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
+            own = tokens(text)
+            found = []
+            for mask in masks:
+                h = seed_hashes(own, mask)
+                at = table.value.filtered(h)
+                found += [{"hash": x, "p": p} for x, p in zip(h[at].view(np.int64).tolist(), at.tolist())]
+            if found:
+                for c, v in (("doc_id", doc), ("text_hash", text_hash), ("codes", own.tobytes()), ("seeds", found)):
+                    out[c].append(v)
+        return out
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    rows = map_columns(rows, hits, "doc_id long, text_hash long, codes binary, seeds array<struct<hash:long,p:int>>")
+    rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()))  # written, a row keeps its number
+    # what an item's hash is of: a row for each hash, as long as the items are many that share it
+    at_hash = of_items.groupBy("hash").agg(F.collect_set(F.struct("item", "n", "at")).alias("of"))
+    met = lookup(rows.select("row", F.explode("seeds").alias("s")).select("row", "s.hash", "s.p"), at_hash, "hash", "inner")
+    met = met.select("row", "p", F.explode("of").alias("of")).select("row", "of.item", "of.n", (F.col("p") - F.col("of.at")).alias("d")).distinct()
+
+    def along(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("row", "item", "first", "skipped", "part")}
+        for row, own, diagonals in zip(batch["row"], batch["codes"], batch["diagonals"]):
+            size = len(own) // 8
+            for x in diagonals:
+                a, b = max(0, x["d"]), min(size, x["d"] + x["n"])
+                for c, v in (("row", row), ("item", x["item"]), ("first", a), ("skipped", a - x["d"]), ("part", own[8 * a : 8 * b])):
+                    out[c].append(v)
+        return out
+
+    diagonals = met.groupBy("row").agg(F.collect_list(F.struct("item", "n", "d")).alias("diagonals"))
+    parts = map_columns(rows.select("row", "codes").join(diagonals, "row"), along, "row long, item long, first int, skipped int, part binary")
+
+    def compared(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("row", "item_id", "item", "start_token", "end_token", "n_matching")}
+        for row, item, item_id, first, skipped, part, whole in zip(*(batch[c] for c in ("row", "item", "item_id", "first", "skipped", "part", "codes"))):
+            x, y = np.frombuffer(part, np.uint64), np.frombuffer(whole, np.uint64)
+            start, end, same = overlap(x == y[skipped : skipped + len(x)], len(y))
+            if same >= needed(len(y), least):
+                for c, v in zip(out, (row, item_id, item, first + start, first + end, same)):
+                    out[c].append(v)
+        return out
+
+    found = map_columns(lookup(parts, items, "item", "inner"), compared, "row long, item_id long, item long, start_token long, end_token long, n_matching long")
+    best = F.min_by(F.struct("item_id", "start_token", "end_token", "n_matching"), F.struct(-F.col("n_matching"), "start_token", "end_token"))
+    found = found.groupBy("row", "item").agg(best.alias("b")).join(rows.select("row", "doc_id", "text_hash"), "row")
+    return found.select("doc_id", "text_hash", "b.item_id", "b.start_token", "b.end_token", "b.n_matching")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, start_token, end_token, n_matching): each item's best leak into each text that it leaks into."""
-    n_tokens = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    chars = benchmark.agg(F.sum(n_tokens)).first()[0] or 0
-    blocks = int(chars) // (2 * block_tokens) + 1  # a token takes two characters at least, with what parts it
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = None
-    for k in range(blocks):
-        part: pd.DataFrame = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toPandas()
-        index = Index([(None if i is None or i != i else int(i), t) for i, t in zip(part.item_id, part.text)])
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batch: dict[str, list], shared=shared) -> dict[str, list]:
-            rows = [(d, *x) for d, t in zip(batch["doc_id"], batch["text"]) for x in shared.value.leaks(t, least)]
-            return dict(zip(("doc_id", "item_id", "start_token", "end_token", "n_matching"), map(list, zip(*rows)) if rows else [[]] * 5))
-
-        found = map_columns(docs, run, "doc_id long, item_id long, start_token long, end_token long, n_matching long")
-        out = found if out is None else out.union(found)
-    return out
+    scratch = Scratch(docs.sparkSession)
+    return scratch.last(leaks(docs, benchmark, least, scratch).drop("text_hash"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` into which no item leaks."""
-    leaked = contaminated(docs, benchmark, least).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession)
+    leaked = scratch.last(leaks(docs, benchmark, least, scratch).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct())
+    leaked = F.broadcast(leaked) if leaked.count() <= BROADCAST_ROWS else leaked
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = {c.lower(): n for c, n in zip(docs.columns, names)}
+    same = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce(F.col(at["text"]).cast("string"), F.lit(""))) == F.col("h"))
+    return docs.toDF(*names).join(leaked, same, "left_anti").toDF(*docs.columns)

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from geoweft.llm import bpe, components, decontam, extract, langid, licenses, neardup, pii, quality, repeats, warc
+from geoweft.llm import bpe, common, components, decontam, extract, langid, licenses, neardup, pii, quality, repeats, warc
 from geoweft.llm.htmltree import visible_text
 from geoweft.llm.queries import vocabulary_path
 from geoweft.llm.shingles import shingle_set
@@ -113,15 +113,35 @@ def linked_components(texts, width, percent):
     return {i: top(i) for i in sets}
 
 
-@pytest.mark.parametrize("small", [32, 2])
-def test_near_duplicates(docs, monkeypatch, small):
+@pytest.mark.parametrize(("small", "part"), [(32, 1000), (2, 2)])
+def test_near_duplicates(docs, monkeypatch, small, part):
+    """Also with every group taken for a large one, every hub dealt out in parts, and every table too large to broadcast."""
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "PART", part)
+    monkeypatch.setattr(neardup, "MANY", part)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 200_000 if part > 2 else 0)
     rows = {r["doc_id"]: r for r in neardup.near_duplicates(docs, 3, 85).collect()}
     want = linked_components(texts_of(docs), 3, 85)
     assert {i: r["component_id"] for i, r in rows.items()} == want
     assert all(r["kept"] == (r["component_id"] == i) for i, r in rows.items())
 
 
+def test_near_duplicates_of_odd_rows(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(3, a), (3, a), (5, a + " end"), (None, a), (3, b), (None, b + " end"), (None, "only here " + prose(9, 30)), (None, "only here " + prose(9, 30)), (7, None), (7, ""), (None, None), (8, "x"), (8, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit(1), "digest": F.lit("z"), "kept": F.monotonically_increasing_id()})
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, 3, 85).collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(got, key=key) == sorted(
+        [(3, 78, 3, True)] * 3 + [(5, 79, 3, False), (None, 78, 3, False), (None, 79, 3, False)] + [(None, 30, None, True)] * 2 + [(7, 0, 7, True)] * 2 + [(None, 0, None, True)] + [(8, 1, 8, True)] * 2, key=key
+    )
+    kept = neardup.keep_one(df, 3, 85)
+    assert kept.columns == df.columns
+    left = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=lambda r: (r[0] or 0, r[1] or ""))
+    assert left == sorted([(3, a), (3, b), (7, None), (7, ""), (None, rows[6][1]), (None, None), (8, "x"), (8, "x y")], key=lambda r: (r[0] or 0, r[1] or ""))
+    assert neardup.near_duplicates(df.limit(0)).isEmpty() and neardup.keep_one(df.limit(0)).isEmpty()
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(1)
     for n, common in ((40, 34), (500, 450), (3000, 1500)):
@@ -135,7 +155,7 @@ def test_sketch_estimates():
 
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    got = {r["id"]: r["component"] for r in components.components(edges).collect()}
+    got = {r["id"]: r["component"] for r in components.components(edges, common.Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
@@ -151,16 +171,83 @@ def test_language(spark):
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (900, 901, 902))
     assert all(r["lang_pred"] == "und" for r in langid.identify(df, langid.learn(df.limit(0))).collect())
     codes = langid.ngrams("abcde")
-    assert (langid.BitSliced(["a", "b"], [codes, codes[:2]]).query(codes[:2]) & np.uint64(3) == 3).all()
+    model = langid.BitSliced(["a", "b"], [codes, codes[:2]])
+    assert all(set(x) == {"a", "b"} for x in model.holding(codes[:2])) and all("a" in x for x in model.holding(codes))
+
+
+def test_many_languages(spark):
+    """More languages than a mask word has bits, each with letters of its own; the filters hold what a set would."""
+    letters = [chr(0x4E00 + 7 * k) + chr(0x4E01 + 7 * k) + "e" for k in range(70)]
+    rng = random.Random(4)
+    rows = [(70 * i + k, " ".join("".join(rng.choice(own) for _ in range(6)) for _ in range(30)), f"l{k:02}") for k, own in enumerate(letters) for i in range(6)]
+    df = spark.createDataFrame([*rows, rows[0], (None, rows[1][1], "l00")], "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash"))
+    train = df.where(~langid.held_out(df.doc_id))
+    model = langid.learn(train, share=1.0)
+    got = [(r["doc_id"], r["lang_pred"]) for r in langid.identify(df, model).collect()]
+    lang = {i: x for i, _, x in rows} | {None: "l00"}
+    assert len(got) == len(rows) + 2 and all(p == lang[i] for i, p in got)
+    sets = defaultdict(set)
+    for r in train.collect():
+        sets[r["lang"]] |= set(langid.ngrams(r["text"]).tolist())
+    some = langid.ngrams(rows[5][1])
+    for code, found in zip(some.tolist(), model.holding(some)):
+        assert {x for x, s in sets.items() if code in s} <= set(found)
+
+
+def brute_leaks(texts, items):
+    """Every diagonal of every pair, whether a seed hits there or not."""
+    out = set()
+    for i, t in texts:
+        own = decontam.tokens(t)
+        for k, u in items:
+            want = decontam.tokens(u)
+            best = 0
+            for d in range(-len(want), len(own)) if len(want) >= decontam.SHORTEST else ():
+                a, b = max(0, d), min(len(own), d + len(want))
+                if b > a:
+                    best = max(best, decontam.overlap(own[a:b] == want[a - d : b - d], len(want))[2])
+            if best and best >= decontam.needed(len(want)):
+                out.add((i, k))
+    return out
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", most)
     rng = random.Random(3)
-    items = [(k, prose(50 + k, 30)) for k in range(5)] + [(7, "tiny item here"), (8, None), (9, "")]
+    items = [(k, prose(50 + k, 30)) for k in range(5)] + [(7, "tiny item"), (8, None), (9, ""), (None, prose(59, 40)), (10, prose(60, 12)), (11, prose(61, 8)), (12, "The"), (13, "more of a tiny item here"), (4, prose(54, 30))]
     spoilt = [w if rng.random() > 0.12 else "zz" for w in items[0][1].split()]
-    rows = [(1, prose(90, 50) + " " + items[1][1].upper() + ". " + prose(91, 20)), (2, " ".join(spoilt)), (3, prose(92, 300)), (4, None), (5, ""), (6, "a tiny item here!"), (7, items[2][1][: len(items[2][1]) // 4])]
-    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_tokens=100)
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1), (2, 0), (6, 7)}
+    one = lambda text, k: " ".join("zz" if j == k else w for j, w in enumerate(text.split()))
+    rows = [
+        (1, prose(90, 50) + " " + items[1][1].upper() + ". " + prose(91, 20)), (2, " ".join(spoilt)), (3, prose(92, 300)), (4, None), (5, ""), (6, "a tiny item here!"),
+        (7, items[2][1][: len(items[2][1]) // 4]), (None, "x " + items[8][1]), (8, "well, " + one(items[9][1], 5) + " then"), (9, one(items[10][1], 3)), (9, "nothing of that"), (10, items[4][1]), (10, items[4][1]),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "h": F.lit("x"), "item_id": F.lit(2)})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("codes", F.lit(1))
+    got = [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, bench).collect()]
+    assert set(got) == brute_leaks(rows, items) == {(1, 1), (2, 0), (None, None), (8, 10), (9, 11), (10, 4)} and len(got) == 5 + 4
+    kept = decontam.without_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(((r[0], r[1]) for r in kept.collect()), key=repr) == sorted([r for r in rows if r[0] in (3, 4, 5, 6, 7) or r[1] == "nothing of that"], key=repr)
+    assert decontam.contaminated(df, bench.limit(0)).isEmpty() and decontam.contaminated(df.limit(0), bench).isEmpty()
+
+
+def test_any_one_substitution_is_tolerated():
+    for n in range(decontam.SHORTEST, 40):
+        codes = np.arange(1, n + 1, dtype=np.uint64)
+        for k in range(n):
+            other = codes.copy()
+            other[k] = 0
+            assert any((decontam.seed_hashes(codes, m) == decontam.seed_hashes(other, m)).any() for m in decontam.masks_for(n)), (n, k)
+            assert decontam.overlap(codes == other, n)[2] >= decontam.needed(n) or n == decontam.LONG
+
+
+def test_a_header_that_many_items_and_texts_share(spark):
+    head = prose(5, 8)
+    items = [(k, f"{head} {prose(100 + k, 20)}") for k in range(300)]
+    rows = [(k, f"{head} {prose(900 + k, 40)}") for k in range(200)] + [(1000, items[7][1])]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"))
+    assert [(r["doc_id"], r["item_id"]) for r in got.collect()] == [(1000, 7)]
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -317,6 +404,52 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.digest(bytes(text["block"])) in text["headers"]
 
 
+def archive(*records):
+    return b"".join(b"WARC/1.0\r\n" + head.replace("\n", "\r\n").encode("iso-8859-1") + f"\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n" for head, block in records)
+
+
+def test_warc_reads_ordinary_archives(spark, tmp_path):
+    import gzip
+
+    page = "<title>Ti</title><p>caf\xe9".encode("iso-8859-1")
+    http = lambda body, *lines: "\r\n".join(["HTTP/1.1 200 OK", *lines]).encode("iso-8859-1") + b"\r\n\r\n" + body
+    chunks = b"5\r\nhello\r\n4;x=1\r\n you\r\n0\r\n\r\n"
+    data = archive(
+        ("warc-type: response\nwarc-record-id: <urn:a>\nWARC-Date: d1\nWARC-Target-URI: http://x/\xe9", http(page, "content-type: text/html; charset=iso-8859-1", "Set-Cookie: a", "Set-Cookie: b", "X-Long: one", " two")),
+        ("WARC-Type: response\nWARC-Record-ID: <urn:b>\nWARC-Date: d2", http(b"<p>hi", "Content-Type: text/html; charset=undefined")),
+        ("WARC-Type: response\nWARC-Target-URI: u", http(chunks, "Content-Type: text/plain", "Transfer-Encoding: chunked")),
+        ("WARC-Type: response\nWARC-Record-ID: <urn:d>", http(gzip.compress(b"<p>zip</p>"), "Content-Type: text/html", "Content-Encoding: gzip")),
+        ("WARC-Type: response\nWARC-Record-ID: <urn:e>", http(b"\x89PNG<p>not text</p>", "Content-Type: image/png")),
+        ("WARC-Type: response\nWARC-Record-ID: <urn:f>", http(b"<p>plain", "Content-Type: text/html; charset=hex", "Content-Encoding: gzip", "Transfer-Encoding: chunked")),
+        ("WARC-Type: warcinfo\nWARC-Concurrent-To: <urn:g>\nwarc-concurrent-to: <urn:h>", b"x: y"),
+        ("WARC-Type: response\nWARC-Record-ID: <urn:i>", b""),
+    )
+    (tmp_path / "a.warc").write_bytes(data + b"WARC/1.0\r\nContent-Length: 99999999999999\r\n\r\nbroken off")
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, (data[:700], data[700:]))) + gzip.compress(data)[:-300])
+    records = warc.read_files(spark, str(tmp_path / "a.warc"))
+    assert records.count() == 8 and warc.read_files(spark, str(tmp_path / "b.warc.gz")).count() >= 8
+    made = warc.derivatives(records).collect()
+    text = {r["refers_to"]: bytes(r["block"]).decode() for r in made if r["record_type"] == "conversion"}
+    assert text == {"<urn:a>": "caf\xe9", "<urn:b>": "hi", None: "hello you", "<urn:d>": "zip", "<urn:f>": "plain", "<urn:i>": ""}
+    about = {r["refers_to"]: __import__("json").loads(bytes(r["block"])) for r in made if r["record_type"] == "metadata"}
+    response = about["<urn:a>"]["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]
+    assert response["Headers"][1:] == [["Set-Cookie", "a"], ["Set-Cookie", "b"], ["X-Long", "one two"]] and response["HTML-Metadata"]["Head"]["Title"] == "Ti"
+    assert len(about) == 7 and "<urn:e>" not in text
+    back = [r for f in warc.files(records, rows_a_file=3).collect() for r in warc.read(bytes(f["content"]))]
+    assert sorted(r["block"] for r in back) == sorted(bytes(r["block"]) for r in records.collect())
+    assert any(r["headers"].get("WARC-Concurrent-To") == ["<urn:g>", "<urn:h>"] for r in back)
+    assert warc.files(records, rows_a_file=3).count() >= 3
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for page in ("<b>" * 170_000 + "</i>" * 120_000, "<b>" * 100_000 + "<li>x" * 140_000, "<div>" * 90_000 + "</p>" * 100_000, "<p><b>" * 140_000):
+        start = time.process_time()
+        assert len(visible_text(page)) >= 0
+        assert time.process_time() - start < 20
+
+
 def test_licenses(spark):
     rows = [
         ("a/LICENSE", "Released under the MIT License."), ("a/b/x.txt", "nothing here"), ("a/b/y.txt", "text\nLicensed under the Apache License, Version 2.0.\nmore"),
@@ -332,8 +465,6 @@ def test_licenses(spark):
 
 
 def test_licenses_of_odd_rows(spark, monkeypatch):
-    from geoweft.llm import common
-
     mit, gpl = "// SPDX-License-Identifier: MIT", "This program is free software; you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version."
     rows = [("d/LICENSE", mit, 1), ("d/LICENSE", mit, 2), ("d/x", "", 3), ("d/x", "", 3), ("d/x", gpl, 4), (None, gpl, 5), (None, None, 6), ("e/COPYING", gpl, 7), ("e/f", "  # spdx-license-identifier: Apache-2.0", 8)]
     df = spark.createDataFrame(rows, "path string, text string, text_id long").withColumn("dir", F.lit(1)).withColumn("licence", F.lit(2))
