@@ -211,22 +211,23 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds the ids and the decoded text."""
+def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds the ids, with_text the decoded text."""
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         t = tokenizer(path)
         out: dict[str, list] = {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
         for text in batch["text"]:
             p = t.pieces(text or "")
-            ids, decoded = b"".join(x[0] for x in p), " ".join(x[1] for x in p)
+            ids, decoded = b"".join([x[0] for x in p]), " ".join([x[1] for x in p])
             out["n_tokens"].append(len(ids) // 4)
             out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
             if with_ids:
-                out["ids"].append(np.frombuffer(ids, "<u4").tolist())
+                out["ids"].append(np.frombuffer(ids, "<i4"))
+            if with_text:
                 out["decoded"].append(decoded)
         return out
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return map_columns(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)

@@ -12,8 +12,8 @@ how likely a text with t holds e, PMI takes the lower end of its Wilson interval
 (``z`` standard errors): no count is too small to reveal, but the fewer texts
 speak for a pair, the fewer may speak against it. A term that one text alone
 holds reveals a name in that text only (from about 200 texts on); one more text
-with it elsewhere holds it back (up to about a million). Sanitising generalises base spans to their kind and removes
-terms.
+with it elsewhere holds it back (up to about a million). Sanitising generalises
+base spans to their kind and removes terms.
 
 Everything is DataFrame functions. Patterns are written so that Java's matcher
 neither recurses nor tries a run from each of its characters: quantifiers are
@@ -22,7 +22,8 @@ where the last match ended, which is where a leftmost match starts anyway.
 
 A null or empty text has no spans. Copies of a text count once as evidence, and
 repeated rows each get their spans; a null doc_id is a value like any other;
-further columns are ignored (``find``) or kept (``sanitise``).
+further columns are ignored (``find``) or kept (``sanitise``), whatever their
+names. An empty table has no spans.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import cut, written
+from geoweft.llm.common import BROADCAST_ROWS, Scratch
 
 # The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -54,8 +55,6 @@ Z = 0.8416
 #: A term's least length.
 TERM_LENGTH = 3
 TERM = r"[\p{L}\p{N}]+"
-#: Revealing terms, and ids of texts, that may be broadcast: about 10 MB.
-BROADCAST_TERMS = 200_000
 BLOCK = 64
 
 
@@ -168,7 +167,7 @@ def outside(docs: DataFrame) -> DataFrame:
 
 def small(df: DataFrame) -> DataFrame:
     """``df``, broadcast if it has few rows, so that no text on the other side is shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def words(rows: DataFrame, *columns: str) -> DataFrame:
@@ -191,16 +190,16 @@ def least(part: Column, whole: Column, z: float) -> Column:
     return (p + w / 2 - z * F.sqrt(p * (1 - p) / whole + w / whole / 4)) / (1 + w)
 
 
-def revealing(rows: DataFrame, alpha: float = ALPHA, z: float = Z) -> DataFrame | None:
+def revealing(rows: DataFrame, scratch: Scratch, alpha: float = ALPHA, z: float = Z) -> DataFrame | None:
     """term: those over the disclosure threshold for some entity; None if no text holds an entity."""
     names = rows.where(F.size("base") > 0).select("text_id", F.explode(F.transform("base", lambda b: b["entity"])).alias("entity")).distinct()
     # entities of the same texts disclose alike: one stands for all, so that a log of many addresses isn't paired with its words for each
     alike = [F.count("*").alias("df_e"), F.bit_xor("text_id").alias("x"), F.bit_xor(F.xxhash64("text_id", F.lit(1))).alias("y")]
     one = names.groupBy("entity").agg(*alike).groupBy("df_e", "x", "y").agg(F.min("entity").alias("entity")).select("entity", "df_e")
-    names = cut(names.join(one, "entity"))
+    names = scratch.write(names.join(one, "entity"))
     if names.isEmpty():
         return None
-    copies = cut(rows.groupBy("text_id").agg(F.count("*").alias("n_rows")))
+    copies = scratch.write(rows.groupBy("text_id").agg(F.count("*").alias("n_rows")))
     n = float(copies.count())
     ic = F.log(F.lit(n) / F.col("df_e"))
     # df_te is at most df_e: terms of more texts than this can't reach the threshold
@@ -212,13 +211,13 @@ def revealing(rows: DataFrame, alpha: float = ALPHA, z: float = Z) -> DataFrame
     pairs = met.join(names, "text_id").where(F.col("df_t") <= F.col("most"))
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("df_te"), F.first("df_t").alias("df_t"), F.first("df_e").alias("df_e"))
     pmi = F.log(least(F.col("df_te"), F.col("df_t"), z) * n / F.col("df_e"))
-    return cut(pairs.where(pmi >= alpha * ic).select("term").distinct())
+    return scratch.write(pairs.where(pmi >= alpha * ic).select("term").distinct())
 
 
-def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
+def term_spans(rows: DataFrame, terms: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_id, terms: every occurrence of ``terms`` in every row."""
     found = words(rows.select("text_id", "rest"), "text_id")
-    found = cut(found.join(small(terms), "term", "left_semi").distinct())
+    found = scratch.write(found.join(small(terms), "term", "left_semi").distinct())
     x = rows.select("doc_id", "text_id", "rest").join(small(found.select("text_id").distinct()), "text_id", "left_semi").dropDuplicates(["doc_id", "text_id"])
     x = x.withColumn("m", F.regexp_extract_all("rest", F.lit(TERM), F.lit(0))).withColumn("g", F.split("rest", TERM, -1))
     x = x.withColumn("l", lengths(F.col("m"), F.col("g")))
@@ -232,15 +231,16 @@ def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, alpha: float = ALPHA, z: float = Z) -> DataFrame:
     """doc_id, text_id, spans: every span as (start, rank, kind, stop), sorted; base ones first among equals."""
-    rows = written(outside(docs))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(outside(docs))
     plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["kind"].alias("kind"), b["stop"].alias("stop")))
     out = rows.select("doc_id", "text_id", plain.alias("base"))
-    found = revealing(rows, alpha, z)
+    found = revealing(rows, scratch, alpha, z)
     if found is None:
-        return out.select("doc_id", "text_id", F.col("base").alias("spans"))
-    terms = term_spans(rows, found).withColumnsRenamed({"doc_id": "d", "text_id": "t"})
+        return scratch.last(out.select("doc_id", "text_id", F.col("base").alias("spans")))
+    terms = term_spans(rows, found, scratch).withColumnsRenamed({"doc_id": "d", "text_id": "t"})
     out = out.join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_id") == F.col("t")), "left")
-    return out.select("doc_id", "text_id", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+    return scratch.last(out.select("doc_id", "text_id", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms"))).alias("spans")))
 
 
 def joined(spans: Column) -> Column:
@@ -270,8 +270,11 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, z: float = Z) -> DataFrame:
     """``docs`` with spans replaced in ``text``; all else, nulls included, stays as it is."""
     found = find(docs, alpha, z).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_id"])
     found = found.withColumn("stops", F.transform("spans", lambda s: s["stop"])).select(
-        F.col("doc_id").alias("_d"), F.col("text_id").alias("_t"), F.col("spans").alias("_s"), prefixes(F.col("stops"), F.greatest).alias("_h")
+        F.col("doc_id").alias("d"), F.col("text_id").alias("t"), F.col("spans").alias("s"), prefixes(F.col("stops"), F.greatest).alias("h")
     )
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_t"))
-    done = docs.join(found, same, "left").withColumn("text", F.when(F.col("_s").isNotNull(), redacted(F.col("text"), F.col("_s"), F.col("_h"))).otherwise(F.col("text")))
-    return done.select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = {c.lower(): n for c, n in zip(docs.columns, names)}
+    text = F.col(at["text"])
+    same = F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("t"))
+    done = docs.toDF(*names).join(found, same, "left").withColumn(at["text"], F.when(F.col("s").isNotNull(), redacted(text.cast("string"), F.col("s"), F.col("h"))).otherwise(text))
+    return done.select(*names).toDF(*docs.columns)

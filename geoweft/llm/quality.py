@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import map_columns
+from geoweft.llm.common import BATCH_ROWS, map_columns
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -160,13 +160,15 @@ def ablation(rows: DataFrame, policy: tuple[str, int] = CURRENT) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame, policy: tuple[str, int] = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, in one pass and with all their columns."""
+    """The rows of ``docs`` that the policy keeps, with all their columns: the ledger's bits beside each row, in one pass, against the policy's mask."""
     mask = POLICIES[policy] | POLICIES["base", 1]
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                bits = _measure_all({"text": batch["text"].to_pylist()})["fail_bits"]
-                yield batch.filter(pa.array((bits & mask) == 0))
+            for i in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(i, BATCH_ROWS)
+                bits = _measure_all({"text": part.column(at).cast(pa.string()).to_pylist()})["fail_bits"]
+                yield part.filter(pa.array((bits & mask) == 0))
 
     return docs.mapInArrow(run, docs.schema)

@@ -88,7 +88,7 @@ def test_bpe_knows_every_character():
 
 
 def test_bpe_query(docs):
-    rows = {r["doc_id"]: r for r in bpe.encode(docs, vocabulary_path(), with_ids=True).collect()}
+    rows = {r["doc_id"]: r for r in bpe.encode(docs, vocabulary_path(), with_ids=True, with_text=True).collect()}
     for i, t in texts_of(docs).items():
         ids = TOKENIZER.encode(t)
         assert rows[i]["ids"] == ids and rows[i]["decoded"] == TOKENIZER.decode(ids)
@@ -284,6 +284,70 @@ def test_personal_data(spark):
     assert clean[0] is None and "quixby" not in clean[first] and "[EMAIL]" in clean[first] and clean[len(rows) - 1] == rows[-1][1]
 
 
+def brute_spans(texts):
+    """All spans of each text by the definitions: document frequencies over distinct texts, Wilson's bound, PMI against IC."""
+    from math import log, sqrt
+
+    kinds = {t: base_spans(t) for t in texts}
+    entities, words = {}, {}
+    for t, spans in kinds.items():
+        rest, entities[t] = list(t), set()
+        for s in spans:
+            kind, a, b = s.split(":")
+            v = t[int(a) : int(b)]
+            entities[t].add(f"{kind}:{v.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', v)}")
+            rest[int(a) : int(b)] = " " * (int(b) - int(a))
+        words[t] = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", "".join(rest))]
+    n, z = len(kinds), pii.Z
+    df_e, df_t, both = defaultdict(int), defaultdict(int), defaultdict(int)
+    for t in kinds:
+        own = {w for w, _, _ in words[t] if len(w) >= pii.TERM_LENGTH}
+        for e in entities[t]:
+            df_e[e] += 1
+        for w in own:
+            df_t[w] += 1
+            for e in entities[t]:
+                both[w, e] += 1
+    reveal = set()
+    for (w, e), k in both.items():
+        p, x = k / df_t[w], z * z / df_t[w]
+        low = (p + x / 2 - z * sqrt(p * (1 - p) / df_t[w] + x / df_t[w] / 4)) / (1 + x)
+        if df_e[e] < n and log(low * n / df_e[e]) >= pii.ALPHA * log(n / df_e[e]):
+            reveal.add(w)
+    out = {}
+    for t, spans in kinds.items():
+        rank = list(pii.KINDS)
+        every = [s.split(":") for s in spans] + [["term", a, b] for w, a, b in words[t] if w in reveal]
+        out[t] = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(every, key=lambda s: (int(s[1]), rank.index(s[0]))))
+    return out, reveal
+
+
+def test_terms_are_those_of_brute_force(spark):
+    rng = random.Random(12)
+    common_words = [prose(700 + k, 1) for k in range(60)]
+    people = [(f"name{chr(97 + k)}x", f"{chr(97 + k)}x@corp.example.com" if k % 2 else f"+1 (017) 555-{7000 + k}") for k in range(12)]
+    texts = []
+    for k in range(900):
+        t = " ".join(rng.choices(common_words, k=rng.randint(5, 30)))
+        if rng.random() < 0.3:
+            name, address = rng.choice(people)
+            t += f" {name} writes from {address} " * (rng.random() < 0.8) + f" so {name.upper()} says" * (rng.random() < 0.5)
+        texts.append(t)
+    want, reveal = brute_spans(texts)
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[3]), (5, texts[5])], "doc_id long, text string")
+    got = pii.report(pii.find(df)).collect()
+    assert len(got) == len(texts) + 2 and all(r["spans"] == want[texts[3 if r["doc_id"] is None else r["doc_id"]]] for r in got)
+    assert 5 <= len(reveal & {n for n, _ in people}) and not reveal & set(common_words)
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co now", "x", "y"), (None, None, "x", "y"), (1, "", "x", "y"), (1, "mail a@b.co now", "p", "q")], "doc_id long, text string, s string, d string")
+    df = df.withColumns({"t": F.lit(1), "h": F.lit(2), "c0": F.lit(3), "_s": F.lit(4), "spans": F.lit(5), "text_id": F.lit(6)})
+    got = pii.sanitise(df)
+    assert got.columns == df.columns and sorted(("-" if r["text"] is None else r["text"], r["s"]) for r in got.collect()) == [("", "x"), ("-", "x"), ("mail [EMAIL] now", "p"), ("mail [EMAIL] now", "x")]
+    assert pii.sanitise(df.limit(0)).isEmpty()
+
+
 def test_revealing_terms_are_found_wherever_they_stand(spark):
     far = "plain words go on here " * 12
     name = [f"zelda {far} mail zq@corp.example.com, {far} quixby {k}" for k in range(3)]  # far from the address on both sides
