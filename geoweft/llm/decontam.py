@@ -14,7 +14,7 @@ and no hash, item or text of any frequency is one task's.
 
 Tokens are runs of letters, digits and other characters above ASCII, in lower
 case. Items of fewer than SHORTEST tokens tell nothing and leak nothing; those
-below LONG have shorter masks, which any one substitution leaves a hit. Null and
+too short for all masks have shorter ones. Any one substitution leaves a hit. Null and
 empty texts and items hold no tokens; repeated rows are each reported, as are
 rows without ids; further columns are ignored (``contaminated``) or kept
 (``without_contaminated``).
@@ -35,12 +35,14 @@ from geoweft.llm.shingles import mixed, word_codes
 #: Fixed masks; 1 marks tokens that count.
 MASKS = ("11011011", "1110010111", "110100110101", "1111101")
 SHORT_MASKS = ("1111", "11011", "10111", "11101")
-#: Tokens of the shortest item that is looked for, and of those that have the longer masks.
+#: Tokens of the shortest item that is looked for, and of the shortest of which a stretch may leak.
 SHORTEST, LONG = 8, 16
 LEAST = 13
 MISMATCH = 2
 #: Bits of the table for each hash, the places that a hash sets, and the most bits (32 MB).
 BITS, PROBES, MOST_BITS = 64, 4, 1 << 28
+#: Bits of a hash that a smaller table, which stays in the processor's cache, knows first.
+FIRST = 20
 
 _DROP = bytes(c for c in range(128) if not chr(c).isalnum())
 _TABLE = bytes.maketrans(_DROP, b" " * len(_DROP))
@@ -66,7 +68,7 @@ def seed_hashes(codes: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_for(n: int) -> tuple[str, ...]:
-    return MASKS if n >= LONG else SHORT_MASKS if n >= SHORTEST else ()
+    return MASKS if n >= max(map(len, MASKS)) else SHORT_MASKS if n >= SHORTEST else ()
 
 
 def needed(n: int, least: int = LEAST) -> int:
@@ -91,10 +93,10 @@ def seeds(items: DataFrame) -> DataFrame:
 
 
 class BitTable:
-    """Finds hashes that may be an item's: all of PROBES bits are set."""
+    """Finds hashes that may be an item's: their first bits are known, and all of PROBES bits are set."""
 
     def __init__(self, bits: int):
-        self.bits, self.words = bits, np.zeros(bits // 64, np.uint64)
+        self.bits, self.words, self.known = bits, np.zeros(bits // 64, np.uint64), np.zeros(1 << FIRST, bool)
 
     def slots(self, h: np.ndarray, probe: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -102,7 +104,7 @@ class BitTable:
 
     def filtered(self, h: np.ndarray) -> np.ndarray:
         """The positions of such hashes."""
-        at = np.arange(len(h))
+        at = np.flatnonzero(self.known[h >> np.uint64(64 - FIRST)])
         for probe in range(PROBES):
             s = self.slots(h[at], probe)
             at = at[self.words[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1) != 0]
@@ -110,7 +112,7 @@ class BitTable:
 
 
 def bit_table(rows: DataFrame) -> BitTable:
-    """The table of the hashes in ``rows``; its words are united on the executors, and at most MOST_BITS reach the driver."""
+    """The table of the hashes in ``rows``; its words are united on the executors, and at most MOST_BITS and 2**FIRST numbers reach the driver."""
     n = rows.count()
     table = BitTable(min(MOST_BITS, 1 << max(12, (BITS * n - 1).bit_length())))
 
@@ -124,6 +126,8 @@ def bit_table(rows: DataFrame) -> BitTable:
             yield pa.RecordBatch.from_pydict({"word": word[first], "bits": bits.view(np.int64)}, schema=pa.schema([("word", pa.int64()), ("bits", pa.int64())]))
 
     words = rows.select("hash").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    first = rows.select(F.shiftrightunsigned("hash", 64 - FIRST).alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)
+    table.known[first] = True
     part = words.toPandas()
     table.words[part["word"].to_numpy(np.int64)] = part["bits"].to_numpy(np.int64).view(np.uint64)
     return table
@@ -157,16 +161,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int, scratch: Scratch) -
 
     def hits(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {c: [] for c in ("doc_id", "text_hash", "codes", "seeds")}
-        for doc, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
-            own = tokens(text)
-            found = []
-            for mask in masks:
-                h = seed_hashes(own, mask)
-                at = table.value.filtered(h)
-                found += [{"hash": x, "p": p} for x, p in zip(h[at].view(np.int64).tolist(), at.tolist())]
-            if found:
-                for c, v in (("doc_id", doc), ("text_hash", text_hash), ("codes", own.tobytes()), ("seeds", found)):
-                    out[c].append(v)
+        own = list(map(tokens, batch["text"]))
+        ends = np.cumsum([len(c) for c in own])
+        whole = np.concatenate(own)  # hashed in one go; what reaches across texts is none
+        found: dict[int, list] = {}
+        for mask in masks:
+            h = seed_hashes(whole, mask)
+            at = table.value.filtered(h)
+            k = np.searchsorted(ends, at, "right")
+            inside = at + len(mask) <= ends[k]
+            at, k = at[inside], k[inside]
+            for i, x, p in zip(k.tolist(), h[at].view(np.int64).tolist(), (at - ends[k]).tolist()):
+                found.setdefault(i, []).append({"hash": x, "p": p + len(own[i])})
+        for i, some in found.items():
+            for c, v in (("doc_id", batch["doc_id"][i]), ("text_hash", batch["text_hash"][i]), ("codes", own[i].tobytes()), ("seeds", some)):
+                out[c].append(v)
         return out
 
     text = F.col("text").cast("string")
