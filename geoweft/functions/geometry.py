@@ -1,7 +1,8 @@
 """Planar geometry on columns and, for sampling domains, on the driver.
 
-A point is struct<x,y>. A polygon is an array of rings, the shell first, and a
-ring an array of points; rings may be closed (first point repeated) or not.
+A point is struct<x,y>, a line an array of points. A polygon is an array of
+rings, the shell first, and a ring an array of points; rings may be closed (first
+point repeated) or not. Several polygons are an array of them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 POINT = "struct<x:double,y:double>"
 RINGS = f"array<array<{POINT}>>"
+#: What a geometry is, by how deep its points lie in arrays.
+SHAPES = ("point", "line", "polygon", "polygons")
 
 
 def _edges(ring: Column) -> Column:
@@ -62,9 +65,44 @@ def centroid(rings: Column) -> Column:
     )
 
 
-def bounds(rings: Column) -> Column:
-    """struct<xmin,ymin,xmax,ymax> of all ring points."""
-    points = F.flatten(rings)
+def line_centroid(points: Column) -> Column:
+    """struct<x,y>: the middle of a line's parts, weighted by their lengths; a line without length has its first point."""
+    ends = F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 2, F.size(points)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    def step(acc: Column, e: Column) -> Column:
+        dx, dy = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
+        n = F.sqrt(dx * dx + dy * dy)
+        return F.struct((acc["n"] + n).alias("n"), (acc["x"] + n * (e["p"]["x"] + e["q"]["x"]) / 2).alias("x"), (acc["y"] + n * (e["p"]["y"] + e["q"]["y"]) / 2).alias("y"))
+
+    t = F.aggregate(ends, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), step)
+    first = F.get(points, F.lit(0))
+    n = F.nullif(t["n"], F.lit(0.0))
+    return F.struct(F.coalesce(t["x"] / n, first["x"]).alias("x"), F.coalesce(t["y"] / n, first["y"]).alias("y"))
+
+
+def polygons_centroid(polygons: Column) -> Column:
+    """struct<x,y>: the polygons' centroids, weighted by their areas; without area the first one's."""
+
+    def step(acc: Column, p: Column) -> Column:
+        a, c = area(p), centroid(p)
+        return F.struct((acc["a"] + a).alias("a"), (acc["x"] + a * c["x"]).alias("x"), (acc["y"] + a * c["y"]).alias("y"))
+
+    t = F.aggregate(polygons, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), step)
+    first = centroid(F.get(polygons, F.lit(0)))
+    a = F.nullif(t["a"], F.lit(0.0))
+    return F.struct(F.coalesce(t["x"] / a, first["x"]).alias("x"), F.coalesce(t["y"] / a, first["y"]).alias("y"))
+
+
+def centre(geometry: Column, shape: str) -> Column:
+    """struct<x,y> of a geometry of one of SHAPES."""
+    return {"point": lambda g: g, "line": line_centroid, "polygon": centroid, "polygons": polygons_centroid}[shape](geometry)
+
+
+def bounds(geometry: Column, shape: str = "polygon") -> Column:
+    """struct<xmin,ymin,xmax,ymax> of all points of a line, a polygon or several."""
+    points = geometry
+    for _ in range(SHAPES.index(shape) - 1):
+        points = F.flatten(points)
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import warnings
 from dataclasses import dataclass, field, replace
 
@@ -9,9 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.functions import geometry as G
-
-# How coordinate systems in degrees are written.
-GEOGRAPHIC = ("epsg:4326", "epsg:4269", "epsg:4258", "epsg:4267", "ogc:crs84", "crs84", "wgs84")
+from geoweft.functions.crs import is_geographic
 
 
 @dataclass(frozen=True)
@@ -19,7 +18,9 @@ class GeoFrame:
     """A table of nodes.
 
     Geometry is either columns ``x`` and ``y``, or ``geometry`` holding a point
-    struct or polygon rings. ``order`` gives the columns whose order numbers the
+    struct, a line (points), a polygon (rings) or several polygons; a node stands
+    at its centroid. ``node_pos`` is the name of a row's number and can't be a
+    column's. ``order`` gives the columns whose order numbers the
     rows (a table has no order of its own); ``index`` names the columns that
     ``id_col="index"`` refers to.
     """
@@ -30,18 +31,30 @@ class GeoFrame:
     index: tuple[str, ...] = ()
     crs: object | None = None
 
+    @property
+    def shape(self) -> str:
+        """point, line, polygon or polygons."""
+        if self.geometry not in self.df.columns:
+            return "point"
+        depth, t = 0, self.df.schema[self.geometry].dataType
+        while t.typeName() == "array":
+            depth, t = depth + 1, t.elementType
+        if t.typeName() != "struct" or not {"x", "y"} <= set(t.fieldNames()) or depth > 3:
+            raise ValueError("geometry must be a struct of x and y, or arrays of such as lines, polygons or several polygons")
+        return G.SHAPES[depth]
+
     @property
     def polygons(self) -> bool:
-        return self.geometry in self.df.columns and self.df.schema[self.geometry].dataType.typeName() == "array"
+        return self.shape != "point"
 
     @property
     def geometry_columns(self) -> list[str]:
         return [self.geometry] if self.geometry in self.df.columns else ["x", "y"]
 
     def position(self) -> tuple[Column, Column]:
-        """The point of each node; a polygon's is its centroid."""
+        """The point of each node; a line's or polygon's is its centroid."""
         if self.geometry in self.df.columns:
-            p = G.centroid(F.col(self.geometry)) if self.polygons else F.col(self.geometry)
+            p = G.centre(F.col(self.geometry), self.shape)
             return p["x"].cast("double"), p["y"].cast("double")
         return F.col("x").cast("double"), F.col("y").cast("double")
 
@@ -58,11 +71,6 @@ class GeoGraph:
         return replace(self, edges=edges)
 
 
-def is_geographic(crs: object) -> bool:
-    s = str(crs).strip().lower().replace(" ", "")
-    return s in GEOGRAPHIC or "+proj=longlat" in s or s.startswith(("geogcs", "geogcrs"))
-
-
 def warn_crs(crs: object | None) -> None:
     if crs is None:
         warnings.warn("The node table has no CRS; distances are taken as planar.", UserWarning, stacklevel=3)
@@ -70,19 +78,31 @@ def warn_crs(crs: object | None) -> None:
         warnings.warn("The CRS is geographic; distances in degrees are no lengths. Project the nodes first.", UserWarning, stacklevel=3)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with the rank of each row from 0. Rows are sorted in parallel; only row counts of partitions reach the driver."""
     spark = df.sparkSession
-    held = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).persist()
-    counts = {r[0]: (r[1], r[2]) for r in held.groupBy("_part").agg(F.count("*"), F.min("_row")).collect()}
+    part, row, shift = unused(df, "part", "row", "shift")
+    held = df.orderBy(*order).withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id()).persist()
+    counts = {r[0]: (r[1], r[2]) for r in held.groupBy(part).agg(F.count("*"), F.min(row)).collect()}
     base, at = {}, 0
     for p in sorted(counts):
         base[p] = at - counts[p][1]
         at += counts[p][0]
     if not base:
-        return held.withColumn(name, F.lit(0).cast("long")).drop("_part", "_row")
-    shift = spark.createDataFrame(list(base.items()), "_part int, _shift long")
-    return held.join(F.broadcast(shift), "_part").withColumn(name, F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
+        return held.withColumn(name, F.lit(0).cast("long")).drop(part, row)
+    shifts = spark.createDataFrame(list(base.items()), f"`{part}` int, `{shift}` long")
+    return held.join(F.broadcast(shifts), part).withColumn(name, F.col(row) + F.col(shift)).drop(part, row, shift)
 
 
 def id_name(frame: GeoFrame, id_col: str | None) -> str | None:
@@ -125,21 +145,23 @@ def as_nodes(frame: GeoFrame, id_col: str | None = None, checked: bool = True) -
     df = frame.df
     if checked and name is not None and not duplicate_ids(df, name).isEmpty():
         raise ValueError("ID column must contain unique values")
+    if "node_pos" in df.columns:
+        raise ValueError("node_pos is the number that a node gets; rename that column")
     x, y = frame.position()
-    df = df.withColumns({"_x": x, "_y": y})
-    df = df.withColumns({"x": F.col("_x"), "y": F.col("_y")}).drop("_x", "_y")
+    u, v = unused(df, "px", "py")
+    df = df.withColumns({u: x, v: y})
+    df = df.withColumns({"x": F.col(u), "y": F.col(v)}).drop(u, v)
     if checked and not df.where(F.col("x").isNull() | F.col("y").isNull() | F.isnan("x") | F.isnan("y")).isEmpty():
-        raise ValueError("every node needs a point or a polygon")
+        raise ValueError("every node needs a point, a line or a polygon")
     order = frame.order or ((name,) if name else tuple(c for c in df.columns if c not in ("geometry",)))
-    if "node_pos" not in df.columns:
-        df = numbered(df, [F.col(c) for c in order], "node_pos")
+    df = numbered(df, [F.col(c) for c in order], "node_pos")
     return df.withColumn("node_id", F.col(name) if name else F.col("node_pos"))
 
 
 def total_bounds(frame: GeoFrame) -> tuple[float, float, float, float]:
     """The bounds of all geometries, of polygons those of their rings."""
     if frame.polygons:
-        b = G.bounds(F.col(frame.geometry))
+        b = G.bounds(F.col(frame.geometry), frame.shape)
         x1, y1, x2, y2 = b["xmin"], b["ymin"], b["xmax"], b["ymax"]
     else:
         x1, y1 = x2, y2 = frame.position()
@@ -147,6 +169,27 @@ def total_bounds(frame: GeoFrame) -> tuple[float, float, float, float]:
     return tuple(r)
 
 
+def exploded(frame: GeoFrame, part: str | None = None) -> GeoFrame:
+    """A row for each polygon of a frame of several polygons a row, numbered within its row by a column ``part`` if that is named."""
+    if frame.shape != "polygons":
+        raise ValueError("only rows of several polygons can be exploded")
+    others = [F.col(f"`{c}`") for c in frame.df.columns if c != frame.geometry]
+    at, _ = unused(frame.df, part or "part", "x")
+    df = frame.df.select(*others, F.posexplode(frame.geometry).alias(at, frame.geometry))
+    return replace(frame, df=df if part else df.drop(at), order=(*frame.order, at) if part else frame.order)
+
+
+def report(graph: GeoGraph, verbose: bool, moved: int | None = None) -> GeoGraph:
+    """With verbose, says on standard error what has been built: nodes, edges, mean degree, and how many edges were rewired."""
+    if verbose:
+        n, m = graph.nodes.count(), graph.edges.count()
+        text = f"{n:,} nodes, {m:,} edges, mean degree {2 * m / max(1, n):.2f}"
+        if moved is not None:
+            text += f", {moved:,} edges rewired ({100 * moved / max(1, m):.2f} %)"
+        print(f"geoweft: {text}", file=sys.stderr)
+    return graph
+
+
 def find_scaling_factor(frame: GeoFrame) -> float:
     """20 over the diagonal of the bounds."""
     x1, y1, x2, y2 = total_bounds(frame)

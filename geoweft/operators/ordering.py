@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import secrets
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.functions.hashing import uniform
@@ -16,6 +16,12 @@ def _ranked(df: DataFrame, *order: object) -> DataFrame:
     return numbered(df, list(order), "rank").select("rank", "node_pos")
 
 
+def _steady(value: Column) -> Column:
+    """A positive number to 40 binary places of its own size: sums of other orders of the same terms come out alike."""
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(value)) - 40)
+    return F.when(value > 0, F.rint(value / unit) * unit).otherwise(value)
+
+
 def random_order(frame: GeoFrame, random_state: int | None = None, *, fast: bool = True) -> DataFrame:
     """A uniform permutation, a function of the seed and the nodes' positions."""
     seed = secrets.randbits(31) if random_state is None else int(random_state)
@@ -44,7 +50,7 @@ def density_order_knn(frame: GeoFrame, k: int = 5) -> DataFrame:
         raise ValueError("k must be at least 1")
     if (n := frame.df.count()) <= k:
         raise ValueError(f"The number of nodes ({n}) must be greater than k ({k})")
-    mean = knn_join(as_nodes(frame).select("node_pos", "x", "y"), k).groupBy("node_pos").agg(F.round(F.avg("d"), 9).alias("mean"))
+    mean = knn_join(as_nodes(frame).select("node_pos", "x", "y"), k).groupBy("node_pos").agg(_steady(F.avg("d")).alias("mean"))
     return _ranked(mean, F.col("mean"), F.col("node_pos"))
 
 
@@ -62,7 +68,7 @@ def density_order_kde(frame: GeoFrame, bandwidth: float | str = 1.0, kernel: str
     nodes = as_nodes(frame).select("node_pos", "x", "y")
     if isinstance(bandwidth, str):
         bandwidth = scale_of(frame, bandwidth, max(1, frame.df.count()))
-    sums = kernel_sums(nodes, bandwidth, kernel).select("node_pos", F.round("density", 9).alias("density"))
+    sums = kernel_sums(nodes, bandwidth, kernel).select("node_pos", _steady(F.col("density")).alias("density"))
     return _ranked(sums, F.desc("density"), F.col("node_pos"))
 
 

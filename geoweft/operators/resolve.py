@@ -8,69 +8,82 @@ that are few by construction.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROUNDS = 25
+#: Nodes whose numbers may be broadcast.
+BROADCAST_NODES = 200_000
 #: Candidate rows up to which one ordered pass in one task is cheaper than rounds over all.
 ONE_PASS_ROWS = 2_000_000
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder that the session names; a local one only where it names none."""
+    """A checkpoint in the shared folder that the session names. In a local session that names none it is a temporary folder; elsewhere it must be set."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/geoweft-checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
-def capped(edges: DataFrame, cap: int) -> DataFrame:
-    """Of (i, j, p, q, ...), the edges that greedy admission in order of (p, q) accepts: both ends must have fewer than ``cap`` edges.
+def capped(edges: DataFrame, cap: int, n: int) -> DataFrame:
+    """Of (i, j, length, p, q), the edges that greedy admission in order of (p, q) accepts: both ends must have fewer than ``cap`` edges.
 
-    A round rejects an edge with ``cap`` accepted edges before it at an end, and accepts one that has fewer than ``cap``
-    accepted or open ones before it at both. The first open edge is always decided.
+    Nodes are 0 to n - 1. Edges between nodes of at most ``cap`` edges are accepted without further ado. The others are decided in one
+    ordered pass, as each decision may hang on any before it; the pass streams over the turns (p with its list of q, made and sorted in
+    parallel) and holds a number for each node and one batch of turns.
     """
+    names = ["i", "j", "length"]
     if cap <= 0:
-        return edges.limit(0)
-    full = edges.select(F.explode(F.array("i", "j")).alias("n")).groupBy("n").agg(F.count("*").alias("c")).where(F.col("c") > cap)
-    if full.isEmpty():
-        return edges
-    state = saved(edges.withColumn("status", F.lit(0)))  # 1 accepted, -1 rejected
-    if state.count() <= ONE_PASS_ROWS:
-        return state.drop("status").join(_in_order(state.select("i", "j", "p", "q", "status"), cap), ["i", "j"], "left_semi")
-    for _ in range(ROUNDS):
-        ends = state.where("status >= 0").select(F.explode(F.array("i", "j")).alias("n"), "i", "j", "p", "q", "status")
-        before = W.partitionBy("n").orderBy("p", "q").rowsBetween(W.unboundedPreceding, -1)
-        ends = ends.withColumns(
-            {"yes": F.coalesce(F.sum("status").over(before), F.lit(0)), "open": F.coalesce(F.sum(1 - F.col("status")).over(before), F.lit(0))}
-        )
-        seen = ends.where("status = 0").groupBy("i", "j").agg(F.max("yes").alias("yes"), F.max(F.col("yes") + F.col("open")).alias("most"))
-        seen = seen.withColumn("now", F.when(F.col("yes") >= cap, -1).when(F.col("most") < cap, 1).otherwise(0)).select("i", "j", "now")
-        state = state.join(seen, ["i", "j"], "left").withColumn("status", F.coalesce("now", "status")).drop("now")
-        state = saved(state)
-        if state.where("status = 0").isEmpty():
-            return state.where("status = 1").drop("status")
-    rest = _in_order(state.where("status >= 0").select("i", "j", "p", "q", "status"), cap)
-    return edges.join(rest, ["i", "j"], "left_semi")
-
-
-def _in_order(state: DataFrame, cap: int) -> DataFrame:
-    """The same in one ordered pass, for what rounds have left."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        degree: dict[int, int] = {}
-        keep = []
-        part = part.sort_values(["p", "q"])
-        for i, j, _, _, status in part.itertuples(index=False):
-            ok = status == 1 or (degree.get(i, 0) < cap and degree.get(j, 0) < cap)
-            keep.append(ok)
-            if ok:
-                degree[i], degree[j] = degree.get(i, 0) + 1, degree.get(j, 0) + 1
-        return part.loc[keep, ["i", "j"]]
-
-    return state.groupBy().applyInPandas(run, "i long, j long")
+        return edges.limit(0).select(*names)
+    full = edges.select(F.explode(F.array("i", "j")).alias("n")).groupBy("n").agg(F.count("*").alias("c")).where(F.col("c") > cap).select("n")
+    full = full.persist()
+    if (m := full.count()) == 0:
+        return edges.select(*names)
+    free = edges.limit(0).select(*names)
+    if m < n // 2:  # else hardly an edge is free
+        some = F.broadcast(full) if m <= BROADCAST_NODES else full
+        near = edges.join(some.select(F.col("n").alias("i"), F.lit(True).alias("x")), "i", "left").join(some.select(F.col("n").alias("j"), F.lit(True).alias("y")), "j", "left")
+        free = near.where("x is null and y is null").select(*names)
+        edges = near.where("x or y")
+    turns = edges.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("q", "length"))).alias("v"))
+    turns = turns.select("p", F.transform("v", lambda x: x["q"]).alias("q"), F.transform("v", lambda x: x["length"]).alias("length"))
+    return free.union(turns.repartition(1).sortWithinPartitions("p").mapInArrow(_admitted(cap, n), "i long, j long, length double"))
+
+
+def _admitted(cap: int, n: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        degree = np.zeros(n, np.int32)
+        for batch in batches:
+            q_all, length_all = batch["q"], batch["length"]
+            q, length, at = q_all.flatten().to_numpy(), length_all.flatten().to_numpy(), q_all.offsets.to_numpy()
+            at = at - at[0]
+            taken, owner = [], []
+            for k, p in enumerate(batch["p"].to_numpy().tolist()):
+                room = cap - degree[p]
+                if room <= 0:
+                    continue
+                a = at[k]
+                ok = np.flatnonzero(degree[q[a : at[k + 1]]] < cap)[:room] + a
+                degree[q[ok]] += 1
+                degree[p] += len(ok)
+                taken.append(ok)
+                owner.append(np.full(len(ok), p))
+            if taken:
+                ok, p = np.concatenate(taken), np.concatenate(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q[ok])), pa.array(np.maximum(p, q[ok])), pa.array(length[ok])], names=["i", "j", "length"])
+
+    return run
 
 
 def unclaimed_picks(lists: DataFrame) -> DataFrame | None:

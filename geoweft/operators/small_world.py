@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 import secrets
 import warnings
 from collections.abc import Callable
@@ -15,11 +14,10 @@ from geoweft.functions.decay import decay, distance
 from geoweft.functions.hashing import uniform
 from geoweft.operators import constraint as C
 from geoweft.operators import resolve
-from geoweft.operators.frame import GeoFrame, GeoGraph, as_nodes, find_scaling_factor, finished, warn_crs, warn_if_empty
+from geoweft.operators.frame import GeoFrame, GeoGraph, as_nodes, find_scaling_factor, finished, report, warn_crs, warn_if_empty
 from geoweft.operators.resolve import picks_in_order, rewired, saved, unclaimed_picks
 from geoweft.operators.spatial import all_pairs, knn_join
 
-log = logging.getLogger(__name__)
 #: Pairs of rewired edges and nodes up to which every node gets a key; beyond, targets are drawn.
 RACE_PAIRS = 50_000_000
 
@@ -117,16 +115,16 @@ def drawn_choices(events: DataFrame, nodes: DataFrame, n: int, a: float, s: floa
     )
 
 
-def rewire(picks: DataFrame, nodes: DataFrame, p: float, a: float, s: float, max_degree: int, predicate: Column | None, need: list[str], seed: int, fast: bool, keep: int = 24) -> DataFrame:
-    """(i, j, length) after each edge has been rewired with probability p; the number of edges stays."""
+def rewire(picks: DataFrame, nodes: DataFrame, p: float, a: float, s: float, max_degree: int, predicate: Column | None, need: list[str], seed: int, fast: bool, keep: int = 24) -> tuple[DataFrame, DataFrame | None]:
+    """(i, j, length) after each edge has been rewired with probability p, and the edges that moved; the number of edges stays."""
     edges = saved(picks.select(F.col("node_pos").alias("i"), F.col("nbr").alias("j"), "rank", F.col("d").alias("length")))
     if p <= 0:
-        return edges.select("i", "j", "length")
+        return edges.select("i", "j", "length"), None
     n = nodes.count()
     events = saved(edges.where(uniform("p", seed, "i", "rank", fast=fast) < F.lit(float(p))).select("i", "j", "rank"))
     m = events.count()
     if not m:
-        return edges.select("i", "j", "length")
+        return edges.select("i", "j", "length"), None
     args = (nodes, n, a, s, predicate, need, seed, fast)
     choices = rewiring_choices(events, *args, keep) if m * n <= RACE_PAIRS else drawn_choices(events, *args, keep)
     done = saved(rewired(edges.select("i", "j", "rank"), choices, max_degree))
@@ -141,9 +139,7 @@ def rewire(picks: DataFrame, nodes: DataFrame, p: float, a: float, s: float, max
         warnings.warn(f"{stuck} edges found no valid node to be rewired to and were kept.", UserWarning, stacklevel=3)
     at = lambda c: nodes.select(F.col("node_pos").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"))
     out = done.join(at("i"), "i").join(at("j"), "j").select("i", "j", distance("xi", "yi", "xj", "yj").alias("length"))
-    if log.isEnabledFor(logging.INFO):
-        log.info("rewired %d edges", done.where("j <> old").count())
-    return out
+    return out, done.where("j <> old")
 
 
 def geo_watts_strogatz_network(
@@ -177,6 +173,7 @@ def geo_watts_strogatz_network(
     predicate, need = C.resolve(constraint, names)
     own = nodes.select("node_pos", *dict.fromkeys(["x", "y", *need, *([k] if isinstance(k, str) and k in names else [])]))
     picks = nearest_nodes(own, half_degrees(k, seed, names, fast), max_degree, query_factor, predicate, need)
-    edges = rewire(picks, own, p, a, s, max_degree, predicate, need, seed, fast)
+    edges, moved = rewire(picks, own, p, a, s, max_degree, predicate, need, seed, fast)
     warn_if_empty(edges)
-    return finished(frame, nodes, edges, id_col, node_attributes, present="edges")
+    graph = finished(frame, nodes, edges, id_col, node_attributes, present="edges")
+    return report(graph, verbose, (moved.count() if moved is not None else 0) if verbose else None)

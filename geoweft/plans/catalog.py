@@ -276,14 +276,52 @@ def ws_initial_constraint(spark, sf_dir):
     return _edges(ws_suppliers(spark, sf_dir, constraint=lambda u, v: u.group != v.group))
 
 
-@query()
+WS_CAP = 5
+
+#: Picks with room: a node takes its nearest two that haven't picked it, keep room for their own two and leave it within the cap.
+_WS_CAPPED = f"""WITH RECURSIVE {SUPPLIER_SQL}, {_KNN},
+    lists AS (SELECT node_pos, list(nbr ORDER BY rank) AS nbrs FROM near GROUP BY node_pos),
+    picked AS (
+      SELECT -1::BIGINT AS i, []::BIGINT[][] AS done, list_transform(range(0, (SELECT count(*) FROM nodes)), lambda k: 0::BIGINT) AS deg
+      UNION ALL
+      SELECT i, list_append(done, sel), list_transform(range(0, len(deg)), lambda k: (deg[k + 1] + (CASE WHEN k = i THEN len(sel) WHEN list_contains(sel, k) THEN 1 ELSE 0 END))::BIGINT)
+      FROM (SELECT p.i + 1 AS i, p.done, p.deg,
+        list_filter(l.nbrs, lambda j: NOT (j < p.i + 1 AND list_contains(p.done[j + 1], p.i + 1)) AND p.deg[j + 1] + 2 < {WS_CAP})[1:least(2, greatest(0, {WS_CAP} - p.deg[p.i + 2]))] AS sel
+        FROM picked p JOIN lists l ON l.node_pos = p.i + 1)),
+    last AS (SELECT done FROM picked ORDER BY i DESC LIMIT 1),
+    flat AS (SELECT unnest(range(0, len(done))) AS i, unnest(done) AS js FROM last),
+    e AS (SELECT i, unnest(js) AS j FROM flat)
+    SELECT least(i, j) AS source, greatest(i, j) AS target, {D_SQL} AS length FROM e JOIN nodes a ON a.node_pos = i JOIN nodes b ON b.node_pos = j"""
+
+
+@query(_WS_CAPPED)
 def ws_initial_capped(spark, sf_dir):
-    return _edges(ws_suppliers(spark, sf_dir, max_degree=5))
+    return _edges(ws_suppliers(spark, sf_dir, max_degree=WS_CAP))
+
+
+WS_P = 0.3
+_RACE = f"(-ln(1.0::DOUBLE - {uniform_sql('rw', SEED, 'v.i', 'v.rank', 'b.node_pos')}) / {decay_sql(D_SQL, 3, S_SUPPLIER)})"
+#: Edges in order; each event, in that order, moves its edge to the first target of its race that isn't tied to the node yet.
+_WS_REWIRED = (
+    _WS_INITIAL.replace("@WHERE", "").split("    SELECT least(i, j) AS source")[0].rstrip()
+    + f""",
+    numbered AS (SELECT row_number() OVER (ORDER BY e.i, near.rank) AS t, e.i, e.j, near.rank FROM e JOIN near ON near.node_pos = e.i AND near.nbr = e.j),
+    events AS (SELECT row_number() OVER (ORDER BY t) AS s, * FROM numbered WHERE {uniform_sql('p', SEED, 'i', 'rank')} < {WS_P}::DOUBLE),
+    races AS (SELECT v.s, list(b.node_pos ORDER BY {_RACE}, b.node_pos) AS targets FROM events v JOIN nodes a ON a.node_pos = v.i JOIN nodes b ON b.node_pos <> v.i GROUP BY v.s),
+    moved AS (
+      SELECT 0::BIGINT AS s, (SELECT list(least(i, j) * 1000000 + greatest(i, j) ORDER BY t) FROM numbered) AS ties
+      UNION ALL
+      SELECT s, CASE WHEN c IS NULL THEN ties ELSE list_transform(range(1, len(ties) + 1), lambda k: CASE WHEN k = t THEN least(i, c) * 1000000 + greatest(i, c) ELSE ties[k] END) END
+      FROM (SELECT v.s, v.t, v.i, m.ties, list_filter(r.targets, lambda x: NOT list_contains(m.ties, least(v.i, x) * 1000000 + greatest(v.i, x)))[1] AS c
+        FROM moved m JOIN events v ON v.s = m.s + 1 JOIN races r ON r.s = v.s)),
+    final AS (SELECT unnest(ties) AS tie FROM (SELECT ties FROM moved ORDER BY s DESC LIMIT 1))
+    SELECT a.node_pos AS source, b.node_pos AS target, {D_SQL} AS length FROM final JOIN nodes a ON a.node_pos = tie // 1000000 JOIN nodes b ON b.node_pos = tie % 1000000"""
+)
 
 
-@query()
+@query(_WS_REWIRED)
 def ws_rewired(spark, sf_dir):
-    return _edges(ws_suppliers(spark, sf_dir, p=0.3))
+    return _edges(ws_suppliers(spark, sf_dir, p=WS_P))
 
 
 @query()
@@ -296,28 +334,28 @@ def ws_customers(spark, sf_dir):
 BA_M = 2
 
 
-@query(f"WITH {SUPPLIER_SQL} SELECT a.node_pos AS source, b.node_pos AS target, {D_SQL} AS length FROM nodes a JOIN nodes b ON a.node_pos < b.node_pos AND b.node_pos < 10")
+@query(f"WITH {SUPPLIER_SQL} SELECT a.node_pos AS source, b.node_pos AS target, {D_SQL} AS length FROM nodes a JOIN nodes b ON a.node_pos < b.node_pos AND b.node_pos < {BA_M}")
 def ba_seed(spark, sf_dir):
-    f = suppliers(spark, sf_dir)
-    first = GeoFrame(f.df.where("id < 10"), order=f.order, crs=f.crs)
-    return _edges(geo_barabasi_albert_network(first, 10, scaling_factor=S_SUPPLIER, id_col="id", random_state=SEED, fast=False))
+    """The edges among the first m arrivals of a network of all suppliers."""
+    return _ba(spark, sf_dir).edges.where(F.col("target_pos") < BA_M).select("source", "target", "length")
 
 
-def _ba_sql(rank: str) -> str:
-    """Growth by (rank): ``rank`` is an ORDER BY clause over nodes."""
-    base = f"(-ln(1.0::DOUBLE - {uniform_sql('ba', SEED, 'a.t', 'b.t')}) / {decay_sql(D_SQL, 3, S_SUPPLIER)})"
-    return f"""WITH RECURSIVE {SUPPLIER_SQL},
-    ranked AS (SELECT *, row_number() OVER (ORDER BY {rank}) - 1 AS t FROM nodes),
-    bases AS (SELECT a.t, list({base} ORDER BY b.t) AS base FROM ranked a JOIN ranked b ON b.t < a.t WHERE a.t >= {BA_M} GROUP BY a.t),
-    size AS (SELECT count(*) AS n FROM nodes),
+def _ba_sql(rank: str, nodes: str = SUPPLIER_SQL, m: int = BA_M, scale: float = S_SUPPLIER, group: str = "0") -> str:
+    """Growth by (rank) in each group: ``rank`` is an ORDER BY clause over nodes."""
+    base = f"(-ln(1.0::DOUBLE - {uniform_sql('ba', SEED, 'a.t', 'b.t')}) / {decay_sql(D_SQL, 3, scale)})"
+    return f"""WITH RECURSIVE {nodes},
+    ranked AS (SELECT *, {group} AS part, row_number() OVER (PARTITION BY {group} ORDER BY {rank}) - 1 AS t FROM nodes),
+    bases AS (SELECT a.part, a.t, list({base} ORDER BY b.t) AS base FROM ranked a JOIN ranked b ON a.part = b.part AND b.t < a.t WHERE a.t >= {m} GROUP BY a.part, a.t),
+    size AS (SELECT part, count(*) AS n FROM ranked GROUP BY 1),
     grown AS (
-      SELECT {BA_M - 1}::BIGINT AS t, list_transform(range(0, n), lambda k: (CASE WHEN k < {BA_M} THEN {BA_M - 1} ELSE 0 END)::BIGINT) AS deg, []::BIGINT[] AS sel FROM size
+      SELECT part, {m - 1}::BIGINT AS t, list_transform(range(0, n), lambda k: (CASE WHEN k < {m} THEN {m - 1} ELSE 0 END)::BIGINT) AS deg, []::BIGINT[] AS sel FROM size
       UNION ALL
-      SELECT b.t, list_transform(range(0, len(g.deg)), lambda k: (CASE WHEN k = b.t THEN {BA_M} ELSE g.deg[k + 1] + (CASE WHEN list_contains(c.sel, k) THEN 1 ELSE 0 END) END)::BIGINT), c.sel
-      FROM grown g JOIN bases b ON b.t = g.t + 1,
-        LATERAL (SELECT list_transform(list_sort(list_transform(range(0, g.t + 1), lambda r: {{'k': b.base[r + 1] / (g.deg[r + 1] + 1), 'r': r}}))[1:{BA_M}], lambda z: z.r) AS sel) c),
-    ties AS (SELECT t, unnest(sel) AS r FROM grown WHERE t >= {BA_M} UNION ALL SELECT x, y FROM range(0, {BA_M}) u(x), range(0, {BA_M}) v(y) WHERE x < y)
-    SELECT least(a.node_pos, b.node_pos) AS source, greatest(a.node_pos, b.node_pos) AS target, {D_SQL} AS length FROM ties JOIN ranked a ON a.t = ties.t JOIN ranked b ON b.t = ties.r"""
+      SELECT g.part, b.t, list_transform(range(0, len(g.deg)), lambda k: (CASE WHEN k = b.t THEN {m} ELSE g.deg[k + 1] + (CASE WHEN list_contains(c.sel, k) THEN 1 ELSE 0 END) END)::BIGINT), c.sel
+      FROM grown g JOIN bases b ON b.part = g.part AND b.t = g.t + 1,
+        LATERAL (SELECT list_transform(list_sort(list_transform(range(0, g.t + 1), lambda r: {{'k': b.base[r + 1] / (g.deg[r + 1] + 1), 'r': r}}))[1:{m}], lambda z: z.r) AS sel) c),
+    ties AS (SELECT part, t, unnest(sel) AS r FROM grown WHERE t >= {m} UNION ALL SELECT part, x, y FROM size, range(0, {m}) u(x), range(0, {m}) v(y) WHERE x < y)
+    SELECT least(a.node_pos, b.node_pos) AS source, greatest(a.node_pos, b.node_pos) AS target, {D_SQL} AS length
+    FROM ties JOIN ranked a ON a.part = ties.part AND a.t = ties.t JOIN ranked b ON b.part = ties.part AND b.t = ties.r"""
 
 
 def _ba(spark, sf_dir, **more: object) -> GeoGraph:
@@ -335,10 +373,10 @@ def ba_edges_ordered(spark, sf_dir):
     return _edges(_ba(spark, sf_dir, node_order="weight"))
 
 
-@query()
+@query(_ba_sql("node_pos", CUSTOMER_SQL, 3, S_CUSTOMER, "grp"))
 def ba_grouped(spark, sf_dir):
     f = customers(spark, sf_dir)
-    return _edges(geo_barabasi_albert_network(f, 3, id_col="id", random_state=SEED, group="group"))
+    return _edges(geo_barabasi_albert_network(f, 3, scaling_factor=S_CUSTOMER, id_col="id", random_state=SEED, group="group", fast=False))
 
 
 # -- orders ------------------------------------------------------------------
@@ -366,19 +404,19 @@ _attribute("order_attribute_multi", "grp, weight DESC", by=["group", "weight"],
 _attribute("order_attribute_nulls", "CASE WHEN household % 3 <> 0 THEN weight END NULLS LAST", by="gap")
 
 
-@query(f"WITH {CUSTOMER_SQL}, {_KNN}, m AS (SELECT node_pos, round(avg(d), 9) AS mean FROM near WHERE rank <= 5 GROUP BY 1) SELECT row_number() OVER (ORDER BY mean, node_pos) - 1 AS rank, node_pos FROM m")
+@query(f"WITH {CUSTOMER_SQL}, {_KNN}, m AS (SELECT node_pos, avg(d) AS mean FROM near WHERE rank <= 5 GROUP BY 1) SELECT row_number() OVER (ORDER BY mean, node_pos) - 1 AS rank, node_pos FROM m")
 def order_knn(spark, sf_dir):
     return ordering.density_order(customers(spark, sf_dir), method="KNN", k=5)
 
 
 @query(f"""WITH {CUSTOMER_SQL}, p AS (SELECT a.node_pos, {D_SQL} / 512.0::DOUBLE AS t FROM nodes a, nodes b),
-    m AS (SELECT node_pos, round(sum(exp(-0.5::DOUBLE * t * t)), 9) AS density FROM p GROUP BY 1) SELECT row_number() OVER (ORDER BY density DESC, node_pos) - 1 AS rank, node_pos FROM m""")
+    m AS (SELECT node_pos, sum(exp(-0.5::DOUBLE * t * t)) AS density FROM p GROUP BY 1) SELECT row_number() OVER (ORDER BY density DESC, node_pos) - 1 AS rank, node_pos FROM m""")
 def order_kde(spark, sf_dir):
     return ordering.density_order_kde(customers(spark, sf_dir), bandwidth=512.0)
 
 
 @query(f"""WITH {CUSTOMER_SQL}, p AS (SELECT a.node_pos, {D_SQL} / 512.0::DOUBLE AS t FROM nodes a, nodes b),
-    m AS (SELECT node_pos, round(sum(CASE WHEN t < 1 THEN 1 - t * t ELSE 0 END), 9) AS density FROM p GROUP BY 1) SELECT row_number() OVER (ORDER BY density DESC, node_pos) - 1 AS rank, node_pos FROM m""")
+    m AS (SELECT node_pos, sum(CASE WHEN t < 1 THEN 1 - t * t ELSE 0 END) AS density FROM p GROUP BY 1) SELECT row_number() OVER (ORDER BY density DESC, node_pos) - 1 AS rank, node_pos FROM m""")
 def order_kde_compact(spark, sf_dir):
     return ordering.density_order(customers(spark, sf_dir), bandwidth=512.0, kernel="epanechnikov")
 

@@ -44,12 +44,24 @@ def test_er_is_repeatable_and_capped(grid):
     assert lengths.where("abs(length - sqrt((x-u)*(x-u)+(y-v)*(y-v))) > 1e-9").isEmpty()
 
 
+def test_cap_is_that_of_admission_in_order(grid, spark, monkeypatch):
+    every = gw.geo_erdos_renyi_network(grid, a=1, max_degree=1000, random_state=3)
+    rng = random.Random(1)
+    rows = [(i, j, 1.0, *((i, j) if rng.random() < 0.7 else (j, i))) for i, j in sorted(pairs(every))]
+    edges = spark.createDataFrame(rows, "i long, j long, length double, p long, q long").repartition(3)
+    for cap in (1, 7, 30, 60, 99):
+        degree, want = [0] * 100, set()
+        for i, j, _, p, q in sorted(rows, key=lambda r: r[3:]):
+            if degree[i] < cap and degree[j] < cap:
+                want.add((i, j))
+                degree[i], degree[j] = degree[i] + 1, degree[j] + 1
+        got = resolve.capped(edges, cap, 100).collect()
+        assert {(r["i"], r["j"]) for r in got} == want and len(got) == len(want)
+
+
 def test_rounds_agree_with_one_pass(grid, monkeypatch):
-    one = pairs(gw.geo_erdos_renyi_network(grid, a=2, max_degree=3, random_state=3))
     ws = pairs(gw.geo_watts_strogatz_network(grid, 4, 0, random_state=3))
     monkeypatch.setattr(resolve, "ONE_PASS_ROWS", 0)
-    monkeypatch.setattr(resolve, "ROUNDS", 2)  # the rest is left to the ordered pass
-    assert pairs(gw.geo_erdos_renyi_network(grid, a=2, max_degree=3, random_state=3)) == one
     assert pairs(gw.geo_watts_strogatz_network(grid, 4, 0, random_state=3)) == ws
 
 
