@@ -125,12 +125,14 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, sweep: bool = True) -> DataFrame:
+        """Writes ``df`` and reads it again; sweep asks for the shuffle files behind it to be removed at once."""
         path = f"{checkpoint_dir(self.spark)}/geoweft-{uuid.uuid4().hex}"
         df.write.parquet(path)
         schema = df.schema
         del df
-        collect_garbage(self.spark)
+        if sweep:
+            collect_garbage(self.spark)
         out = self.spark.read.schema(schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out

@@ -39,6 +39,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy does, from the ledger alone."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents"))).drop("bit")
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
@@ -77,6 +82,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_quality_rules": op2_quality_rules,
+    "quality_ablation": quality_ablation,
     "op3_main_text": op3_main_text,
     "op4_personal_data": op4_personal_data,
     "op5_bpe": op5_bpe,
