@@ -49,8 +49,8 @@ def nearest_nodes(nodes: DataFrame, k: Column, max_degree: int, query_factor: in
     while True:
         points = own.select("node_pos", "x", "y", "k")
         full = knn_join(points.withColumn("k", F.least(F.col("k") * reach, F.lit(n - 1))), F.col("k"))
-        lists = full.join(own.select("node_pos", "k", *(F.col(c).alias(f"u_{c}") for c in need)), "node_pos")
-        lists = lists.join(own.select(F.col("node_pos").alias("nbr"), F.col("k").alias("nbr_k"), *(F.col(c).alias(f"v_{c}") for c in need)), "nbr")
+        lists = full.join(own.select("node_pos", "k", *(F.col(f"a_{c}").alias(f"u_{c}") for c in need)), "node_pos")
+        lists = lists.join(own.select(F.col("node_pos").alias("nbr"), F.col("k").alias("nbr_k"), *(F.col(f"a_{c}").alias(f"v_{c}") for c in need)), "nbr")
         if predicate is not None:
             lists = lists.where(predicate)
         # with a node's own list, also what others list of it matters: whether they picked it
@@ -80,8 +80,8 @@ def rewiring_choices(events: DataFrame, nodes: DataFrame, n: int, a: float, s: f
 
     An exponential race: each target's time is -ln(1-u) over its decay; the first valid one is a draw from the valid ones.
     """
-    e = events.join(nodes.select(F.col("node_pos").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), *(F.col(c).alias(f"u_{c}") for c in need)), "i")
-    t = nodes.select(F.col("node_pos").alias("c"), F.col("x").alias("xc"), F.col("y").alias("yc"), *(F.col(c).alias(f"v_{c}") for c in need))
+    e = events.join(nodes.select(F.col("node_pos").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), *(F.col(f"a_{c}").alias(f"u_{c}") for c in need)), "i")
+    t = nodes.select(F.col("node_pos").alias("c"), F.col("x").alias("xc"), F.col("y").alias("yc"), *(F.col(f"a_{c}").alias(f"v_{c}") for c in need))
     pairs = all_pairs(e, t, n, F.col("i") != F.col("c"))
     if predicate is not None:
         pairs = pairs.where(predicate)
@@ -95,8 +95,8 @@ def rewiring_choices(events: DataFrame, nodes: DataFrame, n: int, a: float, s: f
 
 def drawn_choices(events: DataFrame, nodes: DataFrame, n: int, a: float, s: float, predicate: Column | None, need: list[str], seed: int, fast: bool, keep: int) -> DataFrame:
     """The same law by draws: uniform targets, each taken with its decay, until ``keep`` are taken; only rows of draws are made, not of all pairs."""
-    pos = nodes.select(F.col("node_pos").alias("c"), F.col("x").alias("xc"), F.col("y").alias("yc"), *(F.col(c).alias(f"v_{c}") for c in need))
-    e = events.join(nodes.select(F.col("node_pos").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), *(F.col(c).alias(f"u_{c}") for c in need)), "i")
+    pos = nodes.select(F.col("node_pos").alias("c"), F.col("x").alias("xc"), F.col("y").alias("yc"), *(F.col(f"a_{c}").alias(f"v_{c}") for c in need))
+    e = events.join(nodes.select(F.col("node_pos").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), *(F.col(f"a_{c}").alias(f"u_{c}") for c in need)), "i")
     todo, start, size, out = e, 0, 256, None
     for _ in range(6):
         draws = todo.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(start + size - 1))))
@@ -171,8 +171,8 @@ def geo_watts_strogatz_network(
     seed = secrets.randbits(31) if random_state is None else int(random_state)
     names = [c for c in frame.df.columns if c not in ("node_pos", "node_id")]
     predicate, need = C.resolve(constraint, names)
-    own = nodes.select("node_pos", *dict.fromkeys(["x", "y", *need, *([k] if isinstance(k, str) and k in names else [])]))
-    picks = nearest_nodes(own, half_degrees(k, seed, names, fast), max_degree, query_factor, predicate, need)
+    own = nodes.select("node_pos", "x", "y", half_degrees(k, seed, names, fast).alias("k"), *(F.col(f"`{c}`").alias(f"a_{c}") for c in need))
+    picks = nearest_nodes(own, F.col("k"), max_degree, query_factor, predicate, need)
     edges, moved = rewire(picks, own, p, a, s, max_degree, predicate, need, seed, fast)
     warn_if_empty(edges)
     graph = finished(frame, nodes, edges, id_col, node_attributes, present="edges")

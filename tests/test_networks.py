@@ -143,6 +143,80 @@ def test_crs_warnings(grid):
             gw.geo_erdos_renyi_network(GeoFrame(grid.df, order=("id",), crs=crs), random_state=1)
 
 
+def test_coordinate_systems():
+    from geoweft.functions.crs import is_geographic
+
+    for crs in (4326, "EPSG:4326", "epsg:4283", "EPSG:4490", "EPSG:4617", "EPSG:7844", "urn:ogc:def:crs:EPSG::4326", "OGC:CRS84", "+proj=longlat +datum=WGS84", 'GEOGCRS["WGS 84"]', {"type": "GeographicCRS"}, "urn:ogc:def:crs:OGC:1.3:CRS84"):
+        assert is_geographic(crs), crs
+    for crs in (3857, "EPSG:3857", "EPSG:32633", "EPSG:4087", "EPSG:4978", "ESRI:54009", "+proj=utm +zone=33", 'PROJCRS["x", BASEGEOGCRS["WGS 84"]]', '{"type": "ProjectedCRS"}'):
+        assert not is_geographic(crs), crs
+    for crs in ("garbage", "EPSG:", "EPSG:abc", "OGC:X", 'POINT(1 2)', "{", "+x=1", 1.5, ""):
+        with pytest.raises(ValueError, match="coordinate reference system"):
+            is_geographic(crs)
+
+
+def test_columns_of_any_name(grid):
+    names = ("_part", "_row", "_x", "_y", "_shift", "rank", "part", "row", "shift", "px", "pos", "t", "i", "j", "length", "k", "c0", "r", "graph")
+    df = grid.df.withColumns({n: F.lit("own") for n in names})
+    f = GeoFrame(df, order=("id",), crs=CRS)
+    graphs = [
+        gw.geo_erdos_renyi_network(f, id_col="id", random_state=1, constraint=lambda u, v: u["rank"] == v["_part"]),
+        gw.geo_watts_strogatz_network(f, 4, 0.1, id_col="id", random_state=1, constraint=lambda u, v: u["k"] == v["i"]),
+        gw.geo_barabasi_albert_network(f, 2, id_col="id", random_state=1, node_order="id", constraint=lambda u, v: u["rank"] == v["t"]),
+    ]
+    for g in graphs:
+        assert g.edges.count() > 50 and set(names) <= set(g.nodes.columns) and {r["rank"] for r in g.nodes.collect()} == {"own"}
+        nodes, _ = gw.graph_to_gdf(g)
+        assert set(names) <= set(nodes.columns)
+    with pytest.raises(ValueError, match="node_pos"):
+        gw.random_order(GeoFrame(grid.df.withColumn("node_pos", F.lit(1)), crs=CRS))
+
+
+def test_lines_and_several_polygons(spark):
+    square = lambda a, s: [[(a, a), (a + s, a), (a + s, a + s), (a, a + s)]]
+    point = "struct<x:double,y:double>"
+    many = GeoFrame(spark.createDataFrame([(1, [square(0.0, 2.0), square(10.0, 4.0)]), (2, [square(4.0, 2.0)])], f"id long, geometry array<array<array<{point}>>>"), order=("id",), crs=CRS)
+    g = gw.geo_erdos_renyi_network(many, id_col="id", scaling_factor=0.01, random_state=1)
+    assert [(r["x"], r["y"]) for r in g.nodes.orderBy("node_pos").collect()] == [((4 * 1 + 16 * 12) / 20,) * 2, (5.0, 5.0)]
+    assert gw.graph_to_gdf(g)[1].first()["x2"] == 5.0
+    parts = gw.exploded(many, "part")
+    assert parts.shape == "polygon" and [(r["id"], r["part"]) for r in parts.df.orderBy("id", "part").collect()] == [(1, 0), (1, 1), (2, 0)]
+    lines = GeoFrame(spark.createDataFrame([(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)]), (2, [(7.0, 7.0)])], f"id long, geometry array<{point}>"), order=("id",), crs=CRS)
+    g = gw.geo_erdos_renyi_network(lines, id_col="id", scaling_factor=0.01, random_state=1)
+    assert [(r["x"], r["y"]) for r in g.nodes.orderBy("node_pos").collect()] == [(3.0, 1.0), (7.0, 7.0)]
+    from geoweft.operators.frame import find_scaling_factor
+
+    assert find_scaling_factor(lines) == pytest.approx(20 / 98**0.5) and find_scaling_factor(many) == pytest.approx(20 / (2 * 14**2) ** 0.5)
+    with pytest.raises(ValueError, match="geometry must be"):
+        GeoFrame(spark.createDataFrame([(1, [1.0])], "id long, geometry array<double>")).shape
+
+
+def test_verbose_and_missing_geometry(grid, capsys):
+    g = gw.geo_watts_strogatz_network(grid, 4, 0.5, a=1, id_col="id", random_state=2, verbose=True)
+    said = capsys.readouterr().err
+    assert "100 nodes, 200 edges, mean degree 4.00" in said and "edges rewired" in said
+    lost = gw.GeoGraph(g.nodes.withColumn("x", F.when(F.col("node_id") != 7, F.col("x"))), g.edges, g.meta)
+    with pytest.raises(RuntimeError, match="Cannot reconstruct geometry for node 7"):
+        gw.graph_to_gdf(lost)
+    with pytest.raises(RuntimeError, match="edge endpoint 7"):
+        gw.graph_to_gdf(lost, nodes=False)
+    with pytest.warns(UserWarning, match="fewer neighbors than expected"):
+        gw.geo_watts_strogatz_network(grid, 40, 0, max_degree=21, random_state=1)
+
+
+def test_orders_of_close_values(spark):
+    """Coordinates in units far below one: order isn't lost to rounding."""
+    rows = [(k, 1e-12 * k * k, 0.0) for k in range(30)]
+    f = GeoFrame(spark.createDataFrame(rows, "id long, x double, y double"), order=("id",), crs=CRS)
+    assert [r["node_pos"] for r in gw.density_order_knn(f, 1).orderBy("rank").collect()] == list(range(30))
+
+
+def test_string_index(grid):
+    f = GeoFrame(grid.df.withColumn("name", F.concat(F.lit("node_"), F.col("id"))), order=("id",), index=("name",), crs=CRS)
+    g = gw.geo_watts_strogatz_network(f, 4, 0, id_col="index", random_state=1)
+    assert g.meta["index_name"] == "name" and {r["node_id"] for r in g.nodes.collect()} == {f"node_{k}" for k in range(100)}
+
+
 def test_polygons_and_export(squares):
     g = gw.geo_erdos_renyi_network(squares, scaling_factor=0.01, id_col="id", random_state=1)
     nodes, edges = gw.graph_to_gdf(g)
