@@ -1,8 +1,9 @@
-"""Times the headline queries: one warm run of each over $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Times the headline queries: one run of each over $BENCH_SF_DIR on local[$BENCH_CPUS], after a first graph that warms up; prints one JSON line."""
 
 import json
 import os
 import sys
+import tempfile
 import time
 import warnings
 
@@ -20,6 +21,7 @@ def main() -> None:
 
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", CPUS)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -30,7 +32,8 @@ def main() -> None:
     er = lambda f: gw.geo_erdos_renyi_network(f, random_state=1).edges
     ws = lambda f: gw.geo_watts_strogatz_network(f, 10, 0.1, random_state=1).edges
     ba = lambda f: gw.geo_barabasi_albert_network(f, 10, random_state=1).edges
-    runs = {f"{name}_{n}": (lambda make=make, n=n: make(points(n))) for n in (10000,) for name, make in (("er", er), ("ws", ws), ("ba", ba))}
+    runs = {f"{name}_{n}": (lambda make=make, n=n: make(points(n))) for n in (100, 1000, 2000, 5000, 8000, 10000) for name, make in (("er", er), ("ws", ws), ("ba", ba))}
+    runs["er_exact_customer"] = lambda: catalog._edges(catalog.er_customers(spark, SF_DIR, fast=True))
     runs["er_customer"] = lambda: er(catalog.customers(spark, SF_DIR))
     runs["er_thinned_customer"] = lambda: catalog.QUERIES["er_edges_thinned"](spark, SF_DIR)
     for name in ("knn_topk", "order_kde_compact", "sample_polygon_hole", "polygon_centroid_area"):
@@ -38,11 +41,14 @@ def main() -> None:
     try:
         from geoweft.llm import queries as llm
 
-        for name in ("op2_quality_rules", "op3_main_text", "op5_bpe", "op7_language_id", "op8_decontamination", "op10_warc"):
+        for name in llm.QUERIES:
             runs[name] = lambda name=name: llm.QUERIES[name](spark, SF_DIR)
+        import corpus_pipeline
+
+        runs["pipeline"] = lambda: corpus_pipeline.run(spark, SF_DIR)
     except ImportError:
         pass
-    spark.range(10).count()
+    er(points(100)).count()
     took = {}
     for name, run in runs.items():
         start = time.perf_counter()

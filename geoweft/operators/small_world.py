@@ -78,19 +78,27 @@ def nearest_nodes(nodes: DataFrame, k: Column, max_degree: int, query_factor: in
 def rewiring_choices(events: DataFrame, nodes: DataFrame, n: int, a: float, s: float, predicate: Column | None, need: list[str], seed: int, fast: bool, keep: int | None) -> DataFrame:
     """(i, rank, at, c): the targets of each event in the order in which draws in proportion to the decay would take them, without repeats.
 
-    An exponential race: each target's time is -ln(1-u) over its decay; the first valid one is a draw from the valid ones.
+    An exponential race: each target's time is -ln(1-u) over its decay; the first valid one is a draw from the valid ones. With ``keep``
+    only about so many of the first.
     """
     e = events.join(nodes.select(F.col("node_pos").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), *(F.col(f"a_{c}").alias(f"u_{c}") for c in need)), "i")
     t = nodes.select(F.col("node_pos").alias("c"), F.col("x").alias("xc"), F.col("y").alias("yc"), *(F.col(f"a_{c}").alias(f"v_{c}") for c in need))
-    pairs = all_pairs(e, t, n, F.col("i") != F.col("c"))
-    if predicate is not None:
-        pairs = pairs.where(predicate)
-    q = decay(distance("xi", "yi", "xc", "yc"), a, s)
-    key = -F.log(F.lit(1.0) - uniform("rw", seed, "i", "rank", "c", fast=fast)) / q
-    pairs = pairs.withColumn("q", q).where("q > 0").withColumn("key", key)
+
+    def targets(of: DataFrame) -> DataFrame:
+        pairs = all_pairs(of, t, n, F.col("i") != F.col("c"))
+        if predicate is not None:
+            pairs = pairs.where(predicate)
+        return pairs.withColumn("q", decay(distance("xi", "yi", "xc", "yc"), a, s)).where("q > 0")
+
+    if keep:
+        # times at most late enough for ``keep`` targets and a margin: only these are sorted, and they are the first ones whatever their number
+        rates = targets(e).groupBy("i", "rank").agg((F.lit(keep + 6 * keep**0.5) / F.sum("q")).alias("latest"))
+        e = e.join(saved(rates), ["i", "rank"])
+    pairs = targets(e).withColumn("key", -F.log(F.lit(1.0) - uniform("rw", seed, "i", "rank", "c", fast=fast)) / F.col("q"))
+    if keep:
+        pairs = pairs.where("key <= latest")
     w = W.partitionBy("i", "rank").orderBy("key", "c")
-    out = pairs.withColumn("at", F.row_number().over(w))
-    return (out.where(F.col("at") <= keep) if keep else out).select("i", "rank", "at", "c")
+    return pairs.withColumn("at", F.row_number().over(w)).select("i", "rank", "at", "c")
 
 
 def drawn_choices(events: DataFrame, nodes: DataFrame, n: int, a: float, s: float, predicate: Column | None, need: list[str], seed: int, fast: bool, keep: int) -> DataFrame:
