@@ -433,6 +433,19 @@ def test_pages(spark):
         assert abs(sum(x) - 1) < 1e-9
 
 
+def test_main_text_of_pages_of_other_makes():
+    """By words: the article is found whole, and little else."""
+    from heldout_pages import PAGES
+
+    model = extract.default_model()
+    words = lambda blocks: sum(len(b.split()) for b in blocks)
+    wanted = found = right = 0
+    for page, want in PAGES:
+        got = model.main_text(page).split("\n")
+        wanted, found, right = wanted + words(want), found + words(got), right + words([b for b in got if b in want])
+    assert right / wanted > 0.95 and right / found > 0.9
+
+
 def test_message_passing_is_exact():
     """Marginals of a small page equal those from summing over all assignments."""
     from itertools import product
