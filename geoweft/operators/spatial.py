@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,39 +26,79 @@ def all_pairs(left: DataFrame, right: DataFrame, n: int, on: Column) -> DataFram
     return parallel(left).join(right, on)
 
 
-def knn_join(points: DataFrame, k: Column | int, n: int | None = None, ring: int = 1) -> DataFrame:
+def knn_join(points: DataFrame, k: Column | int) -> DataFrame:
     """(node_pos, nbr, d, rank): the k nearest other points of each point of (node_pos, x, y), ties by node_pos.
 
     Points meet in grid cells. A point is done when its k-th distance is no more
     than the way to the rim of the cells searched, or when these hold all
-    points; others search twice as far. ``k`` may be a column of ``points``.
+    points; others search twice as far. Points of crowded cells search a finer
+    grid, and of many points at one place only the first are looked at, as no
+    more of them can be neighbours. ``k`` may be a column of ``points``.
     """
     p = points.withColumn("k", k if isinstance(k, Column) else F.lit(k)).select("node_pos", "x", "y", F.col("k").cast("long").alias("k"))
     stats = p.agg(F.count("*"), F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.avg("k"), F.max("k")).first()
     n, x0, y0, x1, y1, mean_k, max_k = stats
-    schema = "node_pos long, nbr long, d double, rank long"
-    spark = points.sparkSession
     if not n or n < 2 or not max_k or max_k <= 0:
-        return spark.createDataFrame([], schema)
+        return points.sparkSession.createDataFrame([], "node_pos long, nbr long, d double, rank long")
     w, h = x1 - x0, y1 - y0
     want = max(1.0, mean_k)
     if w > 0 and h > 0:
-        cell = math.sqrt(w * h * want / n)
+        size = math.sqrt(w * h * want / n)
     else:
-        cell = max(w, h) * want / n or 1.0
-    cell = max(cell, max(w, h) / 1e6)
-    columns, rows = int(w // cell) + 1, int(h // cell) + 1
-    cx, cy = F.floor((F.col("x") - x0) / cell).cast("long"), F.floor((F.col("y") - y0) / cell).cast("long")
-    gridded = p.withColumns({"cx": cx, "cy": cy})
-    target = gridded.select("cx", "cy", F.col("node_pos").alias("nbr"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    todo = gridded.where("k > 0")
-    out = None
+        size = max(w, h) * want / n or 1.0
+    size = max(size, max(w, h) / 1e6)
+    target = p.select(F.col("node_pos").alias("nbr"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    todo, out, crowd = p.where("k > 0"), None, CROWD * (want + 1)
+    for _ in range(FINER):
+        grid = Grid(size, x0, y0, int(w // size) + 1, int(h // size) + 1)
+        counts = grid.cells(target, "nx", "ny").groupBy("cx", "cy").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("cx", "cy")
+        if counts.isEmpty() or size <= max(w, h) * 1e-9:
+            break
+        if out is None:  # of points at one place, the first ones
+            place = W.partitionBy("nx", "ny").orderBy("nbr")
+            target = target.withColumn("r", F.row_number().over(place)).where(F.col("r") <= max_k + 1).drop("r").persist()
+        todo = grid.cells(todo, "x", "y")
+        thin = todo.join(counts, ["cx", "cy"], "left_anti").drop("cx", "cy").persist()
+        todo = todo.join(counts, ["cx", "cy"], "left_semi").drop("cx", "cy").persist()
+        if not thin.isEmpty():
+            found = _searched(thin, target, grid, n, max_k)
+            out = found if out is None else out.union(found)
+        elif out is None:
+            out = _searched(thin, target, grid, n, max_k)
+        if todo.isEmpty():
+            return out
+        size /= 4
+    found = _searched(todo, target, Grid(size, x0, y0, int(w // size) + 1, int(h // size) + 1), n, max_k)
+    return found if out is None else out.union(found)
+
+
+#: Times the expected number of points that a cell holds before a finer grid takes its points; quarterings of a cell's side.
+CROWD, FINER = 16, 16
+
+
+@dataclass(frozen=True)
+class Grid:
+    size: float
+    x0: float
+    y0: float
+    columns: int
+    rows: int
+
+    def cells(self, df: DataFrame, x: str, y: str) -> DataFrame:
+        at = lambda c, o: F.floor((F.col(c) - o) / self.size).cast("long")
+        return df.withColumns({"cx": at(x, self.x0), "cy": at(y, self.y0)})
+
+
+def _searched(todo: DataFrame, points: DataFrame, grid: Grid, n: int, max_k: int) -> DataFrame:
+    """The nearest of ``points`` (nbr, nx, ny) to each row of ``todo`` (node_pos, x, y, k) by the cells of a grid, further and further out."""
+    cell, x0, y0, columns, rows = grid.size, grid.x0, grid.y0, grid.columns, grid.rows
+    target, todo, ring, out = grid.cells(points, "nx", "ny"), grid.cells(todo, "x", "y"), 1, None
     while True:
         whole = ring >= max(columns, rows)
         if whole:
             pairs = all_pairs(todo.drop("cx", "cy"), target.drop("cx", "cy"), n, F.col("node_pos") != F.col("nbr"))
         else:
-            span = lambda c, top: F.sequence(F.greatest(F.col(c) - ring, F.lit(0)), F.least(F.col(c) + ring, F.lit(top - 1).cast("long")))
+            span = lambda c, top: F.sequence(F.greatest(F.col(c) - ring, F.lit(0)), F.least(F.col(c) + ring, F.lit(top - 1).cast("long")))  # noqa: B023, E731
             spread = todo.withColumn("gx", F.explode(span("cx", columns))).withColumn("gy", F.explode(span("cy", rows)))
             spread = spread.drop("cx", "cy").withColumnsRenamed({"gx": "cx", "gy": "cy"})
             pairs = spread.join(target, ["cx", "cy"]).where("node_pos <> nbr")

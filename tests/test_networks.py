@@ -211,6 +211,21 @@ def test_orders_of_close_values(spark):
     assert [r["node_pos"] for r in gw.density_order_knn(f, 1).orderBy("rank").collect()] == list(range(30))
 
 
+def test_nearest_points_of_crowds_and_outliers(spark):
+    """One outlier and two crowds, one of them at a single place: as brute force has it, by ever finer grids."""
+    from geoweft.operators.spatial import knn_join
+
+    rng = random.Random(2)
+    points = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(150)] + [(500.0, 500.0)] * 130 + [(1e6, 1e6)] + [(rng.uniform(0, 1000), rng.uniform(0, 1000)) for _ in range(20)]
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(points)], "node_pos long, x double, y double")
+    want = set()
+    for i, (x, y) in enumerate(points):
+        order = sorted((((x - u) * (x - u) + (y - v) * (y - v)) ** 0.5, j) for j, (u, v) in enumerate(points) if j != i)
+        want |= {(i, j, r) for r, (_, j) in enumerate(order[:3], 1)}
+    got = knn_join(df, 3).collect()
+    assert {(r["node_pos"], r["nbr"], r["rank"]) for r in got} == want and len(got) == len(want)
+
+
 def test_string_index(grid):
     f = GeoFrame(grid.df.withColumn("name", F.concat(F.lit("node_"), F.col("id"))), order=("id",), index=("name",), crs=CRS)
     g = gw.geo_watts_strogatz_network(f, 4, 0, id_col="index", random_state=1)
