@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of an Arrow batch that are taken at once. Spark bounds a batch's bytes, but what is made of its texts can be larger.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch, of which a task holds several on both sides, and rows of it that are taken at once.
+BATCH_BYTES, BATCH_ROWS = "4m", 256
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package."""
+    """Lets Python workers import this package. Where the session leaves the size of Arrow batches at Spark's 64 MB, it becomes BATCH_BYTES."""
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):

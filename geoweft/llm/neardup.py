@@ -48,7 +48,7 @@ CHANCE = 0.169919487159739093975315012348
 #: Standard deviations by which an estimate may fall short of the threshold and still be verified.
 SIGMAS = 6
 #: Members up to which a group's pairs are made; members of a block beyond.
-SMALL, BLOCK = 32, 128
+SMALL, BLOCK = 32, 512
 #: Pairs of one text that a task takes; rows of a class beyond which its answer is broadcast to them.
 PART, MANY = 1_000, 1_000
 
@@ -211,7 +211,7 @@ def joining(u: list[dict], v: list[dict], percent: int) -> list[tuple[int, int]]
     at, owner = at[order], owner[order]
     at, owner = at[count[at] > 1], owner[count[at] > 1]
     at = np.unique(at, return_inverse=True)[1]
-    width = 1 << 14
+    width = 1 << 12
     for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
         i, j = np.searchsorted(at, [low, low + width])
         part = np.zeros((len(x) + len(y), width), np.float32)
