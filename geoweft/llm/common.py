@@ -69,13 +69,13 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> Da
     """``left`` with the one row of ``right`` for each value of ``key``.
 
     A small right side is broadcast, by its count. A larger one is repeated for each of SALTS parts of a key, so that no value of any
-    frequency gathers in one task.
+    frequency gathers in one task. The part is a function of the row, so a task that runs twice deals alike.
     """
     if right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), key, how)
     salt = unused("salt", left, right)
     many = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn(salt, F.pmod(F.xxhash64(*left.columns[:8], F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).join(many, [key, salt], how).drop(salt)
+    return left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).join(many, [key, salt], how).drop(salt)
 
 
 def unused(name: str, *frames: DataFrame) -> str:
@@ -109,16 +109,6 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the shared folder. Pass frames that nothing else holds: their shuffle files then go at once."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
-    collect_garbage(spark)
-    return out
-
-
 class Scratch:
     """Intermediate Parquet tables of one call in the shared folder: as safe from lost executors as checkpoints, and smaller.
 
@@ -158,8 +148,3 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, for callers that return it unread."""
-    return Scratch(df.sparkSession).write(df)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoweft.llm.common import cut, lookup, text_key
+from geoweft.llm.common import Scratch, lookup, text_key
 
 # Licence names with the sentences by which texts grant them.
 TEMPLATES = (
@@ -148,7 +148,8 @@ def scan(files: DataFrame) -> DataFrame:
     plain = [f"c{k}" for k in range(len(more))]  # whatever they are called, they don't meet our own names
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = files.select(F.col("path").cast("string").alias("path"), text.alias("text"), text_key(text).alias("text_id"), *(F.col(f"`{c}`").alias(p) for c, p in zip(more, plain)))
-    own = cut(own_licences(rows))
+    scratch = Scratch(files.sparkSession)
+    own = scratch.write(own_licences(rows))
     rows = rows.drop("text").withColumn("dir", directory(F.col("path")))
     rows = lookup(rows, own, "text_id")
     name = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
@@ -160,9 +161,10 @@ def scan(files: DataFrame) -> DataFrame:
     parts = F.split("dir", "/")
     up = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts)))).alias("depth"))
     up = up.withColumn("above", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
-    nearest = cut(lookup(up, by_dir, "above", "inner").groupBy("dir").agg(F.max_by("file", "depth").alias("file")))
+    nearest = scratch.write(lookup(up, by_dir, "above", "inner").groupBy("dir").agg(F.max_by("file", "depth").alias("file")))
     out = lookup(rows, nearest, "dir")
-    return out.select(
-        *(F.col(p).alias(c) for c, p in zip(more, plain)), "path", F.col("licence").alias("own_licence"), "cosine", F.coalesce("licence", "file.licence").alias("licence"),
+    out = out.select(
+        *plain, "path", F.col("licence").alias("own_licence"), "cosine", F.coalesce("licence", "file.licence").alias("licence"),
         F.when(F.col("licence").isNotNull(), F.col("path")).otherwise(F.col("file.path")).alias("licence_from"),
     )
+    return scratch.last(out).toDF(*more, "path", *results)
