@@ -22,6 +22,7 @@ from geoweft.operators.random_graph import geo_erdos_renyi_network
 from geoweft.operators.small_world import geo_watts_strogatz_network, half_degrees
 from geoweft.operators.spatial import all_pairs, knn_join
 from geoweft.sources.sampling import sample_points
+from geoweft.streaming import arrivals
 
 EXTENT = 10000.0
 CRS = "EPSG:3857"
@@ -421,6 +422,15 @@ def order_kde_compact(spark, sf_dir):
     return ordering.density_order(customers(spark, sf_dir), bandwidth=512.0, kernel="epanechnikov")
 
 
+@query(f"""WITH {CUSTOMER_SQL}, first AS (SELECT user_id, min(ts) AS arrived FROM events GROUP BY 1)
+    SELECT row_number() OVER (ORDER BY arrived NULLS LAST, node_pos) - 1 AS rank, node_pos FROM nodes LEFT JOIN first ON user_id = node_pos""")
+def order_arrival(spark, sf_dir):
+    """Customers in the order of their first event, from the events as a stream."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return arrivals.arrival_order(customers(spark, sf_dir), arrivals.arrived(spark, arrivals.first_arrivals(stream, "user_id", "ts")), "id")
+
+
 # -- samples -----------------------------------------------------------------
 
 HOLED = [[(0, 0), (8, 0), (8, 8), (0, 8)], [(2, 2), (4, 2), (4, 4), (2, 4)]]

@@ -1 +1 @@
-"""streaming."""
+"""Graphs from streams of events."""

@@ -232,6 +232,22 @@ def test_string_index(grid):
     assert g.meta["index_name"] == "name" and {r["node_id"] for r in g.nodes.collect()} == {f"node_{k}" for k in range(100)}
 
 
+def test_growth_in_order_of_arrival(grid, spark, tmp_path):
+    """Two files, the second with late events and a key that is no node's; nodes without events come last."""
+    from geoweft.streaming.arrivals import arrival_order, arrived, first_arrivals
+
+    schema = "who long, at timestamp"
+    write = lambda rows: spark.createDataFrame(rows, "who long, s long").selectExpr("who", "timestamp_seconds(s) at").coalesce(1).write.mode("append").parquet(str(tmp_path))
+    write([(5, 50), (7, 70), (5, 90), (None, 1)])
+    write([(7, 20), (9, 60), (1000, 5), (3, None)])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    table = arrived(spark, first_arrivals(stream, "who", "at"))
+    order = [r["node_pos"] for r in arrival_order(grid, table, "id").orderBy("rank").collect()]
+    assert order == [7, 5, 9, *(k for k in range(100) if k not in (5, 7, 9))]
+    g = gw.geo_barabasi_albert_network(grid, 2, random_state=1, node_order=lambda f: arrival_order(f, table, "id"))
+    assert (5, 7) in pairs(g)
+
+
 def test_polygons_and_export(squares):
     g = gw.geo_erdos_renyi_network(squares, scaling_factor=0.01, id_col="id", random_state=1)
     nodes, edges = gw.graph_to_gdf(g)
