@@ -127,6 +127,12 @@ def test_ba_orders_caps_and_groups(grid):
         gw.geo_barabasi_albert_network(grid, 2, node_order=lambda f: gw.random_order(f, 1).limit(5))
 
 
+def test_constraints_on_growth_as_arrays_and_one_by_one(grid):
+    native = gw.geo_barabasi_albert_network(grid, 2, random_state=1, constraint=lambda u, v: u.group != v["group"])
+    python = gw.geo_barabasi_albert_network(grid, 2, random_state=1, constraint=lambda u, v: u.group != v.group and True)
+    assert pairs(native) == pairs(python) and native.edges.count() > 100
+
+
 def test_ids(grid, spark):
     assert gw.geo_erdos_renyi_network(grid, id_col="index", random_state=1).meta["index_name"] == "id"
     with pytest.raises(ValueError, match="unique"):
