@@ -22,15 +22,18 @@ import heapq
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import map_columns
+from geoweft.llm.common import map_task
 
-#: Words, and runs without white space, whose codes a worker keeps: this many recent ones, and as many from before.
-KEPT_WORDS, KEPT_CHUNKS = 150_000, 300_000
+#: Words, and runs without white space, whose codes a task keeps: this many recent ones, and as many from before. About 90 MB.
+KEPT_WORDS, KEPT_CHUNKS = 100_000, 150_000
+#: Code points whose classes are asked for at once.
+SLICE = 1 << 14
 #: str.split() also splits at these four, which aren't white space in Unicode's sense.
 CONTROL = re.compile("[\x1c-\x1f]")
 #: Unicode's white space.
@@ -50,12 +53,14 @@ def classes() -> dict[str, str]:
     """The marks of character classes in a tokenizer's pattern, and the ranges that they stand for inside brackets."""
     from tokenizers import Regex, pre_tokenizers
 
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    point = lambda i: i if i < 0xD800 else i + 0x800
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
     out = {r"\s": SPACES}
     for mark in (r"\p{L}", r"\p{N}"):
-        found = pre_tokenizers.Split(Regex(mark + "+"), "removed", invert=True).pre_tokenize_str(every)
-        out[mark] = ranges([(point(a), point(b - 1)) for _, (a, b) in found])
+        split, found = pre_tokenizers.Split(Regex(mark + "+"), "removed", invert=True), []
+        for i in range(0, len(points), SLICE):
+            some = points[i : i + SLICE]
+            found += [(some[a], some[b - 1]) for _, (a, b) in split.pre_tokenize_str("".join(map(chr, some)))]
+        out[mark] = ranges(found)
     return out
 
 
@@ -194,6 +199,10 @@ class WordBpe:
             self.chunks.put(chunk, got)
         return got
 
+    def forget(self) -> None:
+        """Drops the codes kept."""
+        self.words, self.chunks = Recent(KEPT_WORDS), Recent(KEPT_CHUNKS)
+
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
         chunks = text.split() if not CONTROL.search(text) else WHITE_SPACE.split(text)
         return [x for x in map(self.chunk_codes, chunks) if x[0]]
@@ -214,8 +223,7 @@ def tokenizer(path: str) -> WordBpe:
 def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds the ids, with_text the decoded text."""
 
-    def run(batch: dict[str, list]) -> dict[str, list]:
-        t = tokenizer(path)
+    def encoded(t: WordBpe, batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
         for text in batch["text"]:
             p = t.pieces(text or "")
@@ -229,5 +237,13 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool =
                 out["decoded"].append(decoded)
         return out
 
+    def run(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        t = tokenizer(path)
+        try:
+            for batch in rows:
+                yield encoded(t, batch)
+        finally:
+            t.forget()  # workers go on to other stages
+
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
-    return map_columns(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
+    return map_task(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)

@@ -36,13 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Applies ``fn`` to the columns of each Arrow batch, given and returned as lists."""
+    return map_task(df, lambda batches: map(fn, batches), schema)
+
+
+def map_task(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+    """The same with a function of all batches of a task."""
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, BATCH_ROWS):
-                out = fn(batch.slice(i, BATCH_ROWS).to_pydict())
-                yield pa.RecordBatch.from_pydict({f.name: out[f.name] for f in arrow}, schema=arrow)
+        parts = (batch.slice(i, BATCH_ROWS).to_pydict() for batch in batches for i in range(0, batch.num_rows, BATCH_ROWS))
+        for out in fn(parts):
+            yield pa.RecordBatch.from_pydict({f.name: out[f.name] for f in arrow}, schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -8,7 +8,9 @@ and an element's text belongs to the main text where its content marginal is
 largest.
 
 A null or empty page, and one without content, has an empty text. Pages are read
-whole; scripts, styles and markup never count as text.
+whole; scripts, styles and markup never count as text. Repeated rows each get
+their text, null ids and urls are kept, further columns are ignored, and an empty
+table gives an empty one.
 """
 
 from __future__ import annotations

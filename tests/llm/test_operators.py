@@ -446,6 +446,23 @@ def test_main_text_of_pages_of_other_makes():
     assert right / wanted > 0.95 and right / found > 0.9
 
 
+def test_rows_of_any_kind(spark):
+    """Nulls in every column, repeated rows, clashing columns, long texts and empty tables, through the operators that take a row for a row."""
+    names = {n: F.lit("clash") for n in ("ids", "codes", "lang_pred", "n_chars", "digest", "block", "headers", "row", "kept")}
+    docs = spark.createDataFrame([(1, "a b", "en"), (1, "a b", "en"), (None, None, None), (2, "", "en"), (3, "wörter " * 30_000, None), (None, "a b", "de")], "doc_id long, text string, lang string").withColumns(names)
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, None, "<p>" + "x " * 100_000)], "page_id long, url string, html string").withColumns({**names, "text": F.lit("clash")})
+    model = langid.learn(docs)
+    runs = [
+        (docs, lambda d: bpe.encode(d, vocabulary_path(), with_ids=True)), (docs, quality.ledger), (docs, quality.keep_documents), (docs, lambda d: langid.identify(d, model)),
+        (docs, lambda d: pii.report(pii.find(d))), (docs, repeats.deduplicate), (docs, neardup.near_duplicates), (pages, extract.extract), (pages, warc.responses),
+        (pages, lambda p: warc.derivatives(warc.responses(p))),
+    ]
+    for k, (table, run) in enumerate(runs):
+        n = run(table).count()
+        assert n == {2: 0, 9: 2 * table.count()}.get(k, table.count()), k
+        assert run(table.limit(0)).count() == 0, k
+
+
 def test_message_passing_is_exact():
     """Marginals of a small page equal those from summing over all assignments."""
     from itertools import product
