@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from geoweft.llm.common import map_task
 
-#: Words, and runs without white space, whose codes a task keeps: this many recent ones, and as many from before. About 90 MB.
-KEPT_WORDS, KEPT_CHUNKS = 100_000, 150_000
+#: Words, and runs without white space, whose codes a task keeps: this many recent ones, and as many from before.
+KEPT_WORDS, KEPT_CHUNKS = 150_000, 300_000
 #: Code points whose classes are asked for at once.
 SLICE = 1 << 14
 #: str.split() also splits at these four, which aren't white space in Unicode's sense.

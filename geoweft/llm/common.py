@@ -114,7 +114,8 @@ def collect_garbage(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Intermediate Parquet tables of one call in the shared folder: as safe from lost executors as checkpoints, and smaller.
+    """Intermediate tables of one call in the shared folder: ``write`` makes Parquet of large ones, ``keep`` a reliable checkpoint of small ones,
+    which takes executors no buffers. Both are safe from lost executors.
 
     ``forget`` removes one that is no longer read; ``last`` writes a result and removes all others.
     """
@@ -134,6 +135,15 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def keep(self, df: DataFrame, sweep: bool = True) -> DataFrame:
+        checkpoint_dir(self.spark)
+        out = df.checkpoint(eager=True)
+        del df
+        if sweep:
+            collect_garbage(self.spark)
+        self.paths[id(out)] = (out._jdf.queryExecution().logical().rdd().getCheckpointFile().get(), out)
+        return out
+
     def forget(self, *tables: DataFrame) -> None:
         for t in tables:
             remove(self.spark, self.paths.pop(id(t))[0])

@@ -13,7 +13,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     A star with many edges is pre-aggregated to its smallest neighbour before rows are shuffled. The result is a table of ``scratch``.
     """
-    e = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), sweep=False)
+    e = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), sweep=False)
     before = None
     while True:
         # large star: every larger neighbour is tied to the smallest one
@@ -23,7 +23,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # small star: smaller neighbours and the node itself are tied to the smallest one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = scratch.write(tied.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), sweep=False)
+        after = scratch.keep(tied.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), sweep=False)
         scratch.forget(e)
         e = after
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -154,8 +154,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int, scratch: Scratch) -
     """doc_id, text_hash, item_id, start_token, end_token, n_matching: each item's best leak into each row that it leaks into."""
     codes = lambda b: {"item": b["item"], "item_id": b["item_id"], "codes": [tokens(t).tobytes() for t in b["text"]]}
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = scratch.write(map_columns(items, codes, "item long, item_id long, codes binary"))
-    of_items = scratch.write(seeds(items))
+    items = scratch.keep(map_columns(items, codes, "item long, item_id long, codes binary"))
+    of_items = scratch.keep(seeds(items))
     masks = [r["mask"] for r in of_items.select("mask").distinct().collect()]  # of the fixed ones
     table = docs.sparkSession.sparkContext.broadcast(bit_table(of_items))
 
@@ -181,7 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int, scratch: Scratch) -
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
     rows = map_columns(rows, hits, "doc_id long, text_hash long, codes binary, seeds array<struct<hash:long,p:int>>")
-    rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()))  # written, a row keeps its number
+    rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()))  # written, a row keeps its number
     # what an item's hash is of: a row for each hash, as long as the items are many that share it
     at_hash = of_items.groupBy("hash").agg(F.collect_set(F.struct("item", "n", "at")).alias("of"))
     met = lookup(rows.select("row", F.explode("seeds").alias("s")).select("row", "s.hash", "s.p"), at_hash, "hash", "inner")

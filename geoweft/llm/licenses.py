@@ -149,7 +149,7 @@ def scan(files: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = files.select(F.col("path").cast("string").alias("path"), text.alias("text"), text_key(text).alias("text_id"), *(F.col(f"`{c}`").alias(p) for c, p in zip(more, plain)))
     scratch = Scratch(files.sparkSession)
-    own = scratch.write(own_licences(rows))
+    own = scratch.keep(own_licences(rows))
     rows = rows.drop("text").withColumn("dir", directory(F.col("path")))
     rows = lookup(rows, own, "text_id")
     name = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
@@ -161,7 +161,7 @@ def scan(files: DataFrame) -> DataFrame:
     parts = F.split("dir", "/")
     up = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts)))).alias("depth"))
     up = up.withColumn("above", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
-    nearest = scratch.write(lookup(up, by_dir, "above", "inner").groupBy("dir").agg(F.max_by("file", "depth").alias("file")))
+    nearest = scratch.keep(lookup(up, by_dir, "above", "inner").groupBy("dir").agg(F.max_by("file", "depth").alias("file")))
     out = lookup(rows, nearest, "dir")
     out = out.select(
         *plain, "path", F.col("licence").alias("own_licence"), "cosine", F.coalesce("licence", "file.licence").alias("licence"),

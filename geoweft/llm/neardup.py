@@ -162,9 +162,9 @@ class Texts:
 
 def tried(pairs: DataFrame, texts: Texts, percent: int, scratch: Scratch) -> DataFrame:
     """The links among the pairs (a, b)."""
-    some = scratch.write(likely(pairs, texts.reps, percent))
+    some = scratch.keep(likely(pairs, texts.reps, percent))
     needed = some.select(F.col("a").alias("rep")).union(some.select(F.col("b").alias("rep")))
-    links = scratch.write(verified(some, texts.sets(needed), percent))
+    links = scratch.keep(verified(some, texts.sets(needed), percent))
     scratch.forget(some)
     return links
 
@@ -173,9 +173,9 @@ def across(groups: DataFrame, label: DataFrame, texts: Texts, percent: int, scra
     """Links between components that a hub's trials have left apart, from groups (hub, rep)."""
     named = label.withColumnsRenamed({"id": "rep"})
     all_ = groups.union(groups.select("hub", F.col("hub").alias("rep")).distinct())
-    state = scratch.write(all_.join(named, "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("component")))
+    state = scratch.keep(all_.join(named, "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("component")))
     about = state.groupBy("hub").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("component"))).alias("of"))
-    state = scratch.write(lookup(state, about.where("x < y").select("hub", "n", "of"), "hub", "inner"))
+    state = scratch.keep(lookup(state, about.where("x < y").select("hub", "n", "of"), "hub", "inner"))
 
     small = state.where(F.col("n") <= SMALL).select("hub", "rep", "component")
     other = small.select("hub", F.col("rep").alias("b"), F.col("component").alias("c"))
@@ -197,7 +197,7 @@ def across(groups: DataFrame, label: DataFrame, texts: Texts, percent: int, scra
         found = [x for u, v in zip(batch["u"], batch["v"]) for x in joining(u, v, percent)]
         return {"a": [x[0] for x in found], "b": [x[1] for x in found]}
 
-    return links.union(scratch.write(map_columns(u.join(v, ["hub", "block"]).select("u", "v"), run, "a long, b long")))
+    return links.union(scratch.keep(map_columns(u.join(v, ["hub", "block"]).select("u", "v"), run, "a long, b long")))
 
 
 def joining(u: list[dict], v: list[dict], percent: int) -> list[tuple[int, int]]:
@@ -236,22 +236,22 @@ def joining(u: list[dict], v: list[dict], percent: int) -> list[tuple[int, int]]
 
 def classified(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """doc_id, text_hash, n_shingles, class_id, component_id, component (its number) and keep, the text hash of the rows that stay where no doc_id tells: one row for each of docs (doc_id, text, text_hash)."""
-    sketch = scratch.write(sketches(docs, width))
+    sketch = scratch.keep(sketches(docs, width))
     full = sketch.where(F.col("digest").isNotNull())
     # a class has a number, which stays once it is written
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     reps = full.groupBy("digest").agg(F.min(at).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
-    reps = scratch.write(reps.withColumn("rep", F.monotonically_increasing_id()))
+    reps = scratch.keep(reps.withColumn("rep", F.monotonically_increasing_id()))
     repeated = not full.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     texts = Texts(docs, reps, width, repeated)
 
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     met = banded.join(shared, ["band", "key"]).groupBy("rep").agg(F.collect_set(F.xxhash64("band", "key")).alias("buckets"), F.sum("size").alias("score"))
-    met = scratch.write(met)
+    met = scratch.keep(met)
     members = met.select("rep", "score", F.explode("buckets").alias("bucket"))  # a class is in BANDS buckets at most
     hubs = members.groupBy("bucket").agg(F.max_by("rep", F.struct(F.col("score"), -F.col("rep"))).alias("hub"))
-    groups = scratch.write(members.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct())
+    groups = scratch.keep(members.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct())
 
     links = tried(groups.select(F.col("hub").alias("a"), F.col("rep").alias("b")), texts, percent, scratch)
     more = across(groups, components(links, scratch), texts, percent, scratch)

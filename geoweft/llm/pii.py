@@ -196,10 +196,10 @@ def revealing(rows: DataFrame, scratch: Scratch, alpha: float = ALPHA, z: float
     # entities of the same texts disclose alike: one stands for all, so that a log of many addresses isn't paired with its words for each
     alike = [F.count("*").alias("df_e"), F.bit_xor("text_id").alias("x"), F.bit_xor(F.xxhash64("text_id", F.lit(1))).alias("y")]
     one = names.groupBy("entity").agg(*alike).groupBy("df_e", "x", "y").agg(F.min("entity").alias("entity")).select("entity", "df_e")
-    names = scratch.write(names.join(one, "entity"))
+    names = scratch.keep(names.join(one, "entity"))
     if names.isEmpty():
         return None
-    copies = scratch.write(rows.groupBy("text_id").agg(F.count("*").alias("n_rows")))
+    copies = scratch.keep(rows.groupBy("text_id").agg(F.count("*").alias("n_rows")))
     n = float(copies.count())
     ic = F.log(F.lit(n) / F.col("df_e"))
     # df_te is at most df_e: terms of more texts than this can't reach the threshold
@@ -211,13 +211,13 @@ def revealing(rows: DataFrame, scratch: Scratch, alpha: float = ALPHA, z: float
     pairs = met.join(names, "text_id").where(F.col("df_t") <= F.col("most"))
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("df_te"), F.first("df_t").alias("df_t"), F.first("df_e").alias("df_e"))
     pmi = F.log(least(F.col("df_te"), F.col("df_t"), z) * n / F.col("df_e"))
-    return scratch.write(pairs.where(pmi >= alpha * ic).select("term").distinct())
+    return scratch.keep(pairs.where(pmi >= alpha * ic).select("term").distinct())
 
 
 def term_spans(rows: DataFrame, terms: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, text_id, terms: every occurrence of ``terms`` in every row."""
     found = words(rows.select("text_id", "rest"), "text_id")
-    found = scratch.write(found.join(small(terms), "term", "left_semi").distinct())
+    found = scratch.keep(found.join(small(terms), "term", "left_semi").distinct())
     x = rows.select("doc_id", "text_id", "rest").join(small(found.select("text_id").distinct()), "text_id", "left_semi").dropDuplicates(["doc_id", "text_id"])
     x = x.withColumn("m", F.regexp_extract_all("rest", F.lit(TERM), F.lit(0))).withColumn("g", F.split("rest", TERM, -1))
     x = x.withColumn("l", lengths(F.col("m"), F.col("g")))
