@@ -8,11 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-pipeline = pytest.importorskip("corpus_pipeline")
-
-from geoweft.llm import bpe, decontam, quality  # noqa: E402
-from geoweft.llm.queries import vocabulary_path  # noqa: E402
-from geoweft.llm.shingles import shingle_set  # noqa: E402
+import corpus_pipeline as pipeline
+from geoweft.llm import bpe, decontam, quality
+from geoweft.llm.queries import vocabulary_path
+from geoweft.llm.shingles import shingle_set
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string"
 
