@@ -220,8 +220,8 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds the ids, with_text the decoded text."""
+def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = False, release: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds the ids, with_text the decoded text. release: workers drop the tokenizer after each task, for other stages' sake."""
 
     def encoded(t: WordBpe, batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
@@ -244,6 +244,8 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool =
                 yield encoded(t, batch)
         finally:
             t.forget()  # workers go on to other stages
+            if release:
+                tokenizer.cache_clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return map_task(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
