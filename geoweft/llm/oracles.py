@@ -72,6 +72,29 @@ OP9 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_l
     FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+def _crc_step(v: str) -> str:
+    return f"xor(({v}) >> 1, 3988292384 * (({v}) & 1))"
+
+
+#: The checksum (crc32) of a string ``s`` of ASCII characters, bit by bit.
+CRC = f"xor(list_reduce(range(8 * length(s)), lambda v, k: CASE WHEN k % 8 = 0 THEN {_crc_step('xor(v, ascii(substr(s, k // 8 + 1, 1)))')} ELSE {_crc_step('v')} END, 4294967295::BIGINT), 4294967295)"
+
+#: A prefix is the string of its turns' digests, so those of its ancestors are its own beginnings.
+OP13 = f"""WITH t AS (SELECT conv_id AS c, coalesce(text, '') AS x, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT c, c - c % 100 AS b, {CRC} % 6 AS h FROM (SELECT DISTINCT c, c::VARCHAR AS s FROM t)),
+    taken AS (SELECT convs.*, least(h, coalesce(m, 0)) AS k FROM convs LEFT JOIN (SELECT c AS b, max(i) AS m FROM t GROUP BY 1) USING (b)),
+    full_ AS (SELECT taken.c, i AS d, g, x FROM taken JOIN t ON t.c = taken.b AND i <= h UNION ALL SELECT t.c, i - h + k, g, x FROM taken JOIN t ON t.c = taken.c AND i > h),
+    members AS (SELECT c, d, string_agg(g, '') OVER (PARTITION BY c ORDER BY d) AS key, length(x) AS size FROM full_ UNION ALL SELECT c, 0, '', 0 FROM convs),
+    whole AS (SELECT c, max_by(key, d) AS key FROM members GROUP BY 1),
+    ends AS (SELECT key, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS s FROM whole GROUP BY 1),
+    nodes AS (SELECT key, any_value(d) AS d, min(c) AS conv_id, count(*) AS n, any_value(size) AS size, CASE WHEN any_value(d) > 0 THEN left(key, 32 * (any_value(d) - 1)) END AS up FROM members GROUP BY 1),
+    kids AS (SELECT up AS key, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY 1),
+    below AS (SELECT left(nodes.key, 32 * j) AS key, sum((n - 1) * size) AS saved, count(*) FILTER (n_children IS NULL) AS leaves FROM nodes LEFT JOIN kids USING (key), LATERAL (SELECT unnest(range(0, d + 1)) AS j) GROUP BY 1)
+    SELECT nodes.conv_id, nodes.d::BIGINT AS depth, p.conv_id AS parent_conv_id, nodes.n AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(s, sha256('')) AS ends_sha256
+    FROM nodes JOIN below USING (key) LEFT JOIN kids USING (key) LEFT JOIN ends USING (key) LEFT JOIN nodes p ON p.key = nodes.up"""
+
+
 def _op1() -> str:
     """Cosines of units and templates as sums over terms, then the nearest licence file above."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
@@ -106,4 +129,4 @@ def _op1() -> str:
     FROM placed LEFT JOIN nearest USING (dir)"""
 
 
-ORACLES: dict[str, str] = {"op1_licenses": _op1(), "op2_quality_rules": OP2, "quality_ablation": ABLATION, "op6_near_duplicates": OP6, "op9_repeated_passages": OP9}
+ORACLES: dict[str, str] = {"op1_licenses": _op1(), "op2_quality_rules": OP2, "quality_ablation": ABLATION, "op6_near_duplicates": OP6, "op9_repeated_passages": OP9, "op13_prefix_trie": OP13}

@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.llm import bpe, decontam, extract, langid, licenses, neardup, pii, quality, repeats, warc
+from geoweft.llm import bpe, decontam, extract, langid, licenses, neardup, pii, quality, repeats, sentencepiece_bpe, trie, warc, whitening
 from geoweft.llm.common import table
 
-VOCABULARY = "word_bpe_49k.json"
+VOCABULARY, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def document_path() -> Column:
@@ -79,6 +79,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(PIECES))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_quality_rules": op2_quality_rules,
@@ -91,4 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_warc": op10_warc,
+    "op11_whitening": op11_whitening,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_prefix_trie": op13_prefix_trie,
 }

@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     a, b = queries.QUERIES[name](spark, SF).toPandas(), con.sql(oracles.ORACLES[name]).df()
     columns = sorted(a.columns)
     assert columns == sorted(b.columns)
