@@ -126,7 +126,7 @@ def test_whitening_of_flat_and_few_vectors(spark):
     far = make([[1e15, 0.0], [-1e15, 1.0], [1e15, 0.0]])
     assert far.where("deviation is null").count() == 6 and far.where("whitened is null").count() == 3  # two points have one direction
     empty = make([[1.0]]).limit(0)
-    assert whitening.whiten(spark.createDataFrame([], "vec_id long, embedding array<float>")).schema == empty.schema
+    assert whitening.whiten(spark.createDataFrame([], "vec_id long, embedding array<float>")).dtypes == empty.dtypes
 
 
 # -- the trie ------------------------------------------------------------------
