@@ -7,6 +7,7 @@ on values, ...) it is run on rows in Arrow batches.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
@@ -54,6 +55,25 @@ class Row:
             raise AttributeError(name) from None
 
 
+def classes(predicate: Column | None, this: str = "u_", that: str = "v_") -> list[str]:
+    """The names in which two rows must agree by the predicate: its conjuncts that are an equality of the same column of both."""
+    found, todo = [], [] if predicate is None else [str(predicate)[len("Column<'") : -len("'>")]]
+    while todo:
+        text = todo.pop()
+        if text.startswith("coalesce(") and text.endswith(", false)"):
+            todo.append(text[len("coalesce(") : -len(", false)")])
+        elif text.startswith("and("):
+            depth = 0
+            for k, c in enumerate(text[4:-1], 4):
+                depth += (c == "(") - (c == ")")
+                if c == "," and depth == 0:
+                    todo += [text[4:k], text[k + 2 : -1]]
+                    break
+        elif m := re.fullmatch(rf"=\((?:{this}(\w+), {that}\1|{that}(\w+), {this}\2)\)", text):
+            found.append(m[1] or m[2])
+    return sorted(set(found))
+
+
 def resolve(constraint: Callable | None, names: list[str], this: str = "u_", that: str = "v_") -> tuple[Column | None, list[str]]:
     """The predicate over columns this+name and that+name, and the names it needs."""
     if constraint is None:

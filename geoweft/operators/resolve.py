@@ -1,180 +1,296 @@
-"""Order-dependent decisions: degree caps, picks, draws without replacement.
+"""Decisions in order, made in parallel: degree caps, picks, rewiring.
 
-The joins that produce candidates are parallel; what must be decided in order is
-decided here, by rounds over DataFrames where each round settles all rows whose
-outcome no longer depends on open ones, or in one ordered pass over candidates
-that are few by construction.
+The order is cut into windows. A task decides one window in order, given what
+matters of all windows before it: degrees of nodes that may reach the cap, ties
+that earlier decisions have made or undone. At first nothing is known of these but
+what stands from the beginning, so all windows are decided by a guess; then each
+learns what those before it have decided, and the ones to which that is news decide
+anew. When there is no news, all decisions are those of one pass in order: the
+first window was right from the start, and each other one follows from right ones.
+
+So there are at most as many rounds as windows, and as a rule few: a decision can
+change only if a node at its cap, or a tie of the same two nodes, does.
 """
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROUNDS = 25
+from geoweft.operators.shared import Tables, saved
+
+#: Rows that a window is to hold; windows that there are at least, and rows that each of those is to hold.
+WINDOW_ROWS, WINDOWS, LEAST_ROWS = 250_000, 4, 250
+#: What a window knows of others: v of the pair (a, b), or of node a where b is NODE.
+NEWS = "w long, a long, b long, v long"
+NODE = -1
 #: Nodes whose numbers may be broadcast.
 BROADCAST_NODES = 200_000
-#: Candidate rows up to which one ordered pass in one task is cheaper than rounds over all.
-ONE_PASS_ROWS = 2_000_000
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names. In a local session that names none it is a temporary one; elsewhere it must be set."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return folder or sc._jsc.sc().getCheckpointDir().get()
+def windows(rows: int) -> int:
+    return max(-(-rows // WINDOW_ROWS), min(WINDOWS, rows // LEAST_ROWS), 1)
+
+
+def window_of(node: Column, n: int, count: int) -> Column:
+    """The window of a node's turn: windows are runs of nodes."""
+    return F.floor(node * F.lit(count) / F.lit(max(1, n))).cast("long")
+
+
+@dataclass(frozen=True)
+class Settled:
+    """Decisions, and the news that they were taken with; tables both."""
+
+    results: DataFrame
+    known: DataFrame
+
+
+def settled(items: DataFrame, decide: Callable, schema: str, news: Callable, tables: Tables, old: Settled | None = None, again: list[int] | None = None) -> Settled:
+    """The decisions on ``items`` (with a column w) as of one pass over the windows in order.
+
+    decide(items, news) -> decisions, with w, of one window. news(decisions or None) -> what each window is to know, without zeros. After
+    ``old`` decisions, only the items of windows ``again`` have changed; what else has news is decided again too.
+    """
+    results, known = (old.results, tables.write(news(old.results))) if old else (None, tables.write(news(None)))
+    active = sorted({*again, *_differing(known, old.known)}) if old else None
+    if old:
+        tables.drop(old.known)
+    while active is None or active:
+        some = (lambda df: df) if active is None else (lambda df, active=active: df.where(F.col("w").isin(active)))
+        fresh = tables.write(some(items).groupBy("w").cogroup(some(known).groupBy("w")).applyInPandas(decide, schema))
+        now = fresh
+        if results is not None:
+            now = tables.write(results.where(~F.col("w").isin(active)).union(fresh))
+            tables.drop(fresh, results)
+        results = now
+        after = tables.write(news(results))
+        active = _differing(after, known)
+        tables.drop(known)
+        known = after
+    return Settled(results, known)
+
+
+def _differing(one: DataFrame, other: DataFrame) -> list[int]:
+    """The windows that don't know the same by both."""
+    both = one.withColumnRenamed("v", "x").join(other.withColumnRenamed("v", "y"), ["w", "a", "b"], "full")
+    return [r[0] for r in both.where(~F.col("x").eqNullSafe(F.col("y"))).select("w").distinct().collect()]
+
+
+def before(counts: DataFrame, touched: DataFrame) -> DataFrame:
+    """(w, a, v): for each node and window of ``touched`` (w, a) the sum over earlier windows of ``counts`` (w, a, v)."""
+    each = touched.join(counts, ["w", "a"], "left")
+    return each.select("w", "a", F.sum("v").over(W.partitionBy("a").orderBy("w").rowsBetween(W.unboundedPreceding, -1)).alias("v")).where("v <> 0")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+# -- caps of random graphs ---------------------------------------------------------
 
 
 def capped(edges: DataFrame, cap: int, n: int) -> DataFrame:
     """Of (i, j, length, p, q), the edges that greedy admission in order of (p, q) accepts: both ends must have fewer than ``cap`` edges.
 
-    Nodes are 0 to n - 1. Edges between nodes of at most ``cap`` edges are accepted without further ado. The others are decided in one
-    ordered pass, as each decision may hang on any before it; the pass streams over the turns (p with its list of q, made and sorted in
-    parallel) and holds a number for each node and one batch of turns.
+    Nodes are 0 to n - 1. Edges between nodes of at most ``cap`` edges are accepted without further ado; only those with a contested end
+    are decided in order.
     """
     names = ["i", "j", "length"]
     if cap <= 0:
         return edges.limit(0).select(*names)
-    full = edges.select(F.explode(F.array("i", "j")).alias("n")).groupBy("n").agg(F.count("*").alias("c")).where(F.col("c") > cap).select("n")
-    full = full.persist()
-    if (m := full.count()) == 0:
-        return edges.select(*names)
-    free = edges.limit(0).select(*names)
-    if m < n // 2:  # else hardly an edge is free
+    ends = F.explode(F.array("i", "j"))
+    full = edges.select(ends.alias("n")).groupBy("n").agg(F.count("*").alias("c")).where(F.col("c") > cap).select("n")
+    with Tables(edges.sparkSession) as tables:
+        full = tables.write(full)
+        if (m := full.count()) == 0:
+            return edges.select(*names)
         some = F.broadcast(full) if m <= BROADCAST_NODES else full
         near = edges.join(some.select(F.col("n").alias("i"), F.lit(True).alias("x")), "i", "left").join(some.select(F.col("n").alias("j"), F.lit(True).alias("y")), "j", "left")
-        free = near.where("x is null and y is null").select(*names)
-        edges = near.where("x or y")
-    turns = edges.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("q", "length"))).alias("v"))
-    turns = turns.select("p", F.transform("v", lambda x: x["q"]).alias("q"), F.transform("v", lambda x: x["length"]).alias("length"))
-    return free.union(turns.repartition(1).sortWithinPartitions("p").mapInArrow(_admitted(cap, n), "i long, j long, length double"))
-
-
-def _admitted(cap: int, n: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        degree = np.zeros(n, np.int32)
-        for batch in batches:
-            q_all, length_all = batch["q"], batch["length"]
-            q, length, at = q_all.flatten().to_numpy(), length_all.flatten().to_numpy(), q_all.offsets.to_numpy()
-            at = at - at[0]
-            taken, owner = [], []
-            for k, p in enumerate(batch["p"].to_numpy().tolist()):
-                room = cap - degree[p]
-                if room <= 0:
-                    continue
-                a = at[k]
-                ok = np.flatnonzero(degree[q[a : at[k + 1]]] < cap)[:room] + a
-                degree[q[ok]] += 1
-                degree[p] += len(ok)
-                taken.append(ok)
-                owner.append(np.full(len(ok), p))
-            if taken:
-                ok, p = np.concatenate(taken), np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q[ok])), pa.array(np.maximum(p, q[ok])), pa.array(length[ok])], names=["i", "j", "length"])
+        near = tables.write(near.select(*names, "p", "q", "x", "y"))
+        open_ = near.where("x or y")
+        count = windows(open_.count())
+        items = tables.write(open_.withColumn("w", window_of(F.col("p"), n, count)))
+        touched = items.select("w", F.explode(F.filter(F.array(F.when(F.col("x"), F.col("i")), F.when(F.col("y"), F.col("j"))), lambda v: v.isNotNull())).alias("a")).distinct()
+        touched = tables.write(touched)
+
+        def news(found: DataFrame | None) -> DataFrame:
+            if found is None:
+                return edges.sparkSession.createDataFrame([], NEWS)
+            counts = found.select("w", ends.alias("a")).groupBy("w", "a").agg(F.count("*").alias("v"))
+            return before(counts, touched).select("w", "a", F.lit(NODE).cast("long").alias("b"), F.least("v", F.lit(cap)).alias("v"))
+
+        taken = settled(items, _admitted(cap), "w long, i long, j long, length double", news, tables).results
+        return saved(near.where("x is null and y is null").select(*names).union(taken.select(*names)))
+
+
+def _admitted(cap: int) -> Callable:
+    def run(items: pd.DataFrame, news: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values(["p", "q"])
+        nodes, at = np.unique(items[["i", "j"]].to_numpy(), return_inverse=True)
+        degree = np.zeros(len(nodes), np.int64)
+        degree[np.searchsorted(nodes, news["a"].to_numpy())] = news["v"].to_numpy()
+        degree, ok = degree.tolist(), []
+        for i, j in at.reshape(-1, 2).tolist():
+            yes = degree[i] < cap and degree[j] < cap
+            ok.append(yes)
+            if yes:
+                degree[i] += 1
+                degree[j] += 1
+        return items.loc[ok, ["w", "i", "j", "length"]]
 
     return run
 
 
-def unclaimed_picks(lists: DataFrame) -> DataFrame | None:
-    """Of ranked candidates (node_pos, nbr, d, rank, k), each node's first ``k`` that haven't picked it themselves, nodes in order.
+# -- picks of nearest nodes ------------------------------------------------------
+
 
-    Without caps. Returns None if the rounds don't suffice.
+def picks(lists: DataFrame, max_degree: int, tables: Tables, old: Settled | None = None, longer: DataFrame | None = None) -> Settled:
+    """Of ranked candidates (w, node_pos, nbr, d, rank, k, nbr_k), what each node, in order, picks: its first ``k`` that haven't picked it, that
+    have room for their own picks and one more, and only while it has room itself. As (w, node_pos, nbr, d, rank, k).
+
+    ``old`` are picks from before the lists of the nodes ``longer`` became longer.
     """
-    state = saved(lists.withColumn("status", F.lit(0)))
-    before = W.partitionBy("node_pos").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-    for _ in range(ROUNDS):
-        back = state.where("nbr > node_pos").select(F.col("node_pos").alias("nbr"), F.col("nbr").alias("node_pos"), F.col("status").alias("back"))
-        x = state.join(back, ["node_pos", "nbr"], "left").withColumn("back", F.when(F.col("nbr") > F.col("node_pos"), -1).otherwise(F.coalesce("back", F.lit(-1))))
-        x = x.withColumns(
-            {
-                "yes": F.coalesce(F.sum(F.when(F.col("status") == 1, 1).otherwise(0)).over(before), F.lit(0)),
-                "most": F.coalesce(F.sum(F.when(F.col("status") >= 0, 1).otherwise(0)).over(before), F.lit(0)),
-            }
-        )
-        now = (
-            F.when(F.col("status") != 0, F.col("status"))
-            .when((F.col("back") == 1) | (F.col("yes") >= F.col("k")), -1)
-            .when((F.col("back") == -1) & (F.col("most") < F.col("k")), 1)
-            .otherwise(0)
-        )
-        state = saved(x.withColumn("status", now).drop("back", "yes", "most"))
-        if state.where("status = 0").isEmpty():
-            return state.where("status = 1").drop("status")
-    return None
-
-
-def picks_in_order(lists: DataFrame, max_degree: int) -> DataFrame:
-    """The same with the degree cap, in one ordered pass over the candidate lists (node_pos, nbr, d, rank, k, nbr_k)."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["node_pos", "rank"])
-        degree: dict[int, int] = {}
-        picked: dict[int, set[int]] = {}
-        keep, got, now = [], 0, None
-        for i, j, k, kj in part[["node_pos", "nbr", "k", "nbr_k"]].itertuples(index=False):
+    items = tables.write(lists)
+    again = None if longer is None else [r[0] for r in items.join(longer, "node_pos", "left_semi").select("w").distinct().collect()]
+    # whether a candidate has picked the node matters across windows only where it lists the node and has its turn in an earlier one
+    other = items.select(F.col("w").alias("earlier"), F.col("node_pos").alias("nbr"), F.col("nbr").alias("node_pos"))
+    waits = tables.write(items.join(other, ["node_pos", "nbr"]).where("earlier < w").select("w", F.col("node_pos").alias("a"), F.col("nbr").alias("b")))
+    # degrees matter only of nodes that may reach the cap
+    listed = items.groupBy(F.col("nbr").alias("a")).agg(F.count("*").alias("m"), F.max("nbr_k").alias("k"))
+    own = items.groupBy(F.col("node_pos").alias("a")).agg(F.max("k").alias("own"))
+    tight = listed.join(own, "a", "full").where(F.coalesce("m", F.lit(0)) + 2 * F.coalesce("k", "own") >= max_degree).select("a")
+    touched = items.select("w", F.explode(F.array("node_pos", "nbr")).alias("a")).distinct().join(tight, "a", "left_semi").select("w", "a")
+    touched = tables.write(touched)
+
+    def news(found: DataFrame | None) -> DataFrame:
+        if found is None:
+            return lists.sparkSession.createDataFrame([], NEWS)
+        back = found.select(F.col("nbr").alias("a"), F.col("node_pos").alias("b"))
+        backs = waits.join(back, ["a", "b"]).select("w", "a", "b", F.lit(1).cast("long").alias("v"))
+        counts = found.select("w", F.explode(F.array("node_pos", "nbr")).alias("a")).groupBy("w", "a").agg(F.count("*").alias("v"))
+        degrees = before(counts, touched).select("w", "a", F.lit(NODE).cast("long").alias("b"), F.least("v", F.lit(max_degree)).alias("v"))
+        return backs.union(degrees)
+
+    return settled(items, _picked(max_degree), "w long, node_pos long, nbr long, d double, rank long, k long", news, tables, old, again)
+
+
+def _picked(max_degree: int) -> Callable:
+    def run(items: pd.DataFrame, news: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values(["node_pos", "rank"])
+        pairs = items[["node_pos", "nbr"]].to_numpy()
+        nodes, at = np.unique(pairs, return_inverse=True)
+        at = at.reshape(-1, 2)
+        size = len(nodes)
+        code, back = at[:, 0] * size + at[:, 1], at[:, 1] * size + at[:, 0]
+        # the row in which the candidate lists the node, if it is here
+        order = np.argsort(code)
+        where = np.minimum(np.searchsorted(code, back, sorter=order), len(code) - 1)
+        row = np.where(code[order[where]] == back, order[where], -1)
+        degree = np.zeros(size, np.int64)
+        alone = news["b"].to_numpy() == NODE
+        degree[np.searchsorted(nodes, news["a"].to_numpy()[alone])] = news["v"].to_numpy()[alone]
+        a, b = (np.searchsorted(nodes, news[c].to_numpy()[~alone]) for c in ("a", "b"))
+        blocked = np.isin(code, a * size + b)
+        degree, taken, got, now = degree.tolist(), bytearray(len(code)), 0, -1
+        for r, (i, j, k, nbr_k, other, no) in enumerate(zip(at[:, 0].tolist(), at[:, 1].tolist(), items["k"].tolist(), items["nbr_k"].tolist(), row.tolist(), blocked.tolist())):
             if i != now:
                 now, got = i, 0
-                picked[i] = set()
-            ok = got < k and degree.get(i, 0) < max_degree and degree.get(j, 0) + kj < max_degree and i not in picked.get(j, ())
-            keep.append(ok)
-            if ok:
+            if got < k and not no and not (other >= 0 and taken[other]) and degree[i] < max_degree and degree[j] + nbr_k < max_degree:
+                taken[r] = 1
                 got += 1
-                picked[i].add(j)
-                degree[i], degree[j] = degree.get(i, 0) + 1, degree.get(j, 0) + 1
-        return part.loc[keep, ["node_pos", "nbr", "d", "rank", "k"]]
+                degree[i] += 1
+                degree[j] += 1
+        return items.loc[np.frombuffer(taken, np.uint8) == 1, ["w", "node_pos", "nbr", "d", "rank", "k"]]
+
+    return run
 
-    return lists.groupBy().applyInPandas(run, "node_pos long, nbr long, d double, rank long, k long")
 
+# -- rewiring ----------------------------------------------------------------------
 
-def rewired(edges: DataFrame, choices: DataFrame, max_degree: int) -> DataFrame:
-    """Edges (i, j, rank) after events in order of (i, rank) each take the first valid of their choices (i, rank, at, c): (i, j, rank, old, moved).
 
-    A choice is invalid if it is already tied to i or has reached the cap. An event without a valid choice keeps its edge; ``moved`` is then
-    false, and ``short`` tells that its choices ran out.
+class Rewiring:
+    """Edges (i, j, rank) after events in order of (i, rank) each take the first valid of their choices (i, rank, at, c).
+
+    A choice is invalid if it is already tied to i or has reached the cap. An event without a valid choice keeps its edge and is ``short``.
     """
-    lists = choices.groupBy("i", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("targets"))
-    rows = edges.join(lists, ["i", "rank"], "left")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["i", "rank"]).reset_index(drop=True)
-        tied = {(min(i, j), max(i, j)) for i, j in zip(part["i"], part["j"])}
+    def __init__(self, edges: DataFrame, max_degree: int, n: int, tables: Tables):
+        self.edges, self.max_degree, self.n, self.tables = edges, max_degree, n, tables
+        self.items = self.found = None
+
+    def run(self, events: DataFrame, choices: DataFrame) -> DataFrame:
+        """(w, i, rank, j, c, short) for each event (i, j, rank)."""
+        lists = choices.groupBy("i", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("targets"))
+        self.count = windows(events.count())
+        w = window_of(F.col("i"), self.n, self.count)
+        none = F.array().cast("array<long>")
+        items = events.join(lists, ["i", "rank"], "left").select(w.alias("w"), "i", "j", "rank", F.coalesce("targets", none).alias("targets"))
+        return self._settle(self.tables.write(items), None)
+
+    def resume(self, choices: DataFrame) -> DataFrame:
+        """The same with other choices for some events: only their windows, and what hangs on them, are decided again."""
+        lists = choices.groupBy("i", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("other"))
+        lists = self.tables.write(lists)
+        again = [r[0] for r in self.items.join(lists, ["i", "rank"], "left_semi").select("w").distinct().collect()]
+        items = self.items.join(lists, ["i", "rank"], "left").withColumn("targets", F.coalesce("other", "targets")).drop("other")
+        return self._settle(self.tables.write(items.select("w", "i", "j", "rank", "targets")), again)
+
+    def _settle(self, items: DataFrame, again: list[int] | None) -> DataFrame:
+        low, high = F.least("i", "c").alias("u"), F.greatest("i", "c").alias("v")
+        pairs = self.tables.write(items.select("w", "i", F.explode("targets").alias("c")).distinct().select("w", "i", "c", low, high))
+        tied = self.edges.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"))
+        first = self.tables.write(pairs.join(tied, ["u", "v"]).select("w", F.col("i").alias("a"), F.col("c").alias("b"), F.lit(1).cast("long").alias("v")))
+        degree = self.edges.select(F.explode(F.array("i", "j")).alias("a")).groupBy("a").agg(F.count("*").alias("d"))
+        asked = pairs.groupBy(F.col("c").alias("a")).agg(F.count("*").alias("m"))
+        tight = asked.join(degree, "a", "left").where(F.coalesce("d", F.lit(0)) + F.col("m") >= self.max_degree).select("a", F.coalesce("d", F.lit(0)).alias("d"))
+        sides = items.select("w", F.explode(F.concat("targets", F.array("j"))).alias("a")).distinct()
+        touched = self.tables.write(sides.join(tight, "a").select("w", "a", "d"))
+
+        def news(found: DataFrame | None) -> DataFrame:
+            node = F.lit(NODE).cast("long").alias("b")
+            if found is None:
+                return first.union(touched.where("d <> 0").select("w", "a", node, F.col("d").alias("v")))
+            moved = found.where("c is not null")
+            each = F.explode(F.array(F.struct(F.col("c").alias("e"), F.lit(1).alias("x")), F.struct(F.col("j").alias("e"), F.lit(-1).alias("x"))))
+            each = moved.select(F.col("w").alias("then"), "i", each.alias("t")).select("then", F.least("i", "t.e").alias("u"), F.greatest("i", "t.e").alias("v"), F.col("t.e").alias("e"), F.col("t.x").alias("x"))
+            later = pairs.join(each.drop("e"), ["u", "v"]).where("then < w").select("w", F.col("i").alias("a"), F.col("c").alias("b"), F.col("x").cast("long").alias("v"))
+            ties = first.union(later).groupBy("w", "a", "b").agg(F.sum("v").alias("v")).where("v <> 0")
+            counts = each.groupBy(F.col("then").alias("w"), F.col("e").alias("a")).agg(F.sum("x").alias("v"))
+            so_far = before(counts, touched.select("w", "a"))
+            degrees = touched.join(so_far, ["w", "a"], "left").select("w", "a", node, (F.col("d") + F.coalesce("v", F.lit(0))).alias("v"))
+            return ties.union(degrees.where("v <> 0"))
+
+        self.items = items
+        self.found = settled(items, _moved(self.max_degree), "w long, i long, rank long, j long, c long, short boolean", news, self.tables, self.found, again)
+        return self.found.results
+
+
+def _moved(max_degree: int) -> Callable:
+    def run(items: pd.DataFrame, news: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values(["i", "rank"])
+        tied: dict[tuple[int, int], bool] = {}
         degree: dict[int, int] = {}
-        for i, j in tied:
-            degree[i], degree[j] = degree.get(i, 0) + 1, degree.get(j, 0) + 1
-        new, short = part["j"].tolist(), [False] * len(part)
-        for r, (i, j, targets) in enumerate(zip(part["i"], part["j"], part["targets"])):
-            if targets is None:
-                continue
-            for c in targets:
+        for a, b, v in zip(news["a"].tolist(), news["b"].tolist(), news["v"].tolist()):
+            if b == NODE:
+                degree[a] = v
+            else:
+                tied[min(a, b), max(a, b)] = v > 0
+        new, short = [], []
+        for i, j, targets in zip(items["i"].tolist(), items["j"].tolist(), items["targets"]):
+            for c in map(int, targets):
                 e = (min(i, c), max(i, c))
-                if c != i and e not in tied and degree.get(c, 0) < max_degree:
-                    tied.discard((min(i, j), max(i, j)))
-                    tied.add(e)
-                    degree[j] -= 1
-                    degree[c] = degree.get(c, 0) + 1
-                    new[r] = c
+                if c != i and not tied.get(e) and degree.get(c, 0) < max_degree:
+                    tied[min(i, j), max(i, j)] = False
+                    tied[e] = True
+                    degree[j], degree[c] = degree.get(j, 0) - 1, degree.get(c, 0) + 1
+                    new.append(c)
+                    short.append(False)
                     break
             else:
-                short[r] = True
-        return pd.DataFrame({"i": part["i"], "j": new, "rank": part["rank"], "old": part["j"], "short": short})
-
-    return rows.groupBy().applyInPandas(run, "i long, j long, rank long, old long, short boolean")
-
+                new.append(None)
+                short.append(True)
+        return items[["w", "i", "rank", "j"]].assign(c=pd.array(new, "Int64"), short=short)
 
+    return run

@@ -15,7 +15,7 @@ from geoweft.functions.hashing import uniform
 from geoweft.operators import constraint as C
 from geoweft.operators import resolve
 from geoweft.operators.frame import GeoFrame, GeoGraph, as_nodes, find_scaling_factor, finished, report, warn_crs, warn_if_empty
-from geoweft.operators.resolve import picks_in_order, rewired, saved, unclaimed_picks
+from geoweft.operators.shared import Tables, saved
 from geoweft.operators.spatial import all_pairs, knn_join
 
 #: Pairs of rewired edges and nodes up to which every node gets a key; beyond, targets are drawn.
@@ -41,38 +41,41 @@ def half_degrees(k: int | float | str, seed: int, names: list[str], fast: bool =
 def nearest_nodes(nodes: DataFrame, k: Column, max_degree: int, query_factor: int, predicate: Column | None, need: list[str]) -> DataFrame:
     """(node_pos, nbr, d, rank, k): each node, in order, picks its nearest nodes that are allowed, have room and haven't picked it.
 
-    Lists of query_factor * k neighbours are tried first; where they run out, longer ones.
+    Lists of query_factor * k allowed neighbours are tried first; nodes for which they don't suffice get longer ones, and only what hangs on
+    these is decided again.
     """
-    own = nodes.withColumn("k", F.least(F.greatest(k, F.lit(0)), F.lit(max_degree)).cast("long")).persist()
-    n = own.count()
-    reach = max(2, int(query_factor))
-    while True:
-        points = own.select("node_pos", "x", "y", "k")
-        full = knn_join(points.withColumn("k", F.least(F.col("k") * reach, F.lit(n - 1))), F.col("k"))
-        lists = full.join(own.select("node_pos", "k", *(F.col(f"a_{c}").alias(f"u_{c}") for c in need)), "node_pos")
-        lists = lists.join(own.select(F.col("node_pos").alias("nbr"), F.col("k").alias("nbr_k"), *(F.col(f"a_{c}").alias(f"v_{c}") for c in need)), "nbr")
-        if predicate is not None:
-            lists = lists.where(predicate)
-        # with a node's own list, also what others list of it matters: whether they picked it
-        lists = saved(lists.select("node_pos", "nbr", "d", "rank", "k", "nbr_k"))
-        picks = unclaimed_picks(lists.drop("nbr_k")) if lists.count() > resolve.ONE_PASS_ROWS else None
-        if picks is not None:
-            picks = saved(picks)
-            load = picks.groupBy(F.col("nbr").alias("node_pos")).agg(F.count("*").alias("inward")).join(own.select("node_pos", "k"), "node_pos", "right")
-            tight = load.where(F.coalesce("inward", F.lit(0)) + 2 * F.col("k") >= max_degree)
-            if not tight.isEmpty():
-                picks = None
-        if picks is None:
-            picks = saved(picks_in_order(lists, max_degree))
-        got = own.select("node_pos", "k").join(picks.groupBy("node_pos").agg(F.count("*").alias("got")), "node_pos", "left")
-        short = got.where((F.col("k") > 0) & (F.coalesce("got", F.lit(0)) < F.col("k")))
-        open_ = short.where(F.col("k") * reach < n - 1)
-        if open_.isEmpty():
-            if (m := short.count()) :
-                some = [r[0] for r in short.orderBy("node_pos").select("node_pos").head(5)]
-                warnings.warn(f"{m} nodes have fewer neighbors than expected, {some} among them. Consider reducing their expected degree.", UserWarning, stacklevel=3)
-            return picks.select("node_pos", "nbr", "d", "rank", "k")
-        reach *= 4
+    spark = nodes.sparkSession
+    with Tables(spark) as tables:
+        own = tables.write(nodes.withColumn("k", F.least(F.greatest(k, F.lit(0)), F.lit(max_degree)).cast("long")))
+        n = own.count()
+        by = C.classes(predicate)
+        sizes = F.col("node_pos"), F.col("k")
+        first = F.least(F.col("k") * max(2, int(query_factor)), F.lit(n - 1))
+        asking, lists, found = own.select("node_pos", first.alias("asked")), None, None
+        while True:
+            # only nodes that ask for a list search
+            points = own.join(asking, "node_pos", "left").withColumn("asked", F.coalesce("asked", F.lit(0)))
+            full = knn_join(points, F.col("asked"), predicate, need, by)
+            full = full.join(points.select(*sizes, "asked"), "node_pos").join(own.select(F.col("node_pos").alias("nbr"), F.col("k").alias("nbr_k")), "nbr")
+            full = full.select("node_pos", "nbr", "d", "rank", "k", "nbr_k", "asked")
+            if found is None:
+                lists = tables.write(full)
+                w = resolve.window_of(F.col("node_pos"), n, resolve.windows(lists.count()))
+                found = resolve.picks(lists.withColumn("w", w), max_degree, tables)
+            else:
+                before, lists = lists, tables.write(lists.join(asking, "node_pos", "left_anti").union(full))
+                tables.drop(before)
+                found = resolve.picks(lists.withColumn("w", w), max_degree, tables, found, asking)
+            got = own.select(*sizes).where("k > 0").join(found.results.groupBy("node_pos").agg(F.count("*").alias("got")), "node_pos", "left").where(F.coalesce("got", F.lit(0)) < F.col("k"))
+            # a list that is as long as was asked for may go on
+            tried = lists.groupBy("node_pos").agg(F.count("*").alias("tried"), F.max("asked").alias("asked"))
+            got = tables.write(got.join(tried, "node_pos", "left").select("node_pos", F.when((F.col("tried") >= F.col("asked")) & (F.col("asked") < n - 1), F.least(F.col("asked") * 4, F.lit(n - 1))).alias("asked")))
+            asking = got.where("asked is not null")
+            if asking.isEmpty():
+                if m := got.count():
+                    some = [r[0] for r in got.orderBy("node_pos").select("node_pos").head(5)]
+                    warnings.warn(f"{m} nodes have fewer neighbors than expected, {some} among them. Consider reducing their expected degree.", UserWarning, stacklevel=3)
+                return tables.kept(found.results).select("node_pos", "nbr", "d", "rank", "k")
 
 
 def rewiring_choices(events: DataFrame, nodes: DataFrame, n: int, a: float, s: float, predicate: Column | None, need: list[str], seed: int, fast: bool, keep: int | None) -> DataFrame:
@@ -135,16 +138,17 @@ def rewire(picks: DataFrame, nodes: DataFrame, p: float, a: float, s: float, max
         return edges.select("i", "j", "length"), None
     args = (nodes, n, a, s, predicate, need, seed, fast)
     choices = rewiring_choices(events, *args, keep) if m * n <= RACE_PAIRS else drawn_choices(events, *args, keep)
-    done = saved(rewired(edges.select("i", "j", "rank"), choices, max_degree))
-    if not done.where("short").isEmpty() and (m * n > RACE_PAIRS or keep < n):
-        # some events have used their choices up: they get all of them
-        more = done.where("short").select("i", F.col("old").alias("j"), "rank")
-        every = rewiring_choices(more, *args, None)
-        choices = choices.join(more, ["i", "rank"], "left_anti").select("i", "rank", "at", "c").union(every)
-        done = saved(rewired(edges.select("i", "j", "rank"), choices, max_degree))
+    with Tables(nodes.sparkSession) as tables:
+        wiring = resolve.Rewiring(edges, max_degree, n, tables)
+        done = wiring.run(events, choices)
+        if not done.where("short").isEmpty() and (m * n > RACE_PAIRS or keep < n):
+            # some events have used their choices up: they get all of them
+            done = wiring.resume(rewiring_choices(done.where("short").select("i", "j", "rank"), *args, None))
+        tables.kept(done)
     stuck = done.where("short").count()
     if stuck:
         warnings.warn(f"{stuck} edges found no valid node to be rewired to and were kept.", UserWarning, stacklevel=3)
+    done = edges.select("i", "j", "rank").join(done.select("i", "rank", "c"), ["i", "rank"], "left").select("i", F.coalesce("c", "j").alias("j"), F.col("j").alias("old"))
     at = lambda c: nodes.select(F.col("node_pos").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}"))
     out = done.join(at("i"), "i").join(at("j"), "j").select("i", "j", distance("xi", "yi", "xj", "yj").alias("length"))
     return out, done.where("j <> old")

@@ -26,49 +26,63 @@ def all_pairs(left: DataFrame, right: DataFrame, n: int, on: Column) -> DataFram
     return parallel(left).join(right, on)
 
 
-def knn_join(points: DataFrame, k: Column | int) -> DataFrame:
+def knn_join(points: DataFrame, k: Column | int, allowed: Column | None = None, need: list[str] | tuple = (), by: list[str] | tuple = ()) -> DataFrame:
     """(node_pos, nbr, d, rank): the k nearest other points of each point of (node_pos, x, y), ties by node_pos.
 
     Points meet in grid cells. A point is done when its k-th distance is no more
     than the way to the rim of the cells searched, or when these hold all
     points; others search twice as far. Points of crowded cells search a finer
     grid, and of many points at one place only the first are looked at, as no
-    more of them can be neighbours. ``k`` may be a column of ``points``.
+    more of them can be neighbours. ``k`` may be a column of ``points``; points
+    with 0 don't search.
+
+    ``allowed`` is a condition on columns u_<name> of a point and v_<name> of its
+    neighbour, where ``need`` names the columns a_<name> of ``points``; only those that meet it count. If that takes equal values of some of
+    them, which ``by`` names, each class of points has a grid of its own.
     """
-    p = points.withColumn("k", k if isinstance(k, Column) else F.lit(k)).select("node_pos", "x", "y", F.col("k").cast("long").alias("k"))
-    stats = p.agg(F.count("*"), F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.avg("k"), F.max("k")).first()
+    p = points.withColumn("k", k if isinstance(k, Column) else F.lit(k)).select("node_pos", "x", "y", F.col("k").cast("long").alias("k"), *(f"a_{c}" for c in need))
+    stats = p.agg(F.count("*"), F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.avg(F.when(F.col("k") > 0, F.col("k"))), F.max("k")).first()
     n, x0, y0, x1, y1, mean_k, max_k = stats
     if not n or n < 2 or not max_k or max_k <= 0:
         return points.sparkSession.createDataFrame([], "node_pos long, nbr long, d double, rank long")
+    own = [f"b_{c}" for c in by]
+    p = p.withColumns({f"b_{c}": F.col(f"a_{c}") for c in by}).withColumnsRenamed({f"a_{c}": f"u_{c}" for c in need}).withColumn("most", F.lit(n - 1).cast("long"))
+    parts = 1
+    if by:
+        sizes = p.groupBy(*own).agg((F.count("*") - 1).alias("most")).persist()
+        parts = max(1, sizes.count())
+        p = p.drop("most").join(sizes, own)
     w, h = x1 - x0, y1 - y0
-    want = max(1.0, mean_k)
+    want = max(1.0, mean_k) * min(parts, n)
     if w > 0 and h > 0:
         size = math.sqrt(w * h * want / n)
     else:
         size = max(w, h) * want / n or 1.0
     size = max(size, max(w, h) / 1e6)
-    target = p.select(F.col("node_pos").alias("nbr"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    todo, out, crowd = p.where("k > 0"), None, CROWD * (want + 1)
+    target = p.select(F.col("node_pos").alias("nbr"), F.col("x").alias("nx"), F.col("y").alias("ny"), *(F.col(f"u_{c}").alias(f"v_{c}") for c in need), *own)
+    todo, out, crowd = p.where("k > 0 and most > 0"), None, CROWD * (max(1.0, mean_k) + 1)
+    at = Search(n, max_k, own, allowed, list(need))
     for _ in range(FINER):
-        grid = Grid(size, x0, y0, int(w // size) + 1, int(h // size) + 1)
-        counts = grid.cells(target, "nx", "ny").groupBy("cx", "cy").agg(F.count("*").alias("m")).where(F.col("m") > crowd).select("cx", "cy")
+        grid = Grid(size, x0, y0, math.floor(w / size) + 1, math.floor(h / size) + 1)
+        cell = ["cx", "cy", *own]
+        counts = grid.cells(target, "nx", "ny").groupBy(*cell).agg(F.count("*").alias("m")).where(F.col("m") > crowd).select(*cell)
         if counts.isEmpty() or size <= max(w, h) * 1e-9:
             break
-        if out is None:  # of points at one place, the first ones
-            place = W.partitionBy("nx", "ny").orderBy("nbr")
+        if out is None and allowed is None:  # of points at one place, the first ones
+            place = W.partitionBy("nx", "ny", *own).orderBy("nbr")
             target = target.withColumn("r", F.row_number().over(place)).where(F.col("r") <= max_k + 1).drop("r").persist()
         todo = grid.cells(todo, "x", "y")
-        thin = todo.join(counts, ["cx", "cy"], "left_anti").drop("cx", "cy").persist()
-        todo = todo.join(counts, ["cx", "cy"], "left_semi").drop("cx", "cy").persist()
+        thin = todo.join(counts, cell, "left_anti").drop("cx", "cy").persist()
+        todo = todo.join(counts, cell, "left_semi").drop("cx", "cy").persist()
         if not thin.isEmpty():
-            found = _searched(thin, target, grid, n, max_k)
+            found = at.nearest(thin, target, grid)
             out = found if out is None else out.union(found)
         elif out is None:
-            out = _searched(thin, target, grid, n, max_k)
+            out = at.nearest(thin, target, grid)
         if todo.isEmpty():
             return out
         size /= 4
-    found = _searched(todo, target, Grid(size, x0, y0, int(w // size) + 1, int(h // size) + 1), n, max_k)
+    found = at.nearest(todo, target, Grid(size, x0, y0, math.floor(w / size) + 1, math.floor(h / size) + 1))
     return found if out is None else out.union(found)
 
 
@@ -89,41 +103,55 @@ class Grid:
         return df.withColumns({"cx": at(x, self.x0), "cy": at(y, self.y0)})
 
 
-def _searched(todo: DataFrame, points: DataFrame, grid: Grid, n: int, max_k: int) -> DataFrame:
-    """The nearest of ``points`` (nbr, nx, ny) to each row of ``todo`` (node_pos, x, y, k) by the cells of a grid, further and further out."""
-    cell, x0, y0, columns, rows = grid.size, grid.x0, grid.y0, grid.columns, grid.rows
-    target, todo, ring, out = grid.cells(points, "nx", "ny"), grid.cells(todo, "x", "y"), 1, None
-    while True:
-        whole = ring >= max(columns, rows)
-        if whole:
-            pairs = all_pairs(todo.drop("cx", "cy"), target.drop("cx", "cy"), n, F.col("node_pos") != F.col("nbr"))
-        else:
-            span = lambda c, top: F.sequence(F.greatest(F.col(c) - ring, F.lit(0)), F.least(F.col(c) + ring, F.lit(top - 1).cast("long")))  # noqa: B023, E731
-            spread = todo.withColumn("gx", F.explode(span("cx", columns))).withColumn("gy", F.explode(span("cy", rows)))
-            spread = spread.drop("cx", "cy").withColumnsRenamed({"gx": "cx", "gy": "cy"})
-            pairs = spread.join(target, ["cx", "cy"]).where("node_pos <> nbr")
-        pairs = pairs.withColumn("d", distance("x", "y", "nx", "ny"))
-        near = W.partitionBy("node_pos").orderBy("d", "nbr")
-        best = pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= F.least(F.col("k"), F.lit(max_k)))
-        best = best.select("node_pos", "nbr", "d", F.col("rank").cast("long").alias("rank"))
-        if whole:
-            return best if out is None else out.union(best)
-        best = best.persist()
-        # the way from a point to the rim of its cells; where the rim is beyond the bounds there is nothing more
-        left = F.when(F.col("cx") - ring <= 0, F.lit(float("inf"))).otherwise(F.col("x") - x0 - (F.col("cx") - ring) * cell)
-        right = F.when(F.col("cx") + ring >= columns - 1, F.lit(float("inf"))).otherwise((F.col("cx") + ring + 1) * cell + x0 - F.col("x"))
-        down = F.when(F.col("cy") - ring <= 0, F.lit(float("inf"))).otherwise(F.col("y") - y0 - (F.col("cy") - ring) * cell)
-        up = F.when(F.col("cy") + ring >= rows - 1, F.lit(float("inf"))).otherwise((F.col("cy") + ring + 1) * cell + y0 - F.col("y"))
-        safe = F.least(left, right, down, up) * (1 - 1e-12)
-        last = best.groupBy("node_pos").agg(F.max("rank").alias("got"), F.max("d").alias("far"))
-        state = todo.join(last, "node_pos", "left")
-        done = (F.coalesce("got", F.lit(0)) >= F.least(F.col("k"), F.lit(n - 1))) & (F.col("far") < safe)
-        rest = state.where(~F.coalesce(done, F.lit(False))).drop("got", "far").persist()
-        if rest.isEmpty():
-            return best if out is None else out.union(best)
-        settled = best.join(rest.select("node_pos"), "node_pos", "left_anti")
-        out = settled if out is None else out.union(settled)
-        todo, ring = rest, ring * 2
+@dataclass(frozen=True)
+class Search:
+    """What all grids of a search have in common: points, the largest k, the columns of the classes, and the condition with its columns."""
+
+    n: int
+    max_k: int
+    by: list[str]
+    allowed: Column | None
+    need: list[str]
+
+    def nearest(self, todo: DataFrame, points: DataFrame, grid: Grid) -> DataFrame:
+        """The nearest of ``points`` (nbr, nx, ny) to each row of ``todo`` (node_pos, x, y, k, most) by the cells of a grid, further and further out."""
+        cell, x0, y0, columns, rows = grid.size, grid.x0, grid.y0, grid.columns, grid.rows
+        target, todo, ring, out = grid.cells(points, "nx", "ny"), grid.cells(todo, "x", "y"), 1, None
+        while True:
+            whole = ring >= max(columns, rows)
+            if whole:
+                left, right = todo.drop("cx", "cy"), target.drop("cx", "cy")
+                pairs = left.join(right, self.by).where("node_pos <> nbr") if self.by else all_pairs(left, right, self.n, F.col("node_pos") != F.col("nbr"))
+            else:
+                span = lambda c, top: F.sequence(F.greatest(F.col(c) - ring, F.lit(0)), F.least(F.col(c) + ring, F.lit(top - 1).cast("long")))  # noqa: B023, E731
+                spread = todo.withColumn("gx", F.explode(span("cx", columns))).withColumn("gy", F.explode(span("cy", rows)))
+                spread = spread.drop("cx", "cy").withColumnsRenamed({"gx": "cx", "gy": "cy"})
+                pairs = spread.join(target, ["cx", "cy", *self.by]).where("node_pos <> nbr")
+            if self.allowed is not None:
+                pairs = pairs.where(self.allowed)
+            pairs = pairs.withColumn("d", distance("x", "y", "nx", "ny"))
+            near = W.partitionBy("node_pos").orderBy("d", "nbr")
+            best = pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= F.least(F.col("k"), F.lit(self.max_k)))
+            best = best.select("node_pos", "nbr", "d", F.col("rank").cast("long").alias("rank"))
+            if whole:
+                return best if out is None else out.union(best)
+            best = best.persist()
+            # the way from a point to the rim of its cells; where the rim is beyond the bounds there is nothing more
+            left = F.when(F.col("cx") - ring <= 0, F.lit(float("inf"))).otherwise(F.col("x") - x0 - (F.col("cx") - ring) * cell)
+            right = F.when(F.col("cx") + ring >= columns - 1, F.lit(float("inf"))).otherwise((F.col("cx") + ring + 1) * cell + x0 - F.col("x"))
+            down = F.when(F.col("cy") - ring <= 0, F.lit(float("inf"))).otherwise(F.col("y") - y0 - (F.col("cy") - ring) * cell)
+            up = F.when(F.col("cy") + ring >= rows - 1, F.lit(float("inf"))).otherwise((F.col("cy") + ring + 1) * cell + y0 - F.col("y"))
+            safe = F.least(left, right, down, up) * (1 - 1e-12)
+            last = best.groupBy("node_pos").agg(F.max("rank").alias("got"), F.max("d").alias("far"))
+            state = todo.join(last, "node_pos", "left")
+            got = F.coalesce("got", F.lit(0))
+            done = ((got >= F.least("k", "most")) & (F.col("far") < safe)) | (got >= F.col("most")) | (safe == F.lit(float("inf")))
+            rest = state.where(~F.coalesce(done, F.lit(False))).drop("got", "far").persist()
+            if rest.isEmpty():
+                return best if out is None else out.union(best)
+            settled = best.join(rest.select("node_pos"), "node_pos", "left_anti")
+            out = settled if out is None else out.union(settled)
+            todo, ring = rest, ring * 2
 
 
 # name -> (density of a distance in bandwidths, whether it is 0 beyond 1)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweft.operators.frame import GeoFrame, as_nodes, numbered
-from geoweft.operators.resolve import checkpoint_folder
+from geoweft.operators.shared import shared_folder
 
 
 def first_arrivals(events: DataFrame, key: str, time: str) -> DataFrame:
@@ -26,7 +26,7 @@ def first_arrivals(events: DataFrame, key: str, time: str) -> DataFrame:
 
 def arrived(spark: SparkSession, arrivals: DataFrame) -> DataFrame:
     """The table that a stream of arrivals has come to once its source is read to the end. A run that breaks off goes on where it was."""
-    folder = f"{checkpoint_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
     last: list[str] = []
 
     def keep(batch: DataFrame, number: int) -> None:

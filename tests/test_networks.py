@@ -1,12 +1,13 @@
 """Structural invariants of graphs, and decisions held against sequential models."""
 
 import random
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
 
 import geoweft as gw
-from geoweft.operators import analytics, resolve
+from geoweft.operators import analytics, resolve, shared
 from geoweft.operators.frame import GeoFrame
 
 CRS = "EPSG:3857"
@@ -45,6 +46,7 @@ def test_er_is_repeatable_and_capped(grid):
 
 
 def test_cap_is_that_of_admission_in_order(grid, spark, monkeypatch):
+    monkeypatch.setattr(resolve, "WINDOW_ROWS", 60)
     every = gw.geo_erdos_renyi_network(grid, a=1, max_degree=1000, random_state=3)
     rng = random.Random(1)
     rows = [(i, j, 1.0, *((i, j) if rng.random() < 0.7 else (j, i))) for i, j in sorted(pairs(every))]
@@ -59,10 +61,82 @@ def test_cap_is_that_of_admission_in_order(grid, spark, monkeypatch):
         assert {(r["i"], r["j"]) for r in got} == want and len(got) == len(want)
 
 
-def test_rounds_agree_with_one_pass(grid, monkeypatch):
-    ws = pairs(gw.geo_watts_strogatz_network(grid, 4, 0, random_state=3))
-    monkeypatch.setattr(resolve, "ONE_PASS_ROWS", 0)
-    assert pairs(gw.geo_watts_strogatz_network(grid, 4, 0, random_state=3)) == ws
+def nearest_first(points, k, cap, allowed=lambda i, j: True):
+    """Picks in order, by loops: node -> [(neighbour, rank)]."""
+    degree, picked = [0] * len(points), {}
+    for i, (x, y) in enumerate(points):
+        order = sorted((((x - u) * (x - u) + (y - v) * (y - v)) ** 0.5, j) for j, (u, v) in enumerate(points) if j != i and allowed(i, j))
+        picked[i] = []
+        for r, (_, j) in enumerate(order, 1):
+            if len(picked[i]) < k[i] and i not in (p for p, _ in picked.get(j, ())) and degree[i] < cap and degree[j] + k[j] < cap:
+                picked[i].append((j, r))
+                degree[i], degree[j] = degree[i] + 1, degree[j] + 1
+    return picked
+
+
+@pytest.mark.parametrize(("k", "cap"), [(4, 150), (6, 8)])
+def test_picks_over_many_windows_are_those_in_order(spark, monkeypatch, k, cap):
+    """A lattice, whose decisions hang on each other in long chains, and points at random; a window holds a few nodes only."""
+    monkeypatch.setattr(resolve, "WINDOW_ROWS", 60)
+    rng = random.Random(k)
+    for points in ([(float(x), float(y)) for x in range(6) for y in range(6)],) if k == 4 and cap > 5 else ([(rng.random(), rng.random()) for _ in range(40)],):
+        df = spark.createDataFrame([(n, x, y) for n, (x, y) in enumerate(points)], "id long, x double, y double")
+        f = GeoFrame(df, order=("id",), crs=CRS)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            got = pairs(gw.geo_watts_strogatz_network(f, k, 0, max_degree=cap, random_state=3))
+        want = {(min(i, j), max(i, j)) for i, js in nearest_first(points, [min(k // 2, cap)] * len(points), cap).items() for j, _ in js}
+        assert got == want
+
+
+def test_picks_of_few_allowed_nodes(spark):
+    """Twenty classes, one of them of a single node: each node finds its own kind, however far."""
+    rng = random.Random(8)
+    points = [(rng.random() * 100, rng.random() * 100) for _ in range(200)]
+    kind = [0 if n == 0 else 1 + n % 20 for n in range(200)]
+    weight = [rng.randrange(4) for _ in range(200)]
+    df = spark.createDataFrame([(n, x, y, kind[n], weight[n]) for n, (x, y) in enumerate(points)], "id long, x double, y double, kind long, weight long")
+    f = GeoFrame(df, order=("id",), crs=CRS)
+    for rule, allowed in ((lambda u, v: (u.weight < v.weight) & (v["kind"] == u.kind), lambda i, j: weight[i] < weight[j] and kind[i] == kind[j]), (lambda u, v: u.weight + 3 == v.weight, lambda i, j: weight[i] + 3 == weight[j])):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            got = pairs(gw.geo_watts_strogatz_network(f, 4, 0, random_state=3, constraint=rule))
+        assert got == {(min(i, j), max(i, j)) for i, js in nearest_first(points, [2] * 200, 150, allowed).items() for j, _ in js}
+
+
+@pytest.mark.parametrize("cap", [150, 7])
+def test_rewiring_over_many_windows_is_that_in_order(spark, monkeypatch, cap):
+    monkeypatch.setattr(resolve, "WINDOW_ROWS", 12)
+    rng = random.Random(cap)
+    n = 40
+    edges = sorted({(i, (i + s) % n) for i in range(n) for s in (1, 2)})
+    rank = {(i, j): 1 + (j - i) % n for i, j in edges}
+    events = [e for e in edges if rng.random() < 0.7]
+    choices = {e: rng.sample([c for c in range(n) if c != e[0]], 3) if e[0] % 5 else [e[1]] for e in events}
+    every = {e: rng.sample([c for c in range(n) if c != e[0]], n - 1) for e in events}
+
+    def in_order(lists):
+        tied = {(min(e), max(e)) for e in edges}
+        degree = [sum(v in e for e in tied) for v in range(n)]
+        out = {}
+        for i, j in sorted(events, key=lambda e: (e[0], rank[e])):
+            c = next((c for c in lists[i, j] if (min(i, c), max(i, c)) not in tied and degree[c] < cap), None)
+            out[i, rank[i, j]] = c
+            if c is not None:
+                tied = tied - {(min(i, j), max(i, j))} | {(min(i, c), max(i, c))}
+                degree[j] -= 1
+                degree[c] += 1
+        return out
+
+    table = lambda lists, of: spark.createDataFrame([(i, rank[i, j], k, c) for (i, j) in of for k, c in enumerate(lists[i, j])], "i long, rank long, at long, c long")
+    with shared.Tables(spark) as tables:
+        wiring = resolve.Rewiring(spark.createDataFrame([(*e, rank[e]) for e in edges], "i long, j long, rank long"), cap, n, tables)
+        got = {(r["i"], r["rank"]): r["c"] for r in wiring.run(spark.createDataFrame([(*e, rank[e]) for e in events], "i long, j long, rank long"), table(choices, events)).collect()}
+        assert got == in_order(choices)
+        short = [e for e in events if got[e[0], rank[e]] is None]
+        assert short
+        got = {(r["i"], r["rank"]): r["c"] for r in wiring.resume(table(every, short)).collect()}
+        assert got == in_order({e: every[e] if e in short else choices[e] for e in events})
 
 
 def test_er_without_room_has_no_nodes(grid):
