@@ -120,7 +120,9 @@ class Recent:
 class WordBpe:
     """Encodes and decodes as the tokenizer file says: NFC, lower case, words split by its pattern, byte letters, word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: float = 1.0):
+        """kept: the share of KEPT_WORDS and KEPT_CHUNKS whose codes are kept."""
+        self.kept = kept
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -140,7 +142,7 @@ class WordBpe:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.inner = [self.vocab[x] for x in byte_letters()]
         self.final = [self.vocab[x + self.end] for x in byte_letters()]
-        self.words, self.chunks = Recent(KEPT_WORDS), Recent(KEPT_CHUNKS)
+        self.forget()
 
     def merge(self, ids: list[int]) -> list[int]:
         """Applies merges by rank, leftmost first among equals, on a linked list."""
@@ -201,7 +203,7 @@ class WordBpe:
 
     def forget(self) -> None:
         """Drops the codes kept."""
-        self.words, self.chunks = Recent(KEPT_WORDS), Recent(KEPT_CHUNKS)
+        self.words, self.chunks = Recent(int(KEPT_WORDS * self.kept)), Recent(int(KEPT_CHUNKS * self.kept))
 
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
         chunks = text.split() if not CONTROL.search(text) else WHITE_SPACE.split(text)
@@ -216,12 +218,15 @@ class WordBpe:
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
+def tokenizer(path: str, kept: float = 1.0) -> WordBpe:
+    return WordBpe(path, kept)
 
 
-def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = False, release: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds the ids, with_text the decoded text. release: workers drop the tokenizer after each task, for other stages' sake."""
+def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = False, release: bool = False, kept: float = 1.0) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds the ids, with_text the decoded text.
+
+    For the sake of other stages, workers may drop the tokenizer after each task (release) and keep fewer words' codes meanwhile (kept, a share).
+    """
 
     def encoded(t: WordBpe, batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
@@ -238,7 +243,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool =
         return out
 
     def run(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        t = tokenizer(path)
+        t = tokenizer(path, kept)
         try:
             for batch in rows:
                 yield encoded(t, batch)

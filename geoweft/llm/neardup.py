@@ -47,8 +47,8 @@ EMPTY = 0xFFFF
 CHANCE = 0.169919487159739093975315012348
 #: Standard deviations by which an estimate may fall short of the threshold and still be verified.
 SIGMAS = 6
-#: Members up to which a group's pairs are made; members of a block beyond.
-SMALL, BLOCK = 32, 512
+#: Members up to which a group's pairs are made; members of a block beyond, and bytes of their sets.
+SMALL, BLOCK, BLOCK_BYTES = 32, 512, 4 << 20
 #: Pairs of one text that a task takes; rows of a class beyond which its answer is broadcast to them.
 PART, MANY = 1_000, 1_000
 
@@ -173,9 +173,10 @@ def across(groups: DataFrame, label: DataFrame, texts: Texts, percent: int, scra
     """Links between components that a hub's trials have left apart, from groups (hub, rep)."""
     named = label.withColumnsRenamed({"id": "rep"})
     all_ = groups.union(groups.select("hub", F.col("hub").alias("rep")).distinct())
-    state = scratch.write(all_.join(named, "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("component")))
-    about = state.groupBy("hub").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("component"))).alias("of"))
-    state = scratch.write(lookup(state, about.where("x < y").select("hub", "n", "of"), "hub", "inner"))
+    sizes = texts.reps.select("rep", (8 * F.col("n")).alias("bytes"))
+    state = scratch.write(all_.join(named, "rep", "left").join(sizes, "rep").select("hub", "rep", F.coalesce("component", "rep").alias("component"), "bytes"))
+    about = state.groupBy("hub").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("component"))).alias("of"))
+    state = scratch.write(lookup(state, about.where("x < y").select("hub", "n", "total", "of"), "hub", "inner"))
 
     small = state.where(F.col("n") <= SMALL).select("hub", "rep", "component")
     other = small.select("hub", F.col("rep").alias("b"), F.col("component").alias("c"))
@@ -185,7 +186,7 @@ def across(groups: DataFrame, label: DataFrame, texts: Texts, percent: int, scra
     large = state.where(F.col("n") > SMALL)
     if large.isEmpty():
         return links
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_BYTES)).cast("int")
     placed = large.select("hub", "rep", "component", (F.col("component") != F.col("of")).alias("apart"), blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
     placed = scratch.write(placed.join(texts.sets(large), "rep"))
     members = F.collect_list(F.struct("rep", "component", "codes"))
@@ -245,7 +246,8 @@ def classified(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> D
     repeated = not full.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     texts = Texts(docs, reps, width, repeated)
 
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    # two different sets are at most n / (n + 1) alike: very small ones link with none but their equals, and their few registers would meet by chance
+    banded = reps.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("rep", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     met = banded.join(shared, ["band", "key"]).groupBy("rep").agg(F.collect_set(F.xxhash64("band", "key")).alias("buckets"), F.sum("size").alias("score"))
     met = scratch.write(met)
