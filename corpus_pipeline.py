@@ -51,7 +51,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return bpe.encode(docs, vocabulary_path(), with_ids=True, release=True)
+    return bpe.encode(docs, vocabulary_path(), with_ids=True, release=True, kept=0.15)
 
 
 STAGES = [
