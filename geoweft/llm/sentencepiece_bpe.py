@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from geoweft.llm.bpe import Recent
 from geoweft.llm.common import map_task
 
-#: Runs of text, parts of them and pairs of tokens whose outcome a task keeps: this many recent ones, and as many from before.
-KEPT_CHUNKS, KEPT_PARTS, KEPT_PAIRS = 200_000, 100_000, 400_000
+#: Runs of text, parts of them and pairs of tokens whose outcome a worker keeps: this many recent ones, and as many from before.
+KEPT_CHUNKS, KEPT_PARTS, KEPT_PAIRS = 300_000, 200_000, 400_000
 SPACE = "▁"
 #: Types of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -104,7 +104,8 @@ class PieceBpe:
         self.string = {i: text for text, i in self.made.items()}
         self.automaton = ahocorasick.Automaton()
         for text, i in self.made.items():
-            self.automaton.add_word(text, (len(text) - 1, i))
+            if len(text) > 1:
+                self.automaton.add_word(text, (len(text) - 1, i))
         self.automaton.make_automaton()
         #: neighbours within pieces; a text may be cut between any others
         self.tied = {text[k : k + 2] for text in self.ids for k in range(len(text) - 1)}
@@ -160,7 +161,9 @@ class PieceBpe:
         made, string, known = self.made, self.string, self.pairs.get
         if text in made:
             return [made[text]]
-        n, longest = len(text), [made.get(c, -1 - ord(c)) for c in text]
+        n, longest = len(text), list(map(made.get, text))
+        if None in longest:
+            longest = [-1 - ord(c) if i is None else i for i, c in zip(longest, text)]
         for end, (before, piece) in self.automaton.iter(text):
             longest[end - before] = piece  # of one start, ends come in order
         failed, any_failed = bytearray(n // 8 + 1), False
@@ -279,11 +282,8 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool =
 
     def run(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         t = tokenizer(path)
-        try:
-            for batch in rows:
-                yield encoded(t, batch)
-        finally:
-            t.forget()  # workers go on to other stages
+        for batch in rows:
+            yield encoded(t, batch)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
     return map_task(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
