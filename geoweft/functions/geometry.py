@@ -8,7 +8,7 @@ point repeated) or not. Several polygons are an array of them.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,8 +19,9 @@ RINGS = f"array<array<{POINT}>>"
 SHAPES = ("point", "line", "polygon", "polygons")
 
 
-def _edges(ring: Column) -> Column:
+def edges(ring: Column | str) -> Column:
     """(x1, y1, x2, y2) of a ring's sides; a closing side of no length does no harm."""
+    ring = F.col(ring) if isinstance(ring, str) else ring
     after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
     return F.zip_with(ring, after, lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
 
@@ -35,7 +36,7 @@ def _moments(ring: Column) -> Column:
         c = x1 * y2 - x2 * y1
         return F.struct((acc["a"] + c).alias("a"), (acc["mx"] + (x1 + x2) * c).alias("mx"), (acc["my"] + (y1 + y2) * c).alias("my"))
 
-    return F.aggregate(_edges(ring), zero, step)
+    return F.aggregate(edges(ring), zero, step)
 
 
 def area(rings: Column) -> Column:
@@ -98,6 +99,15 @@ def centre(geometry: Column, shape: str) -> Column:
     return {"point": lambda g: g, "line": line_centroid, "polygon": centroid, "polygons": polygons_centroid}[shape](geometry)
 
 
+def each_point(geometry: Column, shape: str, of: Callable[[Column], Column]) -> Column:
+    """The geometry with each of its points replaced by ``of`` it."""
+
+    def deep(g: Column, depth: int) -> Column:
+        return F.transform(g, lambda x: deep(x, depth - 1)) if depth else of(g)
+
+    return deep(geometry, SHAPES.index(shape))
+
+
 def bounds(geometry: Column, shape: str = "polygon") -> Column:
     """struct<xmin,ymin,xmax,ymax> of all points of a line, a polygon or several."""
     points = geometry
@@ -107,20 +117,22 @@ def bounds(geometry: Column, shape: str = "polygon") -> Column:
     return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
 
 
-def covers(rings: Column, x: Column, y: Column) -> Column:
-    """Whether a polygon covers a point: its boundary belongs to it, the inside of its holes doesn't."""
-    edges = F.flatten(F.transform(rings, _edges))
+def on_side(e: Column | dict, x: Column, y: Column) -> Column:
+    """Whether a point lies on a side (x1, y1, x2, y2)."""
+    cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+    return (cross == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+
 
-    def on(e: Column) -> Column:
-        cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-        return (cross == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+def passes_side(e: Column | dict, x: Column, y: Column) -> Column:
+    """Whether a ray to the right from a point passes a side."""
+    at = e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))
+    return F.coalesce(((e["y1"] > y) != (e["y2"] > y)) & (x < at), F.lit(False))
 
-    def crosses(e: Column) -> Column:
-        """A ray to the right passes the side."""
-        at = e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))
-        return ((e["y1"] > y) != (e["y2"] > y)) & (x < at)
 
-    return F.exists(edges, on) | (F.size(F.filter(edges, crosses)) % 2 == 1)
+def covers(rings: Column, x: Column, y: Column) -> Column:
+    """Whether a polygon of few sides covers a point: its boundary belongs to it, the inside of its holes doesn't."""
+    every = F.flatten(F.transform(rings, edges))
+    return F.exists(every, lambda e: on_side(e, x, y)) | (F.size(F.filter(every, lambda e: passes_side(e, x, y))) % 2 == 1)
 
 
 def literal(polygon: Sequence) -> Column:

@@ -1,8 +1,9 @@
 """User constraints on pairs of nodes.
 
-A constraint is called once with two stand-ins for rows. If it gives a Column,
-that is the predicate, and the optimizer places it; else (``and``, method calls
-on values, ...) it is run on rows in Arrow batches.
+A constraint's source is translated to a Column, which the optimizer places. Where
+that can't be done, it is called once with two stand-ins for rows and may give a
+Column itself; what has no column at all is run on rows in Arrow batches. As columns compare,
+a missing value is neither equal to nor different from any other.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoweft.operators.compiled import translated
+
 
 class Side:
     """Stands for a row: ``side.name`` and ``side["name"]`` are columns with a prefix."""
@@ -79,13 +82,16 @@ def resolve(constraint: Callable | None, names: list[str], this: str = "u_", tha
     if constraint is None:
         return None, []
     u, v = Side(this, names), Side(that, names)
-    try:
-        found = constraint(u, v)
-    except (PySparkException, TypeError, ValueError):
-        found = None
+    found = translated(constraint, u, v)
+    if found is None:
+        u, v = Side(this, names), Side(that, names)
+        try:
+            found = constraint(u, v)
+        except (PySparkException, TypeError, ValueError):
+            found = None
     if isinstance(found, Column):
         return F.coalesce(found, F.lit(False)), sorted(u.used | v.used)
-    if isinstance(found, bool):
+    if isinstance(found, bool) and not u.used | v.used:
         return F.lit(found), []
     need = sorted(u.used | v.used) or names
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from geoweft.functions import geometry as G
 from geoweft.functions.crs import is_geographic
+from geoweft.functions.projection import transformed
 
 
 @dataclass(frozen=True)
@@ -179,6 +180,17 @@ def exploded(frame: GeoFrame, part: str | None = None) -> GeoFrame:
     return replace(frame, df=df if part else df.drop(at), order=(*frame.order, at) if part else frame.order)
 
 
+def to_crs(frame: GeoFrame, crs: object) -> GeoFrame:
+    """The frame with its points in another coordinate reference system, by expressions on its own columns."""
+    if frame.crs is None:
+        raise ValueError("The node table has no CRS to project from.")
+    if frame.geometry in frame.df.columns:
+        moved = G.each_point(F.col(f"`{frame.geometry}`"), frame.shape, lambda p: transformed(p, frame.crs, crs))
+        return replace(frame, df=frame.df.withColumn(frame.geometry, moved), crs=crs)
+    p = transformed(F.struct("x", "y"), frame.crs, crs)
+    return replace(frame, df=frame.df.withColumns({"x": p["x"], "y": p["y"]}), crs=crs)
+
+
 def report(graph: GeoGraph, verbose: bool, moved: int | None = None) -> GeoGraph:
     """With verbose, says on standard error what has been built: nodes, edges, mean degree, and how many edges were rewired."""
     if verbose:

@@ -154,33 +154,43 @@ class Search:
             todo, ring = rest, ring * 2
 
 
-# name -> (density of a distance in bandwidths, whether it is 0 beyond 1)
+# name -> (density of a distance in bandwidths, the distance beyond which it is 0 or below a bound)
 KERNELS = {
-    "gaussian": (lambda t: F.exp(-0.5 * t * t), False),
-    "exponential": (lambda t: F.exp(-t), False),
-    "tophat": (lambda t: F.when(t < 1, 1.0).otherwise(0.0), True),
-    "epanechnikov": (lambda t: F.when(t < 1, 1 - t * t).otherwise(0.0), True),
-    "linear": (lambda t: F.when(t < 1, 1 - t).otherwise(0.0), True),
-    "cosine": (lambda t: F.when(t < 1, F.cos(t * (math.pi / 2))).otherwise(0.0), True),
+    "gaussian": (lambda t: F.exp(-0.5 * t * t), lambda least: math.sqrt(-2 * math.log(least))),
+    "exponential": (lambda t: F.exp(-t), lambda least: -math.log(least)),
+    "tophat": (lambda t: F.when(t < 1, 1.0).otherwise(0.0), lambda least: 1.0),
+    "epanechnikov": (lambda t: F.when(t < 1, 1 - t * t).otherwise(0.0), lambda least: 1.0),
+    "linear": (lambda t: F.when(t < 1, 1 - t).otherwise(0.0), lambda least: 1.0),
+    "cosine": (lambda t: F.when(t < 1, F.cos(t * (math.pi / 2))).otherwise(0.0), lambda least: 1.0),
 }
+#: What all points together may add to a density by being left out: below what orders by density tell apart, as each density is 1 at least.
+LEFT_OUT = 2.0**-46
+#: Cells that the reach of a kernel is long.
+REACH = 3
 
 
 def kernel_sums(points: DataFrame, bandwidth: float, kernel: str) -> DataFrame:
     """(node_pos, density): the unnormalised kernel density at each point, itself included.
 
-    Kernels that end at one bandwidth meet in a grid of that size.
+    Points at one place count as one with their number. Places meet in grid cells as far as the kernel reaches; kernels without an end
+    reach to where all points together would add no more than LEFT_OUT.
     """
     if kernel not in KERNELS:
         raise ValueError(f"Unknown kernel: {kernel}. Use one of {', '.join(KERNELS)}.")
     if not bandwidth > 0:
         raise ValueError("bandwidth must be positive")
-    value, compact = KERNELS[kernel]
-    p = points.select("node_pos", "x", "y")
-    q = p.select(F.col("node_pos").alias("nbr"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    if compact:
-        grid = lambda c: F.floor(F.col(c) / bandwidth).cast("long")
-        around = lambda c: F.explode(F.sequence(grid(c) - 1, grid(c) + 1))
-        pairs = p.withColumn("cx", around("x")).withColumn("cy", around("y")).join(q.withColumns({"cx": grid("nx"), "cy": grid("ny")}), ["cx", "cy"])
-    else:
-        pairs = all_pairs(p, q, p.count(), F.lit(True))
-    return pairs.groupBy("node_pos").agg(F.sum(value(distance("x", "y", "nx", "ny") / F.lit(float(bandwidth)))).alias("density"))
+    value, end = KERNELS[kernel]
+    places = points.groupBy("x", "y").agg(F.count("*").alias("m"))
+    reach = end(LEFT_OUT / max(1, points.count())) * bandwidth
+    size = reach / REACH * (1 + 1e-9)
+    grid = lambda c: F.floor(F.col(c) / size).cast("long")
+    q = places.select(F.col("x").alias("nx"), F.col("y").alias("ny"), "m").withColumns({"cx": grid("nx"), "cy": grid("ny")})
+    # only cells that hold something are asked
+    filled = q.select("cx", "cy").distinct()
+    p = places.select("x", "y", grid("x").alias("ox"), grid("y").alias("oy"))
+    near = p.select("ox", "oy").distinct().withColumn("cx", F.explode(F.sequence(F.col("ox") - REACH, F.col("ox") + REACH))).withColumn("cy", F.explode(F.sequence(F.col("oy") - REACH, F.col("oy") + REACH)))
+    near = near.join(filled, ["cx", "cy"], "left_semi")
+    pairs = p.join(near, ["ox", "oy"]).join(q, ["cx", "cy"])
+    d = distance("x", "y", "nx", "ny")
+    sums = pairs.where(d <= reach).groupBy("x", "y").agg(F.sum(F.col("m") * value(d / F.lit(float(bandwidth)))).alias("density"))
+    return points.select("node_pos", "x", "y").join(sums, ["x", "y"]).select("node_pos", "density")

@@ -11,16 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoweft.functions import formats
 from geoweft.functions import geometry as G
 from geoweft.functions.decay import decay, decay_sql, distance
 from geoweft.functions.hashing import uniform, uniform_sql
-from geoweft.operators import analytics, export, ordering
+from geoweft.operators import analytics, coverage, export, ordering
 from geoweft.operators import frame as fr
 from geoweft.operators.attachment import geo_barabasi_albert_network
 from geoweft.operators.frame import GeoFrame, GeoGraph
 from geoweft.operators.random_graph import geo_erdos_renyi_network
 from geoweft.operators.small_world import geo_watts_strogatz_network, half_degrees
 from geoweft.operators.spatial import all_pairs, knn_join
+from geoweft.sources import sampling
 from geoweft.sources.sampling import sample_points
 from geoweft.streaming import arrivals
 
@@ -431,42 +433,169 @@ def order_arrival(spark, sf_dir):
     return arrivals.arrival_order(customers(spark, sf_dir), arrivals.arrived(spark, arrivals.first_arrivals(stream, "user_id", "ts")), "id")
 
 
+def _density(name: str, kernel: str, value: str) -> None:
+    """An order by kernel density; ``value`` is the kernel of a distance t in bandwidths, in SQL."""
+
+    def run(spark, sf_dir):
+        return ordering.density_order_kde(customers(spark, sf_dir), bandwidth=512.0, kernel=kernel)
+
+    run.__name__ = name
+    query(f"""WITH {CUSTOMER_SQL}, p AS (SELECT a.node_pos, {D_SQL} / 512.0::DOUBLE AS t FROM nodes a, nodes b),
+    m AS (SELECT node_pos, sum({value}) AS density FROM p GROUP BY 1), r AS (SELECT node_pos, density, floor(log2(density)) - 40 AS e FROM m)
+    SELECT row_number() OVER (ORDER BY round_even(density / pow(2.0::DOUBLE, e), 0) * pow(2.0::DOUBLE, e) DESC, node_pos) - 1 AS rank, node_pos FROM r""")(run)
+
+
+_density("order_kde_exponential", "exponential", "exp(-t)")
+_density("order_kde_tophat", "tophat", "CASE WHEN t < 1 THEN 1.0::DOUBLE ELSE 0 END")
+_density("order_kde_linear", "linear", "CASE WHEN t < 1 THEN 1 - t ELSE 0 END")
+_density("order_kde_cosine", "cosine", "CASE WHEN t < 1 THEN cos(t * (pi() / 2)) ELSE 0 END")
+
+
+# -- coordinates and formats ---------------------------------------------------
+
+_LON, _LAT = "(x / 10000.0::DOUBLE * 20 - 10)", "(y / 10000.0::DOUBLE * 20 + 40)"
+
+
+def geographic(spark, sf_dir) -> GeoFrame:
+    """Customers between 10 degrees west and east, 40 and 60 north."""
+    f = customers(spark, sf_dir)
+    return GeoFrame(f.df.withColumns({"x": F.col("x") / EXTENT * 20 - 10, "y": F.col("y") / EXTENT * 20 + 40}), order=f.order, crs="EPSG:4326")
+
+
+@query(
+    f"""WITH {CUSTOMER_SQL} SELECT node_pos AS id, round(6378137.0::DOUBLE * radians({_LON}), 3) AS x, round(6378137.0::DOUBLE * ln(tan(pi() / 4 + radians({_LAT}) / 2)), 3) AS y FROM nodes"""
+)
+def to_web_mercator(spark, sf_dir):
+    f = fr.to_crs(geographic(spark, sf_dir), "EPSG:3857")
+    return f.df.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+_E = "sqrt(0.00669438002290341574957494858::DOUBLE)"
+#: The published formulas of the projection with two standard parallels, in terms of t.
+_T = f"(tan(pi() / 4 - @P / 2) / pow((1 - {_E} * sin(@P)) / (1 + {_E} * sin(@P)), {_E} / 2))"
+_M = "(cos(@P) / sqrt(1 - 0.00669438002290341574957494858::DOUBLE * sin(@P) * sin(@P)))"
+_AT = lambda part, p: part.replace("@P", f"radians({p})")
+
+
+@query(
+    f"""WITH {CUSTOMER_SQL}, c AS (SELECT (ln({_AT(_M, '49.0::DOUBLE')}) - ln({_AT(_M, '44.0::DOUBLE')})) / (ln({_AT(_T, '49.0::DOUBLE')}) - ln({_AT(_T, '44.0::DOUBLE')})) AS n),
+    k AS (SELECT n, 6378137.0::DOUBLE * {_AT(_M, '49.0::DOUBLE')} / (n * pow({_AT(_T, '49.0::DOUBLE')}, n)) AS f FROM c),
+    r AS (SELECT node_pos AS id, n, f * pow({_AT(_T, _LAT)}, n) AS r, f * pow({_AT(_T, '46.5::DOUBLE')}, n) AS r0, n * radians({_LON} - 3) AS turn FROM nodes, k)
+    SELECT id, round(700000 + r * sin(turn), 3) AS x, round(6600000 + r0 - r * cos(turn), 3) AS y FROM r"""
+)
+def to_lambert(spark, sf_dir):
+    f = fr.to_crs(geographic(spark, sf_dir), "EPSG:2154")
+    return f.df.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query(f"WITH {CUSTOMER_SQL} SELECT node_pos AS id, round({_LON}, 9) AS x, round({_LAT}, 9) AS y FROM nodes")
+def through_utm(spark, sf_dir):
+    """To a zone of the universal transverse Mercator system and back."""
+    f = fr.to_crs(fr.to_crs(geographic(spark, sf_dir), "EPSG:32631"), "EPSG:4326")
+    return f.df.select("id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+@query(f"WITH {SUPPLIER_SQL} SELECT node_pos AS id, 9 + 4 + 16 * 5 + 4 + 16 * 5 AS size, x, y, x + {_SIDE} / 2 AS hole_x, 5::INT AS corners FROM nodes")
+def polygons_as_binary(spark, sf_dir):
+    """Squares with a hole, written as well-known binary and read again."""
+    written = squares(spark, sf_dir, hole=True).df.select("id", formats.to_wkb(F.col("geometry"), "polygon").alias("wkb"))
+    g = written.withColumn("g", formats.from_wkb(F.col("wkb"), "polygon"))
+    return g.select("id", F.length("wkb").alias("size"), F.col("g")[0][0]["x"].alias("x"), F.col("g")[0][0]["y"].alias("y"), F.col("g")[1][2]["x"].alias("hole_x"), F.size(F.col("g")[0]).alias("corners"))
+
+
+@query(f"WITH {SUPPLIER_SQL} SELECT node_pos AS id, x, y, x + {_SIDE} AS far_x FROM nodes")
+def polygons_as_geojson(spark, sf_dir):
+    """The same as GeoJSON."""
+    written = squares(spark, sf_dir).df.select("id", formats.to_geojson(F.col("geometry"), "polygon").alias("json"))
+    g = written.withColumn("g", formats.from_geojson(F.col("json"), "polygon"))
+    return g.select("id", F.col("g")[0][0]["x"].alias("x"), F.col("g")[0][0]["y"].alias("y"), F.col("g")[0][1]["x"].alias("far_x"))
+
+
 # -- samples -----------------------------------------------------------------
 
-HOLED = [[(0, 0), (8, 0), (8, 8), (0, 8)], [(2, 2), (4, 2), (4, 4), (2, 4)]]
+#: The bounds of customers and of suppliers, and how many there are.
+_BOUNDS = "SELECT min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS n FROM"
+_BOUNDS_SQL = f"{CUSTOMER_SQL}, cb AS ({_BOUNDS} nodes), {SUPPLIER_SQL.replace('nodes AS', 'others AS')}, sb AS ({_BOUNDS} others)"
 
 
-def _sample_sql(box: tuple, keep: str, n: int) -> str:
-    x1, y1, x2, y2 = map(float, box)
-    return f"""WITH c AS (SELECT i, {x1}::DOUBLE + {uniform_sql('sx', SEED, 'i')} * {x2 - x1}::DOUBLE AS x, {y1}::DOUBLE + {uniform_sql('sy', SEED, 'i')} * {y2 - y1}::DOUBLE AS y
-    FROM range(0, {8 * n}) t(i)) SELECT row_number() OVER (ORDER BY i) - 1 AS node_pos, x, y FROM c WHERE {keep} ORDER BY i LIMIT {n}"""
+def _sample_sql(box: str, keep: str, n: str = "cb.n") -> str:
+    """Candidates in a box (x1, y1, x2, y2), as a table b, until as many as there are customers are kept."""
+    return f"""WITH {_BOUNDS_SQL}, b AS ({box}),
+    c AS (SELECT i, b.x1 + {uniform_sql('sx', SEED, 'i')} * (b.x2 - b.x1) AS x, b.y1 + {uniform_sql('sy', SEED, 'i')} * (b.y2 - b.y1) AS y FROM b, (SELECT unnest(range(0, 8 * n)) AS i FROM cb)),
+    kept AS (SELECT row_number() OVER (ORDER BY i) - 1 AS node_pos, x, y FROM c, cb WHERE {keep})
+    SELECT node_pos, kept.x, kept.y FROM kept, cb WHERE node_pos < {n}"""
 
 
-def _sample(spark, n: int, **args: object) -> DataFrame:
+def _sample(spark, sf_dir, **args: object) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
     return fr.as_nodes(sample_points(n, random_state=SEED, crs=CRS, spark=spark, **args)).select("node_pos", "x", "y")
 
 
-_HOLE = "NOT (x > 2 AND x < 4 AND y > 2 AND y < 4)"
+def _around(spark, sf_dir) -> list:
+    """The bounds of customers, but for the middle of them: a hole of a quarter of the width and the height."""
+    x1, y1, x2, y2 = fr.total_bounds(customers(spark, sf_dir))
+    u, v = (x2 - x1) / 4, (y2 - y1) / 4
+    ring = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d)]
+    return [ring(x1, y1, x2, y2), ring(x1 + u, y1 + v, x1 + 2 * u, y1 + 2 * v)]
+
+
+_HOLE = "NOT (x > cb.x1 + (cb.x2 - cb.x1) / 4 AND x < cb.x1 + 2 * ((cb.x2 - cb.x1) / 4) AND y > cb.y1 + (cb.y2 - cb.y1) / 4 AND y < cb.y1 + 2 * ((cb.y2 - cb.y1) / 4))"
 
 
-@query(_sample_sql((-5, -5, 5, 5), "true", 1000))
+@query(_sample_sql("SELECT * FROM cb", "true"))
 def sample_bbox(spark, sf_dir):
-    return _sample(spark, 1000, bbox=(-5, -5, 5, 5))
+    """As many points as customers, in their bounds."""
+    return _sample(spark, sf_dir, bbox=fr.total_bounds(customers(spark, sf_dir)))
 
 
-@query(_sample_sql((0, 0, 8, 8), _HOLE, 1000))
+@query(_sample_sql("SELECT * FROM cb", _HOLE))
 def sample_polygon_hole(spark, sf_dir):
-    return _sample(spark, 1000, polygon=HOLED)
+    return _sample(spark, sf_dir, polygon=_around(spark, sf_dir))
 
 
-@query(_sample_sql((3, 0, 8, 3), _HOLE, 500))
+@query(_sample_sql("SELECT greatest(cb.x1, sb.x1) AS x1, greatest(cb.y1, sb.y1) AS y1, least(cb.x2, sb.x2) AS x2, least(cb.y2, sb.y2) AS y2 FROM cb, sb", _HOLE))
 def sample_intersection(spark, sf_dir):
-    return _sample(spark, 500, polygon=HOLED, bbox=(3, -1, 9, 3))
+    """The same where the bounds of suppliers are too."""
+    return _sample(spark, sf_dir, polygon=_around(spark, sf_dir), bbox=fr.total_bounds(suppliers(spark, sf_dir)))
 
 
 @query()
 def sample_custom(spark, sf_dir):
-    return _sample(spark, 300, bbox=(0, 0, 1, 1), sampler=lambda rng, k: rng.normal(0.5, 0.3, (k, 2)))
+    """Points about the middle of the customers' bounds, by a sampler of one's own."""
+    x1, y1, x2, y2 = fr.total_bounds(customers(spark, sf_dir))
+    return _sample(spark, sf_dir, bbox=(x1, y1, x2, y2), sampler=lambda rng, k: rng.normal(((x1 + x2) / 2, (y1 + y2) / 2), ((x2 - x1) / 4, (y2 - y1) / 4), (k, 2)))
+
+
+@query(
+    f"""WITH {SUPPLIER_SQL}, s AS (SELECT *, {_SIDE} AS w FROM nodes),
+    c AS (SELECT node_pos AS within, k, s.x AS x1, s.y AS y1, w, s.x + {uniform_sql('sx', SEED, 'node_pos', 'k')} * (s.x + w - s.x) AS x, s.y + {uniform_sql('sy', SEED, 'node_pos', 'k')} * (s.y + w - s.y) AS y FROM s, (SELECT unnest(range(0, 200)) AS k)),
+    kept AS (SELECT within, row_number() OVER (PARTITION BY within ORDER BY k) - 1 AS i, x, y FROM c WHERE NOT (x > x1 AND x < x1 + w / 2 AND y > y1 AND y < y1 + w / 2))
+    SELECT * FROM kept WHERE i < 20"""
+)
+def sample_within(spark, sf_dir):
+    """Twenty points in the square of each supplier, a hole in its corner left out."""
+    return sampling.sample_within(squares(spark, sf_dir, hole=True), 20, random_state=SEED).df
+
+
+def outline(spark, sf_dir) -> DataFrame:
+    """(polygon, rings): a star with a corner at each customer, by the angle about the middle of the extent; by rank of angle, so that engines agree."""
+    c = customers(spark, sf_dir).df.select("id", "x", "y", (F.col("y") >= EXTENT / 2).alias("up"), ((F.col("x") - EXTENT / 2) / F.nullif(F.abs(F.col("y") - EXTENT / 2), F.lit(0.0))).alias("slope"))
+    order = F.struct((~F.col("up")).cast("int").alias("half"), F.when(F.col("up"), -F.col("slope")).otherwise(F.col("slope")).alias("turn"), "id", "x", "y")
+    ring = F.transform(F.array_sort(F.collect_list(order)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return c.agg(F.array(ring).alias("rings")).select(F.lit(0).alias("polygon"), "rings")
+
+
+@query(
+    f"""WITH {CUSTOMER_SQL}, {SUPPLIER_SQL.replace('nodes AS', 'others AS')},
+    turned AS (SELECT x, y, row_number() OVER (ORDER BY y < 5000, CASE WHEN y >= 5000 THEN -1 ELSE 1 END * (x - 5000) / nullif(abs(y - 5000), 0), node_pos) AS r FROM nodes),
+    sides AS (SELECT x AS x1, y AS y1, lead(x, 1, f.fx) OVER (ORDER BY r) AS x2, lead(y, 1, f.fy) OVER (ORDER BY r) AS y2 FROM turned, (SELECT x AS fx, y AS fy FROM turned WHERE r = 1) f),
+    far AS (SELECT node_pos, x + {_SIDE} AS x, y + {_SIDE} AS y FROM others)
+    SELECT node_pos AS id FROM far, sides WHERE (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1 HAVING count(*) % 2 = 1"""
+)
+def covered_by_outline(spark, sf_dir):
+    """The suppliers whose square's far corner is inside a polygon with as many corners as there are customers."""
+    points = squares(spark, sf_dir).df.select("id", F.col("geometry")[0][2]["x"].alias("x"), F.col("geometry")[0][2]["y"].alias("y"))
+    return coverage.covering(points, outline(spark, sf_dir), "polygon").select("id")
 
 
 # -- tables and figures of graphs ---------------------------------------------

@@ -154,12 +154,51 @@ def test_er_thinned_has_the_same_law(grid):
 
 def test_constraint_spellings_and_fallback(grid):
     native = gw.geo_erdos_renyi_network(grid, max_degree=99, random_state=1, constraint=lambda u, v: u.group != v["group"])
-    python = gw.geo_erdos_renyi_network(grid, max_degree=99, random_state=1, constraint=lambda u, v: u.group != v.group and u["group"] != v.group)
-    assert pairs(native) == pairs(python)
+    spelt = gw.geo_erdos_renyi_network(grid, max_degree=99, random_state=1, constraint=lambda u, v: u.group != v.group and u["group"] != v.group)
+    python = gw.geo_erdos_renyi_network(grid, max_degree=99, random_state=1, constraint=lambda u, v: len({u.group, v.group}) == 2)
+    assert pairs(native) == pairs(spelt) == pairs(python)
     own = {r["node_pos"]: r["group"] for r in native.nodes.collect()}
     assert all(own[i] != own[j] for i, j in pairs(native))
 
 
+LIMITS = {"A": 3, "B": 5}
+
+
+def test_constraints_are_translated_from_their_source(spark):
+    from geoweft.operators import constraint as C
+
+    few = ("A", "B")
+    names = ["group", "size", "name"]
+
+    def spelt_out(u, v):
+        """A function of its own."""
+        return u.size < v.size if u.group in few else not (u.size == v.size or v["size"] > 7)
+
+    same = [
+        (lambda u, v: u.group == v.group and u.size < v.size, lambda u, v: (u.group == v.group) & (u.size < v.size)),
+        (lambda u, v: not (u.group == v.group or u.size < v.size), lambda u, v: ~((u.group == v.group) | (u.size < v.size))),
+        (lambda u, v: 1 < u.size <= v.size < LIMITS["B"], lambda u, v: (u.size > 1) & (u.size <= v.size) & (v.size < 5)),
+        (lambda u, v: u.group in few and v.group not in {"C"}, lambda u, v: u.group.isin("A", "B") & ~v.group.isin("C")),
+        (lambda u, v: u.name is None and abs(u.size - v.size) <= 2, lambda u, v: u.name.isNull() & (F.abs(u.size - v.size) <= 2)),
+        (lambda u, v: u.name.startswith("x") and v.group.lower() != "a", lambda u, v: F.startswith(u.name, F.lit("x")) & (F.lower(v.group) != "a")),
+        (spelt_out, lambda u, v: F.when(F.coalesce(u.group.isin("A", "B"), F.lit(False)), u.size < v.size).otherwise(~((u.size == v.size) | (v.size > 7)))),
+    ]
+    for written, meant in same:
+        got, want = (C.resolve(c, names) for c in (written, meant))
+        assert str(got[0]) == str(want[0]) and got[1] == want[1]
+    for odd in (lambda u, v: u.size and v.size > 2, lambda u, v: u.group == None or v.size > 1, lambda u, v: u.group in v.name, lambda u, v: sum((u.size, v.size)) > 3 and True, lambda u, v: any(x > 1 for x in (u.size, v.size))):  # noqa: E711
+        assert "resolve.<locals>.rows" in str(C.resolve(odd, names)[0]) or "rows(" in str(C.resolve(odd, names)[0])
+    rows = [("A", 1, "x"), ("B", 4, None), ("C", 9, "y"), (None, 5, "xy"), ("B", 2, "x")]
+    t = spark.createDataFrame(rows, "group string, size long, name string")
+    pairs_ = t.select(*(F.col(c).alias(f"u_{c}") for c in names)).crossJoin(t.select(*(F.col(c).alias(f"v_{c}") for c in names)))
+    for written, _ in same:
+        kept = {(tuple(r[:3]), tuple(r[3:])) for r in pairs_.where(C.resolve(written, names)[0]).collect()}
+        for x in rows:
+            for y in rows:
+                if None not in x + y:
+                    assert ((x, y) in kept) == bool(written(C.Row(dict(zip(names, x))), C.Row(dict(zip(names, y)))))
+
+
 def test_ws_mean_degree_is_k(grid):
     for p in (0.0, 0.5):
         g = gw.geo_watts_strogatz_network(grid, 2, p, id_col="id", random_state=4)
@@ -367,10 +406,57 @@ def test_samples(spark):
     assert one() == one() and all(0 <= x <= 1 and 0 <= y <= 1 for _, x, y in one())
 
 
+def inside(x, y, rings):
+    sides = [(p, q) for r in rings for p, q in zip(r, [*r[1:], *r[:1]])]
+    on = any((q[0] - p[0]) * (y - p[1]) == (q[1] - p[1]) * (x - p[0]) and min(p[0], q[0]) <= x <= max(p[0], q[0]) and min(p[1], q[1]) <= y <= max(p[1], q[1]) for p, q in sides)
+    return on or sum((p[1] > y) != (q[1] > y) and x < p[0] + (y - p[1]) * (q[0] - p[0]) / (q[1] - p[1]) for p, q in sides) % 2 == 1
+
+
+def test_covering_of_polygons_of_many_sides(spark):
+    """Stars, combs with sides from bottom to top, a square with a hole, a point of its own; points on corners, twice, and outside."""
+    from math import cos, pi, sin
+
+    from geoweft.operators.coverage import covering
+
+    star = [(10 * (1 + k % 2) * cos(pi * k / 150), 10 * (1 + k % 2) * sin(pi * k / 150)) for k in range(300)]
+    comb = [(float(k), 0.0 if k % 2 else 16.0) for k in range(64)] + [(63.0, -1.0), (0.0, -1.0)]
+    square = [[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)], [(2.0, 2.0), (4.0, 2.0), (4.0, 4.0), (2.0, 4.0)]]
+    polygons = [(0, [star]), (1, [comb]), (2, square), (3, [[(1.0, 1.0)]])]
+    rng = random.Random(3)
+    points = [(k, rng.uniform(-20, 64), rng.uniform(-20, 20)) for k in range(400)] + [(1000 + k, *p) for k, p in enumerate([*star[:20], *comb[:20], (3.0, 3.0), (2.0, 3.0), (1.0, 1.0), (1.0, 1.0), (8.0, 4.0)])]
+    a = spark.createDataFrame(points, "id long, x double, y double")
+    b = spark.createDataFrame(polygons, "polygon long, rings array<array<struct<x:double,y:double>>>")
+    got = sorted((r["id"], r["polygon"]) for r in covering(a, b, "polygon").collect())
+    assert got == sorted((i, p) for i, x, y in points for p, rings in polygons if inside(x, y, rings))
+    own = a.withColumn("polygon", F.col("id") % 3)
+    got = sorted((r["id"], r["polygon"]) for r in covering(own, b, "polygon", own=True).collect())
+    assert got == sorted((i, i % 3) for i, x, y in points if inside(x, y, polygons[i % 3][1]))
+
+
+def test_samples_within_polygons_of_a_table(spark):
+    from math import cos, pi, sin
+
+    square = [[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)], [(1.0, 1.0), (7.9, 1.0), (7.9, 7.9), (1.0, 7.9)]]
+    round_ = [[(cos(pi * k / 60), sin(pi * k / 60)) for k in range(120)]]
+    df = spark.createDataFrame([(0, square, 5000), (1, round_, 70), (2, square, 0)], "id long, geometry array<array<struct<x:double,y:double>>>, n long")
+    f = GeoFrame(df, order=("id",), crs=CRS)
+    got = gw.sample_within(f, "n", random_state=1).df.collect()
+    shapes = {0: square, 1: round_}
+    assert sorted((r["within"], r["i"]) for r in got) == [(0, i) for i in range(5000)] + [(1, i) for i in range(70)]
+    assert all(inside(r["x"], r["y"], shapes[r["within"]]) for r in got) and len({(r["x"], r["y"]) for r in got}) == len(got)
+    with pytest.raises(RuntimeError, match="Unable to sample"):
+        gw.sample_within(f, "n", random_state=1, max_attempts=5001)
+    with pytest.raises(ValueError, match="positive area"):
+        gw.sample_within(GeoFrame(spark.createDataFrame([(0, [[(0.0, 0.0), (1.0, 1.0)]])], "id long, geometry array<array<struct<x:double,y:double>>>"), order=("id",)), 3)
+    many = gw.sample_points(60, polygon=round_, random_state=1, spark=spark).df.collect()
+    assert len(many) == 60 and all(inside(r["x"], r["y"], round_) for r in many)
+
+
 @pytest.mark.parametrize(
     ("args", "error", "text"),
     [
         ({"n": 0, "bbox": (0, 0, 1, 1)}, ValueError, "n must be a positive integer"),
+        ({"n": 1, "bbox": (0, 0, 1, 1), "crs": "nonsense"}, ValueError, "coordinate reference system"),
         ({"n": 1}, ValueError, "At least one of bbox or polygon must be provided"),
         ({"n": 1, "bbox": (0, 0, 1)}, ValueError, "bbox must be a sequence of 4 values"),
         ({"n": 1, "bbox": (1, 0, 0, 1)}, ValueError, "bbox ordering"),
