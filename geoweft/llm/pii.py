@@ -10,10 +10,12 @@ with PMI >= alpha * IC are revealing, and each of their occurrences is a
 ``term`` span, in texts without a base span too. For df(t, e) / df(t), which is
 how likely a text with t holds e, PMI takes the lower end of its Wilson interval
 (``z`` standard errors): no count is too small to reveal, but the fewer texts
-speak for a pair, the fewer may speak against it. A term that one text alone
-holds reveals a name in that text only (from about 200 texts on); one more text
-with it elsewhere holds it back (up to about a million). Sanitising generalises
-base spans to their kind and removes terms.
+speak for a pair, the fewer may speak against it. And a pair must be more than
+chance: if texts with t held e as often as others do, so many of them together
+would be less probable than FAMILY shared out among all pairs that are tried
+(by Chernoff's bound on the binomial tail). So words that merely happen to stand
+in no other text stay; a name in two texts with the same address goes. Sanitising
+generalises base spans to their kind and removes terms.
 
 Everything is DataFrame functions. Patterns are written so that Java's matcher
 neither recurses nor tries a run from each of its characters: quantifiers are
@@ -29,6 +31,7 @@ names. An empty table has no spans.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +55,8 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 ALPHA = 0.9
 #: Standard errors below what was counted: the bound of 80 % on one side.
 Z = 0.8416
+#: The probability that any pair at all passes by chance.
+FAMILY = 0.01
 #: A term's least length.
 TERM_LENGTH = 3
 TERM = r"[\p{L}\p{N}]+"
@@ -190,6 +195,13 @@ def least(part: Column, whole: Column, z: float) -> Column:
     return (p + w / 2 - z * F.sqrt(p * (1 - p) / whole + w / whole / 4)) / (1 + w)
 
 
+def beyond_chance(k: Column, of: Column, p: Column) -> Column:
+    """Minus the logarithm of Chernoff's bound on how probable at least k of so many are, each with probability p; 0 where no more than expected."""
+    share = k / of
+    part = lambda q, r: F.when(q > 0, q * F.log(q / r)).otherwise(0.0)
+    return F.when((share > p) & (p < 1), of * (part(share, p) + part(1 - share, 1 - p))).otherwise(0.0)
+
+
 def revealing(rows: DataFrame, scratch: Scratch, alpha: float = ALPHA, z: float = Z) -> DataFrame | None:
     """term: those over the disclosure threshold for some entity; None if no text holds an entity."""
     names = rows.where(F.size("base") > 0).select("text_id", F.explode(F.transform("base", lambda b: b["entity"])).alias("entity")).distinct()
@@ -209,7 +221,9 @@ def revealing(rows: DataFrame, scratch: Scratch, alpha: float = ALPHA, z: float
     met = words(rows.where(F.size("base") > 0).join(held, "text_id").dropDuplicates(["text_id"]), "text_id", "most")
     met = met.join(df_t, "term").where(F.col("df_t") <= F.col("most")).drop("most")
     pairs = met.join(names, "text_id").where(F.col("df_t") <= F.col("most"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("df_te"), F.first("df_t").alias("df_t"), F.first("df_e").alias("df_e"))
+    pairs = scratch.write(pairs.groupBy("entity", "term").agg(F.count("*").alias("df_te"), F.first("df_t").alias("df_t"), F.first("df_e").alias("df_e")))
+    tried = max(1, pairs.count())
+    pairs = pairs.where(beyond_chance(F.col("df_te"), F.col("df_t"), F.col("df_e") / n) >= float(log(tried / FAMILY)))
     pmi = F.log(least(F.col("df_te"), F.col("df_t"), z) * n / F.col("df_e"))
     return scratch.write(pairs.where(pmi >= alpha * ic).select("term").distinct())
 
