@@ -327,9 +327,26 @@ def ws_rewired(spark, sf_dir):
     return _edges(ws_suppliers(spark, sf_dir, p=WS_P))
 
 
-@query()
+def _of_customers(sql: str) -> str:
+    """The same for customers with five picks each: of the nearest sixty, and of the first sixty targets, which suffice."""
+    for name in ("nodes", "lists", "events", "races", "numbered"):
+        sql = sql.replace(f"{name} AS (", f"{name} AS MATERIALIZED (")
+    near = sql.replace(SUPPLIER_SQL.replace("nodes AS (", "nodes AS MATERIALIZED ("), CUSTOMER_SQL.replace("nodes AS (", "nodes AS MATERIALIZED (")).replace("[1:2]", "[1:5]").replace("FROM near  GROUP BY", "FROM near WHERE rank <= 60 GROUP BY")
+    return near.replace("list_filter(r.targets,", "list_filter(r.targets[1:60],").replace(repr(S_SUPPLIER), repr(S_CUSTOMER)).replace(repr(1 / S_SUPPLIER), repr(1 / S_CUSTOMER)).replace(f"< {WS_P}::DOUBLE", "< 0.1::DOUBLE")
+
+
+def ws_of_customers(spark, sf_dir, p: float) -> GeoGraph:
+    return geo_watts_strogatz_network(customers(spark, sf_dir), 10, p, scaling_factor=S_CUSTOMER, id_col="id", random_state=SEED, fast=False)
+
+
+@query(_of_customers(_WS_INITIAL.replace("@WHERE", "")))
+def ws_customers_initial(spark, sf_dir):
+    return _edges(ws_of_customers(spark, sf_dir, 0.0))
+
+
+@query(_of_customers(_WS_REWIRED))
 def ws_customers(spark, sf_dir):
-    return _edges(geo_watts_strogatz_network(customers(spark, sf_dir), 10, 0.1, id_col="id", random_state=SEED))
+    return _edges(ws_of_customers(spark, sf_dir, 0.1))
 
 
 # -- growth ------------------------------------------------------------------
@@ -488,11 +505,12 @@ def to_lambert(spark, sf_dir):
     return f.df.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query(f"WITH {CUSTOMER_SQL} SELECT node_pos AS id, round({_LON}, 9) AS x, round({_LAT}, 9) AS y FROM nodes")
+@query(f"WITH {CUSTOMER_SQL} SELECT node_pos AS id, true AS same FROM nodes")
 def through_utm(spark, sf_dir):
-    """To a zone of the universal transverse Mercator system and back."""
-    f = fr.to_crs(fr.to_crs(geographic(spark, sf_dir), "EPSG:32631"), "EPSG:4326")
-    return f.df.select("id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+    """To a zone of the universal transverse Mercator system and back, to a millimetre."""
+    f = geographic(spark, sf_dir)
+    g = fr.to_crs(fr.to_crs(f, "EPSG:32631"), "EPSG:4326").df.select("id", F.col("x").alias("u"), F.col("y").alias("v"))
+    return f.df.join(g, "id").select("id", ((F.abs(F.col("x") - F.col("u")) < 9e-9) & (F.abs(F.col("y") - F.col("v")) < 9e-9)).alias("same"))
 
 
 @query(f"WITH {SUPPLIER_SQL} SELECT node_pos AS id, 9 + 4 + 16 * 5 + 4 + 16 * 5 AS size, x, y, x + {_SIDE} / 2 AS hole_x, 5::INT AS corners FROM nodes")
