@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: What Python workers are started with: memory that a task has freed goes back to the system, not to a pool of a worker that lives on.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "262144"}
 #: Bytes of an Arrow batch, of which a task holds several on both sides, and rows of it that are taken at once.
 BATCH_BYTES, BATCH_ROWS = "4m", 256
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -23,6 +27,8 @@ def ship(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package. Where the session leaves the size of Arrow batches at Spark's 64 MB, it becomes BATCH_BYTES."""
     if spark.conf.get(_BATCH) == "67108864b":
         spark.conf.set(_BATCH, BATCH_BYTES)
+    for name, value in WORKERS.items():
+        spark.sparkContext.environment.setdefault(name, value)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
@@ -45,20 +51,32 @@ def map_task(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[d
 
     def run(batches):
         parts = (batch.slice(i, BATCH_ROWS).to_pydict() for batch in batches for i in range(0, batch.num_rows, BATCH_ROWS))
-        for out in fn(parts):
-            yield pa.RecordBatch.from_pydict({f.name: out[f.name] for f in arrow}, schema=arrow)
+        try:
+            for out in fn(parts):
+                yield pa.RecordBatch.from_pydict({f.name: out[f.name] for f in arrow}, schema=arrow)
+        finally:
+            trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Gives a worker's free memory back, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def streamed(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """Runs ``fn`` over the rows of each task, one Arrow batch at a time; it yields columns as lists."""
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
         rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))))
-        for out in fn(rows):
-            yield pa.RecordBatch.from_pydict({f.name: out[f.name] for f in arrow}, schema=arrow)
+        try:
+            for out in fn(rows):
+                yield pa.RecordBatch.from_pydict({f.name: out[f.name] for f in arrow}, schema=arrow)
+        finally:
+            trim()
 
     return df.mapInArrow(run, schema)
 
