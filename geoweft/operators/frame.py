@@ -14,6 +14,11 @@ from geoweft.functions.crs import is_geographic
 from geoweft.functions.projection import transformed
 
 
+# Messages that callers match.
+NOT_UNIQUE = "ID column must contain unique values"
+SEVERAL = "Multi-index is not supported"
+
+
 @dataclass(frozen=True)
 class GeoFrame:
     """A table of nodes.
@@ -112,7 +117,7 @@ def id_name(frame: GeoFrame, id_col: str | None) -> str | None:
         return None
     if id_col == "index":
         if len(frame.index) > 1:
-            raise ValueError("Multi-index is not supported")
+            raise ValueError(SEVERAL)
         if not frame.index:
             return None
         return frame.index[0]
@@ -145,7 +150,7 @@ def as_nodes(frame: GeoFrame, id_col: str | None = None, checked: bool = True) -
     name = id_name(frame, id_col)
     df = frame.df
     if checked and name is not None and not duplicate_ids(df, name).isEmpty():
-        raise ValueError("ID column must contain unique values")
+        raise ValueError(NOT_UNIQUE)
     if "node_pos" in df.columns:
         raise ValueError("node_pos is the number that a node gets; rename that column")
     x, y = frame.position()

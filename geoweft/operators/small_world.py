@@ -22,6 +22,12 @@ from geoweft.operators.spatial import all_pairs, knn_join
 RACE_PAIRS = 50_000_000
 
 
+# Messages that callers match.
+NO_NUMBER = "k must be an integer, a float, or a string"
+NO_DEGREE = "k must not be 0"
+NO_SHARE = "p must be between 0 and 1"
+
+
 def half_degrees(k: int | float | str, seed: int, names: list[str], fast: bool = True) -> Column:
     """Neighbours that each node picks: a column's half, rounded down; or k/2, mixed from its neighbours at random so that the mean is k/2."""
     if isinstance(k, str):
@@ -172,11 +178,11 @@ def geo_watts_strogatz_network(
 ) -> GeoGraph:
     """Ties each node to its nearest ones, with mean degree ``k`` (a number, or the column of expected degrees), and rewires ties with probability ``p``."""
     if isinstance(k, bool) or not isinstance(k, (int, float, str)):
-        raise ValueError("k must be an integer, a float, or a string")
+        raise ValueError(NO_NUMBER)
     if not isinstance(k, str) and k == 0:
-        raise ValueError("k must not be 0")
+        raise ValueError(NO_DEGREE)
     if not 0 <= p <= 1:
-        raise ValueError("p must be between 0 and 1")
+        raise ValueError(NO_SHARE)
     warn_crs(frame.crs)
     nodes = as_nodes(frame, id_col).persist()
     s = find_scaling_factor(frame) if scaling_factor is None else float(scaling_factor)
