@@ -13,8 +13,9 @@ the tokens of their texts, are written and joined. Stretches travel, not texts,
 and no hash, item or text of any frequency is one task's.
 
 Tokens are runs of letters, digits and other characters above ASCII, in lower
-case. Items of fewer than SHORTEST tokens tell nothing and leak nothing; those
-too short for all masks have shorter ones. Any one substitution leaves a hit. Null and
+case. An item of fewer than SHORTEST tokens says too little to be found within a
+text; it leaks into texts that consist of it. Items too short for all masks have
+shorter ones. Any one substitution leaves a hit. Null and
 empty texts and items hold no tokens; repeated rows are each reported, as are
 rows without ids; further columns are ignored (``contaminated``) or kept
 (``without_contaminated``).
@@ -35,7 +36,7 @@ from geoweft.llm.shingles import mixed, word_codes
 #: Fixed masks; 1 marks tokens that count.
 MASKS = ("11011011", "1110010111", "110100110101", "1111101")
 SHORT_MASKS = ("1111", "11011", "10111", "11101")
-#: Tokens of the shortest item that is looked for, and of the shortest of which a stretch may leak.
+#: Tokens of the shortest item that is looked for within texts, and of the shortest of which a stretch may leak.
 SHORTEST, LONG = 8, 16
 LEAST = 13
 MISMATCH = 2
@@ -173,9 +174,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int, scratch: Scratch) -
             at, k = at[inside], k[inside]
             for i, x, p in zip(k.tolist(), h[at].view(np.int64).tolist(), (at - ends[k]).tolist()):
                 found.setdefault(i, []).append({"hash": x, "p": p + len(own[i])})
-        for i, some in found.items():
-            for c, v in (("doc_id", batch["doc_id"][i]), ("text_hash", batch["text_hash"][i]), ("codes", own[i].tobytes()), ("seeds", some)):
-                out[c].append(v)
+        for i, o in enumerate(own):
+            if i in found or 0 < len(o) < SHORTEST:
+                for c, v in (("doc_id", batch["doc_id"][i]), ("text_hash", batch["text_hash"][i]), ("codes", o.tobytes()), ("seeds", found.get(i, []))):
+                    out[c].append(v)
         return out
 
     text = F.col("text").cast("string")
@@ -213,7 +215,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int, scratch: Scratch) -
     found = map_columns(lookup(parts, items, "item", "inner"), compared, "row long, item_id long, item long, start_token long, end_token long, n_matching long")
     best = F.min_by(F.struct("item_id", "start_token", "end_token", "n_matching"), F.struct(-F.col("n_matching"), "start_token", "end_token"))
     found = found.groupBy("row", "item").agg(best.alias("b")).join(rows.select("row", "doc_id", "text_hash"), "row")
-    return found.select("doc_id", "text_hash", "b.item_id", "b.start_token", "b.end_token", "b.n_matching")
+    found = found.select("doc_id", "text_hash", "b.item_id", "b.start_token", "b.end_token", "b.n_matching")
+    few = lambda df: df.where((F.length("codes") > 0) & (F.length("codes") < 8 * SHORTEST))
+    size = (F.length("codes") / 8).cast("long")
+    # items of one wording are one row, which is small: texts that are short are all told apart by them
+    short = few(items).groupBy("codes").agg(F.collect_list("item_id").alias("with_id"), F.count("*").alias("m"))
+    short = scratch.write(short)
+    whole = lookup(few(rows).select("doc_id", "text_hash", "codes"), short, "codes", "inner")
+    each = F.explode(F.concat("with_id", F.array_repeat(F.lit(None).cast("long"), F.col("m").cast("int") - F.size("with_id"))))
+    whole = whole.select("doc_id", "text_hash", each.alias("item_id"), F.lit(0).cast("long").alias("start_token"), size.alias("end_token"), size.alias("n_matching"))
+    return found.union(whole)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:

@@ -7,13 +7,11 @@ is the share of its n-grams found there, corrected for the share that its filter
 finds by chance; the largest share decides.
 
 A language's model is every n-gram of its rows in a bounded sample of labelled
-rows (``sample`` rows a language, and ``share`` of its n-grams' occurrences, the
-most frequent first: what hardly occurs tells languages apart least and would
-fill the filter). The filter grows with what it holds: BITS slots an n-gram, up
-to MOST_SLOTS. Null or letterless texts get ``und`` and score 0, as do all texts
-when nothing is labelled; empty tables give none. Ties go to the language with
-more labelled rows, then to its name. Repeated rows each get their answer, null
-doc_ids are kept, further columns are ignored.
+rows (``sample`` rows a language). The filter grows with what it holds: BITS slots
+an n-gram. Null or letterless texts get ``und`` and score 0, as do all texts when
+nothing is labelled; empty tables give none. Ties go to the language with more
+labelled rows, then to its name. Repeated rows each get their answer, null doc_ids
+are kept, further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,16 +20,13 @@ import functools
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoweft.llm.common import map_columns
 
 SAMPLE = 3000
-#: Of the occurrences of a language's n-grams, those that its model covers.
-SHARE = 0.98
-#: Slots for each n-gram of the model; at most, 64 MB with one word a mask.
-BITS, MOST_SLOTS = 8, 1 << 23
+#: Slots for each n-gram of the language that has most of them: the filter grows with what it holds, which the sample bounds.
+BITS = 8
 HASHES = 3
 LENGTHS = (2, 3, 4)
 
@@ -68,7 +63,7 @@ def ngrams(text: str) -> np.ndarray:
 def slots(codes: np.ndarray, n_slots: int, hashes: int = HASHES) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         a, b = codes * np.uint64(0xD6E8FEB86659FD93), (codes ^ (codes >> np.uint64(32))) * np.uint64(0xCA5A826395121157)
-        return [((a + np.uint64(k) * (b | np.uint64(1))) >> np.uint64(40)) % np.uint64(n_slots) for k in range(hashes)]
+        return [((a + np.uint64(k) * (b | np.uint64(1))) >> np.uint64(20)) % np.uint64(n_slots) for k in range(hashes)]
 
 
 class BitSliced:
@@ -77,7 +72,7 @@ class BitSliced:
     def __init__(self, languages: list[str], codes: list[np.ndarray], n_slots: int | None = None, hashes: int = HASHES):
         self.languages, self.hashes = languages, hashes
         largest = max(map(len, codes), default=0)
-        self.n_slots = n_slots or min(MOST_SLOTS, 1 << max(16, (BITS * largest).bit_length()))
+        self.n_slots = n_slots or 1 << max(16, (BITS * largest).bit_length())
         self.masks = np.zeros((-(-len(languages) // 64), self.n_slots), np.uint64)
         self.chance = np.zeros(len(languages))
         for k, own in enumerate(codes):
@@ -110,7 +105,7 @@ class BitSliced:
         return self.languages[best], float(share[best])
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> BitSliced:
+def learn(labelled: DataFrame, sample: int = SAMPLE) -> BitSliced:
     """Fits the filter to (doc_id, text, lang). The driver gets a row count and the n-grams of about ``sample`` rows for each language."""
     labelled = labelled.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and text is not null")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
@@ -120,25 +115,18 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, share: float = SHARE) -> Bi
     pick = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) < F.element_at(rate, F.col("lang")) * F.lit(float(1 << 30))
 
     def count(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"lang": [], "gram": [], "n": []}
+        out: dict[str, list] = {"lang": [], "gram": []}
         by: dict[str, list] = {}
         for lang, text in zip(batch["lang"], batch["text"]):
             by.setdefault(lang, []).append(ngrams(text))
         for lang, parts in by.items():
-            g, n = np.unique(np.concatenate(parts), return_counts=True)
+            g = np.unique(np.concatenate(parts))
             out["lang"] += [lang] * len(g)
             out["gram"] += g.view(np.int64).tolist()
-            out["n"] += n.tolist()
         return out
 
-    grams = map_columns(labelled.where(pick).select("lang", "text"), count, "lang string, gram long, n long")
-    grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # n-grams of equal counts stay or go together
-    levels = grams.groupBy("lang", "n").agg((F.count("*") * F.col("n")).alias("covers"))
-    w = W.partitionBy("lang")
-    above = F.coalesce(F.sum("covers").over(w.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    levels = levels.withColumns({"above": above, "all": F.sum("covers").over(w)}).where(F.col("above") < share * F.col("all")).groupBy("lang").agg(F.min("n").alias("least"))
-    best = grams.join(F.broadcast(levels), "lang").where("n >= least").select("lang", "gram").toPandas()
+    grams = map_columns(labelled.where(pick).select("lang", "text"), count, "lang string, gram long")
+    best = grams.select("lang", "gram").distinct().toPandas()
     by = {x: part.gram.to_numpy(np.int64).view(np.uint64) for x, part in best.groupby("lang")}
     languages = [r["lang"] for r in counts]
     return BitSliced(languages, [by.get(x, np.empty(0, np.uint64)) for x in languages])
@@ -150,7 +138,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: BitSliced) -> DataFrame:
-    """doc_id, lang_pred, score. The model is of bounded size: 8 bytes a slot and 64 languages, at most MOST_SLOTS slots."""
+    """doc_id, lang_pred, score. The model takes 8 bytes a slot and 64 languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: dict[str, list]) -> dict[str, list]:

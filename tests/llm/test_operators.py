@@ -182,7 +182,7 @@ def test_many_languages(spark):
     rows = [(70 * i + k, " ".join("".join(rng.choice(own) for _ in range(6)) for _ in range(30)), f"l{k:02}") for k, own in enumerate(letters) for i in range(6)]
     df = spark.createDataFrame([*rows, rows[0], (None, rows[1][1], "l00")], "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash"))
     train = df.where(~langid.held_out(df.doc_id))
-    model = langid.learn(train, share=1.0)
+    model = langid.learn(train)
     got = [(r["doc_id"], r["lang_pred"]) for r in langid.identify(df, model).collect()]
     lang = {i: x for i, _, x in rows} | {None: "l00"}
     assert len(got) == len(rows) + 2 and all(p == lang[i] for i, p in got)
@@ -206,7 +206,7 @@ def brute_leaks(texts, items):
                 a, b = max(0, d), min(len(own), d + len(want))
                 if b > a:
                     best = max(best, decontam.overlap(own[a:b] == want[a - d : b - d], len(want))[2])
-            if best and best >= decontam.needed(len(want)):
+            if best and best >= decontam.needed(len(want)) or 0 < len(want) < decontam.SHORTEST and len(own) == len(want) and (own == want).all():
                 out.add((i, k))
     return out
 
@@ -221,12 +221,12 @@ def test_decontamination(spark, monkeypatch, most):
     one = lambda text, k: " ".join("zz" if j == k else w for j, w in enumerate(text.split()))
     rows = [
         (1, prose(90, 50) + " " + items[1][1].upper() + ". " + prose(91, 20)), (2, " ".join(spoilt)), (3, prose(92, 300)), (4, None), (5, ""), (6, "a tiny item here!"),
-        (7, items[2][1][: len(items[2][1]) // 4]), (None, "x " + items[8][1]), (8, "well, " + one(items[9][1], 5) + " then"), (9, one(items[10][1], 3)), (9, "nothing of that"), (10, items[4][1]), (10, items[4][1]),
+        (7, items[2][1][: len(items[2][1]) // 4]), (None, "x " + items[8][1]), (8, "well, " + one(items[9][1], 5) + " then"), (9, one(items[10][1], 3)), (9, "nothing of that"), (10, items[4][1]), (10, items[4][1]), (11, "Tiny, item!"), (12, "the"), (12, "the"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "h": F.lit("x"), "item_id": F.lit(2)})
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("codes", F.lit(1))
     got = [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, bench).collect()]
-    assert set(got) == brute_leaks(rows, items) == {(1, 1), (2, 0), (None, None), (8, 10), (9, 11), (10, 4)} and len(got) == 5 + 4
+    assert set(got) == brute_leaks(rows, items) == {(1, 1), (2, 0), (None, None), (8, 10), (9, 11), (10, 4), (11, 7), (12, 12)} and len(got) == 5 + 4 + 3
     kept = decontam.without_contaminated(df, bench)
     assert kept.columns == df.columns and sorted(((r[0], r[1]) for r in kept.collect()), key=repr) == sorted([r for r in rows if r[0] in (3, 4, 5, 6, 7) or r[1] == "nothing of that"], key=repr)
     assert decontam.contaminated(df, bench.limit(0)).isEmpty() and decontam.contaminated(df.limit(0), bench).isEmpty()
