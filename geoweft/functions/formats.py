@@ -15,18 +15,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geoweft.functions.geometry import POINT, SHAPES
+from geoweft.functions.geometry import POINT, SHAPES, let
 
 # The codes and names of the kinds.
 CODES = {"point": 1, "line": 2, "polygon": 3, "polygons": 6}
 NAMES = {"point": "Point", "line": "LineString", "polygon": "Polygon", "polygons": "MultiPolygon"}
 
 
-def let(value: Column, of: Callable[[Column], Column]) -> Column:
-    """``of`` a value that is worked out once, however often it is used."""
-    return F.transform(F.array(value), of)[0]
-
-
 def _struct(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 

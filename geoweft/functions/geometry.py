@@ -19,6 +19,11 @@ RINGS = f"array<array<{POINT}>>"
 SHAPES = ("point", "line", "polygon", "polygons")
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a value that is worked out once, however often it is used: else expressions within expressions grow with each use."""
+    return F.transform(F.array(value), of)[0]
+
+
 def edges(ring: Column | str) -> Column:
     """(x1, y1, x2, y2) of a ring's sides; a closing side of no length does no harm."""
     ring = F.col(ring) if isinstance(ring, str) else ring
@@ -42,28 +47,35 @@ def _moments(ring: Column) -> Column:
 def area(rings: Column) -> Column:
     """The shell's area less the holes'."""
     each = F.transform(rings, lambda r: F.abs(_moments(r)["a"]) / 2)
-    return F.aggregate(each, F.lit(0.0), lambda s, v: s - v) + 2 * each[0]
+    return let(each, lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s - x) + 2 * v[0])
 
 
 def centroid(rings: Column) -> Column:
     """struct<x,y>; a polygon without area has its first point."""
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
-    ox, oy = rings[0][0]["x"], rings[0][0]["y"]
 
-    def step(acc: Column, r: Column) -> Column:
-        m = _moments(r)
-        a = F.abs(m["a"]) * F.when(acc["a"] == 0, 1.0).otherwise(-1.0)
-        s = F.when(m["a"] == 0, 0.0).otherwise(a / m["a"])
-        # moments about the shell's first point
-        return F.struct(
-            (acc["a"] + a).alias("a"), (acc["mx"] + s * m["mx"] + 3 * a * (r[0]["x"] - ox)).alias("mx"), (acc["my"] + s * m["my"] + 3 * a * (r[0]["y"] - oy)).alias("my")
-        )
+    def of(rings: Column) -> Column:
+        first = rings[0][0]
+
+        def step(acc: Column, r: Column) -> Column:
+            return let(F.struct(_moments(r).alias("m"), r[0].alias("o")), lambda v: let(_with_sign(acc, v), lambda w: _added(acc, v, w, first)))
+
+        return let(F.aggregate(rings, zero, step), lambda t: F.struct(*(F.when(t["a"] == 0, first[c]).otherwise(first[c] + t[f"m{c}"] / (3 * F.nullif(t["a"], F.lit(0.0)))).alias(c) for c in "xy")))
+
+    return let(rings, of)
 
-    t = F.aggregate(rings, zero, step)
-    return F.struct(
-        F.when(t["a"] == 0, ox).otherwise(ox + t["mx"] / (3 * F.nullif(t["a"], F.lit(0.0)))).alias("x"),
-        F.when(t["a"] == 0, oy).otherwise(oy + t["my"] / (3 * F.nullif(t["a"], F.lit(0.0)))).alias("y"),
-    )
+
+def _with_sign(acc: Column, v: Column) -> Column:
+    """A ring's area, negative for a hole, and what its moments are to be multiplied by."""
+    m = v["m"]
+    a = F.abs(m["a"]) * F.when(acc["a"] == 0, 1.0).otherwise(-1.0)
+    return F.struct(a.alias("a"), F.when(m["a"] == 0, 0.0).otherwise(a / m["a"]).alias("s"))
+
+
+def _added(acc: Column, v: Column, w: Column, first: Column) -> Column:
+    """The sums with a ring's, whose moments are about its own first point, put about the shell's."""
+    moved = lambda c: (acc[f"m{c}"] + w["s"] * v["m"][f"m{c}"] + 3 * w["a"] * (v["o"][c] - first[c])).alias(f"m{c}")
+    return F.struct((acc["a"] + w["a"]).alias("a"), moved("x"), moved("y"))
 
 
 def line_centroid(points: Column) -> Column:
@@ -72,26 +84,28 @@ def line_centroid(points: Column) -> Column:
 
     def step(acc: Column, e: Column) -> Column:
         dx, dy = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
-        n = F.sqrt(dx * dx + dy * dy)
-        return F.struct((acc["n"] + n).alias("n"), (acc["x"] + n * (e["p"]["x"] + e["q"]["x"]) / 2).alias("x"), (acc["y"] + n * (e["p"]["y"] + e["q"]["y"]) / 2).alias("y"))
+        return let(F.sqrt(dx * dx + dy * dy), lambda n: F.struct((acc["n"] + n).alias("n"), *((acc[c] + n * (e["p"][c] + e["q"][c]) / 2).alias(c) for c in "xy")))
 
-    t = F.aggregate(ends, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), step)
+    sums = F.aggregate(ends, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), step)
     first = F.get(points, F.lit(0))
-    n = F.nullif(t["n"], F.lit(0.0))
-    return F.struct(F.coalesce(t["x"] / n, first["x"]).alias("x"), F.coalesce(t["y"] / n, first["y"]).alias("y"))
+    return let(F.struct(sums.alias("t"), first.alias("first")), lambda v: _mean(v, "n"))
+
+
+def _mean(v: Column, weight: str) -> Column:
+    """The weighted mean of sums ``t``, or the first point where they have no weight."""
+    return F.struct(*(F.coalesce(v["t"][c] / F.nullif(v["t"][weight], F.lit(0.0)), v["first"][c]).alias(c) for c in "xy"))
 
 
 def polygons_centroid(polygons: Column) -> Column:
     """struct<x,y>: the polygons' centroids, weighted by their areas; without area the first one's."""
 
     def step(acc: Column, p: Column) -> Column:
-        a, c = area(p), centroid(p)
-        return F.struct((acc["a"] + a).alias("a"), (acc["x"] + a * c["x"]).alias("x"), (acc["y"] + a * c["y"]).alias("y"))
+        one = F.struct(area(p).alias("a"), centroid(p).alias("c"))
+        return let(one, lambda v: F.struct((acc["a"] + v["a"]).alias("a"), *((acc[k] + v["a"] * v["c"][k]).alias(k) for k in "xy")))
 
-    t = F.aggregate(polygons, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), step)
+    sums = F.aggregate(polygons, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), step)
     first = centroid(F.get(polygons, F.lit(0)))
-    a = F.nullif(t["a"], F.lit(0.0))
-    return F.struct(F.coalesce(t["x"] / a, first["x"]).alias("x"), F.coalesce(t["y"] / a, first["y"]).alias("y"))
+    return let(F.struct(sums.alias("t"), first.alias("first")), lambda v: _mean(v, "a"))
 
 
 def centre(geometry: Column, shape: str) -> Column:
