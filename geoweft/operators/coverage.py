@@ -27,9 +27,13 @@ def covering(points: DataFrame, polygons: DataFrame, key: str, rings: str = "rin
     """``points`` (x, y, ...) with the ``key`` of each polygon (key, rings) that covers them, a row for each; with ``own``, only polygons whose key
     the points have. Boundaries belong to polygons, the insides of holes don't.
     """
+    return within_sides(points, sides(polygons, key, rings), key, own)
+
+
+def within_sides(points: DataFrame, every: DataFrame, key: str, own: bool = False) -> DataFrame:
+    """The same for polygons given as tables of their sides (key, x1, y1, x2, y2), so that one polygon may have more than a row holds."""
     place = ["x", "y", *([key] if own else [])]
     p = points.select(*place).distinct()
-    every = sides(polygons, key, rings)
     about = every.groupBy(key).agg(F.count("*").alias("m"), *(f(F.least("y1", "y2") if f is F.min else F.greatest("y1", "y2")).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))))
     # as many intervals as sides, to the next power of two
     about = about.select(key, "low", "high", F.greatest(F.ceil(F.log2(F.col("m").cast("double"))), F.lit(0)).cast("int").alias("depth"))
