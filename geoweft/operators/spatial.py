@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -154,43 +157,115 @@ class Search:
             todo, ring = rest, ring * 2
 
 
-# name -> (density of a distance in bandwidths, the distance beyond which it is 0 or below a bound)
+def _within(t: np.ndarray, f: Callable) -> np.ndarray:
+    near = t < 1
+    np.minimum(t, 1.0, out=t)
+    f(t)
+    return np.multiply(t, near, out=t)
+
+
+def _gaussian(t: np.ndarray) -> np.ndarray:
+    t *= t
+    t *= -0.5
+    return np.exp(t, out=t)
+
+
+# name -> (density of distances in bandwidths, written over them; the distance beyond which it is 0 or below a bound)
 KERNELS = {
-    "gaussian": (lambda t: F.exp(-0.5 * t * t), lambda least: math.sqrt(-2 * math.log(least))),
-    "exponential": (lambda t: F.exp(-t), lambda least: -math.log(least)),
-    "tophat": (lambda t: F.when(t < 1, 1.0).otherwise(0.0), lambda least: 1.0),
-    "epanechnikov": (lambda t: F.when(t < 1, 1 - t * t).otherwise(0.0), lambda least: 1.0),
-    "linear": (lambda t: F.when(t < 1, 1 - t).otherwise(0.0), lambda least: 1.0),
-    "cosine": (lambda t: F.when(t < 1, F.cos(t * (math.pi / 2))).otherwise(0.0), lambda least: 1.0),
+    "gaussian": (_gaussian, lambda least: math.sqrt(-2 * math.log(least))),
+    "exponential": (lambda t: np.exp(np.negative(t, out=t), out=t), lambda least: -math.log(least)),
+    "tophat": (lambda t: _within(t, lambda t: t.fill(1.0)), lambda least: 1.0),
+    "epanechnikov": (lambda t: _within(t, lambda t: np.subtract(1.0, np.multiply(t, t, out=t), out=t)), lambda least: 1.0),
+    "linear": (lambda t: _within(t, lambda t: np.subtract(1.0, t, out=t)), lambda least: 1.0),
+    "cosine": (lambda t: _within(t, lambda t: np.cos(np.multiply(t, math.pi / 2, out=t), out=t)), lambda least: 1.0),
 }
 #: What all points together may add to a density by being left out: below what orders by density tell apart, as each density is 1 at least.
 LEFT_OUT = 2.0**-46
 #: Cells that the reach of a kernel is long.
 REACH = 3
+#: Places of a cell that a task sums up for at most and at least, those that it meets at a time, and pairs that it looks at in one go.
+OWN, LEAST, MET, TILE = 16_384, 1_024, 4_096, 1 << 15
+#: Tasks that all places are to make, if one cell holds them all.
+TASKS = 64
 
 
 def kernel_sums(points: DataFrame, bandwidth: float, kernel: str) -> DataFrame:
     """(node_pos, density): the unnormalised kernel density at each point, itself included.
 
     Points at one place count as one with their number. Places meet in grid cells as far as the kernel reaches; kernels without an end
-    reach to where all points together would add no more than LEFT_OUT.
+    reach to where all points together would add no more than LEFT_OUT. A task holds places of one cell, which those of the cells about
+    pass by; only sums leave it.
     """
     if kernel not in KERNELS:
         raise ValueError(f"Unknown kernel: {kernel}. Use one of {', '.join(KERNELS)}.")
     if not bandwidth > 0:
         raise ValueError("bandwidth must be positive")
     value, end = KERNELS[kernel]
-    places = points.groupBy("x", "y").agg(F.count("*").alias("m"))
-    reach = end(LEFT_OUT / max(1, points.count())) * bandwidth
+    n = max(1, points.count())
+    reach = end(LEFT_OUT / n) * bandwidth
     size = reach / REACH * (1 + 1e-9)
     grid = lambda c: F.floor(F.col(c) / size).cast("long")
-    q = places.select(F.col("x").alias("nx"), F.col("y").alias("ny"), "m").withColumns({"cx": grid("nx"), "cy": grid("ny")})
-    # only cells that hold something are asked
-    filled = q.select("cx", "cy").distinct()
-    p = places.select("x", "y", grid("x").alias("ox"), grid("y").alias("oy"))
-    near = p.select("ox", "oy").distinct().withColumn("cx", F.explode(F.sequence(F.col("ox") - REACH, F.col("ox") + REACH))).withColumn("cy", F.explode(F.sequence(F.col("oy") - REACH, F.col("oy") + REACH)))
-    near = near.join(filled, ["cx", "cy"], "left_semi")
-    pairs = p.join(near, ["ox", "oy"]).join(q, ["cx", "cy"])
-    d = distance("x", "y", "nx", "ny")
-    sums = pairs.where(d <= reach).groupBy("x", "y").agg(F.sum(F.col("m") * value(d / F.lit(float(bandwidth)))).alias("density"))
+    places = points.groupBy("x", "y").agg(F.count("*").alias("m")).withColumns({"cx": grid("x"), "cy": grid("y")})
+    # a cell of many places is dealt out to several tasks
+    filled = places.groupBy("cx", "cy").agg(F.ceil(F.count("*") / min(OWN, max(LEAST, n // TASKS))).alias("parts"))
+    own = places.join(filled, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.col("parts")))
+    around = lambda c: F.explode(F.sequence(F.col(c) - REACH, F.col(c) + REACH))
+    near = places.select("cx", "cy").distinct().withColumn("ox", around("cx")).withColumn("oy", around("cy"))
+    near = near.join(filled.withColumnsRenamed({"cx": "ox", "cy": "oy"}), ["ox", "oy"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = places.join(near, ["cx", "cy"])
+    task = lambda x, y: F.struct(F.col(x).alias("cx"), F.col(y).alias("cy"), "part")
+    rows = own.select(task("cx", "cy").alias("task"), F.lit(False).alias("passing"), "x", "y", "m").union(met.select(task("ox", "oy").alias("task"), F.lit(True).alias("passing"), "x", "y", "m"))
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(min(1024, max(4 * cores, n // 500)), "task").sortWithinPartitions("task", "passing").select("task.*", "passing", "x", "y", "m")
+    sums = rows.mapInArrow(_summed(value, float(bandwidth)), "x double, y double, density double")
     return points.select("node_pos", "x", "y").join(sums, ["x", "y"]).select("node_pos", "density")
+
+
+def _summed(value: Callable, bandwidth: float) -> Callable:
+    """Sums the kernel at the places of each task over those that pass; rows are sorted by task, its own places first."""
+
+    def add(own: list, met: list, sums: np.ndarray) -> None:
+        x, y = own
+        u, v, m = (np.concatenate(c) for c in zip(*met))
+        step = max(1, TILE // len(u))
+        d, e = np.empty((2, min(step, len(x)), len(u)))
+        for at in range(0, len(x), step):
+            k = min(step, len(x) - at)
+            dx, dy = np.subtract(x[at : at + k, None], u, out=d[:k]), np.subtract(y[at : at + k, None], v, out=e[:k])
+            dx *= dx
+            dy *= dy
+            dx += dy
+            np.sqrt(dx, out=dx)
+            dx /= bandwidth
+            sums[at : at + k] += value(dx) @ m
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> Iterator[pa.RecordBatch]:
+            if met:
+                add(own, met, sums)
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(own[0]), pa.array(own[1]), pa.array(sums)], ["x", "y", "density"])
+
+        now, own, met, rows, sums = None, [], [], 0, None
+        for batch in batches:
+            cx, cy, part, passing, x, y, m = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key = np.stack((cx, cy, part, passing))
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(x)]
+            for a, b in zip(cuts, cuts[1:]):
+                this = (cx[a], cy[a], part[a])
+                if this != now:
+                    yield from done()
+                    now, own, met, rows, sums = this, [], [], 0, None
+                if not passing[a]:
+                    own = [np.concatenate((*own[k : k + 1], v[a:b])) for k, v in enumerate((x, y))]
+                    continue
+                if sums is None:
+                    sums = np.zeros(len(own[0]))
+                met.append((x[a:b], y[a:b], m[a:b].astype(float)))
+                rows += b - a
+                if rows >= MET:
+                    add(own, met, sums)
+                    met, rows = [], 0
+        yield from done()
+
+    return run
