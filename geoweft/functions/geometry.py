@@ -143,10 +143,19 @@ def passes_side(e: Column | dict, x: Column, y: Column) -> Column:
     return F.coalesce(((e["y1"] > y) != (e["y2"] > y)) & (x < at), F.lit(False))
 
 
+def sides(rings: Column | str) -> Column:
+    """The sides of all rings of a polygon."""
+    return F.flatten(F.transform(rings, edges))
+
+
+def covers_sides(every: Column, x: Column, y: Column) -> Column:
+    """Whether a polygon, given by all its sides, covers a point."""
+    return F.exists(every, lambda e: on_side(e, x, y)) | (F.size(F.filter(every, lambda e: passes_side(e, x, y))) % 2 == 1)
+
+
 def covers(rings: Column, x: Column, y: Column) -> Column:
     """Whether a polygon of few sides covers a point: its boundary belongs to it, the inside of its holes doesn't."""
-    every = F.flatten(F.transform(rings, edges))
-    return F.exists(every, lambda e: on_side(e, x, y)) | (F.size(F.filter(every, lambda e: passes_side(e, x, y))) % 2 == 1)
+    return covers_sides(sides(rings), x, y)
 
 
 def literal(polygon: Sequence) -> Column:
