@@ -232,7 +232,9 @@ def picks(lists: DataFrame, max_degree: int, tables: Tables, old: Settled | None
     listed = items.groupBy(F.col("nbr").alias("a")).agg(F.count("*").alias("m"), F.max("nbr_k").alias("k"))
     own = items.groupBy(F.col("node_pos").alias("a")).agg(F.max("k").alias("own"))
     tight = listed.join(own, "a", "full").where(F.coalesce("m", F.lit(0)) + 2 * F.coalesce("k", "own") >= max_degree).select("a")
-    touched = items.select("w", F.explode(F.array("node_pos", "nbr")).alias("a")).distinct().join(tight, "a", "left_semi").select("w", "a")
+    tight = tables.write(tight)
+    some = F.broadcast(tight) if tight.count() <= BROADCAST_NODES else tight
+    touched = items.select("w", F.explode(F.array("node_pos", "nbr")).alias("a")).join(some, "a", "left_semi").select("w", "a").distinct()
     touched = tables.write(touched)
 
     def news(found: DataFrame | None) -> DataFrame:

@@ -53,7 +53,7 @@ def nearest_nodes(nodes: DataFrame, k: Column, max_degree: int, query_factor: in
     spark = nodes.sparkSession
     with Tables(spark) as tables:
         own = tables.write(nodes.withColumn("k", F.least(F.greatest(k, F.lit(0)), F.lit(max_degree)).cast("long")))
-        n = own.count()
+        n, least, greatest = own.agg(F.count("*"), F.min("k"), F.max("k")).first()
         by = C.classes(predicate)
         sizes = F.col("node_pos"), F.col("k")
         first = F.least(F.col("k") * max(2, int(query_factor)), F.lit(n - 1))
@@ -62,7 +62,11 @@ def nearest_nodes(nodes: DataFrame, k: Column, max_degree: int, query_factor: in
             # only nodes that ask for a list search
             points = own.join(asking, "node_pos", "left").withColumn("asked", F.coalesce("asked", F.lit(0)))
             full = knn_join(points, F.col("asked"), predicate, need, by)
-            full = full.join(points.select(*sizes, "asked"), "node_pos").join(own.select(F.col("node_pos").alias("nbr"), F.col("k").alias("nbr_k")), "nbr")
+            if found is None and n and least == greatest:  # all ask for the same
+                full = full.withColumns({"k": F.lit(least), "nbr_k": F.lit(least), "asked": F.lit(min(least * max(2, int(query_factor)), n - 1))})
+                full = full.withColumns({c: F.col(c).cast("long") for c in ("k", "nbr_k", "asked")})
+            else:
+                full = full.join(points.select(*sizes, "asked"), "node_pos").join(own.select(F.col("node_pos").alias("nbr"), F.col("k").alias("nbr_k")), "nbr")
             full = full.select("node_pos", "nbr", "d", "rank", "k", "nbr_k", "asked")
             if found is None:
                 lists = tables.write(full)

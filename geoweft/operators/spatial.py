@@ -118,6 +118,8 @@ class Search:
 
     def nearest(self, todo: DataFrame, points: DataFrame, grid: Grid) -> DataFrame:
         """The nearest of ``points`` (nbr, nx, ny) to each row of ``todo`` (node_pos, x, y, k, most) by the cells of a grid, further and further out."""
+        if self.allowed is None and not self.by:
+            return self.by_tiles(todo, points, grid)
         cell, x0, y0, columns, rows = grid.size, grid.x0, grid.y0, grid.columns, grid.rows
         target, todo, ring, out = grid.cells(points, "nx", "ny"), grid.cells(todo, "x", "y"), 1, None
         while True:
@@ -157,6 +159,99 @@ class Search:
             todo, ring = rest, ring * 2
 
 
+    def by_tiles(self, todo: DataFrame, points: DataFrame, grid: Grid) -> DataFrame:
+        """The same without a condition: a task holds the points of a square of cells and of those about it; only neighbours leave it."""
+        target, todo, ring, out = grid.cells(points, "nx", "ny"), grid.cells(todo, "x", "y"), 1, None
+        cores = todo.sparkSession.sparkContext.defaultParallelism
+        while ring < max(grid.columns, grid.rows):
+            side = TILE_CELLS * ring
+            tile = lambda c: F.floor(F.col(c) / side).cast("long")  # noqa: B023, E731
+            own = todo.select(tile("cx").alias("tx"), tile("cy").alias("ty"), F.lit(False).alias("other"), F.col("node_pos").alias("id"), "x", "y", F.least("k", "most").alias("k"))
+            span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - ring) / side).cast("long"), F.floor((F.col(c) + ring) / side).cast("long")))  # noqa: B023, E731
+            other = target.withColumn("tx", span("cx")).withColumn("ty", span("cy"))
+            if ring > 1:  # few points search on
+                other = other.join(own.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
+            other = other.select("tx", "ty", F.lit(True).alias("other"), F.col("nbr").alias("id"), F.col("nx").alias("x"), F.col("ny").alias("y"), F.lit(0).cast("long").alias("k"))
+            rows = own.union(other).repartition(max(2 * cores, self.n // TASK_NODES), "tx", "ty").sortWithinPartitions("tx", "ty", "other")
+            found = rows.mapInArrow(_nearest(grid, ring, self.n - 1), "node_pos long, nbr long, d double, rank long").persist()
+            best, rest = found.where("rank > 0"), found.where("rank = 0").select("node_pos")
+            out = best if out is None else out.union(best)
+            if rest.isEmpty():
+                return out
+            todo, ring = todo.join(rest, "node_pos", "left_semi").persist(), ring * 2
+        pairs = all_pairs(todo.drop("cx", "cy"), target.drop("cx", "cy"), self.n, F.col("node_pos") != F.col("nbr")).withColumn("d", distance("x", "y", "nx", "ny"))
+        best = pairs.withColumn("rank", F.row_number().over(W.partitionBy("node_pos").orderBy("d", "nbr"))).where(F.col("rank") <= F.col("k"))
+        best = best.select("node_pos", "nbr", "d", F.col("rank").cast("long").alias("rank"))
+        return best if out is None else out.union(best)
+
+
+#: Cells that a square of cells is wide, for each ring that is searched about a cell; points that a task searches for; pairs that it looks at in one go.
+TILE_CELLS, TASK_NODES, TILE_PAIRS = 8, 20_000, 1 << 18
+
+
+def _nearest(grid: Grid, ring: int, most: int) -> Callable:
+    """The nearest points to those of each tile; a point whose nearest may lie outside the cells about its own gives one row of rank 0.
+
+    Rows (tx, ty, other, id, x, y, k) are sorted: a tile's own points, then all that may be near.
+    """
+
+    def safe(x: np.ndarray, o: float, cells: int) -> np.ndarray:
+        """The way to the rim of the cells about each point's own; there is nothing beyond the bounds."""
+        c = np.floor((x - o) / grid.size)
+        low = np.where(c - ring <= 0, np.inf, x - o - (c - ring) * grid.size)
+        return np.minimum(low, np.where(c + ring >= cells - 1, np.inf, (c + ring + 1) * grid.size + o - x))
+
+    def search(own: list, met: list) -> Iterator[pa.RecordBatch]:
+        ids, x, y, k = own
+        nbr, u, v = met
+        rim = np.minimum(safe(x, grid.x0, grid.columns), safe(y, grid.y0, grid.rows)) * (1 - 1e-12)
+        step = max(1, TILE_PAIRS // len(nbr))
+        for a in range(0, len(ids), step):
+            part = slice(a, a + step)
+            dx, dy = x[part, None] - u, y[part, None] - v
+            d = np.sqrt(dx * dx + dy * dy)
+            d[ids[part, None] == nbr] = np.inf
+            top = int(min(k[part].max(), len(nbr)))
+            far = np.partition(d, top - 1, axis=1)[:, top - 1]
+            r, c = np.nonzero((d <= far[:, None]) & (d < np.inf))
+            order = np.lexsort((nbr[c], d[r, c], r))
+            r, c = r[order], c[order]
+            rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+            keep = rank <= k[part][r]
+            r, c, rank = r[keep], c[keep], rank[keep]
+            got, last = np.bincount(r, minlength=len(d)), np.zeros(len(d))
+            np.maximum.at(last, r, d[r, c])
+            done = ((got >= k[part]) & (last < rim[part])) | (got >= most) | np.isinf(rim[part])
+            r, c, rank = (z[done[r]] for z in (r, c, rank))
+            open_ = ids[part][~done]
+            zero = np.zeros(len(open_), np.int64)
+            columns = np.concatenate((ids[part][r], open_)), np.concatenate((nbr[c], zero)), np.concatenate((d[r, c], zero.astype(float))), np.concatenate((rank, zero))
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in columns], ["node_pos", "nbr", "d", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, met = None, [], []
+        joined = lambda parts: [np.concatenate(z) for z in zip(*parts)]
+        for batch in batches:
+            tx, ty, other, ids, x, y, k = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key = np.stack((tx, ty, other))
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(x)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if (tx[a], ty[a]) != now:
+                    if own:
+                        yield from search(joined(own), joined(met))
+                    now, own, met = (tx[a], ty[a]), [], []
+                if other[a] and own:
+                    met.append((ids[a:b], x[a:b], y[a:b]))
+                elif not other[a]:
+                    own.append((ids[a:b], x[a:b], y[a:b], k[a:b]))
+        if own:
+            yield from search(joined(own), joined(met))
+
+    return run
+
+
 def _within(t: np.ndarray, f: Callable) -> np.ndarray:
     near = t < 1
     np.minimum(t, 1.0, out=t)
