@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoweft.functions.decay import distance
+from geoweft.operators.shared import saved
 
 #: Nodes that may be broadcast: with their coordinates about 24 bytes each.
 BROADCAST_NODES = 200_000
@@ -75,8 +76,8 @@ def knn_join(points: DataFrame, k: Column | int, allowed: Column | None = None,
             place = W.partitionBy("nx", "ny", *own).orderBy("nbr")
             target = target.withColumn("r", F.row_number().over(place)).where(F.col("r") <= max_k + 1).drop("r").persist()
         todo = grid.cells(todo, "x", "y")
-        thin = todo.join(counts, cell, "left_anti").drop("cx", "cy").persist()
-        todo = todo.join(counts, cell, "left_semi").drop("cx", "cy").persist()
+        thin = saved(todo.join(counts, cell, "left_anti").drop("cx", "cy"))
+        todo = saved(todo.join(counts, cell, "left_semi").drop("cx", "cy"))
         if not thin.isEmpty():
             found = at.nearest(thin, target, grid)
             out = found if out is None else out.union(found)
@@ -173,12 +174,13 @@ class Search:
                 other = other.join(own.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
             other = other.select("tx", "ty", F.lit(True).alias("other"), F.col("nbr").alias("id"), F.col("nx").alias("x"), F.col("ny").alias("y"), F.lit(0).cast("long").alias("k"))
             rows = own.union(other).repartition(max(2 * cores, self.n // TASK_NODES), "tx", "ty").sortWithinPartitions("tx", "ty", "other")
-            found = rows.mapInArrow(_nearest(grid, ring, self.n - 1), "node_pos long, nbr long, d double, rank long").persist()
+            # tables, not persisted frames: a round's plan would hold that of the one before twice
+            found = saved(rows.mapInArrow(_nearest(grid, ring, self.n - 1), "node_pos long, nbr long, d double, rank long"))
             best, rest = found.where("rank > 0"), found.where("rank = 0").select("node_pos")
             out = best if out is None else out.union(best)
             if rest.isEmpty():
                 return out
-            todo, ring = todo.join(rest, "node_pos", "left_semi").persist(), ring * 2
+            todo, ring = saved(todo.join(rest, "node_pos", "left_semi")), ring * 2
         pairs = all_pairs(todo.drop("cx", "cy"), target.drop("cx", "cy"), self.n, F.col("node_pos") != F.col("nbr")).withColumn("d", distance("x", "y", "nx", "ny"))
         best = pairs.withColumn("rank", F.row_number().over(W.partitionBy("node_pos").orderBy("d", "nbr"))).where(F.col("rank") <= F.col("k"))
         best = best.select("node_pos", "nbr", "d", F.col("rank").cast("long").alias("rank"))
