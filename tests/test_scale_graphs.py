@@ -55,3 +55,25 @@ def test_export_looks_for_missing_ends_only_where_there_may_be_any(cloud, monkey
     assert not asked
     gw.graph_to_tables(g.with_edges(g.edges), nodes=False)
     assert asked == ["source", "target"]
+
+
+def test_trials_of_far_cells_are_placed_by_runs(spark, cloud, monkeypatch):
+    monkeypatch.setattr(random_graph, "PLACED", 16, raising=False)
+    made = random_graph._placed
+
+    def placed(seed):
+        run = made(seed)
+
+        def checked(batches):
+            for cells in batches:
+                assert (cells["m"] * cells["k"]).max() <= 256  # two cells of a quarter of the width hold some 1,900 pairs
+                yield from run(iter([cells]))
+
+        return checked
+
+    monkeypatch.setattr(random_graph, "_placed", placed)
+    args = {"scaling_factor": 1 / 40, "max_degree": 1 << 30, "id_col": "id"}
+    n = {m: [gw.geo_erdos_renyi_network(cloud, random_state=s, method=m, **args).edges.count() for s in range(3)] for m in ("exact", "thinned")}
+    assert abs(sum(n["thinned"]) / sum(n["exact"]) - 1) < 0.05
+    g = gw.geo_erdos_renyi_network(cloud, random_state=1, method="thinned", **args).edges
+    assert g.count() == g.select("source", "target").distinct().count() == n["thinned"][1]
