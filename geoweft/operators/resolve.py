@@ -280,6 +280,90 @@ def _picked(max_degree: int) -> Callable:
     return run
 
 
+#: Rows of lists that one run of turns decides at most where only nodes with room are listed, and nodes of a list at least.
+LIST_ROWS, LISTED = 1_000_000, 16
+
+
+def picks_by_turns(nodes: DataFrame, cap: int, search: Callable) -> DataFrame:
+    """The same picks where many nodes have no room: lists are made for some turns at a time, of nodes that still have room when these begin.
+
+    Of ``nodes`` (node_pos, k, ...). search(points, asked, among) -> (node_pos, nbr, d, rank), the nearest ``asked`` of the points that meet
+    ``among``. As nodes only fill up, the first of a node's list that still has room is the first of all. A node whose list doesn't suffice
+    ends the run of turns and begins the next, with a longer list if it was the first. Ranks count the nodes that had room.
+    """
+    spark, at, longer, done = nodes.sparkSession, 0, 1, []
+    picked = "node_pos long, nbr long, d double, rank long, k long"
+    room, turn = F.col("deg") + F.col("k") < cap, (F.col("k") > 0) & (F.col("deg") < cap)
+    with Tables(spark) as tables:
+        state = tables.write(nodes.withColumn("deg", F.lit(0).cast("long")))
+        while True:
+            now = turn & (F.col("node_pos") >= at)
+            to_come, open_ = state.agg(F.count_if(now), F.count_if(room)).first()
+            if not to_come or not open_:
+                break
+            asked = min(open_, longer * max(LISTED, LIST_ROWS // to_come))
+            size = max(1, LIST_ROWS // asked)
+            stop = state.agg(F.max("node_pos")).first()[0] if size >= to_come else state.where(now).orderBy("node_pos").limit(size).agg(F.max("node_pos")).first()[0]
+            now = now & (F.col("node_pos") <= stop)
+            lists = search(state.where(room | now), F.when(now, F.lit(asked)).otherwise(F.lit(0)), room)
+            items = lists.join(state.select("node_pos", "k", "deg"), "node_pos").join(state.select(F.col("node_pos").alias("nbr"), F.col("k").alias("nbr_k"), F.col("deg").alias("nbr_deg")), "nbr")
+            if done:  # those that have picked the node
+                every = spark.read.schema(picked).parquet(*(tables.paths[id(t)][0] for t in done))
+                items = items.join(every.select(F.col("nbr").alias("node_pos"), F.col("node_pos").alias("nbr"), F.lit(True).alias("no")), ["node_pos", "nbr"], "left")
+            else:
+                items = items.withColumn("no", F.lit(None).cast("boolean"))
+            items = items.select(F.lit(0).alias("w"), "node_pos", "nbr", "d", "rank", "k", "deg", "nbr_k", "nbr_deg", F.coalesce("no", F.lit(False)).alias("no"))
+            taken = tables.write(items.groupBy("w").applyInPandas(_turn_picks(cap, asked, asked >= open_), picked))
+            done.append(taken)
+            cut = taken.where("node_pos < 0").agg(F.max("nbr")).first()[0]
+            cut = stop + 1 if cut is None else cut
+            counts = taken.where("node_pos >= 0").select(F.explode(F.array("node_pos", "nbr")).alias("node_pos")).groupBy("node_pos").agg(F.count("*").alias("more"))
+            after = state.join(counts, "node_pos", "left").withColumn("deg", F.col("deg") + F.coalesce("more", F.lit(0))).drop("more")
+            after = tables.write(after.where(room | (turn & (F.col("node_pos") >= cut))))
+            stuck = cut <= stop and taken.where("node_pos >= 0").isEmpty()
+            tables.drop(state)
+            state, at, longer = after, cut, 4 * longer if stuck else 1
+        if not done:
+            return spark.createDataFrame([], picked)
+        return saved(spark.read.schema(picked).parquet(*(tables.paths[id(t)][0] for t in done)).where("node_pos >= 0"))
+
+
+def _turn_picks(cap: int, asked: int, whole: bool) -> Callable:
+    """Decides turns in order; a row with node_pos = -1 has as nbr the node whose list doesn't suffice, if there is one."""
+
+    def run(items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values(["node_pos", "rank"])
+        nodes, at = np.unique(items[["node_pos", "nbr"]].to_numpy(), return_inverse=True)
+        at = at.reshape(-1, 2)
+        degree = np.zeros(len(nodes), np.int64)
+        degree[at[:, 0]], degree[at[:, 1]] = items["deg"].to_numpy(), items["nbr_deg"].to_numpy()
+        starts = [*np.flatnonzero(np.diff(at[:, 0], prepend=-1)).tolist(), len(at)]
+        degree, other, k = degree.tolist(), at[:, 1].tolist(), items["k"].tolist()
+        most, no = (cap - items["nbr_k"].to_numpy()).tolist(), items["no"].tolist()
+        ok, ties, cut = [], set(), None
+        for first, end in zip(starts, starts[1:]):
+            i, got = int(at[first, 0]), []
+            for r in range(first, end):
+                if len(got) >= k[first] or degree[i] + len(got) >= cap:
+                    break
+                if not no[r] and degree[other[r]] < most[r] and (other[r], i) not in ties:
+                    got.append(r)
+            if len(got) < k[first] and degree[i] + len(got) < cap and end - first >= asked and not whole:
+                cut = int(nodes[i])
+                break
+            degree[i] += len(got)
+            for r in got:
+                degree[other[r]] += 1
+                ties.add((i, other[r]))
+            ok += got
+        out = items.iloc[ok][["node_pos", "nbr", "d", "rank", "k"]]
+        if cut is None:
+            return out
+        return pd.concat((out, pd.DataFrame({"node_pos": [-1], "nbr": [cut], "d": [0.0], "rank": [0], "k": [0]})))
+
+    return run
+
+
 # -- rewiring ----------------------------------------------------------------------
 
 

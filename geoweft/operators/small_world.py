@@ -44,17 +44,21 @@ def half_degrees(k: int | float | str, seed: int, names: list[str], fast: bool =
     return F.when(uniform("k", seed, "node_pos", fast=fast) < F.lit(share), F.lit(low + 1)).otherwise(F.lit(low)).cast("long")
 
 
-def nearest_nodes(nodes: DataFrame, k: Column, max_degree: int, query_factor: int, predicate: Column | None, need: list[str]) -> DataFrame:
+def nearest_nodes(nodes: DataFrame, k: Column, max_degree: int, query_factor: int, predicate: Column | None, need: list[str], ranked: bool = True) -> DataFrame:
     """(node_pos, nbr, d, rank, k): each node, in order, picks its nearest nodes that are allowed, have room and haven't picked it.
 
     Lists of query_factor * k allowed neighbours are tried first; nodes for which they don't suffice get longer ones, and only what hangs on
-    these is decided again.
+    these is decided again. Where lists would become far longer than the first, and where the cap is tight and ranks don't matter
+    (not ``ranked``), picks are made by turns from nodes that have room.
     """
     spark = nodes.sparkSession
     with Tables(spark) as tables:
         own = tables.write(nodes.withColumn("k", F.least(F.greatest(k, F.lit(0)), F.lit(max_degree)).cast("long")))
         n, least, greatest = own.agg(F.count("*"), F.min("k"), F.max("k")).first()
         by = C.classes(predicate)
+        search = lambda points, asked, among: knn_join(points.withColumn("asked", asked), F.col("asked"), predicate, need, by, among)
+        if n and not ranked and max_degree < TIGHT * greatest:
+            return _warned(own, resolve.picks_by_turns(own, max_degree, search))
         sizes = F.col("node_pos"), F.col("k")
         first = F.least(F.col("k") * max(2, int(query_factor)), F.lit(n - 1))
         asking, lists, found = own.select("node_pos", first.alias("asked")), None, None
@@ -81,11 +85,24 @@ def nearest_nodes(nodes: DataFrame, k: Column, max_degree: int, query_factor: in
             tried = lists.groupBy("node_pos").agg(F.count("*").alias("tried"), F.max("asked").alias("asked"))
             got = tables.write(got.join(tried, "node_pos", "left").select("node_pos", F.when((F.col("tried") >= F.col("asked")) & (F.col("asked") < n - 1), F.least(F.col("asked") * 4, F.lit(n - 1))).alias("asked")))
             asking = got.where("asked is not null")
-            if asking.isEmpty():
-                if m := got.count():
-                    some = [r[0] for r in got.orderBy("node_pos").select("node_pos").head(5)]
-                    warnings.warn(f"{m} nodes have fewer neighbors than expected, {some} among them. Consider reducing their expected degree.", UserWarning, stacklevel=3)
-                return tables.kept(found.results).select("node_pos", "nbr", "d", "rank", "k")
+            longer = asking.agg(F.sum("asked")).first()[0]
+            if longer is None:
+                return _warned(own, tables.kept(found.results).select("node_pos", "nbr", "d", "rank", "k"))
+            if longer > resolve.WINDOW_ROWS + LONGER * n * max(1, greatest):
+                return _warned(own, resolve.picks_by_turns(own, max_degree, search))
+
+
+#: The cap, in picks of a node, below which many nodes are full; rows of longer lists, in picks of all nodes, that are asked for at a time.
+TIGHT, LONGER = 4, 16
+
+
+def _warned(own: DataFrame, picks: DataFrame) -> DataFrame:
+    """The picks; warns of nodes that have picked fewer than ``k``."""
+    short = own.join(picks.groupBy("node_pos").agg(F.count("*").alias("got")), "node_pos", "left").where(F.coalesce("got", F.lit(0)) < F.col("k"))
+    if m := short.count():
+        some = [r[0] for r in short.orderBy("node_pos").select("node_pos").head(5)]
+        warnings.warn(f"{m} nodes have fewer neighbors than expected, {some} among them. Consider reducing their expected degree.", UserWarning, stacklevel=4)
+    return picks
 
 
 def rewiring_choices(events: DataFrame, nodes: DataFrame, n: int, a: float, s: float, predicate: Column | None, need: list[str], seed: int, fast: bool, keep: int | None) -> DataFrame:
@@ -194,7 +211,7 @@ def geo_watts_strogatz_network(
     names = [c for c in frame.df.columns if c not in ("node_pos", "node_id")]
     predicate, need = C.resolve(constraint, names)
     own = nodes.select("node_pos", "x", "y", half_degrees(k, seed, names, fast).alias("k"), *(F.col(f"`{c}`").alias(f"a_{c}") for c in need))
-    picks = nearest_nodes(own, F.col("k"), max_degree, query_factor, predicate, need)
+    picks = nearest_nodes(own, F.col("k"), max_degree, query_factor, predicate, need, ranked=p > 0)
     edges, moved = rewire(picks, own, p, a, s, max_degree, predicate, need, seed, fast)
     warn_if_empty(edges)
     graph = finished(frame, nodes, edges, id_col, node_attributes, present="edges")

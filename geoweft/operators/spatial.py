@@ -30,7 +30,7 @@ def all_pairs(left: DataFrame, right: DataFrame, n: int, on: Column) -> DataFram
     return parallel(left).join(right, on)
 
 
-def knn_join(points: DataFrame, k: Column | int, allowed: Column | None = None, need: list[str] | tuple = (), by: list[str] | tuple = ()) -> DataFrame:
+def knn_join(points: DataFrame, k: Column | int, allowed: Column | None = None, need: list[str] | tuple = (), by: list[str] | tuple = (), among: Column | None = None) -> DataFrame:
     """(node_pos, nbr, d, rank): the k nearest other points of each point of (node_pos, x, y), ties by node_pos.
 
     Points meet in grid cells. A point is done when its k-th distance is no more
@@ -42,18 +42,21 @@ def knn_join(points: DataFrame, k: Column | int, allowed: Column | None = None,
 
     ``allowed`` is a condition on columns u_<name> of a point and v_<name> of its
     neighbour, where ``need`` names the columns a_<name> of ``points``; only those that meet it count. If that takes equal values of some of
-    them, which ``by`` names, each class of points has a grid of its own.
+    them, which ``by`` names, each class of points has a grid of its own. ``among`` is a condition on ``points`` that neighbours must meet.
     """
-    p = points.withColumn("k", k if isinstance(k, Column) else F.lit(k)).select("node_pos", "x", "y", F.col("k").cast("long").alias("k"), *(f"a_{c}" for c in need))
-    stats = p.agg(F.count("*"), F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.avg(F.when(F.col("k") > 0, F.col("k"))), F.max("k")).first()
+    to = F.lit(True) if among is None else among
+    p = points.withColumns({"k": k if isinstance(k, Column) else F.lit(k), "to": to}).select("node_pos", "x", "y", F.col("k").cast("long").alias("k"), "to", *(f"a_{c}" for c in need))
+    stats = p.agg(F.count_if("to"), F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.avg(F.when(F.col("k") > 0, F.col("k"))), F.max("k")).first()
     n, x0, y0, x1, y1, mean_k, max_k = stats
+    if among is not None:  # all of them may be another point's
+        n += 1
     if not n or n < 2 or not max_k or max_k <= 0:
         return points.sparkSession.createDataFrame([], "node_pos long, nbr long, d double, rank long")
     own = [f"b_{c}" for c in by]
     p = p.withColumns({f"b_{c}": F.col(f"a_{c}") for c in by}).withColumnsRenamed({f"a_{c}": f"u_{c}" for c in need}).withColumn("most", F.lit(n - 1).cast("long"))
     parts = 1
     if by:
-        sizes = p.groupBy(*own).agg((F.count("*") - 1).alias("most")).persist()
+        sizes = p.groupBy(*own).agg((F.count_if("to") - (1 if among is None else 0)).alias("most")).persist()
         parts = max(1, sizes.count())
         p = p.drop("most").join(sizes, own)
     w, h = x1 - x0, y1 - y0
@@ -63,7 +66,8 @@ def knn_join(points: DataFrame, k: Column | int, allowed: Column | None = None,
     else:
         size = max(w, h) * want / n or 1.0
     size = max(size, max(w, h) / 1e6)
-    target = p.select(F.col("node_pos").alias("nbr"), F.col("x").alias("nx"), F.col("y").alias("ny"), *(F.col(f"u_{c}").alias(f"v_{c}") for c in need), *own)
+    target, p = p.where("to"), p.drop("to")
+    target = target.select(F.col("node_pos").alias("nbr"), F.col("x").alias("nx"), F.col("y").alias("ny"), *(F.col(f"u_{c}").alias(f"v_{c}") for c in need), *own)
     todo, out, crowd = p.where("k > 0 and most > 0"), None, CROWD * (max(1.0, mean_k) + 1)
     at = Search(n, max_k, own, allowed, list(need))
     for _ in range(FINER):
