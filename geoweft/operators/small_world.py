@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import math
 import secrets
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoweft.functions.decay import decay, distance
-from geoweft.functions.hashing import uniform
+from geoweft.functions.decay import decay, decay_array, distance
+from geoweft.functions.hashing import fast_row, uniform
 from geoweft.operators import constraint as C
 from geoweft.operators import resolve
-from geoweft.operators.frame import GeoFrame, GeoGraph, as_nodes, find_scaling_factor, finished, report, warn_crs, warn_if_empty
+from geoweft.operators.frame import BROADCAST_IDS, GeoFrame, GeoGraph, as_nodes, find_scaling_factor, finished, numbered, report, warn_crs, warn_if_empty
 from geoweft.operators.shared import Tables, saved
-from geoweft.operators.spatial import all_pairs, knn_join
+from geoweft.operators.spatial import all_pairs, knn_join, parallel
 
 #: Pairs of rewired edges and nodes up to which every node gets a key; beyond, targets are drawn.
 RACE_PAIRS = 50_000_000
@@ -131,28 +134,70 @@ def rewiring_choices(events: DataFrame, nodes: DataFrame, n: int, a: float, s: f
     return pairs.withColumn("at", F.row_number().over(w)).select("i", "rank", "at", "c")
 
 
+#: Cells a side that draws choose a node's place from, and draws of an event at first for each target that is wanted.
+DRAW_CELLS, DRAWS = 64, 1.7
+
+
 def drawn_choices(events: DataFrame, nodes: DataFrame, n: int, a: float, s: float, predicate: Column | None, need: list[str], seed: int, fast: bool, keep: int) -> DataFrame:
-    """The same law by draws: uniform targets, each taken with its decay, until ``keep`` are taken; only rows of draws are made, not of all pairs."""
-    pos = nodes.select(F.col("node_pos").alias("c"), F.col("x").alias("xc"), F.col("y").alias("yc"), *(F.col(f"a_{c}").alias(f"v_{c}") for c in need))
-    e = events.join(nodes.select(F.col("node_pos").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), *(F.col(f"a_{c}").alias(f"u_{c}") for c in need)), "i")
-    todo, start, size, out = e, 0, 256, None
+    """The same law by draws, until ``keep`` targets are taken; only rows of draws are made, not of all pairs.
+
+    A draw is a cell of a grid, by its number of nodes and the decay at its least distance, which bounds that of its nodes, and any node in
+    it, which is taken with what its own distance leaves of that bound. So most draws are taken wherever the node stands, however many
+    nodes there are.
+    """
+    x0, y0, x1, y1 = nodes.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    size = max(x1 - x0, y1 - y0) * (1 + 1e-9) / DRAW_CELLS or 1.0
+    cell = F.floor((F.col("y") - y0) / size) * DRAW_CELLS + F.floor((F.col("x") - x0) / size)
+    fine = saved(numbered(nodes.withColumn("cell", cell), [F.col("cell"), F.col("node_pos")], "r"))
+    cells = fine.groupBy("cell").agg(F.count("*").alias("m"), F.min("r").alias("start"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")))
+    cells = cells.orderBy("cell").toPandas()  # DRAW_CELLS squared at most
+    side = lambda key, x, pre, more: fine.select(F.col(key).alias(x), *more, *(F.col(f"a_{c}").alias(f"{pre}{c}") for c in need))
+    place = lambda x: [F.col("x").alias(f"x{x}"), F.col("y").alias(f"y{x}")]
+    wide = F.broadcast if n <= BROADCAST_IDS else lambda df: df
+    e = saved(events.join(side("node_pos", "i", "u_", place("i")).select("i", "xi", "yi"), "i"))
+    todo, start, count, out = e, 0, math.ceil(DRAWS * keep), None
     for _ in range(6):
-        draws = todo.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(start + size - 1))))
-        draws = draws.withColumn("c", F.floor(uniform("rt", seed, "i", "rank", "t", fast=fast) * n).cast("long")).join(pos, "c").where("i <> c")
+        draws = parallel(todo.select("i", "rank", "xi", "yi")).mapInPandas(_drawn(cells, a, s, seed, start, count), "i long, rank long, xi double, yi double, at long, r long, bound double")
+        draws = draws.join(wide(side("r", "r", "v_", [F.col("node_pos").alias("c"), *place("c")])), "r").where("i <> c").where(F.col("bound") < decay(distance("xi", "yi", "xc", "yc"), a, s))
         if predicate is not None:
-            draws = draws.where(predicate)
-        taken = draws.where(uniform("ra", seed, "i", "rank", "t", fast=fast) < decay(distance("xi", "yi", "xc", "yc"), a, s)).select("i", "rank", F.col("t").alias("at"), "c")
-        out = saved(taken if out is None else out.union(taken))
+            draws = draws.join(wide(side("node_pos", "i", "u_", [])), "i").where(predicate)
+        taken = saved(draws.select("i", "rank", "at", "c"))
+        out = taken if out is None else out.union(taken)
         have = out.groupBy("i", "rank").agg(F.count_distinct("c").alias("m")).where(F.col("m") >= keep)
-        todo, start, size = e.join(have, ["i", "rank"], "left_anti"), start + size, size * 4
+        todo, start, count = saved(todo.join(have, ["i", "rank"], "left_anti")), start + count, count * 4
         if todo.isEmpty():
             return out
-    # targets are too far for draws: these few events look at all nodes
+    # the condition leaves too few for draws: these few events look at all nodes
     return out.join(todo.select("i", "rank"), ["i", "rank"], "left_anti").union(
         rewiring_choices(todo.select("i", "j", "rank"), nodes, n, a, s, predicate, need, seed, fast, None)
     )
 
 
+def _drawn(cells: pd.DataFrame, a: float, s: float, seed: int, start: int, count: int) -> Callable:
+    """Draws for events (i, rank, xi, yi): numbered from ``start``, the rank r of a node along the cells, and the least decay with which it is taken."""
+    m, begin = cells["m"].to_numpy(float), cells["start"].to_numpy()
+    x1, y1, x2, y2 = (cells[c].to_numpy() for c in ("min_x", "min_y", "max_x", "max_y"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 1000):
+                part, found = batch.iloc[k : k + 1000], []
+                for i, rank, x, y in part.itertuples(index=False):
+                    dx, dy = np.maximum(np.maximum(x1 - x, x - x2), 0), np.maximum(np.maximum(y1 - y, y - y2), 0)
+                    bound = decay_array(np.sqrt(dx * dx + dy * dy), a, s)
+                    total = np.cumsum(m * bound)
+                    if not total[-1] > 0:
+                        continue
+                    u, v, w = fast_row(f"rt|{i}|{rank}", seed, start, 3 * count).reshape(3, count)
+                    at = np.minimum(np.searchsorted(total, u * total[-1], "right"), len(m) - 1)
+                    r = begin[at] + np.minimum((v * m[at]).astype(np.int64), m[at].astype(np.int64) - 1)
+                    found.append((np.full(count, i), np.full(count, rank), np.full(count, x), np.full(count, y), np.arange(start, start + count), r, w * bound[at]))
+                if found:
+                    yield pd.DataFrame(dict(zip(("i", "rank", "xi", "yi", "at", "r", "bound"), map(np.concatenate, zip(*found)))))
+
+    return run
+
+
 def rewire(picks: DataFrame, nodes: DataFrame, p: float, a: float, s: float, max_degree: int, predicate: Column | None, need: list[str], seed: int, fast: bool, keep: int = 24) -> tuple[DataFrame, DataFrame | None]:
     """(i, j, length) after each edge has been rewired with probability p, and the edges that moved; the number of edges stays."""
     edges = saved(picks.select(F.col("node_pos").alias("i"), F.col("nbr").alias("j"), "rank", F.col("d").alias("length")))
