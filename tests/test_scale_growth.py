@@ -26,3 +26,29 @@ def test_growth_hashes_rows_at_a_time(monkeypatch):
             want.append((t, j))
             degree[[t, j]] += 1
     assert [tuple(sorted(e)) for e in got[["i", "j"]].to_numpy().tolist()][: len(want)] == [tuple(sorted(e)) for e in want]
+
+
+def test_growth_by_rounds_is_that_of_one_pass(spark, monkeypatch):
+    import geoweft as gw
+    from geoweft.operators import attachment
+
+    xy = np.random.default_rng(6).uniform(0, 100, (900, 2))
+    df = spark.createDataFrame([(k, float(x), float(y), None if k % 3 == 2 else "ab"[k % 3] if k % 7 else "c") for k, (x, y) in enumerate(xy)], "id long, x double, y double, g string")
+    f = gw.GeoFrame(df, order=("id",), crs="EPSG:3857")
+    args = [{"group": "g", "fast": False, "node_order": "x"}, {"max_degree": 64}]
+    edges = lambda more: sorted(map(tuple, gw.geo_barabasi_albert_network(f, 3, id_col="id", scaling_factor=0.1, random_state=7, **more).edges.select("source", "target", "length").collect()))
+    want = [edges(more) for more in args]
+    monkeypatch.setattr(attachment, "FIRST", 100, raising=False)
+    monkeypatch.setattr(attachment, "LEAST_RUN", 40, raising=False)
+    passes, grow, decide = [], attachment.grow, attachment._attached
+
+    def few(part, *more):
+        assert len(part) <= 100  # whole graphs are no longer one pass
+        return grow(part, *more)
+
+    monkeypatch.setattr(attachment, "grow", few)
+    monkeypatch.setattr(attachment, "_attached", lambda *more: passes.append(more) or decide(*more))
+    assert [edges(more) for more in args] == want and len(passes) > 6
+    monkeypatch.setattr(attachment, "foreseen", lambda degree, m: degree + m + 2)  # too little: rounds are cut
+    before = len(passes)
+    assert edges(args[1]) == want[1] and len(passes) - before > 6
