@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoweft.functions.decay import distance
+from geoweft.operators.interpolated import interpolated_sums, tree_of
 from geoweft.operators.shared import saved
 
 #: Nodes that may be broadcast: with their coordinates about 24 bytes each.
@@ -295,7 +296,7 @@ def kernel_sums(points: DataFrame, bandwidth: float, kernel: str) -> DataFrame:
 
     Points at one place count as one with their number. Places meet in grid cells as far as the kernel reaches; kernels without an end
     reach to where all points together would add no more than LEFT_OUT. A task holds places of one cell, which those of the cells about
-    pass by; only sums leave it.
+    pass by; only sums leave it. Gaussian and exponential sums over many points go by interpolation, as exact as sums of doubles are.
     """
     if kernel not in KERNELS:
         raise ValueError(f"Unknown kernel: {kernel}. Use one of {', '.join(KERNELS)}.")
@@ -306,7 +307,11 @@ def kernel_sums(points: DataFrame, bandwidth: float, kernel: str) -> DataFrame:
     reach = end(LEFT_OUT / n) * bandwidth
     size = reach / REACH * (1 + 1e-9)
     grid = lambda c: F.floor(F.col(c) / size).cast("long")
-    places = points.groupBy("x", "y").agg(F.count("*").alias("m")).withColumns({"cx": grid("x"), "cy": grid("y")})
+    places = points.groupBy("x", "y").agg(F.count("*").alias("m"))
+    if (tree := tree_of(places, n, bandwidth, kernel)) is not None:
+        sums = interpolated_sums(places, tree, float(bandwidth), kernel, reach, None if kernel == "gaussian" else _adding(value, float(bandwidth)))
+        return points.select("node_pos", "x", "y").join(sums, ["x", "y"]).select("node_pos", "density")
+    places = places.withColumns({"cx": grid("x"), "cy": grid("y")})
     # a cell of many places is dealt out to several tasks
     filled = places.groupBy("cx", "cy").agg(F.ceil(F.count("*") / min(OWN, max(LEAST, n // TASKS))).alias("parts"))
     own = places.join(filled, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.col("parts")))
@@ -322,10 +327,8 @@ def kernel_sums(points: DataFrame, bandwidth: float, kernel: str) -> DataFrame:
     return points.select("node_pos", "x", "y").join(sums, ["x", "y"]).select("node_pos", "density")
 
 
-def _summed(value: Callable, bandwidth: float) -> Callable:
-    """Sums the kernel at the places of each task over those that pass; rows are sorted by task, its own places first."""
-
-    def add(own: list, met: list, sums: np.ndarray) -> None:
+def _adding(value: Callable, bandwidth: float) -> Callable:
+    def add(own: list | tuple, met: list, sums: np.ndarray) -> None:
         x, y = own
         u, v, m = (np.concatenate(c) for c in zip(*met))
         step = max(1, TILE // len(u))
@@ -340,6 +343,13 @@ def _summed(value: Callable, bandwidth: float) -> Callable:
             dx /= bandwidth
             sums[at : at + k] += value(dx) @ m
 
+    return add
+
+
+def _summed(value: Callable, bandwidth: float) -> Callable:
+    """Sums the kernel at the places of each task over those that pass; rows are sorted by task, its own places first."""
+    add = _adding(value, bandwidth)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> Iterator[pa.RecordBatch]:
             if met:
