@@ -52,3 +52,20 @@ def test_growth_by_rounds_is_that_of_one_pass(spark, monkeypatch):
     monkeypatch.setattr(attachment, "foreseen", lambda degree, m: degree + m + 2)  # too little: rounds are cut
     before = len(passes)
     assert edges(args[1]) == want[1] and len(passes) - before > 6
+
+
+def test_targets_are_looked_for_under_a_bound(monkeypatch):
+    import pandas as pd
+
+    from geoweft.operators import attachment
+
+    rng, whole, uniforms = np.random.default_rng(3), [], hashing.Decimals.uniforms
+    met = pd.DataFrame({"g": 0, "own": False, "t": range(2000), "px": rng.uniform(0, 100, 2000), "py": rng.uniform(0, 100, 2000), "deg": np.minimum(3 + rng.geometric(0.2, 2000), 64)})
+    part = pd.concat((met[met["t"] >= 1900].assign(own=True), met))
+    monkeypatch.setattr(hashing.Decimals, "uniforms", lambda self, *args, **more: whole.append(1) or uniforms(self, *args, **more))
+    run = attachment._targets(3, 3, 0.1, 64, 7, False)
+    got = run(part)
+    assert not whole  # rows of all uniforms
+    monkeypatch.setattr(attachment, "LUCK", -3)  # a bound of 0: all rows are made
+    want = attachment._targets(3, 3, 0.1, 64, 7, False)(part)
+    assert len(whole) == 100 and got.equals(want) and len(got) > 300
